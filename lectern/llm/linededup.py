@@ -48,7 +48,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     lines = lines.where(stripped != "").select("key", "source", "pos", F.xxhash64(stripped).alias("line"))
     lines = materialize(lines)
     gone = lines.join(boilerplate(lines.select("line", "source"), sites), "line", "left_semi")
-    gone = gone.groupBy("key").agg(F.collect_set("pos").alias("gone"))
+    gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")))  # apart, so the join can split a hot key
     left = F.filter(F.col("lines"), lambda _, i: ~F.array_contains("gone", i))
     out = keyed.join(gone, "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), split).alias("lines"), split.alias("all"))
     return out.select(
