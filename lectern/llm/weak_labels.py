@@ -24,9 +24,9 @@ EM_ROUNDS, STEPS, SHRINK = 60, 150, 1e-4
 LEAST = 0.5
 
 SYMBOLS = "#*$%&|<>"
-#: Fixed lists, in lower case: insults, and phrases of boilerplate.
+MARKS = frozenset(SYMBOLS)
+#: Fixed list of insults, in lower case.
 INSULTS = frozenset("bastard dumb idiot idiots imbecile loser moron morons pathetic scum stupid trash ugly worthless".split())
-PHRASES = ("all rights reserved", "click here", "cookie", "licensed under", "privacy policy", "subscribe", "terms of")
 
 
 @dataclass
@@ -43,6 +43,8 @@ class Shape:
     lines_equal: float
     ended: float
     insults: int
+    marked: float
+    lines_marked: float
 
 
 def shape_of(text: str) -> Shape:
@@ -50,10 +52,11 @@ def shape_of(text: str) -> Shape:
     n, c = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     low = text.lower()
+    symbols = sum(map(text.count, SYMBOLS))
     return Shape(
         words=low.split(),
         chars=len(text),
-        symbols=sum(map(text.count, SYMBOLS)) / c,
+        symbols=symbols / c,
         shouts=text.count("!") / c,
         upper=sum(map(str.isupper, words)) / n,
         distinct=len(set(words)) / n,
@@ -61,6 +64,8 @@ def shape_of(text: str) -> Shape:
         lines_equal=1 - len(set(lines)) / max(1, len(lines)),
         ended=sum(x.rstrip()[-1] in ".!?:;\"')" for x in lines) / max(1, len(lines)),
         insults=sum(w.strip(".,;:!?\"'()") in INSULTS for w in low.split()) if any(map(low.__contains__, INSULTS)) else 0,
+        marked=symbols / n,
+        lines_marked=sum(not MARKS.isdisjoint(x) for x in lines) / max(1, len(lines)),
     )
 
 
@@ -76,10 +81,12 @@ def votes_of(s: Shape) -> tuple[int, ...]:
         -1 if s.lines_equal > 0.3 else 1 if s.lines_equal == 0 and n >= 30 else 0,
         1 if s.ended > 0.8 else -1 if s.ended < 0.3 else 0,
         -1 if s.insults else 0,
+        -1 if s.marked > 0.2 else 1 if s.marked < 0.02 else 0,
+        -1 if s.lines_marked > 0.5 else 1 if s.lines_marked < 0.1 else 0,
     )
 
 
-LABELLERS = 8
+LABELLERS = 10
 
 
 @dataclass
@@ -121,7 +128,7 @@ def features(s: Shape) -> tuple[np.ndarray, np.ndarray]:
     at, n = np.unique(hashed, return_counts=True)
     value = np.log1p(n)
     value = value / max(1e-9, float(np.sqrt((value**2).sum())))
-    more = [1.0, min(1.0, len(s.words) / 200), s.symbols * 10, s.shouts * 10, s.upper, s.distinct, s.length / 10, s.lines_equal, s.ended, min(1.0, s.insults)]
+    more = [1.0, min(1.0, len(s.words) / 200), min(1.0, s.symbols * 10), min(1.0, s.shouts * 10), s.upper, s.distinct, s.length / 10, s.lines_equal, s.ended, min(1.0, s.insults)]
     return np.concatenate((at, BUCKETS + np.arange(len(more)))), np.concatenate((value, more))
 
 
