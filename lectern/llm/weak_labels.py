@@ -75,7 +75,8 @@ def votes_of(s: Shape) -> tuple[int, ...]:
     return (
         1 if n >= 80 else -1 if n < 30 else 0,
         -1 if s.symbols > 0.03 else 1 if s.symbols < 0.005 else 0,
-        -1 if s.shouts > 0.02 or s.upper > 0.4 else 1 if s.upper < 0.1 else 0,
+        -1 if s.shouts > 0.02 else 1 if s.shouts < 0.002 else 0,
+        -1 if s.upper > 0.4 else 1 if s.upper < 0.1 else 0,
         -1 if s.distinct < (0.25 if n < 2000 else 0.05) else 1 if s.distinct > 0.4 else 0,
         1 if 3 <= s.length <= 9 else -1 if s.length < 2.5 or s.length > 12 else 0,
         -1 if s.lines_equal > 0.3 else 1 if s.lines_equal == 0 and n >= 30 else 0,
@@ -86,7 +87,9 @@ def votes_of(s: Shape) -> tuple[int, ...]:
     )
 
 
-LABELLERS = 10
+LABELLERS = 11
+#: How often a labeller votes bad, not at all and good, on bad documents and on good ones, if nothing else is known.
+BELIEF = np.array([[0.4, 0.1, 0.5], [0.01, 0.14, 0.85]])
 
 
 @dataclass
@@ -113,9 +116,9 @@ def estimate(patterns: dict[tuple[int, ...], int]) -> Labellers:
     good = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
     for _ in range(EM_ROUNDS):
         share = np.stack([n * (1 - good), n * good])
-        # a labeller is trusted a little before it is seen: bad documents get bad votes, and good ones good
+        # what is believed of a labeller before it is seen weighs as much as what is seen, as kinds of bad text differ
         table = np.stack([np.stack([(share * (votes[:, j] == v)).sum(1) for v in (-1, 0, 1)], 1) for j in range(votes.shape[1])])
-        table += np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])
+        table += BELIEF * (share.sum(1)[:, None] + 1)
         table /= table.sum(2, keepdims=True)
         prior = float(np.clip((n * good).sum() / n.sum(), 0.01, 0.99))
         good = Labellers(prior, table).posterior(votes)
