@@ -136,7 +136,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-      list_filter(string_split(text, chr(10)), x -> trim(x, {_BLANKS}) <> '') AS lines FROM d),
+      list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANKS}) <> '') AS lines FROM d),
 g AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
 h AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM g),
 n AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
