@@ -32,9 +32,14 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text; none for null."""
-    found = F.regexp_extract_all(fold(text), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    """Runs of letters and digits of the folded text; none for null.
+
+    Marks count as part of a run until it is folded, and only runs with letters beyond ASCII are.
+    """
+    plain = "[^\\x00-\\x7F]"
+    found = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}\\p{Mn}]+)"), F.lit(1))
+    folded = F.filter(F.transform(found, lambda t: F.when(t.rlike(plain), fold(t)).otherwise(t)), lambda t: t != "")
+    return F.coalesce(F.when(text.rlike(plain), folded).otherwise(found), F.array().cast("array<string>"))
 
 
 def query_tokens(query: str) -> list[str]:

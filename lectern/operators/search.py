@@ -12,6 +12,8 @@ from lectern.functions.text import query_tokens, tokens
 
 K1, B = 1.2, 0.75
 LIMIT, SNIPPET = 200, 14
+#: Digits of a rank; the order in which parts are added up changes those beyond.
+DIGITS = 12
 
 
 @dataclass
@@ -60,7 +62,7 @@ def ranked(index: Index, query: str) -> DataFrame:
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
     scored = hits.join(weigh, "token").join(index.docs.select("key", "length"), "key")
     scored = scored.withColumn("score", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm))
-    return scored.groupBy("key").agg((-F.sum("score")).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
+    return scored.groupBy("key").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
 
 
 def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT) -> DataFrame:

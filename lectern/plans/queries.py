@@ -26,7 +26,7 @@ def query(name: str, sql: str | None):
     return register
 
 
-PREFIXES = ("th", "er")
+PREFIXES = ("stlich", "er")
 
 
 def _bm25(scope: str = "true", prefixes: tuple[str, ...] = PREFIXES, order: str = "rank, key", limit: int | None = 200) -> str:
@@ -41,7 +41,7 @@ f AS (SELECT key, prefix, count(*)::DOUBLE AS f FROM u JOIN p ON starts_with(ter
 n AS (SELECT prefix, count(*)::DOUBLE AS n FROM f GROUP BY 1),
 i AS (SELECT prefix, CASE WHEN ln((total - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE
       ELSE ln((total - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END AS idf, mean FROM n, c),
-r AS (SELECT key, -sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(words) / mean))) AS rank
+r AS (SELECT key, round(-sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(words) / mean))), 12) AS rank
       FROM f JOIN i USING (prefix) JOIN t USING (key) GROUP BY key HAVING count(*) = {len(prefixes)})
 SELECT key, kind, book_id, round(rank, 9) AS rank FROM r JOIN t USING (key) WHERE {scope} ORDER BY {order} {"" if limit is None else f"LIMIT {limit}"}"""
 
