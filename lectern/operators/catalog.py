@@ -65,3 +65,33 @@ def cascade(children: DataFrame, gone: DataFrame, key: str, keep: bool = False)
     mark = gone.select(key).distinct().withColumn("_gone", F.lit(True))
     out = children.join(mark, key, "left")
     return out.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone").select(*children.columns)
+
+
+def reordered(rows: DataFrame, ids: list, key: str) -> DataFrame:
+    """Rows with sort_order from a list of ids, which begins at 1; rows that aren't in it keep theirs."""
+    place = rows.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], f"{key} {rows.schema[key].dataType.simpleString()}, _place int")
+    out = rows.join(F.broadcast(place), key, "left")
+    return out.withColumn("sort_order", F.coalesce("_place", "sort_order")).drop("_place").select(*rows.columns)
+
+
+def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows and new ones behind them, in order of name: sort_order goes on from the largest."""
+    last = rows.agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_last"))  # one row
+    number = F.row_number().over(Window.orderBy("name"))  # a user's few new shelves or tags
+    more = new.crossJoin(F.broadcast(last)).withColumn("sort_order", (F.col("_last") + number).cast(rows.schema["sort_order"].dataType)).drop("_last")
+    return rows.unionByName(more)
+
+
+def filled(rows: DataFrame, key: str, value: str, order: Column) -> DataFrame:
+    """A blank value is filled with the first that isn't of the same key, ignoring case."""
+    some = rows.where(F.trim(F.coalesce(value, F.lit(""))) != "").groupBy(F.lower(key).alias("_key")).agg(F.min_by(value, order).alias("_value"))
+    out = rows.join(some, F.lower(key) == F.col("_key"), "left")
+    return out.withColumn(value, F.coalesce(F.nullif(F.trim(value), F.lit("")), "_value")).select(*rows.columns)
+
+
+def by_document(quotes: DataFrame, sources: DataFrame, others: DataFrame) -> DataFrame:
+    """(source, name, document, n): quotes by source and the part of ref before ':', with names from either table."""
+    named = sources.unionByName(others).groupBy("source").agg(F.min("name").alias("name"))
+    rows = quotes.where(F.instr("ref", ":") > 1).withColumn("document", F.substring_index("ref", ":", 1))
+    counts = rows.groupBy("source", "document").agg(F.count("*").alias("n"))
+    return counts.join(named, "source", "left").withColumn("name", F.coalesce("name", F.lit("Unknown source")))

@@ -53,3 +53,29 @@ def broken_links(links: DataFrame, titles: DataFrame) -> DataFrame:
     """(note, target): links that lead to no title, once for each note and spelling in lower case, the first spelling."""
     left = links.withColumn("key", F.lower("target")).join(titles.select(F.lower("title").alias("key")).distinct(), "key", "left_anti")
     return left.groupBy("note", "key").agg(F.min("target").alias("target")).select("note", "target")
+
+
+def matched_names(names: DataFrame, primary: DataFrame, least: int = 24) -> DataFrame:
+    """(id, file): for each of names(id, key) the file of primary(file, key, position) of the same key, else of the longest
+    key that begins the other or that it begins, both of at least so many characters; the first of equal ones.
+
+    What matches exactly goes by an equi join; the rest is joined on its first `least` characters.
+    """
+    first = F.min_by("file", "position").alias("file")
+    same = names.join(primary, "key").groupBy("id").agg(first)
+    head = lambda df: df.where(F.length("key") >= least).withColumn("head", F.substring("key", 1, least))
+    left = head(names.join(same, "id", "left_anti"))
+    other = head(primary).select("head", F.col("key").alias("other"), "file", "position")
+    near = left.join(other, "head").where(F.col("key").startswith(F.col("other")) | F.col("other").startswith(F.col("key")))
+    rank = F.struct((-F.least(F.length("key"), F.length("other"))).alias("n"), "position")
+    return same.unionByName(near.groupBy("id").agg(F.min_by("file", rank).alias("file")))
+
+
+def adopted_by_size(missing: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, file): for each of missing(id, size) the first file(file, size, position) of the same size."""
+    return missing.join(files.groupBy("size").agg(F.min_by("file", "position").alias("file")), "size").select("id", "file")
+
+
+def prunable(drive: Column, local: Column, primary: Column) -> Column:
+    """A catalogued book goes only if it is in none of the three places."""
+    return ~(drive | local | primary)

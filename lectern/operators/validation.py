@@ -72,3 +72,18 @@ def running_edges(pages: DataFrame) -> DataFrame:
     total = edges.groupBy("book").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
     seen = edges.groupBy("book", "edge").agg(F.countDistinct("page").alias("n"))
     return seen.join(total, "book").where("2 * n >= pages").select("book", "edge", "n")
+
+
+def nearby_edges(pages: DataFrame, around: int = 8, least: int = 3) -> DataFrame:
+    """(book, page): pages whose digit-free edge line is that of at least `least` of the pages around, itself apart."""
+    edges = pages.withColumn("edge", F.regexp_replace("edge", "[0-9]+", "#"))
+    near = Window.partitionBy("book", "edge").orderBy("page").rangeBetween(-around, around)
+    return edges.withColumn("_n", F.count("*").over(near) - 1).where(F.col("_n") >= least).select("book", "page")
+
+
+def evenly_sampled(rows: DataFrame, partition: str, order: str, most: int = 40) -> DataFrame:
+    """At most so many rows of each part, evenly spaced behind its first tenth."""
+    w = Window.partitionBy(partition)
+    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
+    rows = rows.withColumn("_at", at - F.floor(n * 0.1)).withColumn("_step", F.greatest(F.lit(1), F.floor((n - F.floor(n * 0.1)) / most)))
+    return rows.where((F.col("_at") >= 0) & (F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < most)).drop("_at", "_step")

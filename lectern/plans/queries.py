@@ -375,3 +375,97 @@ def str16_html_text(spark: SparkSession, d: str) -> DataFrame:
 def fts14_tokens(spark: SparkSession, d: str) -> DataFrame:
     """FTS2, FTS14: folded tokens of each document."""
     return fx.table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query("fts10_used_in", f"""WITH h AS ({_bm25()}) SELECT key, CASE WHEN kind = 'quote' THEN coalesce(n, 0) ELSE 0 END::INT AS used FROM h
+LEFT JOIN (SELECT 'b' || item_id AS key, CASE WHEN item_id % 3 = 1 THEN NULL ELSE item_id % 3 END AS n FROM benchmark) USING (key)""")
+def fts10_used_in(spark: SparkSession, d: str) -> DataFrame:
+    """FTS10, JN2: in how many places each hit is used, none where the list is malformed."""
+    used = F.expr("CASE item_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '{broken' ELSE '[\"a\",\"b\"]' END")
+    q = fx.table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), F.from_json(used, "array<string>").alias("used_in"))
+    hits = search.search(search.build_index(fx.search_docs(spark, d)), " ".join(PREFIXES)).join(q, "key", "left")
+    count = F.coalesce(F.when(F.col("used_in").isNotNull(), F.size("used_in")), F.lit(0))
+    return hits.select("key", F.when(F.col("kind") == "quote", count).otherwise(0).alias("used"))
+
+
+@query("jn11_name_match", """WITH n AS (SELECT p_partkey AS id, lower(regexp_replace(p_type || p_name, '[^A-Za-z0-9]+', '', 'g')) AS key FROM part WHERE p_partkey % 2 = 0),
+p AS (SELECT p_partkey AS position, 'f' || p_partkey AS file, left(lower(regexp_replace(p_type || p_name, '[^A-Za-z0-9]+', '', 'g')), CASE WHEN p_partkey % 3 = 0 THEN 26 ELSE 99 END) AS key FROM part WHERE p_partkey % 4 <> 0),
+e AS (SELECT id, arg_min(file, position) AS file FROM n JOIN p USING (key) GROUP BY id),
+s AS (SELECT n.id, p.file, row_number() OVER (PARTITION BY n.id ORDER BY least(length(n.key), length(p.key)) DESC, position) AS k FROM n ANTI JOIN e USING (id) JOIN p ON length(n.key) >= 24 AND length(p.key) >= 24 AND (starts_with(n.key, p.key) OR starts_with(p.key, n.key)))
+SELECT id, file FROM e UNION ALL SELECT id, file FROM s WHERE k = 1""")
+def jn11_name_match(spark: SparkSession, d: str) -> DataFrame:
+    """JN11, STR5: the same name, or the longest that one begins the other with."""
+    key = "lower(regexp_replace(concat(p_type, p_name), '[^A-Za-z0-9]+', ''))"
+    part = fx.table(spark, d, "part")
+    names = part.where("p_partkey % 2 = 0").selectExpr("p_partkey AS id", f"{key} AS key")
+    cut = f"left({key}, CASE WHEN p_partkey % 3 = 0 THEN 26 ELSE 99 END)"
+    primary = part.where("p_partkey % 4 <> 0").selectExpr("p_partkey AS position", "concat('f', p_partkey) AS file", f"{cut} AS key")
+    return reconcile.matched_names(names, primary)
+
+
+@query("jn12_by_size", f"WITH {fx.FILES} SELECT c_custkey AS id, file FROM customer JOIN (SELECT size, arg_min(path, event_id) AS file FROM files GROUP BY size) f ON f.size = c_custkey % 150")
+def jn12_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """JN12: the first file of the same size."""
+    missing = fx.table(spark, d, "customer").selectExpr("c_custkey AS id", "cast(c_custkey % 150 AS int) AS size")
+    return reconcile.adopted_by_size(missing, fx.files(spark, d).selectExpr("path AS file", "size", "event_id AS position"))
+
+
+@query("agg4_by_document", """WITH q AS (SELECT (o_custkey % 150)::INT AS source, CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE o_orderpriority || ':' || o_orderkey END AS ref FROM orders),
+n AS (SELECT s_suppkey::INT AS source, s_name AS name FROM supplier UNION ALL SELECT 100 + n_nationkey, n_name FROM nation)
+SELECT q.source, coalesce(min(name), 'Unknown source') AS name, split_part(ref, ':', 1) AS document, count(DISTINCT ref) AS n FROM q LEFT JOIN n ON q.source = n.source WHERE strpos(ref, ':') > 1 GROUP BY q.source, document""")
+def agg4_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """AGG4, JN9, SET1: quotes by source and document, named from either table."""
+    ref = "CASE WHEN o_orderkey % 9 = 0 THEN 'none' ELSE concat(o_orderpriority, ':', o_orderkey) END AS ref"
+    q = fx.table(spark, d, "orders").selectExpr("cast(o_custkey % 150 AS int) AS source", ref)
+    a = fx.table(spark, d, "supplier").selectExpr("cast(s_suppkey AS int) AS source", "s_name AS name")
+    b = fx.table(spark, d, "nation").selectExpr("100 + n_nationkey AS source", "n_name AS name")
+    return catalog.by_document(q, a, b)
+
+
+@query("agg23_filled", f"WITH {fx.BOOKS}, f AS (SELECT lower(series) AS k, arg_min(publisher, book_id) AS p FROM books WHERE trim(coalesce(publisher, '')) <> '' GROUP BY 1) SELECT book_id, coalesce(publisher, p) AS publisher FROM books LEFT JOIN f ON lower(series) = k")
+def agg23_filled(spark: SparkSession, d: str) -> DataFrame:
+    """AGG23: a blank is filled from the first of the same series."""
+    return catalog.filled(fx.books(spark, d), "series", "publisher", F.col("book_id")).select("book_id", "publisher")
+
+
+@query("win8_nearby_edges", """WITH e AS (SELECT event_id AS page, user_id % 5 AS book, regexp_replace(event_type || user_id % 3 * 7, '[0-9]+', '#', 'g') AS edge FROM events WHERE event_id % 4 = 0)
+SELECT book, page FROM (SELECT book, page, count(*) OVER (PARTITION BY book, edge ORDER BY page RANGE BETWEEN 80 PRECEDING AND 80 FOLLOWING) - 1 AS n FROM e) WHERE n >= 3""")
+def win8_nearby_edges(spark: SparkSession, d: str) -> DataFrame:
+    """WIN8, STR25: edges that come again on the pages around; here within 80, as these pages lie far apart."""
+    rows = fx.table(spark, d, "events").where("event_id % 4 = 0").selectExpr("event_id AS page", "user_id % 5 AS book", "concat(event_type, user_id % 3 * 7) AS edge")
+    return validation.nearby_edges(rows, around=80)
+
+
+@query("win13_sampled", """WITH a AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+b AS (SELECT event_id, k - floor(n * 0.1::DOUBLE)::BIGINT AS k, greatest(1, floor((n - floor(n * 0.1::DOUBLE)) / 40))::BIGINT AS step FROM a)
+SELECT event_id FROM b WHERE k >= 0 AND k % step = 0 AND k // step < 40""")
+def win13_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """WIN13: at most 40 evenly spaced pages behind the first tenth."""
+    return validation.evenly_sampled(fx.table(spark, d, "events"), "event_type", "event_id").select("event_id")
+
+
+@query("snk19_reordered", "SELECT n_nationkey, CASE n_nationkey WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 ELSE n_regionkey END AS sort_order FROM nation")
+def snk19_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """SNK19: a list's order becomes sort_order."""
+    return catalog.reordered(fx.table(spark, d, "nation").selectExpr("n_nationkey", "n_regionkey AS sort_order"), [7, 3, 5], "n_nationkey")
+
+
+@query("snk20_appended", "SELECT n_name AS name, n_nationkey AS sort_order FROM nation UNION ALL SELECT r_name, ((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name))::INT FROM region")
+def snk20_appended(spark: SparkSession, d: str) -> DataFrame:
+    """SNK20, AGG16: new rows go behind the last."""
+    old = fx.table(spark, d, "nation").selectExpr("n_name AS name", "n_nationkey AS sort_order")
+    return catalog.appended(old, fx.table(spark, d, "region").selectExpr("r_name AS name"))
+
+
+@query("agg9_tag_counts", "SELECT lower(role) AS tag, count(*) AS n FROM conversations GROUP BY 1")
+def agg9_tag_counts(spark: SparkSession, d: str) -> DataFrame:
+    """AGG9, AGG11: notes by tag."""
+    return fx.table(spark, d, "conversations").groupBy(tag_name(F.concat(F.lit("#"), "role")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+@query("agg22_passages", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1")
+def agg22_passages(spark: SparkSession, d: str) -> DataFrame:
+    """AGG22: verses joined in order."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    rows = fx.table(spark, d, "conversations").groupBy("conv_id").agg(parts.alias("parts"))
+    return rows.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
