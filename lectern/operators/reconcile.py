@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.names import parse_file_name, title_of_path
 from lectern.functions.text import wiki_targets
+from lectern.operators.catalog import patched
 
 
 def new_files(local: DataFrame, known: DataFrame) -> DataFrame:
@@ -79,3 +81,66 @@ def adopted_by_size(missing: DataFrame, files: DataFrame) -> DataFrame:
 def prunable(drive: Column, local: Column, primary: Column) -> Column:
     """A catalogued book goes only if it is in none of the three places."""
     return ~(drive | local | primary)
+
+
+def enriched(books: DataFrame) -> DataFrame:
+    """books(pdf_path, title, author, series, series_number, meta_fetched, ...) with what their file names say.
+
+    Only a name that has an author changes title and author; a series that the name doesn't tell stays.
+    """
+    told = parse_file_name(title_of_path(F.col("pdf_path")))
+    rows = books.withColumn("_told", F.when(F.col("meta_fetched"), None).otherwise(told))
+    found = F.col("_told.author").isNotNull()
+    new = {
+        "title": F.when(found, F.col("_told.title")).otherwise(F.col("title")),
+        "author": F.when(found, F.col("_told.author")).otherwise(F.col("author")),
+        "series": F.when(found, F.coalesce("_told.series", "series")).otherwise(F.col("series")),
+        "series_number": F.when(found, F.coalesce("_told.series_number", "series_number")).otherwise(F.col("series_number")),
+        "meta_fetched": F.lit(True),
+    }
+    return rows.withColumns(new).select(*books.columns)
+
+
+def imported(books: DataFrame, files: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """books and the files(path) that aren't there yet, by path or by the id in their sidecar.
+
+    sidecars(path, book_id, title, author, series, series_number) go before what the file's name says; a file without
+    one gets its path's hash as id. A path or id that comes twice is taken once.
+    """
+    side = sidecars.select("path", *(F.col(c).alias(f"_{c}") for c in ("book_id", "title", "author", "series", "series_number")))
+    rows = files.select("path").distinct().join(books.select(F.col("pdf_path").alias("path")), "path", "left_anti").join(side, "path", "left")
+    told = parse_file_name(title_of_path(F.col("path")))
+    rows = rows.select(
+        F.coalesce("_book_id", F.sha2("path", 256)).alias("book_id"),
+        F.col("path").alias("pdf_path"),
+        *(F.coalesce(f"_{c}", told[c]).alias(c) for c in ("title", "author", "series", "series_number")),
+    )
+    first = rows.groupBy("book_id").agg(F.min(F.struct("pdf_path", "title", "author", "series", "series_number")).alias("r")).select("book_id", "r.*")
+    return books.unionByName(first.join(books, "book_id", "left_anti"), allowMissingColumns=True)
+
+
+def backfilled(books: DataFrame) -> DataFrame:
+    """books(local_path, local_exists, adopted, pdf_path, pdf_exists, ...) with an outcome and the local path after it.
+
+    'alreadyLocal' with the local copy or an adopted file, 'connected' where the file must be copied, else 'missing'.
+    """
+    here = F.col("local_path").isNotNull() & F.col("local_exists")
+    outcome = F.when(here | F.col("adopted").isNotNull(), "alreadyLocal").when(F.col("pdf_path").isNotNull() & F.col("pdf_exists"), "connected").otherwise("missing")
+    after = F.when(here, F.col("local_path")).otherwise(F.coalesce("adopted", "local_path"))
+    return books.withColumns({"outcome": outcome, "local_path": after})
+
+
+def file_source(local: Column, primary: Column, drive: Column) -> Column:
+    """Where a book is read from: its local copy, the primary folder, the drive, or nowhere."""
+    return F.when(local, "local").when(primary, "primary").when(drive, "drive").otherwise("missing")
+
+
+def sidecar(fields: dict[str, Column]) -> Column:
+    """A book's metadata as one JSON text, in the given order; nulls are written out."""
+    return F.to_json(F.struct(F.lit(1).alias("version"), *(v.alias(k) for k, v in fields.items())), {"ignoreNullFields": "false"})
+
+
+def with_sidecar(books: DataFrame, sidecars: DataFrame, kinds: str) -> DataFrame:
+    """books with each value that their sidecar has: sidecars(book_id, json), kinds its DDL. A malformed one says nothing."""
+    side = sidecars.select("book_id", F.from_json("json", kinds).alias("_s")).select("book_id", "_s.*")
+    return patched(books, side.drop(*(c for c in side.columns if c not in books.columns)), "book_id")

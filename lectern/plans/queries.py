@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +9,8 @@ from lectern.functions.citation import book_citation
 from lectern.functions.text import html_text, safe_name, split_authors, tag_name, tokens, word_count
 from lectern.operators import catalog, ranges, reconcile, search, validation
 from lectern.plans import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
+from lectern.plans import texts  # noqa: F401  (its queries are put down as well)
+from lectern.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 PREFIXES = ("stlich", "er")
 

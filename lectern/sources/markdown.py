@@ -48,3 +48,57 @@ def excerpts(files: DataFrame, books: DataFrame) -> DataFrame:
     made = lines.groupBy("path", "state.at").agg(F.array_sort(F.collect_list(body)).alias("body"))
     text = strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n"))
     return made.select("path", "at.*", text.alias("text"))
+
+
+def sections(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """(path, position, document, ordinal, number, label, part, header, text) of confessions, files(path, text).
+
+    '# Title' sets the document, by documents(name, code); '## 4 | IV | Of Justification | Chief Articles' opens a
+    section of it. Any other heading closes the section, and one of the first level that is no document ends it.
+    """
+    lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("position", "line"))
+    part = lambda i: F.regexp_extract("line", "^(#{1,6})\\s+(?=\\S)(.*)$", i)
+    lines = lines.withColumn("level", F.length(part(1))).withColumn("header", F.when(F.col("level") > 0, part(2)))
+    names = F.broadcast(documents.select(F.lower("name").alias("_name"), "code").dropDuplicates(["_name"]))
+    lines = lines.withColumn("_name", F.when(F.col("level") == 1, F.lower(strip(F.col("header"))))).join(names, "_name", "left")
+    upto = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("document", F.last(F.when(F.col("level") == 1, F.struct("code")), ignorenulls=True).over(upto)["code"])
+    cell = lambda i: strip(F.get(F.split("header", "\\|", -1), F.lit(i)))
+    ordinal = F.when(cell(0).rlike("^\\+?[0-9]+(?:\\.0*)?\\z"), cell(0).cast("double").cast("int"))
+    opens = (F.col("level") > 1) & F.col("document").isNotNull() & (ordinal >= 1) & (F.coalesce(cell(2), F.lit("")) != "")
+    opened = F.struct(
+        F.col("position").alias("position"), F.col("document").alias("document"), ordinal.alias("ordinal"),
+        F.nullif(cell(1), F.lit("")).alias("number"), cell(2).alias("label"), F.nullif(cell(3), F.lit("")).alias("part"),
+        F.col("header").alias("header"),
+    )
+    state = F.when(F.col("level") > 0, F.struct(F.coalesce(opens, F.lit(False)).alias("open"), opened.alias("at")))
+    lines = lines.withColumn("state", F.last(state, ignorenulls=True).over(upto)).where("state.open")
+    body = F.when(F.col("header").isNull(), F.struct("position", "line"))
+    made = lines.groupBy("path", "state.at").agg(F.array_sort(F.collect_list(body)).alias("body"))
+    return made.select("path", "at.*", strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("text"))
+
+
+def indexed_sections(found: DataFrame) -> DataFrame:
+    """Sections that say something; what is only a heading goes."""
+    return found.where("text <> ''")
+
+
+def section_notes(found: DataFrame) -> DataFrame:
+    """Sections of a commentary, as ranges of the one section that each is about."""
+    return indexed_sections(found).withColumn("first", F.col("ordinal")).withColumn("last", F.col("ordinal"))
+
+
+def written(excerpts: DataFrame, books: DataFrame) -> DataFrame:
+    """(source, text): each source's excerpts(source, book, cs, vs, ve, position, text) as Markdown that excerpts() reads.
+
+    books(code, name, position) gives headings and order. An excerpt's start comes first, the wider range first among
+    equals. A source is one file, so it fits in one row.
+    """
+    place = F.concat_ws(":", F.col("cs").cast("string"), F.col("vs").cast("string"))
+    heading = F.concat(F.lit("## "), F.when(F.col("ve") != F.col("vs"), F.concat(place, F.lit("-"), F.col("ve").cast("string"))).otherwise(place))
+    entry = F.struct("cs", "vs", (-F.col("ve")).alias("wide"), "position", F.concat(heading, F.lit("\n"), strip(F.col("text"))).alias("said"))
+    by_book = excerpts.groupBy("source", "book").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    named = by_book.join(F.broadcast(books.select(F.col("code").alias("book"), "name", F.col("position").alias("_order"))), "book")
+    said = F.concat(F.lit("# "), F.col("name"), F.lit("\n\n"), F.array_join(F.transform("entries", lambda e: e["said"]), "\n\n"))
+    made = named.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_order", said.alias("said")))).alias("parts"))
+    return made.select("source", F.concat(F.array_join(F.transform("parts", lambda p: p["said"]), "\n\n"), F.lit("\n")).alias("text"))
