@@ -68,3 +68,21 @@ def passage_citation(book: Column, chapter: Column, first: Column, last: Column,
 
 def has_placeholders(citation: Column) -> Column:
     return citation.rlike("\\[[^\\]]+\\]")
+
+
+def commentary_citation(author: Column, name: Column, place: Column) -> Column:
+    """'Author, *Commentary*, JHN 3:16'; what is blank is left out."""
+    blank = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
+    return F.concat_ws(", ", blank(author), F.concat(F.lit("*"), name, F.lit("*")), blank(place))
+
+
+def section_citation(abbreviation: Column, number: Column, label: Column, paragraph: Column, source: Column) -> Column:
+    """"AC IV, 2 (Reader's Edition)", or with the label where a section has no number."""
+    numbered = F.coalesce(number, F.lit("")) != ""
+    head = F.when(numbered, F.concat_ws(" ", abbreviation, number)).otherwise(F.concat(abbreviation, F.lit(", "), F.coalesce(label, F.lit(""))))
+    return F.concat(F.concat_ws(", ", head, paragraph.cast("string")), F.lit(" ("), source, F.lit(")"))
+
+
+def printed_page(page: Column, offset: Column) -> Column:
+    """The number that is printed on a page of the file."""
+    return page - F.coalesce(offset, F.lit(0))

@@ -145,3 +145,13 @@ def without_block(note: Column, quote_id: Column) -> Column:
     tail = F.regexp_replace(F.substring(note, behind, F.length(note)), "^\\n", "")
     left = F.when(behind > 0, F.concat(head, F.lit("\n"), tail)).otherwise(note)
     return F.when(F.contains(left, F.lit("<!-- quote:")), left)
+
+
+def snippet_parts(snippet: Column) -> Column:
+    """array<struct(text, match)> of a snippet with its matches between ⟦ and ⟧."""
+    return F.transform(F.split(snippet, "[⟦⟧]", -1), lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("match")))
+
+
+def plain_bibliography(entries: Column) -> Column:
+    """Entries (an array) as plain text, without the stars of italics, parted by blank lines."""
+    return F.array_join(F.transform(entries, lambda e: F.replace(e, F.lit("*"), F.lit(""))), "\n\n")

@@ -119,3 +119,10 @@ def chapter_note(quotes: DataFrame, block: Column, keys: list[str]) -> DataFrame
     text = F.concat(F.lit("## Chapter "), F.col("chapter").cast("string"), F.lit("\n\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"))
     parts = F.array_sort(F.collect_list(F.struct("chapter", text.alias("text"))))
     return chapters.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("note"))
+
+
+def marked_verses(quotes: DataFrame) -> DataFrame:
+    """(book, chapter, verse, color): the color of each verse that quotes(ref, color, created) mark; the latest wins."""
+    rows = quotes.select(parse_reference(F.col("ref")).alias("p"), "color", "created").where("p.verse <= p.verse_end")
+    rows = rows.select("p.book", "p.chapter", F.explode(F.sequence("p.verse", "p.verse_end")).alias("verse"), "color", "created")
+    return rows.groupBy("book", "chapter", "verse").agg(F.max(F.struct("created", "color"))["color"].alias("color"))

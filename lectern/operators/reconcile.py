@@ -144,3 +144,29 @@ def with_sidecar(books: DataFrame, sidecars: DataFrame, kinds: str) -> DataFrame
     """books with each value that their sidecar has: sidecars(book_id, json), kinds its DDL. A malformed one says nothing."""
     side = sidecars.select("book_id", F.from_json("json", kinds).alias("_s")).select("book_id", "_s.*")
     return patched(books, side.drop(*(c for c in side.columns if c not in books.columns)), "book_id")
+
+
+def resolved_links(links: DataFrame, books: DataFrame, notes: DataFrame) -> DataFrame:
+    """links(note, target) with kind and id: of books(id, title) first, then notes(id, title), ignoring case; null if none.
+
+    Of equal titles the smallest id counts.
+    """
+    named = books.select(F.lit("book").alias("kind"), F.col("id").cast("string").alias("id"), "title")
+    named = named.unionByName(notes.select(F.lit("note").alias("kind"), F.col("id").cast("string").alias("id"), "title"))
+    first = named.groupBy(F.lower("title").alias("_key")).agg(F.min(F.struct("kind", "id")).alias("_to"))  # book < note
+    return links.join(first, F.lower("target") == F.col("_key"), "left").select(*links.columns, "_to.kind", "_to.id")
+
+
+def renamed_notes(quotes: DataFrame, titles: DataFrame) -> DataFrame:
+    """quotes(book_id, note_path, ...) with the paths of notes whose book was renamed: titles(book_id, old, new)."""
+    path = lambda c: F.concat(F.lit("notes/"), c, F.lit("/"), c, F.lit(".md"))
+    t = titles.where("old <> new").select("book_id", path(F.col("old")).alias("_old"), path(F.col("new")).alias("_new"))
+    out = quotes.join(t, "book_id", "left")
+    return out.withColumn("note_path", F.when(F.col("note_path") == F.col("_old"), F.col("_new")).otherwise(F.col("note_path"))).select(*quotes.columns)
+
+
+def valid_tabs(tabs: DataFrame, books: DataFrame, notes: DataFrame) -> DataFrame:
+    """tabs(kind, id, ...) without those of books(id) and notes(id) that aren't there; other kinds stay."""
+    known = books.select(F.lit("book").alias("kind"), "id").unionByName(notes.select(F.lit("note").alias("kind"), "id"))
+    free = ~F.col("kind").isin("book", "note")
+    return tabs.where(free).unionByName(tabs.where(~free).join(known, ["kind", "id"], "left_semi").select(*tabs.columns))

@@ -100,3 +100,30 @@ def snippet(content: Column, words: list[str], size: int = SNIPPET) -> Column:
         F.array_join(F.slice(marked, at + 1, F.lit(size)), " "),
         F.when(at + size < F.size(parts), "…").otherwise(""),
     )
+
+
+def passage_rows(verses: DataFrame, edition: str, open_edition: str = "BSB") -> DataFrame:
+    """Rows to index of verses(book, chapter, verse, text, title): none of an edition that may not be kept."""
+    rows = verses.where(F.lit(edition == open_edition) & (F.trim("text") != ""))
+    ref = F.concat_ws(":", "book", F.col("chapter").cast("string"))
+    return rows.select(F.concat_ws(":", ref, F.col("verse").cast("string")).alias("key"), F.lit("scripture").alias("kind"), F.lit(None).cast("string").alias("book_id"), F.col("text").alias("content"), ref.alias("ref"))
+
+
+def section_rows(sections: DataFrame) -> DataFrame:
+    """Rows to index of sections(source, document, ordinal, text): blank ones aren't."""
+    ref = F.concat_ws(":", "document", F.col("ordinal").cast("string"))
+    rows = sections.where(F.trim("text") != "")
+    return rows.select(F.concat_ws("/", "source", ref).alias("key"), F.lit("confession").alias("kind"), F.col("source").alias("book_id"), F.col("text").alias("content"), ref.alias("ref"))
+
+
+def without_book(docs: DataFrame, book_id: str) -> DataFrame:
+    """Indexed rows without the pages and quotes of a book; whatever else bears its id stays."""
+    gone = F.col("kind").isin("page", "quote") & (F.col("book_id") == book_id)
+    return docs.where(~F.coalesce(gone, F.lit(False)))
+
+
+def replaced_source(docs: DataFrame, new: DataFrame, kind: str, column: str) -> DataFrame:
+    """Indexed rows with those of a kind replaced by new ones, for each value of column that new has."""
+    old = docs.join(new.select(column).distinct().withColumn("_again", F.lit(True)), column, "left")
+    kept = old.where((F.col("kind") != kind) | F.col("_again").isNull()).drop("_again")
+    return kept.unionByName(new)

@@ -87,3 +87,25 @@ def evenly_sampled(rows: DataFrame, partition: str, order: str, most: int = 40)
     n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
     rows = rows.withColumn("_at", at - F.floor(n * 0.1)).withColumn("_step", F.greatest(F.lit(1), F.floor((n - F.floor(n * 0.1)) / most)))
     return rows.where((F.col("_at") >= 0) & (F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < most)).drop("_at", "_step")
+
+
+def reviewed(excerpts: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(excerpts, corrections) after reviews(excerpt_id, action, book, cs, vs, ce, ve, position), of which the last counts.
+
+    'confirm' takes the flag off, 'reassign' sets the place and takes it off, 'discard' puts it on. A correction is kept
+    under the hash of the excerpt's header and text, so that it holds when they are extracted again.
+    """
+    last = reviews.groupBy("excerpt_id").agg(F.max_by(F.struct("action", "book", "cs", "vs", "ce", "ve", "position"), "position").alias("_r"))
+    rows = excerpts.join(last, "excerpt_id", "left")
+    action = F.col("_r.action")
+    place = {c: F.when(action == "reassign", F.col(f"_r.{c}")).otherwise(F.col(c)) for c in ("book", "cs", "vs", "ce", "ve")}
+    flag = F.when(action == "discard", True).when(action.isin("confirm", "reassign"), False).otherwise(F.col("flagged"))
+    found = rows.where(action.isNotNull()).select(content_hash(F.coalesce("header", F.lit("")), F.col("text")).alias("hash"), "_r.*")
+    return rows.withColumns({**place, "flagged": flag}).select(*excerpts.columns), found
+
+
+def index_status(sources: DataFrame, rows: DataFrame) -> DataFrame:
+    """sources(source, ...) with status: 'indexed' where there are rows(source) of them, else 'unindexed'."""
+    there = rows.select("source").distinct().withColumn("_there", F.lit(True))
+    out = sources.drop("status").join(there, "source", "left")
+    return out.withColumn("status", F.when(F.col("_there"), "indexed").otherwise("unindexed")).drop("_there")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import names, notes, references
+from lectern.functions import citation, headers, names, notes, references
 from lectern.functions.references import Book
-from lectern.operators import normalise, quotes, reconcile
+from lectern.operators import normalise, quotes, reconcile, search, validation
 from lectern.plans import fixtures as fx
 from lectern.plans.registry import query
 from lectern.sources import epub, layout, markdown, passages
@@ -338,3 +338,117 @@ def snk16_written(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.excerpts(spark, d).selectExpr("source", "book", "cs", "vs", "ve", "excerpt_id AS position", "concat('t', excerpt_id) AS text")
     books = spark.range(5).selectExpr("cast(id AS int) AS code", "concat('Book ', id) AS name", "cast(id AS int) AS position")
     return markdown.written(rows, books)
+
+
+@query("ref8_headers", """SELECT c_custkey, shape, CASE WHEN shape = 'book-chapter-verse' THEN 'MAC' ELSE 'FUR' END AS book, CASE shape WHEN 'book-chapter-verse' THEN 1 + c_custkey % 9 WHEN 'chapter-verse' THEN 1 + c_custkey % 9 WHEN 'chapter-verse-roman' THEN 14 ELSE 7 END::INT AS cs,
+ CASE WHEN shape = 'bare-range' THEN 1 ELSE c_custkey % 5 END::INT AS vs, CASE shape WHEN 'bare-range' THEN 1 WHEN 'paren-number' THEN 8 ELSE c_custkey % 5 + 2 END::INT AS ve FROM customer,
+ (VALUES ('book-chapter-verse'), ('chapter-verse'), ('chapter-verse-roman'), ('bracket-number'), ('paren-number'), ('word-label'), ('phrase-label'), ('bare-range')) v(shape)""")
+def ref8_headers(spark: SparkSession, d: str) -> DataFrame:
+    """REF8, STR21, STR22: headings in each of eight shapes, with the book and chapter that are current."""
+    v, w = "c_custkey % 5", "c_custkey % 5 + 2"
+    lines = {
+        "book-chapter-verse": f"concat('Mach. ', 1 + c_custkey % 9, ':', {v}, '-', {w}, ' Title')", "chapter-verse": f"concat('(', 1 + c_custkey % 9, ' : ', {v}, '–', {w}, ') x')",
+        "chapter-verse-roman": f"concat('Cap. XIV. v. ', {v}, '-', {w})", "bracket-number": f"concat('[', {v}, '-', {w}, '] x')", "paren-number": f"concat({v}, ' - 8) x')",
+        "word-label": f"concat('Vv. ', {v}, '—', {w}, '.')", "phrase-label": f"concat('The end: verses ', {v}, '-', {w})", "bare-range": "'l-I. x'",
+    }
+    rows = fx.table(spark, d, "customer")
+    made = [
+        rows.select("c_custkey", F.lit(shape).alias("shape"), headers.parse_header(F.expr(line), shape, F.lit("FUR"), F.lit(7), CANON).alias("h"))
+        for shape, line in lines.items()
+    ]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.where("h is not null").select("c_custkey", "shape", "h.book", "h.cs", "h.vs", "h.ve")
+
+
+@query("ing5_epub_excerpts", """SELECT n_name AS path, 'A' AS book, 1 AS chapter, 2 AS verse, 3 AS verse_end, 'of ' || n_name || ' 7:1 cited more and next page' AS text FROM nation UNION ALL SELECT n_name, 'A', 2, 1, 1, 'two' FROM nation
+UNION ALL SELECT n_name, 'S', 1, 4, 4, 'said' FROM nation""")
+def ing5_epub_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """ING5: excerpts of an EPUB's pages; citations stay in the text, and books of one chapter have bare verses."""
+    pages = fx.table(spark, d, "nation").selectExpr("n_name AS path", """explode(array(
+        struct(0 AS position, 'front' AS name, '<b>1:1</b> front' AS html),
+        struct(1 AS position, 'a1' AS name, concat('<body>intro <b>1:2–3</b> of <i>', n_name, '</i> <h3>7.1</h3> cited<br/>more</body>') AS html),
+        struct(2 AS position, 'a2' AS name, 'and next page <strong> 2:1 </strong> two PART 3 x' AS html),
+        struct(3 AS position, 's' AS name, '<p><b>4</b> passage <p class="x"><span>4</span> said <b>3:3</b>' AS html))) AS p""").select("path", "p.*")
+    pages = pages.withColumn("html", F.when(F.col("name") == "s", F.replace("html", F.lit(" <b>3:3</b>"), F.lit(""))).otherwise(F.col("html")))
+    starts = fx.table(spark, d, "nation").selectExpr("n_name AS path", "explode(array(struct('a1' AS name, 'A' AS book), struct('s' AS name, 'S' AS book))) AS s").select("path", "s.*")
+    return epub.excerpts(pages, starts, ["S"]).drop("at")
+
+
+@query("snk21_reviewed", f"""WITH {fx.EXCERPTS} SELECT excerpt_id, CASE WHEN excerpt_id % 4 = 1 THEN 99 ELSE book END AS book, CASE excerpt_id % 4 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true ELSE flagged END AS flagged FROM excerpts""")
+def snk21_reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """SNK21, SYS7: reviews confirm, reassign or discard excerpts; the last of each counts."""
+    rows = fx.excerpts(spark, d).selectExpr("*", "'h' AS header", "cast(excerpt_id AS string) AS text")
+    told = "CASE excerpt_id % 4 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reassign' WHEN 2 THEN 'discard' END"
+    place = "99 AS book", "1 AS cs", "1 AS vs", "1 AS ce", "1 AS ve"
+    reviews = rows.where("excerpt_id % 4 < 3").selectExpr("excerpt_id", f"{told} AS action", *place, "2 AS position").union(rows.where("excerpt_id % 8 < 3").selectExpr("excerpt_id", "'discard' AS action", *place, "1"))
+    return validation.reviewed(rows, reviews)[0].select("excerpt_id", "book", "flagged")
+
+
+@query("snk22_renamed", "SELECT l_orderkey, l_linenumber, 'notes/' || CASE WHEN l_partkey % 3 = 0 AND l_linenumber <> 2 THEN 'new' ELSE 'old' END || '/' || CASE WHEN l_linenumber = 2 THEN 'x' WHEN l_partkey % 3 = 0 THEN 'new' ELSE 'old' END || '.md' AS note_path FROM lineitem")
+def snk22_renamed(spark: SparkSession, d: str) -> DataFrame:
+    """SNK22: quotes follow their book's note to its new path."""
+    q = fx.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey AS book_id", "CASE WHEN l_linenumber = 2 THEN 'notes/old/x.md' ELSE 'notes/old/old.md' END AS note_path")
+    titles = fx.table(spark, d, "part").selectExpr("p_partkey AS book_id", "'old' AS old", "CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'old' END AS new")
+    return reconcile.renamed_notes(q, titles).select("l_orderkey", "l_linenumber", "note_path")
+
+
+@query("flt9_resolved_links", f"WITH {fx.NOTES} SELECT note, target, CASE WHEN n_regionkey < 3 THEN 'book' WHEN n_name IS NOT NULL THEN 'note' END AS kind, n_nationkey::VARCHAR AS id FROM links LEFT JOIN nation ON lower(target) = lower(n_name)")
+def flt9_resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    """FLT9: links lead to a book of that title, else to a note."""
+    n = fx.table(spark, d, "nation")
+    title = lambda df: df.selectExpr("n_nationkey AS id", "n_name AS title")
+    links = reconcile.note_links(fx.notes(spark, d))
+    return reconcile.resolved_links(links, title(n.where("n_regionkey < 3")), title(n))
+
+
+@query("flt13_valid_tabs", "SELECT o_orderkey, kind FROM (SELECT o_orderkey, o_custkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'book' WHEN 1 THEN 'note' ELSE 'scripture' END AS kind FROM orders) WHERE kind = 'scripture' OR (kind = 'book' AND id % 2 = 0) OR (kind = 'note' AND id % 5 = 0)")
+def flt13_valid_tabs(spark: SparkSession, d: str) -> DataFrame:
+    """FLT13: tabs of books and notes that are gone are left out."""
+    tabs = fx.table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey AS id", "CASE o_orderkey % 3 WHEN 0 THEN 'book' WHEN 1 THEN 'note' ELSE 'scripture' END AS kind")
+    there = lambda k: fx.table(spark, d, "customer").where(F.col("c_custkey") % k == 0).selectExpr("c_custkey AS id")
+    return reconcile.valid_tabs(tabs, there(2), there(5)).select("o_orderkey", "kind")
+
+
+@query("arr1_marked_verses", "WITH q AS (SELECT o_custkey AS c, unnest(range(o_orderkey % 20 + 1, o_orderkey % 20 + 1 + o_custkey % 4 + 1)) AS v, o_orderpriority AS color, o_orderkey AS k FROM orders) SELECT 'JHN' AS book, c::INT AS chapter, v::INT AS verse, arg_max(color, k) AS color FROM q GROUP BY c, v")
+def arr1_marked_verses(spark: SparkSession, d: str) -> DataFrame:
+    """ARR1: the color of each marked verse, the latest mark on top."""
+    q = fx.table(spark, d, "orders").selectExpr("concat('JHN ', o_custkey, ':', o_orderkey % 20 + 1, '-', o_orderkey % 20 + 1 + o_custkey % 4) AS ref", "o_orderpriority AS color", "o_orderkey AS created")
+    return quotes.marked_verses(q)
+
+
+@query("cit2_other_citations", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ', ' ELSE '' END || '*C*' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ', JHN 3:' || c_custkey END AS commentary,
+ CASE WHEN c_custkey % 2 = 0 THEN 'AC IV' ELSE 'AC, Preface' END || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ', ' || c_custkey END || ' (Edition)' AS section FROM customer""")
+def cit2_other_citations(spark: SparkSession, d: str) -> DataFrame:
+    """CIT2: citations of commentaries and confessions."""
+    even, third = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3 != 0
+    author = F.when(even, F.concat(F.col("c_name"), F.lit(" "))).otherwise(" ")
+    place = F.when(third, F.concat(F.lit("JHN 3:"), F.col("c_custkey").cast("string")))
+    section = citation.section_citation(F.lit("AC"), F.when(even, "IV"), F.lit("Preface"), F.when(third, F.col("c_custkey")), F.lit("Edition"))
+    return fx.table(spark, d, "customer").select("c_custkey", citation.commentary_citation(author, F.lit("C"), place).alias("commentary"), section.alias("section"))
+
+
+@query("snk3_without_book", f"WITH {fx.SEARCH_DOCS} SELECT key, kind FROM s WHERE NOT (kind IN ('page', 'quote') AND book_id = 'src1') AND kind <> 'note' UNION ALL SELECT 'n/AC:' || n_nationkey, 'confession' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'JHN:3:' || n_nationkey, 'scripture' FROM nation")
+def snk3_without_book(spark: SparkSession, d: str) -> DataFrame:
+    """SNK3-SNK6: a book's rows leave the index, a source's are replaced, and passages of editions that may be kept come in."""
+    docs = search.without_book(fx.search_docs(spark, d).where("kind <> 'note'"), "src1")
+    n = fx.table(spark, d, "nation")
+    sections = search.section_rows(n.selectExpr("'n' AS source", "'AC' AS document", "n_nationkey AS ordinal", "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE ' ' END AS text"))
+    docs = search.replaced_source(docs.unionByName(sections.withColumn("key", F.lit("old"))), sections, "confession", "book_id")
+    verses = n.selectExpr("'JHN' AS book", "3 AS chapter", "n_nationkey AS verse", "n_name AS text")
+    return docs.unionByName(search.passage_rows(verses, "BSB")).unionByName(search.passage_rows(verses, "ESV")).select("key", "kind")
+
+
+@query("srt1_title_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lower(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END), p_partkey) AS n FROM part")
+def srt1_title_order(spark: SparkSession, d: str) -> DataFrame:
+    """SRT1, SRT3: titles in order, ignoring case."""
+    rows = fx.table(spark, d, "part").selectExpr("p_partkey", "p_brand", "CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS title")
+    return rows.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.collate("title", "UTF8_LCASE"), "p_partkey")).alias("n"))
+
+
+@query("sys8_index_status", "SELECT s_suppkey AS source, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40) THEN 'indexed' ELSE 'unindexed' END AS status FROM supplier")
+def sys8_index_status(spark: SparkSession, d: str) -> DataFrame:
+    """SYS8: sources are indexed if rows of them are there."""
+    rows = fx.table(spark, d, "lineitem").where("l_linenumber = 7 AND l_quantity > 40").selectExpr("l_suppkey AS source")
+    return validation.index_status(fx.table(spark, d, "supplier").selectExpr("s_suppkey AS source", "'?' AS status"), rows)

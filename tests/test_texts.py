@@ -175,3 +175,39 @@ def test_passages(spark):
     assert [(r["verse"], r["text"]) for r in passages.marked_verses(frame("[1] a\n b [2][3] c")).collect()] == [(1, "a b"), (3, "c")]
     assert passages.marked_verses(frame("none")).count() == passages.json_verses(frame("{")).count() == passages.json_verses(frame(None)).count() == 0
     assert one(spark, passages.recordings(F.from_json("s", "map<string,string>")), None) == []
+
+
+@pytest.mark.parametrize("line, shape, want", [
+    ("Jn 3:16-18 x", "book-chapter-verse", ("JHN", 3, 16, 3, 18, False)), ("3:25–4:2", "chapter-verse", ("PHM", 3, 25, 4, 2, False)),
+    ("Chap. IV. vers. 2", "chapter-verse-roman", ("PHM", 4, 2, 4, 2, False)), ("Chap. IV.", "chapter-verse-roman", None), ("[l-3] x", "bracket-number", ("PHM", 9, 1, 9, 3, True)),
+    ("4-ll) x", "paren-number", ("PHM", 9, 4, 9, 4, False)), ("Verse 5.", "word-label", ("PHM", 9, 5, 9, 5, False)), ("A: V. 5", "phrase-label", ("PHM", 9, 5, 9, 5, False)),
+    ("x 5.", "bare-range", None), ("", "bare-range", None), (None, "chapter-verse", None),
+])
+def test_headers(spark, line, shape, want):
+    from lectern.functions import headers
+
+    got = one(spark, headers.parse_header(F.col("s"), shape, F.lit("PHM"), F.lit(9), CANON), line)
+    assert (got and (got["book"], got["cs"], got["vs"], got["ce"], got["ve"], got["glitched"])) == want
+    without = one(spark, headers.parse_header(F.col("s"), shape, F.lit(None).cast("string"), F.lit(None).cast("int"), CANON), line)
+    assert (without is not None) == (shape == "book-chapter-verse")
+
+
+def test_chapter_headers_and_snippets(spark):
+    from lectern.functions import headers
+
+    assert one(spark, headers.chapter_header(F.col("s")), " Cap. iv. ") == 4 and one(spark, headers.chapter_header(F.col("s")), "Chapter IV verse") is None
+    assert [tuple(p) for p in one(spark, notes.snippet_parts(F.col("s")), "a ⟦b⟧ c")] == [("a ", False), ("b", True), (" c", False)]
+    assert one(spark, notes.plain_bibliography(F.array("s", F.lit("B *T*"))), "A *T*") == "A T\n\nB T"
+
+
+def test_reviews_are_kept_as_corrections(spark):
+    from lectern.operators import validation
+
+    kinds = "excerpt_id int, book string, cs int, vs int, ce int, ve int, flagged boolean, header string, text string"
+    rows = spark.createDataFrame([(1, "A", 1, 1, 1, 1, True, None, "t"), (2, "A", 2, 1, 2, 1, True, "h", "u"), (3, "A", 3, 1, 3, 1, True, "h", "v")], kinds)
+    reviews = spark.createDataFrame([(1, "confirm", None, None, None, None, None, 1), (2, "discard", "B", 1, 1, 1, 1, 1), (2, "reassign", "B", 9, 8, 9, 8, 2)], "excerpt_id int, action string, book string, cs int, vs int, ce int, ve int, position int")
+    after, corrections = validation.reviewed(rows, reviews)
+    assert [(r["book"], r["cs"], r["flagged"]) for r in after.orderBy("excerpt_id").collect()] == [("A", 1, False), ("B", 9, False), ("A", 3, True)]
+    again = rows.withColumn("hash", validation.content_hash(F.coalesce("header", F.lit("")), F.col("text")))
+    assert sorted(r["action"] for r in again.join(corrections.select("hash", "action"), "hash").collect()) == ["confirm", "reassign"]
+    assert validation.reviewed(rows.limit(0), reviews)[0].count() == 0
