@@ -170,3 +170,23 @@ def valid_tabs(tabs: DataFrame, books: DataFrame, notes: DataFrame) -> DataFrame
     known = books.select(F.lit("book").alias("kind"), "id").unionByName(notes.select(F.lit("note").alias("kind"), "id"))
     free = ~F.col("kind").isin("book", "note")
     return tabs.where(free).unionByName(tabs.where(~free).join(known, ["kind", "id"], "left_semi").select(*tabs.columns))
+
+
+def synchronised(books: DataFrame, vault: DataFrame, local: DataFrame, primary: DataFrame) -> DataFrame:
+    """books(book_id, pdf_path, name, size, ...) as three listings(path, name, size) leave it.
+
+    Files of the vault that aren't catalogued come in, then local ones that no file of the vault is like by name or size;
+    a book goes only if none of the three has it, and none goes after a scan that looks incomplete. New rows have their
+    path's hash as id. Every step is a join on path, name or size.
+    """
+    fresh = vault.join(books.select(F.col("pdf_path").alias("path")), "path", "left_anti")
+    more = new_files(local, vault).join(books.select("name"), "name", "left_anti")
+    added = fresh.unionByName(more).dropDuplicates(["path"])
+    added = added.select(F.sha2("path", 256).alias("book_id"), F.col("path").alias("pdf_path"), "name", "size")
+    mark = lambda df, on, as_: df.select(on).distinct().withColumn(as_, F.lit(True))
+    rows = books.join(mark(vault.withColumnRenamed("path", "pdf_path"), "pdf_path", "_vault"), "pdf_path", "left")
+    rows = rows.join(mark(local, "name", "_local"), "name", "left").join(mark(primary, "name", "_primary"), "name", "left")
+    counted = rows.agg(F.count("_vault").alias("_found"), F.count("*").alias("_known"))  # one row
+    there = F.coalesce(F.col("_vault"), F.col("_local"), F.col("_primary"), F.lit(False))
+    kept = rows.crossJoin(F.broadcast(counted)).where(there | incomplete_scan(F.col("_found"), F.col("_known")))
+    return kept.select(*books.columns).unionByName(added, allowMissingColumns=True)

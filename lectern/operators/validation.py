@@ -109,3 +109,8 @@ def index_status(sources: DataFrame, rows: DataFrame) -> DataFrame:
     there = rows.select("source").distinct().withColumn("_there", F.lit(True))
     out = sources.drop("status").join(there, "source", "left")
     return out.withColumn("status", F.when(F.col("_there"), "indexed").otherwise("unindexed")).drop("_there")
+
+
+def numbered(rows: DataFrame, partition: str, order: str) -> DataFrame:
+    """Add ordinal: a section's place in its document, from 1."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(partition).orderBy(order)))

@@ -452,3 +452,82 @@ def sys8_index_status(spark: SparkSession, d: str) -> DataFrame:
     """SYS8: sources are indexed if rows of them are there."""
     rows = fx.table(spark, d, "lineitem").where("l_linenumber = 7 AND l_quantity > 40").selectExpr("l_suppkey AS source")
     return validation.index_status(fx.table(spark, d, "supplier").selectExpr("s_suppkey AS source", "'?' AS status"), rows)
+
+
+@query("syn1_synchronised", """WITH b AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS book_id FROM part WHERE p_partkey % 10 <> 0)
+SELECT book_id FROM b WHERE k % 10 < 9 OR k % 3 = 0 UNION ALL SELECT sha256('v' || p_partkey) FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT sha256('l' || n_nationkey) FROM nation WHERE n_nationkey % 2 = 0""")
+def syn1_synchronised(spark: SparkSession, d: str) -> DataFrame:
+    """SYN1, SYN2, SYN3: what the vault and the local folder have comes in, and what nothing has any more goes."""
+    part, n = fx.table(spark, d, "part"), fx.table(spark, d, "nation")
+    books = part.where("p_partkey % 10 <> 0").selectExpr("cast(p_partkey AS string) AS book_id", "concat('v', p_partkey) AS pdf_path", "concat('n', p_partkey) AS name", "p_partkey AS size")
+    vault = part.where("p_partkey % 10 < 9").selectExpr("concat('v', p_partkey) AS path", "concat('n', p_partkey) AS name", "p_partkey AS size")
+    local = n.selectExpr("concat('l', n_nationkey) AS path", "concat('local', n_nationkey) AS name", "CASE WHEN n_nationkey % 2 = 0 THEN -n_nationkey - 1 ELSE 1L END AS size")
+    primary = part.where("p_partkey % 3 = 0").selectExpr("concat('x', p_partkey) AS path", "concat('n', p_partkey) AS name", "p_partkey AS size")
+    return reconcile.synchronised(books, vault, local, primary).select("book_id")
+
+
+@query("syn8_book_views", """SELECT p_partkey, coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag)), ','), '') AS shelves, coalesce(array_to_string(list_sort(list(DISTINCT l_linestatus)), ','), '') AS tags FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber > 5 GROUP BY 1""")
+def syn8_book_views(spark: SparkSession, d: str) -> DataFrame:
+    """SYN8, JN16: each book with its shelves and tags, also none; one pass over each relation."""
+    part = fx.table(spark, d, "part").select("p_partkey")
+    rows = fx.table(spark, d, "lineitem").where("l_linenumber > 5").withColumnRenamed("l_partkey", "p_partkey")
+    held = rows.groupBy("p_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("shelves"), F.array_sort(F.collect_set("l_linestatus")).alias("tags"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
+    return part.join(held, "p_partkey", "left").select("p_partkey", listed("shelves"), listed("tags"))
+
+
+@query("flt_membership", """SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7) AND contains(lower(p_name), '1')""")
+def flt_membership(spark: SparkSession, d: str) -> DataFrame:
+    """FLT2, FLT3, FLT5: books on a shelf, not on another, whose name has a text."""
+    rows = fx.table(spark, d, "lineitem").selectExpr("l_partkey AS p_partkey", "l_returnflag", "l_linenumber")
+    part = fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("1")))
+    return part.join(rows.where("l_returnflag = 'R'"), "p_partkey", "left_semi").join(rows.where("l_linenumber = 7"), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("flt12_completions", "SELECT p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY lower(p_name), p_name, p_partkey LIMIT 8")
+def flt12_completions(spark: SparkSession, d: str) -> DataFrame:
+    """FLT12, SRT9: the first eight titles that hold what was typed."""
+    return fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("1"))).orderBy(F.lower("p_name"), "p_name", "p_partkey").limit(8).select("p_name")
+
+
+@query("flt11_verses", f"WITH {fx.POINTS} SELECT point_id FROM points WHERE book = 3 AND chapter BETWEEN 1 AND 30 AND verse BETWEEN 5 AND 20")
+def flt11_verses(spark: SparkSession, d: str) -> DataFrame:
+    """FLT11: verses within a reference."""
+    return fx.points(spark, d).where((F.col("book") == 3) & F.col("chapter").between(1, 30) & F.col("verse").between(5, 20)).select("point_id")
+
+
+@query("set4_items", "SELECT n_nationkey, 'a,b' || CASE WHEN n_nationkey % 2 = 0 THEN ',c' ELSE '' END AS added, CASE WHEN n_nationkey % 2 = 0 THEN 'a,b' ELSE 'b' END AS removed FROM nation")
+def set4_items(spark: SparkSession, d: str) -> DataFrame:
+    """SET4: an item is added once, and taken out by equality."""
+    held = F.array(F.lit("a"), F.lit("b"))
+    item = F.when(F.col("n_nationkey") % 2 == 0, "c").otherwise("a")
+    return fx.table(spark, d, "nation").select("n_nationkey", F.array_join(F.array_union(held, F.array(item)), ",").alias("added"), F.array_join(F.array_except(held, F.array(item)), ",").alias("removed"))
+
+
+@query("win7_ordinals", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS ordinal FROM events")
+def win7_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """WIN7: a section's place in its document."""
+    return validation.numbered(fx.table(spark, d, "events"), "user_id", "event_id").select("event_id", "ordinal")
+
+
+@query("str29_blockquotes", "SELECT item_id, '> ' || regexp_replace(text, '(\\r?\\n)+', chr(10) || '> ', 'g') || chr(10) || '>' || chr(10) || '> — B' || item_id AS quoted FROM benchmark")
+def str29_blockquotes(spark: SparkSession, d: str) -> DataFrame:
+    """STR29: quotes as Markdown."""
+    return fx.table(spark, d, "benchmark").select("item_id", notes.blockquote(F.col("text"), F.concat(F.lit("B"), "item_id")).alias("quoted"))
+
+
+@query("sys6_registered", "SELECT n_name AS path, n_nationkey AS sort_order FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_name, (19 + row_number() OVER (ORDER BY n_name))::INT FROM nation WHERE n_nationkey >= 20")
+def sys6_registered(spark: SparkSession, d: str) -> DataFrame:
+    """SYS6, SNK20: sources are registered once by path, behind those that are there."""
+    from lectern.operators import catalog
+
+    n = fx.table(spark, d, "nation").selectExpr("n_name AS name", "n_nationkey AS sort_order")
+    old = n.where("sort_order < 20")
+    return catalog.appended(old, n.select("name").join(old, "name", "left_anti")).withColumnRenamed("name", "path")
+
+
+@query("sys9_provider_ids", "SELECT n_nationkey, coalesce(r_name, n_name) AS provider FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
+def sys9_provider_ids(spark: SparkSession, d: str) -> DataFrame:
+    """SYS9: a provider's id of a book by canonical order, else the book's code."""
+    ids = fx.table(spark, d, "region").selectExpr("r_regionkey AS n_nationkey", "r_name")
+    return fx.table(spark, d, "nation").join(ids, "n_nationkey", "left").select("n_nationkey", F.coalesce("r_name", "n_name").alias("provider"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import notes
 from lectern.functions.text import strip
 
 
@@ -102,3 +103,28 @@ def written(excerpts: DataFrame, books: DataFrame) -> DataFrame:
     said = F.concat(F.lit("# "), F.col("name"), F.lit("\n\n"), F.array_join(F.transform("entries", lambda e: e["said"]), "\n\n"))
     made = named.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_order", said.alias("said")))).alias("parts"))
     return made.select("source", F.concat(F.array_join(F.transform("parts", lambda p: p["said"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+def standalone_notes(files: DataFrame, folder: str) -> DataFrame:
+    """(path, title, type, tags) of the notes right in a folder, not in those below it, files(path, text)."""
+    here = F.regexp_extract("path", "^(.*)/[^/]*\\z", 1) == folder.rstrip("/")
+    name = F.regexp_extract("path", "([^/]*?)(?:\\.md)?\\z", 1)
+    text = F.col("text")
+    return files.where(here).select("path", notes.title(text, name).alias("title"), notes.note_type(text).alias("type"), notes.tags(text).alias("tags"))
+
+
+def highlights(sidecars: DataFrame, kinds: str) -> DataFrame:
+    """(key, highlight) of sidecars(key, json), each a JSON list of kinds (DDL of one); a malformed one has none."""
+    return sidecars.select("key", F.explode(F.from_json("json", f"array<{kinds}>")).alias("highlight"))
+
+
+def list_pdfs(spark, path: str, excluded: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime) of every PDF under a folder but those in dot folders and below excluded ones (paths below it)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
+    below = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    root = path.rstrip("/")
+    rows = files.select(below.alias("path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    rows = rows.where(F.lower("path").endswith(".pdf") & ~F.contains(F.substring("path", len(root) + 1, 1 << 30), F.lit("/.")))
+    for name in excluded or []:
+        rows = rows.where(~F.startswith(F.col("path"), F.lit(f"{root}/{name.strip('/')}/")))
+    return rows

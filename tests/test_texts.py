@@ -211,3 +211,16 @@ def test_reviews_are_kept_as_corrections(spark):
     again = rows.withColumn("hash", validation.content_hash(F.coalesce("header", F.lit("")), F.col("text")))
     assert sorted(r["action"] for r in again.join(corrections.select("hash", "action"), "hash").collect()) == ["confirm", "reassign"]
     assert validation.reviewed(rows.limit(0), reviews)[0].count() == 0
+
+
+def test_note_and_file_listings(spark, tmp_path):
+    files = spark.createDataFrame([("v/notes/b.md", "# Title\nx"), ("v/notes/a.md", "---\ntags: [t]\n---\nx"), ("v/notes/deep/c.md", "x")], "path string, text string")
+    got = markdown.standalone_notes(files, "v/notes/").orderBy("title").collect()
+    assert [(r["title"], r["tags"]) for r in got] == [("Title", []), ("a", ["t"])]
+    side = spark.createDataFrame([("k", '[{"id":"1"},{"id":"2"}]'), ("m", "{bad"), ("n", None)], "key string, json string")
+    assert [r["highlight"]["id"] for r in markdown.highlights(side, "struct<id:string>").collect()] == ["1", "2"]
+    for name in ("a.pdf", "b/C.PDF", ".hidden/d.pdf", "cache/e.pdf", "b/f.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    found = markdown.list_pdfs(spark, str(tmp_path), ["cache"]).collect()
+    assert sorted(r["path"].removeprefix(str(tmp_path)) for r in found) == ["/a.pdf", "/b/C.PDF"] and {r["size"] for r in found} == {5}
