@@ -113,7 +113,7 @@ def distances(text: str, codes: np.ndarray, rank: np.ndarray, langs: int, ranks:
     codes, rank: sorted n-grams of all profiles with their place in each (ranks where a profile has them not).
     """
     padded = words_of(text)
-    if padded.isspace():
+    if not any(map(str.isalpha, padded)):
         return None
     codepoints = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4")
     counted = [np.unique(g, return_counts=True) for _, g in grams_of(codepoints)]

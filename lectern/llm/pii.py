@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.secrets import replaced
 from lectern.llm.shared import bounded_batches
-from lectern.llm.spans import Span, clear_of, digest, listed
+from lectern.llm.spans import Span, beside, digest, listed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the spans that the field adds have a mark before them, and come after the base kinds.
@@ -121,7 +121,8 @@ def marked_tokens(text: str, base: list[Span]) -> Tokens:
     for i, (a, b) in enumerate(spans):
         while k < len(ordered) and ordered[k][1] <= a:
             k += 1
-        for x, y, kind in ordered[k:]:
+        for at in range(k, len(ordered)):
+            x, y, kind = ordered[at]
             if x >= b:
                 break
             if a < y:
@@ -243,10 +244,9 @@ def spans_of(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     linked = {i for pair in tokens.skip for i in pair}
     more = []
     for i in np.flatnonzero((p[:, 1:].max(1) >= LEAST) & (tokens.labels == 0)):
-        span = (*tokens.spans[i], f"linked_{KINDS[int(p[i, 1:].argmax())]}")
-        if int(i) in linked and clear_of(span, base):
-            more.append(span)
-    return base, more
+        if int(i) in linked:
+            more.append((*tokens.spans[i], f"linked_{KINDS[int(p[i, 1:].argmax())]}"))
+    return base, beside(more, base)
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from lectern.llm.shared import bounded_batches, tokenizer_file
-from lectern.llm.spans import Span, clear_of, digest, listed
+from lectern.llm.spans import Span, beside, digest, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: A string that takes a token for less than so many of its characters is taken for random.
@@ -71,7 +71,7 @@ def random_spans(text: str, path: str | None = None, most: float = MOST_CHARS_PE
 def spans_of(text: str, path: str | None = None) -> tuple[list[Span], list[Span]]:
     """The base spans, and those that the token test adds beside them."""
     base = base_spans(text)
-    return base, [s for s in random_spans(text, path) if clear_of(s, base)]
+    return base, beside(random_spans(text, path), base)
 
 
 def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:

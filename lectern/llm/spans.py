@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
 Span = tuple[int, int, str]  # start, end (exclusive), kind; in code points
 
@@ -17,6 +19,9 @@ def digest(spans: Iterable[Span], order: dict[str, int]) -> str:
     return hashlib.sha256(listed(spans, order).encode()).hexdigest()
 
 
-def clear_of(span: Span, others: Iterable[Span]) -> bool:
-    """Whether a span overlaps none of the others."""
-    return all(span[1] <= a or b <= span[0] for a, b, _ in others)
+def beside(spans: list[Span], others: Iterable[Span]) -> list[Span]:
+    """Those of the spans that overlap none of the others; both may be many."""
+    ordered = sorted(others)
+    starts = [a for a, _, _ in ordered]
+    furthest = [0, *accumulate((b for _, b, _ in ordered), max)]  # where the first k of the others end
+    return [s for s in spans if furthest[bisect_left(starts, s[1])] <= s[0]]

@@ -10,7 +10,7 @@ import xxhash
 from compare import connection, difference
 from pyspark.sql import functions as F
 
-from lectern.llm import components, langid, lattice, linededup, packing, pii, quality_rules, secrets, simhash, spm, weak_labels
+from lectern.llm import components, langid, lattice, linededup, packing, pii, quality_rules, secrets, simhash, spans, spm, weak_labels
 from lectern.llm.queries import ORACLES, QUERIES
 from lectern.llm.shared import materialize
 
@@ -319,3 +319,17 @@ def test_stages_on_odd_rows(spark, odd):
     for rows in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             rows = materialize(stage(spark, rows, SF))
+
+
+def test_spans_beside_others():
+    rng = np.random.default_rng(5)
+    made = lambda: [(int(a), int(a + n), "k") for a, n in zip(rng.integers(0, 30, rng.integers(0, 6)), rng.integers(1, 8, 6))]
+    for _ in range(500):
+        s, o = made(), made()
+        assert spans.beside(s, o) == [x for x in s if all(x[1] <= a or b <= x[0] for a, b, _ in o)]
+
+
+def test_numerals_are_no_letters(spark):
+    rows = spark.createDataFrame([(1, "½ ² 3_4"), (2, "a")], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(rows, {"en": ["a", " a"]}).collect()}
+    assert found == {1: "und", 2: "en"}
