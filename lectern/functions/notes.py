@@ -155,3 +155,35 @@ def snippet_parts(snippet: Column) -> Column:
 def plain_bibliography(entries: Column) -> Column:
     """Entries (an array) as plain text, without the stars of italics, parted by blank lines."""
     return F.array_join(F.transform(entries, lambda e: F.replace(e, F.lit("*"), F.lit(""))), "\n\n")
+
+
+#: Marks within a line (patterns, as fixed values) and the kinds they give.
+_CITED = "\\*[^*]+\\*|\\[[^\\]]+\\]"
+_STYLED = "\\*\\*[^*]+\\*\\*|\\*[^*]+\\*|~~[^~]+~~"
+
+
+def _marked(text: Column, pattern: str, kinds: list[tuple[str, str, str, bool]]) -> Column:
+    """[(kind, text)] of a line cut at marks; kinds are (kind, begins, ends, whether the marks go)."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    half = lambda i: F.floor(i / 2).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), 2 * F.size(gaps) - 2), lambda i: F.when(i % 2 == 0, F.get(gaps, half(i))).otherwise(F.get(found, half(i))))
+
+    def named(part: Column) -> Column:
+        out = F.struct(F.lit("text").alias("kind"), part.alias("text"))
+        for kind, begins, ends, bare in reversed(kinds):
+            inner = F.substring(part, F.lit(len(begins) + 1), F.greatest(F.length(part) - len(begins) - len(ends), F.lit(0)))
+            made = F.struct(F.lit(kind).alias("kind"), (inner if bare else part).alias("text"))
+            out = F.when(F.startswith(part, F.lit(begins)) & F.endswith(part, F.lit(ends)), made).otherwise(out)
+        return out
+
+    return F.filter(F.transform(parts, named), lambda p: p["text"] != "")
+
+
+def citation_parts(text: Column) -> Column:
+    """A citation as [(kind, text)]: '*titles*' in italics, '[what is missing]' with its brackets, and plain text."""
+    return _marked(text, _CITED, [("italic", "*", "*", True), ("missing", "[", "]", False)])
+
+
+def styled_parts(text: Column) -> Column:
+    """A quote as [(kind, text)]: '**bold**', '~~struck~~', '*italic*' and plain text; marks that aren't closed stay."""
+    return _marked(text, _STYLED, [("bold", "**", "**", True), ("struck", "~~", "~~", True), ("italic", "*", "*", True)])

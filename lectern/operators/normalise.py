@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def within_chapters(excerpts: DataFrame, verses: DataFrame) -> DataFrame:
@@ -91,3 +92,39 @@ def folded(headings: DataFrame, keys: list[str], order: str = "position") -> Dat
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), said.alias("said")))).alias("parts"),
     )
     return made.select(*keys, order, "ref", "chapter", F.array_join(F.transform("parts", lambda p: p["said"]), " ").alias("text"))
+
+
+def speculative_chapters(lines: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
+    """Add chapter and advanced to lines(keys, order, what, number, last): the chapter after each line of a scanned book.
+
+    what: 'book' begins a book at chapter 1; 'chapter' names a chapter (number); 'verse' is a heading, of its own chapter
+    where it has a number; 'title' may be a chapter's, and advances the chapter if a verse was seen since it last changed;
+    other lines change nothing. A chapter beyond the book's last one (null: not known) is taken for that. Like
+    section_headings, Python holds two values whatever a key's size.
+    """
+    schema = StructType([*lines.schema.fields, StructField("chapter", IntegerType()), StructField("advanced", BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, chapter, seen = None, None, False
+        for batch in batches:
+            chapters, advanced = [], []
+            for *now, what, number, last in batch[[*keys, "what", "number", "last"]].itertuples(index=False):
+                if now != key:
+                    key, chapter, seen = now, None, False
+                most = float("inf") if pd.isna(last) else int(last)
+                moves = False
+                if what == "book":
+                    chapter, seen = 1, False
+                elif what == "chapter" and not pd.isna(number):
+                    named = min(int(number), most)
+                    chapter, seen = named, seen and named == chapter
+                elif what == "title" and chapter is not None and seen:
+                    chapter, seen, moves = min(chapter + 1, most), False, True
+                elif what == "verse":
+                    chapter = chapter if pd.isna(number) else int(number)
+                    seen = seen or chapter is not None
+                chapters.append(chapter)
+                advanced.append(moves)
+            yield batch.assign(chapter=pd.array(chapters, "Int32"), advanced=advanced)
+
+    return lines.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

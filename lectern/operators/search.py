@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import query_tokens, tokens
@@ -71,6 +71,18 @@ def search(index: Index, query: str, scope: Column | None = None, limit: int = L
     return found.join(ranked(index, query), "key").orderBy("rank", "key").limit(limit)
 
 
+def by_page(hits: DataFrame) -> DataFrame:
+    """Hits of one book (a search's limit of rows at most) by page, each with its number and the key of the next.
+
+    The hit after the last is the first.
+    """
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("page", "key"))
+    rows = hits.withColumn("n", n)
+    around = Window.partitionBy("book_id").orderBy("n")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("key", "page", "rank", "n", F.coalesce(F.lead("key").over(around), F.first("key").over(whole)).alias("following"))
+
+
 def item_scope(book_ids: list = (), notes: list = (), refs: list = ()) -> Column:
     """Pages of these books, notes of these keys or passages of these refs; nothing if all are empty."""
     parts = [(F.col("kind") == k) & F.col(c).isin(*v) for k, c, v in (("page", "book_id", book_ids), ("note", "key", notes), ("scripture", "ref", refs)) if v]

@@ -9,7 +9,7 @@ from lectern.functions.citation import book_citation
 from lectern.functions.text import html_text, safe_name, split_authors, tag_name, tokens, word_count
 from lectern.operators import catalog, ranges, reconcile, search, validation
 from lectern.plans import fixtures as fx
-from lectern.plans import texts  # noqa: F401  (its queries are put down as well)
+from lectern.plans import texts, upkeep  # noqa: F401  (their queries are put down as well)
 from lectern.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 PREFIXES = ("stlich", "er")
