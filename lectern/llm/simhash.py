@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.components import connected_components
+from lectern.llm.nearcopies import components
 from lectern.llm.shared import bounded_batches, materialize
 
 #: Fingerprints of one bucket that are compared with each other; larger buckets are cut finer.
@@ -201,15 +202,15 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: that with the smallest doc_id, any one of equal rows; columns as given.
+    """One document of each group of near copies stays: that with the smallest doc_id, any one of equal rows; columns as given.
 
-    A row with a null doc_id stays only if its component has no other. An empty table stays empty.
+    Near copies share four fifths of their five-word shingles (see nearcopies). Texts without words are copies of each
+    other. A row with a null doc_id stays only if its component has no other. An empty table stays empty.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), row))
-    key = F.struct(F.col("row.doc_id").alias("id"), "at").alias("doc_id")
-    marks = fingerprints(rows.select(key, F.col("row.text").alias("text")))
-    marks = materialize(marks.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.at").alias("at"), "fp"))
+    found = components(rows.select("at", F.col("row.text").alias("text")))
+    marks = rows.select("at", F.col("row.doc_id").alias("doc_id")).join(found, "at")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
-    kept = near_duplicates(marks).groupBy("component").agg(F.min(first).alias("first"))
+    kept = marks.groupBy("component").agg(F.min(first).alias("first"))
     return rows.join(kept.select(F.col("first.at").alias("at")), "at", "left_semi").select("row.*")

@@ -333,3 +333,29 @@ def test_numerals_are_no_letters(spark):
     rows = spark.createDataFrame([(1, "½ ² 3_4"), (2, "a")], "doc_id long, text string")
     found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(rows, {"en": ["a", " a"]}).collect()}
     assert found == {1: "und", 2: "en"}
+
+
+def test_near_copies_are_brute_force_jaccard(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{n}" for n in rng.integers(0, 10**6, k)] for k in (6, 60, 200, 200, 400)]
+    texts = [" ".join(w) for w in base] + ["", None, "a b", "A  b"]
+    for words in base[1:]:
+        for edits in (1, 2, 3, 5, 9):
+            changed = list(words)
+            for at in rng.integers(0, len(words), edits):
+                changed[at] = "new"
+            texts.append(" ".join(changed))
+    for n in range(120):  # a dense group: all pairs of its members share buckets
+        changed = list(base[2])
+        changed[int(rng.integers(0, 200))] = f"n{n}"
+        texts.append(" ".join(changed))
+
+    def sets(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    s = [sets(t) for t in texts]
+    near = [(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    want = sorted(set(smallest_reachable(range(len(s)), near).values()))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one_each(rows).collect()) == want
