@@ -33,12 +33,23 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(F.col("sites") > high).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def one_site_each(lines: DataFrame) -> DataFrame:
+    """(line, source) of rows (line, key, source): each text counts for one of its sources, so copies of it add none.
+
+    Which source that is goes by a hash, so that texts of many sources don't all count for the same one.
+    """
+    placed = F.struct(F.xxhash64("key", "source").alias("h"), "source")
+    one = lines.where(F.col("source").isNotNull()).groupBy("line", "key").agg(F.min(placed).alias("one"))
+    return materialize(one.select("line", "one.source"))
+
+
+def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = False) -> DataFrame:
     """(row, text, n_lines, n_removed): each document as a struct, and its text without lines found on many sources.
 
     A line is compared without blanks at its ends; blank lines stay. A null text stays null, with no lines; an empty
     one is one blank line; one that loses every line becomes empty. Equal rows stay separate rows. The text itself
-    moves between machines once, and lines only as hashes.
+    moves between machines once, and lines only as hashes. by_text: sites are counted over distinct texts, so that a
+    text keeps its lines however many sources have copies of it.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     split = F.split(F.col("row.text"), "\n", -1)
@@ -47,7 +58,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     stripped = F.btrim("text", F.lit(STRIPPED))
     lines = lines.where(stripped != "").select("key", "source", "pos", F.xxhash64(stripped).alias("line"))
     lines = materialize(lines)
-    gone = lines.join(boilerplate(lines.select("line", "source"), sites), "line", "left_semi")
+    placed = one_site_each(lines) if by_text else lines.select("line", "source")
+    gone = lines.join(boilerplate(placed, sites), "line", "left_semi")
     gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")))  # apart, so the join can split a hot key
     left = F.filter(F.col("lines"), lambda _, i: ~F.array_contains("gone", i))
     out = keyed.join(gone, "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), split).alias("lines"), split.alias("all"))
@@ -60,8 +72,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with boilerplate lines gone from text; all rows and the columns as given."""
-    out = without_boilerplate(docs, sites)
+    """docs with boilerplate lines gone from text, sites counted over distinct texts; all rows and the columns as given."""
+    out = without_boilerplate(docs, sites, by_text=True)
     return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 

@@ -359,3 +359,11 @@ def test_near_copies_are_brute_force_jaccard(spark):
     want = sorted(set(smallest_reachable(range(len(s)), near).values()))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.keep_one_each(rows).collect()) == want
+
+
+def test_copies_of_a_text_are_one_site(spark):
+    copies = [(n, "a clean line\nand one more\nshared footer", f"s{n}") for n in range(12)]
+    others = [(20 + n, f"own words {n}\nshared footer", f"t{n}") for n in range(12)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert got == {n: "a clean line\nand one more" for n in range(12)} | {20 + n: f"own words {n}" for n in range(12)}
