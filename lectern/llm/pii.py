@@ -75,13 +75,17 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Tokens:
-    """The marked tokens of a text: spans, features, labels that base spans give (0: none), and pairs of them."""
+    """The marked tokens of a text: spans, features, labels that base spans give (0: none), and pairs of them.
+
+    far holds pairs of an unlabelled token and a labelled one like it, wherever that is in the text.
+    """
 
     spans: list[tuple[int, int]]
     features: list[int]
     labels: np.ndarray
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    far: list[tuple[int, int]]
 
 
 def feature_bits(s: str) -> int:
@@ -103,7 +107,8 @@ def marked_tokens(text: str, base: list[Span]) -> Tokens:
     """Tokens with a digit, @ or +, without punctuation around them; chained if one blank is between, skip-linked if alike.
 
     Tokens are alike if they have the same letters and digits in any case, the same six or more digits, or one is
-    the local part of the other's address. Each is linked to the last before it that shares such a key.
+    the local part of the other's address. Each is linked to the last before it that shares such a key, and an
+    unlabelled one to the first of each label too, so that what is known of a token reaches all its repeats in one step.
     """
     spans, free = [], 0
     for m in MARKED.finditer(text):
@@ -129,19 +134,31 @@ def marked_tokens(text: str, base: list[Span]) -> Tokens:
                 labels[i] = 1 + KINDS.index(kind)
                 break
     last: dict[str, int] = {}
+    known: dict[str, dict[int, int]] = {}
+    keys = []
     skip = set()
     for i, (a, b) in enumerate(spans):
         s = text[a:b].lower()
         core = "".join(filter(str.isalnum, s))
         digits = "".join(filter(str.isdigit, s))
         local = "".join(filter(str.isalnum, s.partition("@")[0])) if "@" in s else ""
-        for key in {core, digits if len(digits) >= 6 else "", local if len(local) >= 5 else ""} - {""}:
-            if len(key) >= 5:
-                if key in last:
-                    skip.add((last[key], i))
-                last[key] = i
+        keys.append([k for k in {core, digits if len(digits) >= 6 else "", local if len(local) >= 5 else ""} if len(k) >= 5])
+        for key in keys[-1]:
+            if key in last:
+                skip.add((last[key], i))
+            last[key] = i
+            if labels[i]:
+                known.setdefault(key, {}).setdefault(int(labels[i]), i)
+    heard = {(x, int(labels[y])) for pair in skip for x, y in (pair, pair[::-1])}
+    far = {
+        (min(i, j), max(i, j))
+        for i in np.flatnonzero(labels == 0).tolist()
+        for key in keys[i]
+        for label, j in known.get(key, {}).items()
+        if (i, label) not in heard
+    }
     chain = [(i, i + 1) for i, (x, y) in enumerate(zip(spans, spans[1:])) if y[0] - x[1] <= 1]
-    return Tokens(spans, [feature_bits(text[a:b]) for a, b in spans], labels, chain, sorted(skip))
+    return Tokens(spans, [feature_bits(text[a:b]) for a, b in spans], labels, chain, sorted(skip), sorted(far))
 
 
 @dataclass
@@ -212,9 +229,12 @@ def marginals(field: Field, tokens: Tokens) -> np.ndarray:
     given = tokens.labels > 0
     node[given] = -30.0
     node[given, tokens.labels[given]] = 0.0
-    ends = [*tokens.chain, *tokens.skip]
+    known = {x for pair in (*tokens.skip, *tokens.far) for x, y in (pair, pair[::-1]) if given[y] and not given[x]}
+    # Repeats that hear of a label themselves aren't linked to each other: their number would outweigh it.
+    alike = [*((a, b) for a, b in tokens.skip if not (a in known and b in known)), *tokens.far]
+    ends = [*tokens.chain, *alike]
     if ends:
-        table = np.concatenate((np.repeat(field.chain[None], len(tokens.chain), 0), np.repeat(field.skip[None], len(tokens.skip), 0)))
+        table = np.concatenate((np.repeat(field.chain[None], len(tokens.chain), 0), np.repeat(field.skip[None], len(alike), 0)))
         a, b = np.array(ends).T
         source, target, table = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((table, table))
         m, back = len(a), np.roll(np.arange(2 * len(a)), len(a))
@@ -227,6 +247,7 @@ def marginals(field: Field, tokens: Tokens) -> np.ndarray:
             new = np.log(np.einsum("ei,eij->ej", np.exp(before), np.exp(table)))
             new -= np.log(np.exp(new - new.max(1, keepdims=True)).sum(1, keepdims=True)) + new.max(1, keepdims=True)
             message = DAMPING * message + (1 - DAMPING) * new
+            message[given[target]] = 0.0  # evidence stays what it is, however many tokens lean away from it
         np.add.at(node, target, message)
     p = np.exp(node - node.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)

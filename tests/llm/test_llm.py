@@ -367,3 +367,11 @@ def test_copies_of_a_text_are_one_site(spark):
     docs = spark.createDataFrame(copies + others, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     assert got == {n: "a clean line\nand one more" for n in range(12)} | {20 + n: f"own words {n}" for n in range(12)}
+
+
+def test_distant_repeats_hear_of_a_label():
+    n = lambda *c: pii.Counter(dict(c))
+    plain, card = pii.feature_bits("4111.1111.1111.1111"), 3
+    field = pii.fit_field(n(((plain, card), 10), ((plain, 0), 100), ((pii.feature_bits("12"), 0), 500)), n(((0, 0), 100)), n(((card, card), 400), ((0, 0), 400)))
+    _, more = pii.spans_of("pay 4111-1111-1111-1111 now." + " Later on 4111.1111.1111.1111 again" * 40, field)
+    assert [k for _, _, k in more] == ["linked_card"] * 40
