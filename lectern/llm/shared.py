@@ -10,14 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.session import ship
 
-#: Rows in one Arrow batch to a Python worker. Texts can be long, so batches are short.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch to a Python worker, at most; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session takes a folder of its own; on a cluster that is an error, as executors would
+    write where no other machine can read.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -25,26 +31,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    All tables of one application lie in one folder, which goes when the application is done with; what is in the way
+    before that is for discard().
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lectern-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any usual length, and send the workers this package."""
+    """Keep the session's Arrow batches small in rows and bytes, and send the workers this package.
+
+    Both are settings of the session, read when a plan runs; they are only ever lowered.
+    """
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        now = int(now.rstrip("b")) if now.rstrip("b").lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def tokenizer_file(name: str, path: str | None) -> str:
