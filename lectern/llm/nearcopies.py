@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash, each verified on whole shingle sets."""
+"""Near copies by the Jaccard similarity of word shingles: blocked by shared least hashes, compared as SimHash fingerprints
+on bit planes, and verified on whole shingle sets."""
 
 from __future__ import annotations
 
@@ -10,15 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bitplanes import close_pairs, majority
 from lectern.llm.components import connected_components
-from lectern.llm.shared import bounded_batches, materialize
+from lectern.llm.shared import bounded_batches, discard, materialize
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 WIDTH, SIMILAR = 5, 0.8
-#: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: all but 3e-6 of pairs at 0.8.
-BANDS, ROWS = 24, 4
-#: Rounds in which a bucket is compared with one of its members before all pairs that are left are.
-STARS = 2
+#: Blocks: a pair of similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS: all but 4e-5 of pairs at 0.8.
+BANDS, ROWS = 14, 3
+#: Bits in which fingerprints of such a pair differ at most: 10 to 12 on average with a deviation of 3, so all but 1e-6.
+RADIUS = 28
+#: A block of n fingerprints that are still apart is cut into about sqrt(n / PART) parts, every two of which are a task's work.
+PART = 256
 
 _made = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 FACTORS, OFFSETS = _made[0] | np.uint64(1), _made[1]
@@ -49,16 +53,23 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(at, key, bands) of docs(at long, text): key is a hash of the whole shingle set."""
+    """(at, key, fp, n, bands) of docs(at long, text): a hash of the shingle set, its fingerprint, size and blocks."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x or b"") for x in batch.column(1).to_pylist()]
-            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(bands, sets), pa.list_(pa.int64()))], ["at", "key", "bands"])
+            keys, fps, sizes, cells = [], [], [], []
+            for x in batch.column(1).to_pylist():
+                s = shingles(x or b"")
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                fps.append(majority(s).view(np.int64))
+                sizes.append(len(s))
+                cells.append(bands(s))
+            out = [batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["at", "key", "fp", "n", "bands"])
 
-    return docs.select("at", F.col("text").cast("binary").alias("text")).mapInArrow(run, "at long, key binary, bands array<long>")
+    rows = docs.select("at", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "at long, key binary, fp long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -73,62 +84,119 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("at", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes binary")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs(u, v) whose sets(node, hashes) have a Jaccard similarity of SIMILAR or more."""
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct written pairs(u, v) whose texts in docs(at, text) have a Jaccard similarity of SIMILAR or more.
+
+    Only texts that are in a pair are read as sets. The list of them is written first, so that its size is known
+    when the join with the texts is planned.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= SIMILAR * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("at")).distinct())
+    sets = materialize(shingle_sets(docs.join(nodes, "at", "left_semi")))
     first = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    size = lambda c: F.length(c)
-    near = F.least(size("a"), size("b")) >= SIMILAR * F.greatest(size("a"), size("b"))
-    return both.where(near).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    found = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    discard(nodes, sets)
+    return found
+
+
+def alike(a: str, b: str) -> F.Column:
+    """Whether two structs (node, fp, n) can be near copies by their sizes and fingerprints."""
+    size = F.least(f"{a}.n", f"{b}.n") >= SIMILAR * F.greatest(f"{a}.n", f"{b}.n")
+    return size & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS) & (F.col(f"{a}.node") != F.col(f"{b}.node"))
+
+
+def pairs_apart(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one bucket and of different components, from rows (bucket, me, component), that can be near copies.
+
+    A bucket is cut into parts by a hash of the node, more the larger it is, and every two of its parts are compared
+    on bit planes in a task of their own. Nothing but what is within the radius leaves.
+    """
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        low, node, n, part = (t.column(c).to_numpy() for c in ("own_low", "node", "n", "component"))
+        order = np.argsort(~low, kind="stable")
+        node, n, part, low = node[order], n[order], part[order], low[order]
+        fp = t.column("fp").to_numpy().view(np.uint64)[order]
+        rows = np.arange(len(fp))
+        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        first = rows + 1 if same else np.where(low, low.sum(), len(fp))
+        i, j = close_pairs(fp, first, np.full(len(fp), len(fp)), RADIUS)
+        good = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        i, j = node[i[good]], node[j[good]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["u", "v"])
+
+    sizes = rows.groupBy("bucket").agg(F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*") / PART))).cast("long").alias("parts"))
+    cut = rows.join(sizes, "bucket").select("*", F.pmod(F.xxhash64("me.node"), F.col("parts")).alias("own"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cut = cut.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("own_low"), "me.*", "component")
+    cut = cut.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return cut.mapInArrow(lambda batches: map(compared, runs(batches, 3)), "u long, v long").distinct()
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Sorted batches as one table for each run of rows that are equal in the first columns (whole numbers)."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)])
+        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), key.shape[1]]
+        for a, b in zip(starts, starts[1:]):
+            if a < b:
+                this = tuple(key[:, a])
+                if this != last and kept:
+                    yield pa.Table.from_batches(kept).combine_chunks()
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+                last = this
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(at, component) of each of docs(at long, text): what near copies connect; texts of equal sets belong together.
 
-    Members of a bucket are compared with one of them first. What that connects needs no more comparing, so a group
-    of any size takes few comparisons; then each pair of a bucket that is still apart is compared. No bucket is capped.
+    First each text is compared with one other, the least of its buckets' least that can be a copy; then, in buckets that
+    are not one component yet, with one more member of each; then every pair of a bucket that is still apart. What is
+    connected needs no more comparing, so a group of any size takes few comparisons, and no bucket is capped.
     """
     marks = materialize(signatures(docs))
-    classes = materialize(marks.groupBy("key").agg(F.min(F.struct("at", "bands")).alias("m")).select("key", F.col("m.at").alias("node"), "m.bands"))
-    cells = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = cells.groupBy("bucket").count().where("count > 1").select("bucket")
-    cells = materialize(cells.join(shared, "bucket"))
-    sets = docs.join(cells.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
-    sets = materialize(shingle_sets(sets))
-    labels = edges = None
-    for k in range(STARS + 1):
-        rows = cells.withColumn("component", F.col("node"))
-        if labels is not None:
-            rows = cells.join(labels, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-        sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("node").alias("some"))
-        main = sizes.groupBy("bucket").agg(
-            F.max(F.struct("n", "component")).alias("most"), F.min(F.struct("n", "some")).alias("least"), F.count("*").alias("parts")
-        )
-        rows = materialize(rows.join(main.where("parts > 1").select("bucket", "most", "least"), "bucket"))
+    best = marks.groupBy("key").agg(F.min(F.struct("at", "fp", "n", "bands")).alias("m"))
+    classes = materialize(best.select("key", F.struct(F.col("m.at").alias("node"), "m.fp", "m.n").alias("me"), "m.bands"))
+    cells = classes.select("me", F.explode("bands").alias("bucket"))
+    shared = materialize(cells.groupBy("bucket").agg(F.count("*").alias("n"), F.min("me").alias("one")).where("n > 1"))
+    cells = materialize(cells.join(shared.select("bucket", "one"), "bucket"))
+    least = cells.where(alike("me", "one")).groupBy("me.node").agg(F.min("one.node").alias("u"))
+    pairs = materialize(least.select("u", F.col("node").alias("v")))
+    edges = similar(pairs, docs)
+    labels = materialize(connected_components(edges))
+    for last in (False, True):
+        rows = cells.join(labels, F.col("me.node") == labels.node, "left").select("bucket", "me", F.coalesce("component", "me.node").alias("component"))
+        parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max("me").alias("some"))
+        parts = parts.groupBy("bucket").agg(F.min(F.struct("n", "some")).alias("least"), F.count("*").alias("parts")).where("parts > 1")
+        rows = materialize(rows.join(parts.select("bucket", F.col("least.some").alias("one")), "bucket"))
         if rows.isEmpty():
             break
-        if k < STARS:
-            pairs = rows.select(F.col("node").alias("a"), F.col("least.some").alias("b")).where("a <> b")
+        if last:
+            found = pairs_apart(rows.select("bucket", "me", "component"))
         else:
-            apart = rows.where("component <> most.component").select("bucket", F.col("node").alias("a"), F.col("component").alias("c"))
-            other = rows.select("bucket", F.col("node").alias("b"), "component", (F.col("component") == F.col("most.component")).alias("big"))
-            pairs = apart.join(other, (apart.bucket == other.bucket) & (apart.c != other.component) & (other.big | (F.col("a") < F.col("b"))))
-        pairs = materialize(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-        found = materialize(similar(pairs, sets))
-        edges = found if edges is None else edges.unionByName(found)
-        labels = materialize(connected_components(edges))
-    if labels is not None:
-        classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        classes = classes.withColumn("component", F.col("node"))
-    return marks.select("at", "key").join(classes.select("key", "component"), "key").select("at", "component")
+            found = rows.where(alike("me", "one")).select(F.least("me.node", "one.node").alias("u"), F.greatest("me.node", "one.node").alias("v")).distinct()
+        pairs = materialize(found)
+        if not pairs.isEmpty():
+            edges = edges.unionByName(similar(pairs, docs))
+            old = labels
+            labels = materialize(connected_components(edges))
+            discard(old)
+        discard(rows, pairs)
+    classes = classes.join(labels, F.col("me.node") == labels.node, "left")
+    classes = classes.select("key", F.coalesce("component", "me.node").alias("component"))
+    return marks.select("at", "key").join(classes, "key").select("at", "component")

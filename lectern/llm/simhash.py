@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, compared on vertical bit planes."""
+"""SimHash near-duplicates, compared on vertical bit planes (bitplanes)."""
 
 from __future__ import annotations
 
@@ -10,16 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bitplanes import close_pairs, majority, spanning_star, within  # noqa: F401
 from lectern.llm.components import connected_components
 from lectern.llm.nearcopies import components
 from lectern.llm.shared import bounded_batches, materialize
 
 #: Fingerprints of one bucket that are compared with each other; larger buckets are cut finer.
 BUCKET = 256
-#: Lanes (pairs) in a block that is abandoned as a whole.
-LANES = 4096
-#: Bit planes between two looks at whether a block can be abandoned.
-STRIDE = 8
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -32,14 +29,9 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # giant texts in pieces
-        to = min(n, at + (1 << 16))
-        spans = zip(starts[at:to].tolist(), ends[width - 1 :][at:to].tolist() if len(words) >= width else [len(joined)])
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view("<i8")[0])
+    last = ends[width - 1 :].tolist() if len(words) >= width else [len(joined)]
+    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), last)), np.uint64, n)
+    return int(majority(hashes).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -55,70 +47,11 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def within(xor: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the differences (uint64, one a lane) have at most radius bits set.
-
-    The lanes stand vertically: word k of plane b holds bit b of lanes 64k to 64k+63. Each plane is added to all
-    lanes' distances at once through a carry-save counter of a few bit planes with a sticky overflow; a block whose
-    lanes all exceed the radius is left out of the planes that follow.
-    """
-    n, blocks = len(xor), -(-len(xor) // LANES)
-    padded = np.full(blocks * LANES, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = xor
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").reshape(64, blocks, LANES // 64)
-    size = max(1, radius.bit_length())
-    alive = np.arange(blocks)
-    counter = [np.zeros((blocks, LANES // 64), np.uint64) for _ in range(size)]
-    over = np.zeros((blocks, LANES // 64), np.uint64)
-    exceeds = np.full((blocks, LANES // 64), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for b in range(64):
-        carry = planes[b][alive]
-        for i in range(size):
-            counter[i], carry = counter[i] ^ carry, counter[i] & carry
-        over |= carry
-        if b % STRIDE == STRIDE - 1:
-            more, equal = over.copy(), ~over
-            for i in reversed(range(size)):  # counter > radius, from the highest bit
-                if radius >> i & 1:
-                    equal &= counter[i]
-                else:
-                    more |= equal & counter[i]
-                    equal &= ~counter[i]
-            keep = (~more).any(axis=1)
-            if b == 63:
-                exceeds[alive] = more
-            elif not keep.all():
-                alive, over, counter = alive[keep], over[keep], [c[keep] for c in counter]
-                if not len(alive):
-                    break
-    return ~np.unpackbits(exceeds.reshape(-1).view(np.uint8), bitorder="little").astype(bool)[:n]
-
-
 def bucket_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star (root, member) of each set of fingerprints that links connect within a bucket; sorted by bucket."""
-    label = np.arange(len(fp))
-    found = []
-    for d in range(1, len(fp)):  # lanes: each row with the row d places on, if that is in the same bucket
-        i = np.flatnonzero(bucket[:-d] == bucket[d:])
-        if not len(i):
-            break
-        i = i[within(fp[i] ^ fp[i + d], radius)]
-        found.append((i, i + d))
-    if not found:
-        return label[:0], label[:0]
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    while True:
-        low = np.minimum(label[a], label[b])
-        after = label.copy()
-        np.minimum.at(after, a, low)
-        np.minimum.at(after, b, low)
-        after = after[after]
-        if (after == label).all():
-            break
-        label = after
-    member = np.flatnonzero(label != np.arange(len(fp)))
-    return label[member], member
+    end = np.searchsorted(bucket, bucket, side="right")
+    i, j = close_pairs(fp, np.arange(1, len(fp) + 1), end, radius)
+    return spanning_star(len(fp), i, j)
 
 
 def _finer(df: DataFrame, width: int) -> DataFrame:
@@ -204,7 +137,9 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id, any one of equal rows; columns as given.
 
-    Near copies share four fifths of their five-word shingles (see nearcopies). Texts without words are copies of each
+    Near copies share four fifths of their five-word shingles. 64-bit fingerprints at that similarity are about 10
+    bits apart, too far to find each other by shared blocks of bits, so candidates meet otherwise (see nearcopies),
+    are compared on bit planes at a radius that such pairs stay within, and are verified on their shingles. Texts without words are copies of each
     other. A row with a null doc_id stays only if its component has no other. An empty table stays empty.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
