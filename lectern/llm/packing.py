@@ -29,64 +29,108 @@ GROUPS = 128
 SMALL = 3 / 8
 #: Columns of a configuration program at most; it may stop short of the optimum.
 PIVOTS = 3000
+#: Pieces that a task plans at a time, and groups of such a plan.
+BUFFER, BUFFER_GROUPS = 8192, 64
+#: A task closes the sequences of its plans with at most this share of a sequence empty; the rest is planned for all tasks.
+SLACK = 1 / 512
 
 #: Runs of so many characters without a blank are left to a tokenizer whose time doesn't grow with their square.
 LONG_RUN = re.compile(r"\S{2000}")
 
 
 @cache
-def tokenizers(ranks_path: str | None, model_path: str | None) -> tuple[tiktoken.Encoding, Tokenizer]:
-    """The same vocabulary twice: as ranks, which is the faster, and as a model. Their ids are equal (tests compare)."""
+def tokenizers(ranks_path: str | None, model_path: str | None) -> tuple[tiktoken.Encoding, Tokenizer, tuple[str, ...]]:
+    """The same vocabulary twice: as ranks, which is the faster, and as a model, with the strings of its added tokens."""
     with open(tokenizer_file("byte_bpe_50k.tiktoken", ranks_path), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     model = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json", model_path))
-    model.encode_special_tokens = True
-    return fast, model
+    return fast, model, tuple(t.content for t in model.get_added_tokens_decoder().values())
 
 
 def ids(text: str, ranks_path: str | None = None, model_path: str | None = None) -> bytes:
-    """The ids of a text as little-endian 32-bit numbers, without an end."""
-    fast, model = tokenizers(ranks_path, model_path)
-    if LONG_RUN.search(text):
+    """The model's ids of a text as little-endian 32-bit numbers, without an end.
+
+    Text that holds an added token or a very long run goes to the model, all other to the ranks; what they give is
+    the same (tests compare whole tables).
+    """
+    fast, model, added = tokenizers(ranks_path, model_path)
+    if any(map(text.__contains__, added)) or LONG_RUN.search(text):
         return array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
     return array("I", fast.encode_ordinary(text)).tobytes()
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, str | None] = (None, None), with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each piece, with its task and rank there among equal lengths.
+    """doc_id, piece, start, length, ids_crc32 (and ids) of each piece, and its place: sequence_id and offset, or task and rank.
 
     A document is the ids of its text (null: empty) and id 0. Longer ones than capacity are cut; the first piece
-    takes what is left over, all others are full. paths: the vocabulary's files, if not where this machine has them.
+    takes what is left over, all others are full. A task plans BUFFER pieces at a time and closes the sequences that are
+    full but for SLACK; what is in others waits for the next plan. What is left at the end, or what fills most of the
+    buffer though planned, has no sequence yet, but a rank among the task's pieces of the same length. paths: the
+    vocabulary's files, if not where this machine has them.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, at, start, length, crc, kept = [], [], [], [], [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            data = memoryview(ids(text or "", *paths) + b"\0\0\0\0")
+            n = len(data) // 4
+            cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                rows.append(row), at.append(k), start.append(a), length.append(b - a)
+                crc.append(zlib.crc32(data[4 * a : 4 * b]))
+                if with_ids:
+                    kept.append(np.frombuffer(data[4 * a : 4 * b], "<u4").astype(np.int32))
+        out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if with_ids:
+            out.append(pa.array(kept, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(out, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        seen, made = np.zeros(capacity + 1, np.int64), 0
+        held: list[pa.RecordBatch] = []
+
+        def placed(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal made, held
+            t = pa.Table.from_batches(held).combine_chunks()
+            length = t.column("length").to_numpy()
+            sequence, offset = assigned(length, capacity)
+            full = np.bincount(sequence, length)[sequence] >= capacity * (1 - SLACK)
+            _, sequence[full] = np.unique(sequence[full], return_inverse=True)
+            sequence += (task << 40) + made
+            made += len(np.unique(sequence[full]))
+            rest = t.filter(pa.array(~full))
+            none = np.zeros(len(length), np.int64)
+            yield from with_place(t, full, sequence, offset, none)
+            held = rest.to_batches()
+            if last or 2 * rest.num_rows > BUFFER:
+                rank = np.empty(rest.num_rows, np.int64)
+                for k, n in enumerate(rest.column("length").to_pylist()):
+                    rank[k] = seen[n]
+                    seen[n] += 1
+                yield from with_place(rest, np.ones(rest.num_rows, bool), None, None, rank)
+                held = []
+
+        def with_place(t, rows, sequence, offset, rank) -> Iterator[pa.RecordBatch]:
+            numbers = lambda x: pa.nulls(t.num_rows, pa.int64()) if x is None else pa.array(x, pa.int64())
+            for name, x in (("sequence_id", sequence), ("offset", offset), ("task", np.full(t.num_rows, task)), ("rank", rank)):
+                t = t.append_column(name, numbers(x))
+            yield from t.filter(pa.array(rows)).combine_chunks().to_batches(max_chunksize=1024)
+
         for batch in batches:
-            rows, at, start, length, crc, kept, rank = [], [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                data = memoryview(ids(text or "", *paths) + b"\0\0\0\0")
-                n = len(data) // 4
-                cuts = [0, *range(n % capacity or min(n, capacity), n, capacity), n]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append(row), at.append(k), start.append(a), length.append(b - a)
-                    crc.append(zlib.crc32(data[4 * a : 4 * b]))
-                    if with_ids:
-                        kept.append(np.frombuffer(data[4 * a : 4 * b], "<u4").astype(np.int32))
-                    rank.append(seen[b - a])
-                    seen[b - a] += 1
-            out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(rows), pa.int32()), pa.array(rank, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-            if with_ids:
-                out.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+            held.append(cut(batch))
+            if sum(b.num_rows for b in held) >= BUFFER:
+                yield from placed(False)
+        if held:
+            yield from placed(True)
+
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, f"{schema}, sequence_id long, offset long, task long, rank long")
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -238,27 +282,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     return rows
 
 
+def assigned(length: np.ndarray, capacity: int, groups: int = BUFFER_GROUPS) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each of some pieces, by a plan of their own."""
+    sizes, counts = np.unique(length, return_counts=True)
+    rows = np.array(sorted(plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity, groups)), np.int64).reshape(-1, 6)
+    order = np.argsort(length, kind="stable")
+    rank = np.empty(len(length), np.int64)
+    rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+    wide = len(length) + 1
+    size, low, _, sequence, copies, first = rows[np.searchsorted(rows[:, 0] * wide + rows[:, 1], length * wide + rank, side="right") - 1].T
+    return sequence + (rank - low) // copies, first + (rank - low) % copies * size
+
+
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces() that were written to a table.
+    """Give every piece of pieces(), written to a table, its sequence_id and offset.
 
-    Only the number of pieces of each length goes to the driver (as many rows as capacity at most), and only the plan
-    is broadcast, whose size the capacity bounds.
+    Only pieces that their task left over are planned here, from the number of them of each length, which goes to the
+    driver (as many rows as capacity at most). The plan, whose size the capacity bounds, is broadcast; how many of a
+    length the tasks before have is joined as the optimizer sees fit.
     """
-    counts = made.groupBy("length", "task").agg(F.count("*").alias("n"))
-    counts = materialize(counts)
+    rest = made.where("sequence_id is null").drop("sequence_id", "offset")
+    counts = materialize(rest.groupBy("length", "task").agg(F.count("*").alias("n")))
     of = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     schema = "length long, lo long, hi long, sequence long, copies long, first long"
     where = F.broadcast(made.sparkSession.createDataFrame(plan(of, capacity), schema).withColumnRenamed("length", "of"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = made.join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = rest.join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base"))
     at = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     nth = F.col("rank") - F.col("lo")
-    return ranked.join(where, at).select(
-        *(c for c in made.columns if c not in ("task", "rank")),
-        (F.col("sequence") + F.floor(nth / F.col("copies"))).alias("sequence_id"),
+    names = [c for c in made.columns if c not in ("task", "rank", "sequence_id", "offset")]
+    planned = ranked.join(where, at).select(
+        *names,
+        (-1 - F.col("sequence") - F.floor(nth / F.col("copies"))).alias("sequence_id"),
         (F.col("first") + nth % F.col("copies") * F.col("length")).alias("offset"),
     )
+    return made.where("sequence_id is not null").select(*names, "sequence_id", "offset").unionByName(planned)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, str | None] = (None, None), with_ids: bool = False) -> DataFrame:
