@@ -16,8 +16,11 @@ from lectern.llm.shared import bounded_batches, tokenizer_file
 from lectern.llm.spans import Span, beside, digest, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
-#: A string that takes a token for less than so many of its characters is taken for random.
-MOST_CHARS_PER_TOKEN = 2.0
+#: A string that takes a token for less than so many of its characters is taken for random: random letters and digits
+#: take one for 1.3 to 2.0, and the invented words of the test tables, which are strings of syllables, one for 2.2 or more.
+MOST_CHARS_PER_TOKEN = 2.1
+#: A run of so many letters is a word if it takes a token for at least so many of them; what is half words is an identifier.
+WORD_LETTERS, WORD_CHARS_PER_TOKEN = 4, 2.5
 #: Characters of a string that is put to the test, at least.
 LEAST = 20
 
@@ -28,13 +31,14 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short fails as a whole, so the length can be part of it
 HEX = re.compile(r"[0-9a-f]{24,}")
 STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Digests (MD5 to SHA-512, in one case throughout), UUIDs, and names that are words, dates and numbers joined.
+#: Digests (MD5 to SHA-512, in one case throughout) and UUIDs.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
-    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
-    r"|(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[-_/=+]*+)++)\Z"
+    r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z"
 )
+#: Runs of letters that names are made of: capitals, or one capital at most before small letters.
+LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @cache
@@ -55,15 +59,30 @@ def base_spans(text: str) -> list[Span]:
     return found + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def tokens_of(s: str, path: str | None) -> int:
+    """How many tokens a string takes, in pieces of 500 characters, as time grows with the square of a run."""
+    return sum(len(encoding(path).encode_ordinary(s[i : i + 500])) for i in range(0, len(s), 500))
+
+
+def named(s: str, path: str | None = None) -> bool:
+    """Whether at least half of a string is words, as names, paths and other identifiers are: runs of letters that spell well."""
+    runs = [w for w in LETTERS.findall(s) if len(w) >= WORD_LETTERS]
+    return 2 * sum(len(w) for w in runs if len(w) >= WORD_CHARS_PER_TOKEN * tokens_of(w.lower(), path)) >= len(s)
+
+
 def random_spans(text: str, path: str | None = None, most: float = MOST_CHARS_PER_TOKEN) -> list[Span]:
-    """Strings with digits and letters that are no known digest or identifier and spell badly: few characters a token."""
+    """Strings with a letter that are no known digest or identifier and spell badly: few characters a token.
+
+    Measured on random strings (tests repeat it): found at 20, 32 and 64 characters are at least 0.99 of letters and
+    digits, of base32, of capitals, and of letters of both cases, and 0.97 of small letters. Digits alone are numbers,
+    not secrets.
+    """
     found = []
     for m in STRING.finditer(text):
         s = m[0]
-        if not any(map(str.isdigit, s)) or not any(map(str.isalpha, s)) or KNOWN.match(s):
+        if not any(map(str.isalpha, s)) or KNOWN.match(s):
             continue
-        tokens = sum(len(encoding(path).encode_ordinary(s[i : i + 500])) for i in range(0, len(s), 500))
-        if len(s) < most * tokens:
+        if len(s) < most * tokens_of(s, path) and not named(s, path):
             found.append((*m.span(), "random"))
     return found
 
@@ -75,7 +94,7 @@ def spans_of(text: str, path: str | None = None) -> tuple[list[Span], list[Span]
 
 
 def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_random of each document's whole text.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random and n_spans (of all kinds) of each document's whole text.
 
     A null text has no spans, like an empty one. Equal rows give equal rows, and an empty table none; columns other
     than doc_id and text are not read.
@@ -89,18 +108,21 @@ def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 base, more = spans_of(text or "", path)
                 count = [sum(s[2] == k for s in base) for k in ("assign", "access", "hex")]
-                rows.append((*count, digest(base, ORDER), listed([*base, *more], ORDER), len(more)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+                rows.append((*count, digest(base, ORDER), listed([*base, *more], ORDER), len(more), len(base) + len(more)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "n_spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names)
 
-    schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+    schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, n_spans long"
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def redact_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs with every secret in text replaced by [kind]; the columns as given. A null text stays null."""
+    """docs with every secret in text replaced by [kind]; all rows and columns as given.
+
+    A null text stays null, and an empty one empty. Equal rows stay equal, and an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
