@@ -175,8 +175,12 @@ def unpacked(bits: list[int]) -> np.ndarray:
 
 
 def fit_field(nodes: Counter, chain: Counter, skip: Counter) -> Field:
-    """Potentials from counts of (features, label) and of (label, label) pairs: logistic regression, and how much more
-    often than by chance two labels meet at a link."""
+    """Potentials from counts of (features, label) and of (label, label) pairs, piece by piece.
+
+    This is piecewise training: each factor is fitted on its own, the node's as a logistic regression and the pairs' as
+    how much more often than by chance two labels meet at a link. Fitted together, the node weights would explain all
+    labels, as these come of patterns, and nothing would be left for the links to say.
+    """
     n = 1 + len(KINDS)
     weights = np.zeros((FEATURES, n))
     if nodes:
@@ -232,20 +236,21 @@ def marginals(field: Field, tokens: Tokens) -> np.ndarray:
     known = {x for pair in (*tokens.skip, *tokens.far) for x, y in (pair, pair[::-1]) if given[y] and not given[x]}
     # Repeats that hear of a label themselves aren't linked to each other: their number would outweigh it.
     alike = [*((a, b) for a, b in tokens.skip if not (a in known and b in known)), *tokens.far]
-    ends = [*tokens.chain, *alike]
-    if ends:
-        table = np.concatenate((np.repeat(field.chain[None], len(tokens.chain), 0), np.repeat(field.skip[None], len(alike), 0)))
-        a, b = np.array(ends).T
-        source, target, table = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((table, table))
-        m, back = len(a), np.roll(np.arange(2 * len(a)), len(a))
+    if tokens.chain or alike:
+        a, b = np.array([*tokens.chain, *alike]).T
+        source, target = np.concatenate((a, b)), np.concatenate((b, a))
+        m = len(a)
+        chained = np.concatenate((np.arange(m), np.arange(m))) < len(tokens.chain)
         message = np.zeros((2 * m, n))
         for _ in range(ROUNDS):
             total = node.copy()
             np.add.at(total, target, message)
-            before = total[source] - message[back]
-            before -= before.max(1, keepdims=True)
-            new = np.log(np.einsum("ei,eij->ej", np.exp(before), np.exp(table)))
-            new -= np.log(np.exp(new - new.max(1, keepdims=True)).sum(1, keepdims=True)) + new.max(1, keepdims=True)
+            before = total[source] - np.concatenate((message[m:], message[:m]))  # without what came the other way
+            before = np.exp(before - before.max(1, keepdims=True))
+            new = np.empty_like(before)
+            for rows, table in ((chained, field.chain), (~chained, field.skip)):  # two tables for all links
+                new[rows] = before[rows] @ np.exp(table)
+            new = np.log(new / new.sum(1, keepdims=True))
             message = DAMPING * message + (1 - DAMPING) * new
             message[given[target]] = 0.0  # evidence stays what it is, however many tokens lean away from it
         np.add.at(node, target, message)
@@ -271,7 +276,7 @@ def spans_of(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_linked of each document's whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_linked and n_spans (of all kinds) of each document's whole text.
 
     A null text has no spans, like an empty one. Equal rows give equal rows, and an empty table none; columns other
     than doc_id and text are not read.
@@ -286,19 +291,22 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
             for text in batch.column(1).to_pylist():
                 base, more = spans_of(text or "", field)
                 count = [sum(s[2] == k for s in base) for k in KINDS]
-                rows.append((*count, digest(base, ORDER), listed([*base, *more], ORDER), len(more)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked"]
+                rows.append((*count, digest(base, ORDER), listed([*base, *more], ORDER), len(more), len(base) + len(more)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked", "n_spans"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names)
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    schema = f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_linked long"
+    schema = f"doc_id {kind}, {counts}, base_sha256 string, spans string, n_linked long, n_spans long"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def redact_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with every span in text replaced by [kind]; all rows and columns as given. A null text stays null."""
+    """docs with every span in text replaced by [kind]; all rows and columns as given.
+
+    A null text stays null, and an empty one empty. Equal rows stay equal, and an empty table stays empty.
+    """
     field = field or fit(docs)
     bounded_batches(docs.sparkSession)
 
