@@ -61,7 +61,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = Fal
     placed = one_site_each(lines) if by_text else lines.select("line", "source")
     gone = lines.join(boilerplate(placed, sites), "line", "left_semi")
     gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")))  # apart, so the join can split a hot key
-    left = F.filter(F.col("lines"), lambda _, i: ~F.array_contains("gone", i))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # hashed, so linear in the lines
+    left = F.transform(stay, lambda i: F.get("lines", i))
     out = keyed.join(gone, "key", "left").select("row", "gone", F.when(F.col("gone").isNotNull(), split).alias("lines"), split.alias("all"))
     return out.select(
         "row",
@@ -72,7 +73,11 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = Fal
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with boilerplate lines gone from text, sites counted over distinct texts; all rows and the columns as given."""
+    """docs with boilerplate lines gone from text, sites counted over distinct texts; all rows and the columns as given.
+
+    A null text stays null, a text that loses every line becomes empty, and equal rows stay separate rows. A null
+    source is no site. An empty table stays empty.
+    """
     out = without_boilerplate(docs, sites, by_text=True)
     return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
