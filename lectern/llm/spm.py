@@ -11,9 +11,9 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
-
+from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
@@ -24,6 +24,8 @@ from lectern.llm.shared import bounded_batches, materialize, tokenizer_file
 
 #: Characters in a chunk; a text of no more is one chunk.
 CHUNK = 50_000
+#: Matrices that are combined into one at a time.
+FAN = 64
 SPACE = "▁"
 
 State = tuple[int, int]  # of the piece over a boundary: characters behind the boundary, and in all
@@ -39,6 +41,7 @@ class Pieces:
         self.id = {m.id_to_piece(i): i for i in usual}
         self.score = {m.id_to_piece(i): m.get_score(i) for i in usual}
         self.longest = max(map(len, self.id))
+        self.mark = m.piece_to_id(SPACE + "a")
         self.fits: dict[tuple[str, str], bool] = {}
 
     def is_piece(self, s: str) -> bool:
@@ -184,16 +187,27 @@ class Chunk:
         return ids
 
 
-def chunks(docs: DataFrame, size: int, reach: int) -> DataFrame:
-    """(at, doc_id, chunk, last, before, text): texts cut into chunks of so many characters, each with what is around."""
-    rows = docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("whole"))
-    last = F.floor((F.greatest(F.length("whole"), F.lit(1)) - 1) / size)
-    rows = rows.select("at", "doc_id", "whole", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
-    start = F.greatest(F.col("chunk") * size - reach, F.lit(0))
-    text = F.when(F.col("last") == 0, F.col("whole")).otherwise(
-        F.substring("whole", (start + 1).cast("int"), (F.col("chunk") * size - start + size + reach).cast("int"))
-    )
-    return rows.select("at", "doc_id", "chunk", "last", (F.col("chunk") * size - start).alias("before"), text.alias("text"))
+def chunks(rows: DataFrame, size: int, reach: int) -> DataFrame:
+    """(at, doc_id, chunk, last, before, text) of rows (at, doc_id, text): texts in chunks, each with what is around.
+
+    before: how much of the text of a chunk stands before its own size characters.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["at", "doc_id", "chunk", "last", "before", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, whole in enumerate(batch.column(2).to_pylist()):
+                last = max(0, len(whole) - 1) // size
+                for k in range(0, last + 1, 16):  # some chunks a batch
+                    nth = np.arange(k, min(k + 16, last + 1))
+                    start = np.maximum(nth * size - reach, 0)
+                    text = [whole[a : c * size + size + reach] for a, c in zip(start.tolist(), nth.tolist(), strict=True)]
+                    same = [batch.column(c).take(pa.array(np.full(len(nth), row))) for c in (0, 1)]
+                    out = [*same, pa.array(nth), pa.array(np.full(len(nth), last)), pa.array(nth * size - start), pa.array(text, pa.string())]
+                    yield pa.RecordBatch.from_arrays(out, names)
+
+    return rows.mapInArrow(run, f"at long, doc_id {kind}, chunk long, last long, before long, text string")
 
 
 def as_chunk(known: Pieces, text: str, chunk: int, last: int, before: int, size: int) -> Chunk:
@@ -206,26 +220,85 @@ def as_chunk(known: Pieces, text: str, chunk: int, last: int, before: int, size:
     return Chunk(known, t, a, min(b, len(t)), chunk == 0, chunk == last)
 
 
-def scan(table: pd.DataFrame) -> pd.DataFrame:
-    """One document's transfer matrices: which piece lies over each boundary on the path of weight 0."""
-    table = table.sort_values("chunk")
-    moves = [[((a, b), (c, d)) for a, b, c, d in m] for m in table["moves"]]
-    forward, reach = [], {(0, 0)}
-    for m in moves:
-        reach = {o for i, o in m if i in reach}
-        forward.append(reach)
-    state, found = (0, 0), []
-    for k in range(len(moves) - 1, -1, -1):
-        able = forward[k - 1] if k else {(0, 0)}
-        into = min(i for i, o in moves[k] if o == state and i in able)
-        found.append((into, state))
-        state = into
-    found.reverse()
-    out = table[["at", "chunk"]].copy()
-    out["into"], out["out"] = [list(i) for i, _ in found], [list(o) for _, o in found]
+Matrix = dict[tuple[State, State], float]  # entries above minus infinity
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product of two transfer matrices; it is associative."""
+    by_in: dict[State, list[tuple[State, float]]] = {}
+    for (i, o), w in b.items():
+        by_in.setdefault(i, []).append((o, w))
+    out: Matrix = {}
+    for (i, mid), w in a.items():
+        for o, more in by_in.get(mid, ()):
+            out[i, o] = max(out.get((i, o), w + more), w + more)
     return out
 
 
+def between(matrices: list[Matrix], into: State, out: State) -> list[tuple[State, State]]:
+    """The states on both sides of each matrix on the best path from into to out; of equal ones the least."""
+    best: list[dict[State, float]] = [{into: 0.0}]
+    for m in matrices:
+        reached: dict[State, float] = {}
+        for (i, o), w in m.items():
+            if i in best[-1]:
+                reached[o] = max(reached.get(o, -float("inf")), best[-1][i] + w)
+        best.append(reached)
+    found, state = [], out
+    for m, before in zip(reversed(matrices), reversed(best[:-1]), strict=True):
+        value = max(before[i] + w for (i, o), w in m.items() if o == state and i in before)
+        left = min(i for (i, o), w in m.items() if o == state and i in before and before[i] + w == value)
+        found.append((left, state))
+        state = left
+    return found[::-1]
+
+
+def packed(m: Matrix) -> list[list[float]]:
+    return [[*i, *o, w] for (i, o), w in sorted(m.items())]
+
+
+def unpacked(rows: list[list[float]]) -> Matrix:
+    return {((int(a), int(b)), (int(c), int(d))): w for a, b, c, d, w in rows}
+
+
+def combined(table: pd.DataFrame) -> pd.DataFrame:
+    """One matrix of up to FAN neighbours of one document."""
+    table = table.sort_values("chunk")
+    whole = reduce(product, (unpacked(m) for m in table["moves"]))
+    return pd.DataFrame({"at": table["at"].iloc[:1], "chunk": table["chunk"].iloc[:1] // FAN, "moves": [packed(whole)]})
+
+
+def parted(table: pd.DataFrame) -> pd.DataFrame:
+    """The states around each of up to FAN neighbours, from those around all of them together."""
+    table = table.sort_values("chunk")
+    into, out = table["into"].iloc[0], table["out"].iloc[0]
+    found = between([unpacked(m) for m in table["moves"]], tuple(into), tuple(out))
+    made = table[["at", "chunk"]].copy()
+    made["into"], made["out"] = [list(i) for i, _ in found], [list(o) for _, o in found]
+    return made
+
+
+def boundary_states(moves: DataFrame, most: int) -> DataFrame:
+    """(at, chunk, into, out): which pieces lie over a chunk's ends on its document's best path; most: chunks of a document.
+
+    Up a tree, FAN neighbouring matrices at a time become one by their product, until one is left of each document; its
+    ends are known, so down the tree every node learns the states around its children. No task holds more than FAN.
+    """
+    levels = [moves]
+    while most > 1:
+        group = (F.col("chunk") / FAN).cast("long")
+        up = levels[-1].groupBy("at", group).applyInPandas(combined, "at long, chunk long, moves array<array<double>>")
+        levels.append(materialize(up))
+        most = -(-most // FAN)
+    ends = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    states = levels[-1].select("at", "chunk", ends.alias("into"), ends.alias("out"))
+    for below in reversed(levels[:-1]):
+        above = states.withColumnRenamed("chunk", "above")
+        rows = below.withColumn("above", (F.col("chunk") / FAN).cast("long")).join(above, ["at", "above"])
+        states = rows.groupBy("at", "above").applyInPandas(parted, "at long, chunk long, into array<long>, out array<long>")
+    return states
+
+
 def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK) -> DataFrame:
     """(doc_id, chunk, last, text, ids): each document's ids in order of chunk, and the chunk's own characters.
 
@@ -236,16 +309,17 @@ def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK) -> DataF
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     reach = 2 * pieces_of(path).longest
-    cut = chunks(docs, size, reach)
-    giant = materialize(cut.where("last > 0"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    large = rows.where(F.length("text") > size).select(F.monotonically_increasing_id().alias("at"), "*")
+    giant = materialize(chunks(large, size, reach))
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces_of(path)
         for batch in batches:
             moves = []
             for chunk, last, before, text in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
-                moves.append([[*i, *o] for i, o in as_chunk(known, text, chunk, last, before, size).transfers()])
-            out = [batch.column(0), batch.column(2), pa.array(moves, pa.list_(pa.list_(pa.int64())))]
+                moves.append(packed(dict.fromkeys(as_chunk(known, text, chunk, last, before, size).transfers(), 0.0)))
+            out = [batch.column(0), batch.column(2), pa.array(moves, pa.list_(pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays(out, ["at", "chunk", "moves"])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,33 +339,38 @@ def encode(docs: DataFrame, path: str | None = None, size: int = CHUNK) -> DataF
             made = [batch.column(1), batch.column(2), batch.column(3), pa.array(own, pa.string()), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "chunk", "last", "text", "ids"])
 
-    moves = giant.mapInArrow(transfer, "at long, chunk long, moves array<array<long>>")
-    states = moves.groupBy("at").applyInPandas(scan, "at long, chunk long, into array<long>, out array<long>")
-    none = F.lit(None).cast("array<long>")
-    joined = giant.join(states, ["at", "chunk"]).select(*cut.columns, "into", "out")
-    rows = cut.where("last = 0").select("*", none.alias("into"), none.alias("out")).unionByName(joined)
-    return rows.mapInArrow(encoded, f"doc_id {kind}, chunk long, last long, text string, ids array<int>")
+    most = giant.agg(F.max("last") + 1).first()[0] or 0
+    none, zero = F.lit(None).cast("array<long>"), F.lit(0).cast("long")
+    small = rows.where(F.length("text") <= size)
+    parts = small.select(zero.alias("at"), "doc_id", zero.alias("chunk"), zero.alias("last"), zero.alias("before"), "text", none.alias("into"), none.alias("out"))
+    if most:
+        moves = materialize(giant.mapInArrow(transfer, "at long, chunk long, moves array<array<double>>"))
+        states = boundary_states(moves, most)
+        parts = parts.unionByName(giant.join(states, ["at", "chunk"]).select(*parts.columns))
+    return parts.mapInArrow(encoded, f"doc_id {kind}, chunk long, last long, text string, ids array<int>")
 
 
 def decode_ids(known: Pieces, ids: list[int], first: bool) -> str:
-    """The text of a document's ids, or of one chunk's; the blank that the model puts first is dropped."""
-    m, out = known.model, bytearray()
-    for i in ids:
-        out += bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(SPACE, " ").encode()
-    text = out.decode("utf-8", "replace")
-    return text[1:] if first and text[:1] == " " else text
+    """The text of a document's ids, or of one chunk's.
+
+    The model drops the blank that it puts before a text; a piece before other chunks keeps it from doing so there.
+    """
+    return known.model.decode(ids) if first else known.model.decode([known.mark, *ids])[1:]
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, chunk, n_tokens, ids_crc32 and n_chars (of the text decoded from the ids) of each chunk of encode()."""
+    """doc_id, chunk, n_tokens, ids_crc32 and n_chars (of the text decoded from the ids) of each chunk of encode().
+
+    A null or empty text is one chunk of no tokens and no characters; equal rows give equal rows, an empty table none.
+    """
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces_of(path)
         for batch in batches:
-            chunk, last, ids = (batch.column(c).to_pylist() for c in (1, 2, 4))
+            chunk, ids = (batch.column(c).to_pylist() for c in (1, 4))
             crc = [zlib.crc32(array("I", x).tobytes()) for x in ids]
-            text = [known.model.decode(x) if n == 0 else decode_ids(known, x, k == 0) for x, k, n in zip(ids, chunk, last, strict=True)]
+            text = [decode_ids(known, x, k == 0) for x, k in zip(ids, chunk, strict=True)]
             out = [batch.column(0), batch.column(1), pa.array(list(map(len, ids)), pa.int64()), pa.array(crc, pa.int64()), pa.array(list(map(len, text)), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "chunk", "n_tokens", "ids_crc32", "n_chars"])
 
@@ -299,7 +378,10 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, chunk, text) from the ids alone; a document is its chunks in order."""
+    """(doc_id, chunk, text) from the ids alone; a document is its chunks in order.
+
+    Chunks without ids, as of null or empty texts, give an empty text; equal rows give equal rows, an empty table none.
+    """
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,5 +392,3 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "chunk", "text"])
 
     return encoded.select("doc_id", "chunk", "ids").mapInArrow(run, f"doc_id {kind}, chunk long, text string")
-
-
