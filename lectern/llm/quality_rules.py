@@ -18,11 +18,18 @@ BARS, LABEL_WORDS = 3, 4
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Fixed phrases of boilerplate lines, in lower case.
+#: Fixed phrases of boilerplate lines in four languages, in lower case and with blanks for marks; they count as whole words.
 BOILERPLATE = (
-    "all rights reserved", "click here", "cookie", "javascript", "licensed under", "log in", "privacy policy",
-    "sign up", "skip to content", "subscribe", "terms of service", "terms of use",
+    "all rights reserved", "click here", "cookie policy", "cookies", "enable javascript", "licensed under", "log in",
+    "privacy policy", "sign up", "skip to content", "subscribe", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "impressum", "nutzungsbedingungen", "zum inhalt springen",
+    "aviso legal", "haga clic aquí", "iniciar sesión", "política de privacidad", "términos de uso", "todos los derechos reservados",
+    "cliquez ici", "conditions d utilisation", "mentions légales", "politique de confidentialité", "se connecter", "tous droits réservés",
 )
+#: Characters of a line that such a phrase makes boilerplate, at most; longer ones are prose that mentions it.
+MOST_PHRASE = 160
+#: Marks that stand between words like blanks.
+MARKS = ".,;:!?()[]'\"|/-\t\r"
 #: Marks that can end a sentence or stand behind its end.
 ENDS = ".!?:;\"')]…»”"
 #: Bits for a word's place in a packed number; the rest hold a hash.
@@ -37,16 +44,17 @@ def count_of(text: Column, marks: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """The rules of one line: punctuation, navigation, boilerplate, symbols and shouting."""
-    low, size = F.lower(line), F.length(line)
+    size = F.length(line)
     ends = F.btrim(line, F.lit(BLANKS))
-    words = F.length(ends) - F.length(F.replace(ends, F.lit(" "), F.lit(""))) + 1
-    phrase = reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in BOILERPLATE))
+    words = F.size(F.split(ends, "[ \\t-\\r]+"))
+    spaced = F.concat(F.lit(" "), F.translate(F.lower(line), MARKS, " " * len(MARKS)), F.lit(" "))
+    phrase = reduce(lambda a, b: a | b, (F.contains(spaced, F.lit(f" {p} ")) for p in BOILERPLATE))
     return ~(
         (F.instr(F.lit(ENDS), F.right(ends, F.lit(1))) == 0) & (words < LABEL_WORDS)
         | (count_of(line, "|") >= BARS)
         | (count_of(line, SYMBOLS) > MOST_SYMBOLS * size)
         | (count_of(line, "!") > MOST_SHOUTS * size)
-        | phrase
+        | (size <= MOST_PHRASE) & phrase
     )
 
 
@@ -133,6 +141,7 @@ def _sql_count(of: str, marks: str) -> str:
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_MARKS = "'" + MARKS.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\r", "' || chr(13) || '") + "'"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
@@ -143,12 +152,13 @@ n AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM n) GROUP BY r),
 q AS (SELECT r, unnest(lines) AS line FROM w),
 e AS (SELECT r, line, trim(line, {_BLANKS}) AS t FROM q),
+s AS (SELECT *, ' ' || translate(lower(line), {_MARKS}, '{" " * len(MARKS)}') || ' ' AS spaced FROM e),
 v AS (SELECT r, sum(length(line)) AS line_chars, sum(length(line)) FILTER (NOT (
-        (strpos('{ENDS.replace("'", "''")}', right(t, 1)) = 0 AND length(t) - length(replace(t, ' ', '')) + 1 < {LABEL_WORDS})
+        (strpos('{ENDS.replace("'", "''")}', right(t, 1)) = 0 AND len(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+')) < {LABEL_WORDS})
         OR {_sql_count("line", "|")} >= {BARS}
         OR {_sql_count("line", SYMBOLS)} > {MOST_SYMBOLS} * length(line)
         OR {_sql_count("line", "!")} > {MOST_SHOUTS} * length(line)
-        OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)})) AS kept_chars FROM e GROUP BY r),
+        OR length(line) <= {MOST_PHRASE} AND ({" OR ".join(f"contains(spaced, ' {p} ')" for p in BOILERPLATE)}))) AS kept_chars FROM s GROUP BY r),
 f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
       {_sql_count("text", SYMBOLS)}::BIGINT AS n_symbols,
       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
