@@ -9,17 +9,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bounded_batches
+from lectern.llm.shared import bounded_batches, discard, materialize
 
-#: Documents, by order of their ids' hashes, that the linear scorer is trained on.
-SAMPLE = 6000
+#: Documents, by order of their ids' hashes, that the linear scorer is trained on, and entries of their sparse rows in all.
+SAMPLE, ENTRIES = 6000, 4_000_000
 #: Hash buckets of words, and the weights of text shape behind them.
 BUCKETS = 1 << 16
-#: Rounds of EM, steps of training, and its shrinkage.
-EM_ROUNDS, STEPS, SHRINK = 60, 150, 1e-4
+#: Rounds of EM at most, steps of training, and its shrinkage.
+EM_ROUNDS, STEPS, SHRINK = 300, 150, 1e-4
 #: Documents that score less are rejected.
 LEAST = 0.5
 
@@ -73,7 +73,7 @@ def votes_of(s: Shape) -> tuple[int, ...]:
     """Each labeller's vote: 1 good, -1 bad, 0 none."""
     n = len(s.words)
     return (
-        1 if n >= 80 else -1 if n < 30 else 0,
+        1 if n >= 80 else 0 if n else -1,
         -1 if s.symbols > 0.03 else 1 if s.symbols < 0.005 else 0,
         -1 if s.shouts > 0.02 else 1 if s.shouts < 0.002 else 0,
         -1 if s.upper > 0.4 else 1 if s.upper < 0.1 else 0,
@@ -87,42 +87,77 @@ def votes_of(s: Shape) -> tuple[int, ...]:
     )
 
 
-LABELLERS = 11
-#: How often a labeller votes bad, not at all and good, on bad documents and on good ones, if nothing else is known.
-BELIEF = np.array([[0.4, 0.1, 0.5], [0.01, 0.14, 0.85]])
+#: What each labeller is about: a kind of bad text.
+KINDS = ("size", "symbols", "shouting", "shouting", "repeated words", "words", "repeated lines", "ends", "insults", "symbols", "symbols")
+#: What is believed before a vote is seen: how often a labeller votes bad, not at all and good on good text, on bad text of
+#: its kind, and on bad text of another kind. It counts like WEIGHT documents of each kind of text.
+GOOD, OWN, OTHER, WEIGHT = np.array([0.01, 0.14, 0.85]), np.array([0.9, 0.05, 0.05]), np.array([0.05, 0.1, 0.85]), 10.0
+
+
+#: How often a labeller that is the only one of its kind votes bad on good text. Nothing in the votes can tell this, so it stays.
+FALSE_ALARMS = 0.001
 
 
 @dataclass
 class Labellers:
-    """prior: share of good documents; table[j, y, v + 1]: how often labeller j votes v on class y (0 bad, 1 good)."""
+    """How common good text (0) and each kind of bad text is, and how labellers vote on them.
 
-    prior: float
+    table[c, j, v + 1]: how often labeller j votes v on text of class c. kinds: each labeller's own class, from 1.
+    """
+
+    prior: np.ndarray
     table: np.ndarray
+    kinds: np.ndarray
+
+    def shares(self, votes: np.ndarray) -> np.ndarray:
+        """How likely each row of votes is of each class."""
+        if not len(votes):
+            return np.zeros((0, len(self.prior)))
+        j = np.arange(votes.shape[1])
+        log = np.stack([np.log(t[j, votes + 1]).sum(1) for t in self.table], 1) + np.log(self.prior)
+        for c in range(1, len(self.prior) if len(self.prior) > 2 else 0):
+            log[~(votes[:, self.kinds == c] < 0).any(1), c] = -np.inf  # of several kinds, one needs an alarm of its own
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """How likely each row of votes is of a good document."""
-        j = np.arange(votes.shape[1])
-        log = np.log(self.table[j[None, :, None], np.arange(2)[None, None, :], (votes + 1)[:, :, None]]).sum(1)
-        log += np.log([1 - self.prior, self.prior])
-        log -= log.max(1, keepdims=True)
-        return (np.exp(log) / np.exp(log).sum(1, keepdims=True))[:, 1]
+        return self.shares(votes)[:, 0]
 
 
-def estimate(patterns: dict[tuple[int, ...], int]) -> Labellers:
-    """Expectation-maximisation over the counts of vote patterns; it starts from the majority of votes."""
+def estimate(patterns: dict[tuple[int, ...], int], kinds: tuple[str, ...] | None = None) -> Labellers:
+    """Expectation-maximisation over the counts of vote patterns: a latent class for good text and one for each kind of bad.
+
+    kinds: what each labeller is about; without it all are about one kind. A vote of none is an outcome like the
+    others. It starts from the votes about each kind. Text is of one of several kinds only if a labeller of that kind
+    votes bad, and a kind's only labeller has a fixed rate of false alarms.
+    """
+    size = len(next(iter(patterns))) if patterns else len(kinds or KINDS)
+    names = sorted(set(kinds)) if kinds else [""]
+    of = np.array([1 + names.index(k) for k in kinds]) if kinds else np.ones(size, np.int64)
+    belief = np.stack([np.repeat(GOOD[None], size, 0), *(np.where((of == c)[:, None], OWN, OTHER) for c in range(1, 1 + len(names)))])
+    model = Labellers(np.full(len(belief), 1 / len(belief)), belief, of)
     if not patterns:
-        return Labellers(0.5, np.full((LABELLERS, 2, 3), 1 / 3))
+        return model
     votes, n = np.array(sorted(patterns)), np.array([patterns[k] for k in sorted(patterns)], float)
-    good = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
+    cast = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # patterns, labellers, votes
+    about = [votes[:, of == c] for c in range(1, len(belief))]
+    bad = np.stack([(v < 0).any(1) / (1 + np.exp(2.0 * v.sum(1))) for v in about], 1)
+    share = np.concatenate((np.maximum(1 - bad.sum(1, keepdims=True), 0.01), bad), 1)
+    share /= share.sum(1, keepdims=True)
     for _ in range(EM_ROUNDS):
-        share = np.stack([n * (1 - good), n * good])
-        # what is believed of a labeller before it is seen weighs as much as what is seen, as kinds of bad text differ
-        table = np.stack([np.stack([(share * (votes[:, j] == v)).sum(1) for v in (-1, 0, 1)], 1) for j in range(votes.shape[1])])
-        table += BELIEF * (share.sum(1)[:, None] + 1)
-        table /= table.sum(2, keepdims=True)
-        prior = float(np.clip((n * good).sum() / n.sum(), 0.01, 0.99))
-        good = Labellers(prior, table).posterior(votes)
-    return Labellers(prior, table)
+        weight = share * n[:, None]
+        prior = weight.sum(0) + WEIGHT
+        table = np.einsum("pc,pjv->cjv", weight, cast) + WEIGHT * belief
+        table /= prior[:, None, None]
+        alone = np.flatnonzero(np.bincount(of, minlength=len(belief))[of] == 1)
+        table[0, alone] *= ((1 - FALSE_ALARMS) / table[0, alone, 1:].sum(1))[:, None]
+        table[0, alone, 0] = FALSE_ALARMS
+        model = Labellers(prior / prior.sum(), table, of)
+        before, share = share, model.shares(votes)
+        if np.abs(share - before).max() < 1e-6:
+            break
+    return model
 
 
 def features(s: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +170,17 @@ def features(s: Shape) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((at, BUCKETS + np.arange(len(more)))), np.concatenate((value, more))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> np.ndarray:
-    """Weights of a logistic scorer on soft labels, by gradient steps with a momentum."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic scorer on soft labels, by gradient steps with a momentum; times: how often each row counts."""
     weights, moved = np.zeros(BUCKETS + 10), np.zeros(BUCKETS + 10)
     if not rows:
         return weights
+    times = np.ones(len(rows)) if times is None else times
     row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at, value = (np.concatenate(x) for x in zip(*rows, strict=True))
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.bincount(row, value * weights[at], len(rows))))
-        slope = np.bincount(at, value * (good - p)[row], len(weights)) / len(rows) - SHRINK * weights
+        slope = np.bincount(at, value * (times * (good - p))[row], len(weights)) / times.sum() - SHRINK * weights
         moved = 0.9 * moved + slope
         weights = weights + 2.0 * moved
     return weights
@@ -158,7 +194,9 @@ def score(weights: np.ndarray, s: Shape) -> float:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[Labellers, np.ndarray]:
     """Accuracies from the votes on all documents, and a scorer trained on at most sample of them.
 
-    Only counts of vote patterns (3 to the power of the labellers at most) and the sample's rows go to the driver.
+    Only counts of vote patterns (3 to the power of the labellers at most) and the sample's rows go to the driver; of
+    these, by order of their ids' hashes, only as many as have ENTRIES entries together. Rows of equal id and text are
+    one that counts as often as it is there.
     """
     bounded_batches(docs.sparkSession)
 
@@ -171,19 +209,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[Labellers, np.ndarray]:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes = [shape_of(text or "") for text in batch.column(0).to_pylist()]
+            shapes = [shape_of(text or "") for text in batch.column(2).to_pylist()]
             places, values = zip(*map(features, shapes), strict=True) if shapes else ((), ())
-            out = pa.array([list(votes_of(s)) for s in shapes], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*out], ["votes", "at", "value"])
+            out = pa.array([list(votes_of(s)) for s in shapes], pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], ["h", "k", "votes", "at", "value"])
 
     voted = docs.select("text").mapInArrow(vote, "votes array<long>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    labellers = estimate({tuple(r["votes"]): r["n"] for r in voted.collect()})
-    low = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(low), "doc_id", "left_semi").select("text")
-    made = chosen.mapInArrow(rows, "votes array<long>, at array<long>, value array<double>").limit(2 * sample).toArrow()
-    table = sorted(zip(*(made.column(c).to_pylist() for c in ("votes", "at", "value")), strict=True))
-    good = labellers.posterior(np.array([r[0] for r in table])) if table else np.zeros(0)
-    return labellers, train([(np.array(a), np.array(v)) for _, a, v in table], good)
+    labellers = estimate({tuple(r["votes"]): r["n"] for r in voted.collect()}, KINDS)
+    marked = docs.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("k"), "text")
+    low = materialize(marked.select("h", "k").groupBy("h", "k").agg(F.count("*").alias("times")).orderBy("h", "k").limit(sample))
+    chosen = marked.join(F.broadcast(low.select("h", "k")), ["h", "k"], "left_semi")  # as many rows as sample
+    made = materialize(chosen.mapInArrow(rows, "h long, k long, votes array<long>, at array<int>, value array<float>").dropDuplicates(["h", "k"]))
+    so_far = F.sum("size").over(Window.orderBy("h", "k"))  # of as many narrow rows as sample
+    fits = made.select("h", "k", F.size("at").alias("size")).select("h", "k", so_far.alias("so_far")).where(F.col("so_far") <= ENTRIES)
+    table = made.join(fits, ["h", "k"]).join(low, ["h", "k"]).orderBy("h", "k").select("votes", "at", "value", "times").toArrow()
+    votes, at, value, times = (table.column(c).to_pylist() if c == "votes" else table.column(c).to_numpy() for c in ("votes", "at", "value", "times"))
+    good = labellers.posterior(np.array(votes)) if votes else np.zeros(0)
+    weights = train([(np.asarray(a, np.int64), np.asarray(v, float)) for a, v in zip(at, value, strict=True)], good, np.asarray(times, float))
+    discard(low, made)
+    return labellers, weights
 
 
 def classify(docs: DataFrame, model: tuple[Labellers, np.ndarray] | None = None, least: float = LEAST) -> DataFrame:
@@ -200,7 +244,7 @@ def classify(docs: DataFrame, model: tuple[Labellers, np.ndarray] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes = [shape_of(text or "") for text in batch.column(1).to_pylist()]
-            weak = labellers.posterior(np.array([votes_of(s) for s in shapes])) if shapes else np.zeros(0)
+            weak = labellers.posterior(np.array([votes_of(s) for s in shapes], np.int64))
             found = np.array([score(weights.value, s) for s in shapes], float)
             out = [batch.column(0), pa.array(weak), pa.array(found), pa.array(found >= least)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "weak_label", "score", "kept"])
