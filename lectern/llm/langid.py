@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import bounded_batches
+from lectern.llm.shared import bounded_batches, materialize
 
 #: N-grams in a profile.
 RANKS = 300
-#: Languages that a model can tell apart; more are an error, not cut.
+#: Languages whose profiles fit in a broadcast; with more, profiles stay a table that n-grams of documents are joined with.
 MOST_LANGUAGES = 1000
 #: Distinct words that a task counts before it passes their n-grams on.
 WORDS = 200_000
@@ -94,24 +94,29 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles:
-    """Each language's most frequent n-grams, most frequent first; ties by spelling. They alone go to the driver."""
+def profile_table(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
+    """(lang, rank, gram): each language's most frequent n-grams, most frequent first, from rank 1; ties by spelling."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = gram_counts(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
-    rows = top.select("lang", "rank", "gram").limit(ranks * MOST_LANGUAGES + 1).collect()
-    if len(rows) > ranks * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return gram_counts(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks).select("lang", "rank", "gram")
+
+
+def collected(table: DataFrame) -> Profiles:
+    """A table of profiles of few languages as lists."""
     found: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:
+    for r in table.collect():
         found.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     return {lang: [g for _, g in sorted(grams)] for lang, grams in sorted(found.items())}
 
 
-def distances(text: str, codes: np.ndarray, rank: np.ndarray, langs: int, ranks: int) -> np.ndarray | None:
-    """The out-of-place distance of a text to each language, from 0 to 1; None for a text without a letter.
+def learn(docs: DataFrame, ranks: int = RANKS) -> Profiles | DataFrame:
+    """Profiles as lists where they are of few languages, which alone go to the driver; as a table otherwise."""
+    table = materialize(profile_table(docs, ranks))
+    few = len(table.where("rank = 1").select("lang").limit(MOST_LANGUAGES + 1).collect()) <= MOST_LANGUAGES
+    return collected(table) if few else table
 
-    codes, rank: sorted n-grams of all profiles with their place in each (ranks where a profile has them not).
-    """
+
+def top_grams(text: str, ranks: int) -> np.ndarray | None:
+    """A text's most frequent n-grams as numbers, most frequent first, ties by number; None for a text without a letter."""
     padded = words_of(text)
     if not any(map(str.isalpha, padded)):
         return None
@@ -122,8 +127,17 @@ def distances(text: str, codes: np.ndarray, rank: np.ndarray, langs: int, ranks:
         nth = np.partition(n, -ranks)[-ranks]
         keep = np.flatnonzero(n >= nth)
         grams, n = grams[keep], n[keep]
-    top = np.lexsort((grams, -n))[:ranks]
-    grams = grams[top]
+    return grams[np.lexsort((grams, -n))[:ranks]]
+
+
+def distances(text: str, codes: np.ndarray, rank: np.ndarray, langs: int, ranks: int) -> np.ndarray | None:
+    """The out-of-place distance of a text to each language, from 0 to 1; None for a text without a letter.
+
+    codes, rank: sorted n-grams of all profiles with their place in each (ranks where a profile has them not).
+    """
+    grams = top_grams(text, ranks)
+    if grams is None:
+        return None
     at = np.minimum(np.searchsorted(codes, grams), max(len(codes) - 1, 0))
     there = codes[at] == grams
     out = np.where(there[:, None], np.abs(rank[at] - np.arange(len(grams))[:, None]), ranks)
@@ -140,15 +154,55 @@ def tables(profiles: Profiles, ranks: int) -> tuple[list[str], np.ndarray, np.nd
     return langs, codes, rank
 
 
-def predict(docs: DataFrame, profiles: Profiles, ranks: int = RANKS) -> DataFrame:
+def lead(best: float, second: float) -> float:
+    """How far the smallest distance is ahead of the next, as a share of that."""
+    return 1.0 if second <= 0 else min(1.0, max(0.0, 1 - best / second))
+
+
+def predict_by_join(rows: DataFrame, profiles: DataFrame, ranks: int) -> DataFrame:
+    """As predict(), of rows (doc_id, held_out, text), by joining documents' n-grams with a table of any number of profiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [top_grams(text, ranks) if text else None for text in batch.column(1).to_pylist()]
+            grams = [None if g is None else [spelled(x) for x in g.tolist()] for g in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.string()))], ["at", "grams"])
+
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "*"))
+    grams = materialize(rows.select("at", "text").mapInArrow(run, "at long, grams array<string>"))
+    each = grams.select("at", F.size("grams").alias("n"), F.posexplode("grams").alias("place", "gram"))
+    near = F.lit(ranks) - F.abs(F.col("rank") - 1 - F.col("place"))
+    close = each.join(profiles, "gram").groupBy("at", "lang").agg(F.sum(near).alias("near"), F.first("n").alias("n"))
+    close = close.select("at", "lang", (1 - F.col("near") / (F.lit(float(ranks)) * F.col("n"))).alias("distance"))
+    order = Window.partitionBy("at").orderBy("distance", "lang")
+    two = close.withColumn("nth", F.row_number().over(order)).where("nth <= 2").groupBy("at")
+    two = two.agg(F.min(F.struct("distance", "lang")).alias("best"), F.max("nth").alias("n"), F.max("distance").alias("second"))
+    none = profiles.agg(F.min("lang").alias("least"))  # what wins where no n-gram of a document is in any profile
+    distance, second = F.coalesce("best.distance", F.lit(1.0)), F.when(F.col("n") == 2, F.col("second")).otherwise(1.0)
+    share = F.when(second <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - distance / second)))
+    letters = F.col("grams").isNotNull()
+    out = rows.join(grams, "at").join(two, "at", "left").crossJoin(F.broadcast(none))  # one row
+    return out.select(
+        "doc_id",
+        "held_out",
+        F.when(letters, F.coalesce("best.lang", "least")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(letters, share).otherwise(0.0).alias("score"),
+        F.when(letters, distance).otherwise(1.0).alias("distance"),
+    )
+
+
+def predict(docs: DataFrame, profiles: Profiles | DataFrame, ranks: int = RANKS) -> DataFrame:
     """docs(doc_id, text, ...) as doc_id, held_out, lang_pred and score, and the distance of the chosen language.
 
     The language is that of the smallest distance, the first by name of equal ones; score is how far it is ahead of
     the next, or of the largest possible distance, as a share of that. und and 0 where the text is null or has no
-    letter, or where there is no profile.
+    letter, or where there is no profile. Equal rows give equal rows, an empty table none.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", (~in_training("doc_id")).alias("held_out"), "text")
+    if isinstance(profiles, DataFrame):
+        return predict_by_join(rows, profiles, ranks)
     langs, codes, rank = tables(profiles, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +214,10 @@ def predict(docs: DataFrame, profiles: Profiles, ranks: int = RANKS) -> DataFram
                 pred.append(UNKNOWN if best is None else langs[best])
                 distance.append(1.0 if best is None else float(d[best]))
                 rest = [] if best is None else np.delete(d, best)
-                second = float(min(rest)) if len(rest) else 1.0
-                score.append(0.0 if best is None else 1.0 if second <= 0 else min(1.0, max(0.0, 1 - distance[-1] / second)))
+                score.append(0.0 if best is None else lead(distance[-1], float(min(rest)) if len(rest) else 1.0))
             out = [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", "distance"])
 
-    rows = docs.select("doc_id", (~in_training("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, distance double")
 
 
@@ -179,17 +231,23 @@ def identify(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """docs without those whose language can't be told: null text, no letters, or nothing learned that is like them."""
-    profiles = learn(docs.where(in_training("doc_id")), ranks)
-    langs, codes, rank = tables(profiles, ranks)
+    """docs without those whose language can't be told: null text, no letters, or nothing learned that is like them.
+
+    Where nothing could be learned, as no document has a language, all texts with letters stay. Equal rows stay or go
+    together; an empty table stays empty; all columns are as given.
+    """
+    table = materialize(profile_table(docs.where(in_training("doc_id")), ranks))
     bounded_batches(docs.sparkSession)
+    known = table.select("gram").distinct()
+    few = [r["gram"] for r in known.limit(ranks * MOST_LANGUAGES + 1).collect()]
+    if len(few) > ranks * MOST_LANGUAGES:  # so many that hardly a letter is unknown: told apart by single letters
+        few = [r["gram"] for r in known.where(F.length("gram") == 1).collect()]  # as many as there are letters
+    codes = np.array(sorted(map(coded, few)), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                d = distances(text, codes, rank, len(langs), ranks) if text and langs else None
-                keep.append(d is not None and bool(d.min() < 1))
+            found = [top_grams(text, ranks) if text else None for text in batch.column("text").to_pylist()]
+            keep = [g is not None and (not len(codes) or bool(np.isin(g, codes).any())) for g in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
