@@ -10,15 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.bitplanes import spanning_star
 from lectern.llm.components import connected_components
-from lectern.llm.shared import bounded_batches, materialize
+from lectern.llm.nearcopies import runs
+from lectern.llm.shared import bounded_batches, discard, materialize
 
 #: Least cosine of a link.
 COSINE = 0.93
 #: Hash tables, neighbouring cells probed in each, and the length of a unit vector in units of the lattice.
 TABLES, PROBES, SCALE = 8, 2, 0.9
-#: Vectors of a block; a cell of more is cut into blocks, and every two of its blocks are compared.
-BLOCK = 512
+#: A cell of n vectors is cut into about sqrt(n / PART) blocks, every two of which are compared in a task: with n, blocks
+#: grow as well as their number, so copies of a vector grow with the root of n only.
+PART = 16
+#: Vectors of a block that are multiplied at a time, which bounds memory.
+TILE = 512
 SEED = 8
 
 
@@ -84,76 +89,95 @@ def unit(values: pa.ListArray) -> np.ndarray:
 
 
 def addresses(classes: DataFrame) -> DataFrame:
-    """(id, cell, home) of classes(id, label, embedding): one own cell and some visited ones in each table."""
+    """(id, label, width, all) of classes(id, label, embedding): its cells, own ones and visited ones of each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, widths = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).value_lengths())
+            widths = np.array(batch.column(2).value_lengths())
             for width in np.unique(widths):
-                rows = np.flatnonzero(widths == width)
-                found = cells(unit(batch.column(1).take(pa.array(rows)))).reshape(len(rows), -1)
-                n, home = found.shape[1], np.arange(found.shape[1]) % (1 + PROBES) == 0
-                out = [np.repeat(ids[rows], n), found.reshape(-1), np.tile(home, len(rows))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], ["id", "cell", "home"])
+                rows = pa.array(np.flatnonzero(widths == width))
+                found = cells(unit(batch.column(2).take(rows))).reshape(len(rows), -1)
+                out = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(rows), width), pa.int64()), pa.array(list(found), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, ["id", "label", "width", "all"])
 
-    made = classes.select("id", "embedding").mapInArrow(run, "id long, cell long, home boolean")
-    return made.join(classes.select("id", "label", F.size("embedding").alias("width")), "id").select(
-        "id", F.xxhash64("cell", "label", "width").alias("cell"), "home"
-    )
+    kind = classes.schema["label"].dataType.simpleString()
+    return classes.select("id", "label", "embedding").mapInArrow(run, f"id long, label {kind}, width long, all array<long>")
+
+
+def meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The one cell at which each pair of rows of cells (pairs, tables, 1 + probes) counts.
+
+    Two vectors meet where one is at home and the other is at home or visits. Of the first table in which they do, it
+    is the smaller cell.
+    """
+    there, back = (b == a[:, :, :1]).any(2), (a == b[:, :, :1]).any(2)
+    first = (there | back).argmax(1)
+    row = np.arange(len(a))
+    low, high = a[row, first, 0], b[row, first, 0]
+    both = there[row, first] & back[row, first]
+    return np.where(both, np.minimum(low, high), np.where(there[row, first], low, high))
 
 
 def linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) of rows (cell, lo, hi, side, home, id, embedding), sorted by block pair.
+    """What links add, of rows (key, lo, hi, low, cell, home, id, n, all, embedding) sorted by (key, lo, hi).
 
-    Blocks of one cell are compared as a matrix product; only links leave. Two visitors aren't compared.
+    Rows out: (id, root, more): the members of linked classes of an id, as far as they count here, and one vector that
+    links connect it with. Two blocks of one cell are compared as matrix products of tiles; two visitors aren't compared.
     """
-    names = ["u", "v"]
 
     def compared(t: pa.Table) -> pa.RecordBatch:
-        lo, hi, side, home, ids = (t.column(c).to_numpy() for c in ("lo", "hi", "side", "home", "id"))
+        low, cell, home, ids, n = (t.column(c).to_numpy() for c in ("low", "cell", "home", "id", "n"))
         x = unit(t.column("embedding").combine_chunks())
-        a = np.flatnonzero(home)
-        close = x[a] @ x.T >= least - 1e-12
-        if lo[0] != hi[0]:  # pairs within one block have their own
-            close &= side[a][:, None] != side[None, :]
-        i, j = np.nonzero(close)
-        i = a[i]
-        # the product of the pair alone decides, so that no other row changes the last digits
-        exact = np.einsum("ij,ij->i", x[i], x[j]) >= least
-        u, v = np.minimum(ids[i], ids[j])[exact], np.maximum(ids[i], ids[j])[exact]
-        pairs = np.unique(np.stack((u, v))[:, u < v], axis=1)
-        return pa.RecordBatch.from_arrays([*map(pa.array, pairs)], names)
-
-    kept: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
-        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), key.shape[1]]
-        for a, b in zip(starts, starts[1:]):
-            if a < b:
-                this = tuple(key[:, a])
-                if this != last and kept:
-                    yield compared(pa.Table.from_batches(kept))
-                    kept = []
-                kept.append(batch.slice(a, b - a))
-                last = this
-    if kept:
-        yield compared(pa.Table.from_batches(kept))
+        at = t.column("all").combine_chunks().flatten().to_numpy().reshape(len(ids), TABLES, 1 + PROBES)
+        within = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+        left = np.arange(len(ids)) if within else np.flatnonzero(low)
+        right = left if within else np.flatnonzero(~low)
+        more, ends = np.zeros(len(ids), np.int64), [np.zeros((2, 0), np.int64)]
+        for p in range(0, len(left), TILE):
+            for q in range(p if within else 0, len(right), TILE):
+                i, j = np.nonzero(x[left[p : p + TILE]] @ x[right[q : q + TILE]].T >= least - 1e-12)
+                i, j = left[p + i], right[q + j]
+                here = (i < j if within else i != j) & (home[i] | home[j])
+                i, j = i[here], j[here]
+                # the product of the pair alone decides, so that no other row changes the last digits
+                here = np.einsum("ij,ij->i", x[i], x[j]) >= least
+                i, j = i[here], j[here]
+                here = meeting(at[i], at[j]) == cell[0]
+                i, j = i[here], j[here]
+                np.add.at(more, i, n[j])
+                np.add.at(more, j, n[i])
+                ends.append(np.stack(spanning_star(len(ids), i, j)))
+        root, member = spanning_star(len(ids), *np.concatenate(ends, axis=1))
+        to = np.arange(len(ids))
+        to[member] = root
+        keep = more > 0
+        out = [pa.array(v[keep]) for v in (ids, ids[to], more)]
+        return pa.RecordBatch.from_arrays(out, ["id", "root", "more"])
+
+    yield from map(compared, runs(batches, 3))
 
 
 def links(classes: DataFrame, least: float = COSINE) -> DataFrame:
-    """Links (u, v), u < v, between classes(id, label, embedding) of one label; each once."""
-    rows = materialize(addresses(classes))
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes"))
-    rows = rows.join(sizes.where("n > 1 and homes > 0"), "cell")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    rows = rows.select("id", "cell", "home", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    rows = rows.select("id", "cell", "home", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("side"))
-    rows = rows.join(classes.select("id", "embedding"), "id")
-    rows = rows.select("cell", "lo", "hi", "side", "home", "id", "embedding").repartition("cell", "lo", "hi")
-    rows = rows.sortWithinPartitions("cell", "lo", "hi")
-    return rows.mapInArrow(lambda batches: linked(batches, least), "u long, v long").distinct()
+    """(id, root, more) over classes(id, label, embedding, n) of one label; more, summed by id, counts linked rows.
+
+    A pair of vectors is counted at one of the cells where it meets. Of what a block connects only a star is kept, so
+    the rows that leave grow with the vectors, not with the links.
+    """
+    placed = materialize(addresses(classes))
+    nth = F.posexplode("all").alias("nth", "cell")
+    rows = placed.select("id", "label", "width", nth)
+    rows = rows.select("id", "cell", F.xxhash64("cell", "label", "width").alias("key"), (F.col("nth") % (1 + PROBES) == 0).alias("home"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes"))
+    sizes = materialize(sizes.where("n > 1 and homes > 0").select("key", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / PART))).cast("long").alias("blocks")))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("low"), "cell", "home", "id")
+    rows = rows.join(placed.select("id", "all"), "id").join(classes.select("id", "n", "embedding"), "id")
+    rows = rows.select("key", "lo", "hi", "low", "cell", "home", "id", "n", "all", "embedding").repartition("key", "lo", "hi")
+    rows = rows.sortWithinPartitions("key", "lo", "hi")
+    found = materialize(rows.mapInArrow(lambda batches: linked(batches, least), "id long, root long, more long"))
+    discard(placed, sizes)
+    return found
 
 
 def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE) -> DataFrame:
@@ -163,21 +187,21 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = COSINE) -> DataFra
     least `least` in double precision, among those that share a lattice cell or visit one (the index; its recall is
     measured in the tests). Vectors that are null, zero or hold null or non-finite components, those without a label
     and those of different width link with nothing. A row without a link is its own component; component_id is the
-    smallest vec_id reachable, null ids apart. Equal rows count as rows; an empty table gives none.
+    smallest vec_id reachable, null ids apart. Equal rows count as rows; an empty table gives none; columns other than
+    vec_id, embedding and label are not read.
     """
     bounded_batches(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding", "label", (usable() & F.col("label").isNotNull()).alias("ok"))
     good = rows.where("ok")
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("id"), "*"))
-    found = materialize(links(classes, least))
-    labels = connected_components(found)
-    both = found.select("u", "v").unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    partners = both.join(classes.select(F.col("id").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("more"))
+    found = links(classes, least)
+    labels = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    partners = found.groupBy("id").agg(F.sum("more").alias("more"))
     classes = classes.join(labels, classes.id == labels.node, "left").drop("node")
     classes = classes.withColumn("component", F.coalesce("component", "id"))
     least_id = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least_id, "component").join(partners, F.col("id") == F.col("u"), "left")
+    classes = classes.join(least_id, "component").join(partners, "id", "left")
     links_of = F.col("n") - 1 + F.coalesce("more", F.lit(0))
     classes = classes.select("label", "embedding", "component_id", links_of.alias("n_links"))
     done = good.select("vec_id", "label", "embedding").join(classes, ["label", "embedding"])
