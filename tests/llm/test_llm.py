@@ -119,7 +119,6 @@ def test_packing(odd):
     import public_tokenizers
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     want = {i: model.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(TEXTS)}
     rows = packing.pack_documents(odd.where("doc_id is not null"), with_ids=True).collect()
     sequences = {}
@@ -292,6 +291,15 @@ def test_vectors_are_brute_force(spark):
     assert {i: got[i]["component_id"] for i in label} == first and all(got[i]["kept"] == (first[i] == i) for i in label)
 
 
+def five_word_shingles(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -304,9 +312,9 @@ def test_pipeline(spark):
     lines = materialize(stages["lines"](spark, kept, SF))
     assert lines.columns == docs.columns and lines.count() == len(want)
     near = materialize(stages["near_copies"](spark, lines, SF))
-    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in lines.collect()}
-    ids = sorted(fp)
-    first = smallest_reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 2])
+    sets = {r["doc_id"]: five_word_shingles(r["text"]) for r in lines.collect()}
+    ids = sorted(sets)
+    first = smallest_reachable(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(sets[a], sets[b])])
     assert sorted(r["doc_id"] for r in near.collect()) == sorted(set(first.values())) and near.columns == docs.columns
     clean = materialize(stages["personal_data"](spark, near, SF))
     assert clean.count() == near.count() and all(not pii.base_spans(r["text"]) for r in clean.collect())
@@ -350,12 +358,8 @@ def test_near_copies_are_brute_force_jaccard(spark):
         changed[int(rng.integers(0, 200))] = f"n{n}"
         texts.append(" ".join(changed))
 
-    def sets(text):
-        w = (text or "").lower().split()
-        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-
-    s = [sets(t) for t in texts]
-    near = [(a, b) for b in range(len(s)) for a in range(b) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    s = [five_word_shingles(t) for t in texts]
+    near = [(a, b) for b in range(len(s)) for a in range(b) if alike(s[a], s[b])]
     want = sorted(set(smallest_reachable(range(len(s)), near).values()))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.keep_one_each(rows).collect()) == want
