@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.bitplanes import close_pairs, majority
+from lectern.llm.bitplanes import close_pairs, majority, spanning_star
 from lectern.llm.components import connected_components
 from lectern.llm.shared import bounded_batches, discard, materialize
 
@@ -21,8 +21,9 @@ WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 3
 #: Bits in which fingerprints of such a pair differ at most: 10 to 12 on average with a deviation of 3, so all but 1e-6.
 RADIUS = 28
-#: A block of n fingerprints that are still apart is cut into about sqrt(n / PART) parts, every two of which are a task's work.
-PART = 256
+#: A block of n texts that are still apart is cut into about sqrt(n / PART) parts, and into parts of at most HASHES hashes in
+#: all; every two of its parts are a task's work.
+PART, HASHES = 256, 1 << 21
 
 _made = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 FACTORS, OFFSETS = _made[0] | np.uint64(1), _made[1]
@@ -84,12 +85,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("at", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes binary")
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct written pairs(u, v) whose texts in docs(at, text) have a Jaccard similarity of SIMILAR or more.
+def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, hashes) of the texts in docs(at, text) that nodes(at) name; only these are read as sets.
 
-    Only texts that are in a pair are read as sets. The list of them is written first, so that its size is known
-    when the join with the texts is planned.
+    The list of nodes is written first, so that its size is known when the join with the texts is planned.
     """
+    nodes = materialize(nodes.distinct())
+    sets = materialize(shingle_sets(docs.join(nodes, "at", "left_semi")))
+    discard(nodes)
+    return sets
+
+
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the distinct written pairs(u, v) whose texts in docs(at, text) have a Jaccard similarity of SIMILAR or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +108,11 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(shared >= SIMILAR * (len(x) + len(y) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("at")).distinct())
-    sets = materialize(shingle_sets(docs.join(nodes, "at", "left_semi")))
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("at")), docs)
     first = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     found = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
-    discard(nodes, sets)
+    discard(sets)
     return found
 
 
@@ -115,32 +122,73 @@ def alike(a: str, b: str) -> F.Column:
     return size & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS) & (F.col(f"{a}.node") != F.col(f"{b}.node"))
 
 
-def pairs_apart(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of one bucket and of different components, from rows (bucket, me, component), that can be near copies.
-
-    A bucket is cut into parts by a hash of the node, more the larger it is, and every two of its parts are compared
-    on bit planes in a task of their own. Nothing but what is within the radius leaves.
+def split_in_two(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Rows of two parts, the lower part first, and for each row which rows (from, to) it is compared with."""
+    low = t.column("own_low").to_numpy()
+    t = t.take(pa.array(np.argsort(~low, kind="stable")))
+    rows, n = np.arange(len(low)), len(low)
+    if t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
+        return t, rows + 1, np.full(n, n)
+    return t, np.where(rows < low.sum(), low.sum(), n), np.full(n, n)
+
+
+def with_partners(t: pa.Table) -> pa.Table:
+    """Those rows of two parts that are within the radius of one of another component, by their bit planes."""
+    t, first, end = split_in_two(t)
+    i, j = close_pairs(t.column("fp").to_numpy().view(np.uint64), first, end, RADIUS)
+    n, part = t.column("n").to_numpy(), t.column("component").to_numpy()
+    good = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+    keep = np.zeros(len(n), bool)
+    keep[i[good]] = keep[j[good]] = True
+    return t.filter(pa.array(keep))
+
+
+def stars_of_copies(t: pa.Table) -> pa.RecordBatch:
+    """A star (u, v) of each set of nodes that near copies among two parts connect, by counting shared hashes of whole sets."""
+    t, first, end = split_in_two(t)
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+    size, node, part = np.array([len(s) for s in sets], np.int64), t.column("node").to_numpy(), t.column("component").to_numpy()
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    start, at = np.cumsum(count) - count, np.cumsum(size) - size
+    found = [np.zeros((2, 0), np.int64)]
+    for i in np.flatnonzero(first < end):
+        mine = code[at[i] : at[i] + size[i]]
+        mine = mine[count[mine] > 1]
+        skip = np.cumsum(count[mine]) - count[mine]
+        holders = owner[np.repeat(start[mine] - skip, count[mine]) + np.arange(count[mine].sum())]
+        shared = np.bincount(holders, minlength=len(sets))[first[i] : end[i]]
+        j = first[i] + np.flatnonzero((shared >= SIMILAR * (size[i] + size[first[i] : end[i]] - shared)) & (part[first[i] : end[i]] != part[i]))
+        found.append(np.stack((np.full(len(j), i), j)))
+    root, member = spanning_star(len(sets), *np.concatenate(found, axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[member])], ["u", "v"])
+
+
+def copies_apart(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) that connect near copies of one bucket and different components, from rows (bucket, me, component).
+
+    A bucket is cut into parts by a hash of the node, and every two of its parts are one task's work. First fingerprints
+    are compared on bit planes, and only texts within the radius of one of another component go on; of these whole sets
+    are compared. Only stars leave, so rows grow with the texts, not with the pairs.
     """
-
-    def compared(t: pa.Table) -> pa.RecordBatch:
-        low, node, n, part = (t.column(c).to_numpy() for c in ("own_low", "node", "n", "component"))
-        order = np.argsort(~low, kind="stable")
-        node, n, part, low = node[order], n[order], part[order], low[order]
-        fp = t.column("fp").to_numpy().view(np.uint64)[order]
-        rows = np.arange(len(fp))
-        same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
-        first = rows + 1 if same else np.where(low, low.sum(), len(fp))
-        i, j = close_pairs(fp, first, np.full(len(fp), len(fp)), RADIUS)
-        good = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
-        i, j = node[i[good]], node[j[good]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["u", "v"])
-
-    sizes = rows.groupBy("bucket").agg(F.greatest(F.lit(1), F.floor(F.sqrt(F.count("*") / PART))).cast("long").alias("parts"))
-    cut = rows.join(sizes, "bucket").select("*", F.pmod(F.xxhash64("me.node"), F.col("parts")).alias("own"))
+    size = F.greatest(F.sqrt(F.count("*") / PART), F.ceil(F.sum("me.n") / HASHES).cast("double"), F.lit(1.0))
+    parts = rows.groupBy("bucket").agg(F.floor(size).cast("long").alias("parts"))
+    cut = rows.join(parts, "bucket").select("*", F.pmod(F.xxhash64("me.node"), F.col("parts")).alias("own"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     cut = cut.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("own_low"), "me.*", "component")
-    cut = cut.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return cut.mapInArrow(lambda batches: map(compared, runs(batches, 3)), "u long, v long").distinct()
+    together = lambda df: df.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            yield from with_partners(t).to_batches()
+
+    near_ones = materialize(together(cut).mapInArrow(near, cut.schema))
+    sets = sets_of(near_ones.select(F.col("node").alias("at")), docs)
+    full = together(near_ones.join(sets, "node").select(*near_ones.columns, "hashes"))
+    found = materialize(full.mapInArrow(lambda batches: map(stars_of_copies, runs(batches, 3)), "u long, v long").distinct())
+    discard(near_ones, sets)
+    return found
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -166,7 +214,7 @@ def components(docs: DataFrame) -> DataFrame:
     """(at, component) of each of docs(at long, text): what near copies connect; texts of equal sets belong together.
 
     First each text is compared with one other, the least of its buckets' least that can be a copy; then, in buckets that
-    are not one component yet, with one more member of each; then every pair of a bucket that is still apart. What is
+    are not one component yet, with one more member of each; then whatever is still apart in a bucket with all of it. What is
     connected needs no more comparing, so a group of any size takes few comparisons, and no bucket is capped.
     """
     marks = materialize(signatures(docs))
@@ -187,16 +235,14 @@ def components(docs: DataFrame) -> DataFrame:
         if rows.isEmpty():
             break
         if last:
-            found = pairs_apart(rows.select("bucket", "me", "component"))
+            found = copies_apart(rows.select("bucket", "me", "component"), docs)
         else:
-            found = rows.where(alike("me", "one")).select(F.least("me.node", "one.node").alias("u"), F.greatest("me.node", "one.node").alias("v")).distinct()
-        pairs = materialize(found)
-        if not pairs.isEmpty():
-            edges = edges.unionByName(similar(pairs, docs))
-            old = labels
-            labels = materialize(connected_components(edges))
-            discard(old)
-        discard(rows, pairs)
+            pairs = materialize(rows.where(alike("me", "one")).select(F.least("me.node", "one.node").alias("u"), F.greatest("me.node", "one.node").alias("v")).distinct())
+            found = similar(pairs, docs)
+            discard(pairs)
+        edges, old = edges.unionByName(found), labels
+        labels = materialize(connected_components(edges))
+        discard(rows, old)
     classes = classes.join(labels, F.col("me.node") == labels.node, "left")
     classes = classes.select("key", F.coalesce("component", "me.node").alias("component"))
     return marks.select("at", "key").join(classes, "key").select("at", "component")
