@@ -1,7 +1,9 @@
-"""Headings that open an excerpt, in the shapes that printed commentaries give them."""
+"""Headings that open an excerpt. A shape says what stands around a span of verses; the span is then taken apart by itself."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,23 +11,52 @@ from lectern.functions.names import numeral
 from lectern.functions.references import Book, find_references
 from lectern.functions.text import WS, roman, strip
 
-_N = "[0-9]{1,3}"
-_DASH = f"{WS}*[-–—]{WS}*"
-#: A number, or what a scan makes of a 1 (fixed values).
-_G = "[0-9]{1,3}|[lLI|\\]]{1,2}"
-_RANGE = f"({_G})(?:{_DASH}({_G}))?"
-_LABEL = "(?:Verses?|Vers\\.?|Vv\\.?|V\\.?)"
+#: What a scan makes of the digit 1, the marks between two ends, and the words before a chapter and a verse.
+STROKES = "lLI|]"
+DASHES = "-–—"
+CHAPTER_WORDS = ("Chapter", "Chap", "Cap")
+VERSE_WORDS = ("Verses", "Verse", "Vers", "Vv", "V")
+
+_DIGITS = "[0-9]{1,3}"
+_SCANNED = f"(?:{_DIGITS}|[{STROKES.replace(']', chr(92) + ']')}]{{1,2}})"
+_DASH = f"{WS}*[{DASHES}]{WS}*"
+
+
+def _word(words: tuple[str, ...]) -> str:
+    """One of some words in any case, with a full stop or none."""
+    return f"(?i:(?:{'|'.join(words)})\\.?)"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """opens, a span and closes, from the start of a line. The span's numbers may be scanned strokes, its ends may name
+    chapters before a colon, or a chapter in Roman letters may stand before it; the current chapter holds otherwise."""
 
-#: Shapes by name, with the groups that hold chapter, verse, end chapter and end verse (0: none).
+    opens: str = ""
+    closes: str = ""
+    colon: bool = False
+    roman: bool = False
+    scanned: bool = True
+
+    def pattern(self) -> str:
+        """With the Roman chapter and the span as groups."""
+        number = _SCANNED if self.scanned else _DIGITS
+        chapter = f"{_DIGITS}{WS}*:{WS}*"
+        first, second = (chapter + number, f"(?:{chapter})?{number}") if self.colon else (number, number)
+        before = f"((?i:[ivxlcdm]+))(?![A-Za-z0-9_])[.,]?{WS}*(?:{_word(VERSE_WORDS)})?{WS}*" if self.roman else "()"
+        return f"^{self.opens}{before}({first}(?:{_DASH}{second})?){self.closes}"
+
+
+#: Shapes by the names that settings use (fixed values).
 SHAPES = {
-    "chapter-verse": (f"^\\(?({_N}){WS}*:{WS}*({_N})(?:{_DASH}(?:({_N}){WS}*:{WS}*)?({_N}))?\\)?", (1, 2, 3, 4)),
-    "chapter-verse-roman": (f"(?i)^\\(?(?:Chapter|Chap\\.?|Cap\\.?)?{WS}*([ivxlcdm]+)(?![A-Za-z0-9_])[.,]?{WS}*(?:v\\.?|vv\\.?|vers\\.?)?{WS}*({_N})(?:{_DASH}({_N}))?\\)?", (1, 2, 0, 3)),
-    "bracket-number": (f"^\\[{_RANGE}\\]", (0, 1, 0, 2)),
-    "paren-number": (f"^{_RANGE}\\)", (0, 1, 0, 2)),
-    "word-label": (f"(?i)^{_LABEL}{WS}+{_RANGE}\\.?", (0, 1, 0, 2)),
-    "phrase-label": (f"(?i)^[^:\\n]{{1,80}}:{WS}*{_LABEL}{WS}+{_RANGE}\\.?", (0, 1, 0, 2)),
-    "bare-range": (f"^{_RANGE}\\.", (0, 1, 0, 2)),
-}
+    "chapter-verse": Shape("\\(?", "\\)?", colon=True, scanned=False),
+    "chapter-verse-roman": Shape(f"\\(?(?:{_word(CHAPTER_WORDS)})?{WS}*", "\\)?", roman=True, scanned=False),
+    "bracket-number": Shape("\\[", "\\]"),
+    "paren-number": Shape(closes="\\)"),
+    "word-label": Shape(f"{_word(VERSE_WORDS)}{WS}+", "\\.?"),
+    "phrase-label": Shape(f"[^:\\n]{{1,80}}:{WS}*{_word(VERSE_WORDS)}{WS}+", "\\.?"),
+    "bare-range": Shape(closes="\\."),
+}
 
 
 def parse_header(line: Column, shape: str, book: Column, chapter: Column, canon: list[Book]) -> Column:
@@ -39,14 +70,17 @@ def parse_header(line: Column, shape: str, book: Column, chapter: Column, canon:
         ref = F.get(find_references(text, canon), F.lit(0))
         made = _made(ref["raw"], ref["book"], ref["chapter"], F.coalesce(ref["verse"], F.lit(1)), ref["chapter"], F.coalesce(ref["verse_end"], F.lit(1)), False, F.lit(False))
         return F.when(ref["at"] == 0, made)
-    pattern, (c, v, d, w) = SHAPES[shape]
-    part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) if i else F.lit(None).cast("string")
-    start = chapter if not c else roman(part(c)) if shape.endswith("roman") else part(c).cast("int")
-    end = F.when(part(w).rlike("^[0-9]+\\z"), part(w).cast("int"))
-    first = numeral(part(v))
-    glitched = ~part(v).rlike("^[0-9]+\\z")
-    made = _made(F.regexp_extract(text, pattern, 0), book, start, first, F.coalesce(part(d).cast("int"), start), F.coalesce(end, first), not c, glitched)
-    return F.when(part(v).isNotNull() & book.isNotNull() & start.isNotNull(), made)
+    is_of = SHAPES[shape]
+    group = lambda i: F.regexp_extract(text, is_of.pattern(), i)
+    ends = F.split(group(2), _DASH)
+    sides = [F.split(F.get(ends, F.lit(k)), f"{WS}*:{WS}*") for k in (0, 1)]
+    digits = lambda x: F.when(x.rlike("^[0-9]+\\z"), x.cast("int"))
+    verses = [F.element_at(side, -1) for side in sides]
+    named = [F.when(F.size(side) > 1, digits(F.get(side, F.lit(0)))) for side in sides]
+    start = roman(F.nullif(group(1), F.lit(""))) if is_of.roman else named[0] if is_of.colon else chapter
+    first = numeral(verses[0])
+    made = _made(group(0), book, start, first, F.coalesce(named[1], start), F.coalesce(digits(verses[1]), first), not (is_of.colon or is_of.roman), digits(verses[0]).isNull())
+    return F.when((group(2) != "") & book.isNotNull() & start.isNotNull(), made)
 
 
 def _made(raw: Column, book: Column, cs: Column, vs: Column, ce: Column, ve: Column, contextual: bool, glitched: Column) -> Column:
@@ -55,5 +89,10 @@ def _made(raw: Column, book: Column, cs: Column, vs: Column, ce: Column, ve: Col
 
 
 def chapter_header(line: Column) -> Column:
-    """The number of a heading that is only a chapter's: 'Chapter III', 'Cap. iv.'; null for any other."""
-    return roman(F.nullif(F.regexp_extract(strip(line), f"(?i)^(?:Chapter|Chap\\.?|Cap\\.?){WS}+([ivxlcdm]+){WS}*\\.?\\z", 1), F.lit("")))
+    """The number of a heading that is only a chapter's: 'Chapter III', 'Cap. iv.'; null for any other.
+
+    Such a line is two words, of which the first means a chapter.
+    """
+    words = F.split(F.lower(strip(line)), f"{WS}+")
+    bare = lambda k: F.regexp_replace(F.get(words, F.lit(k)), "\\.\\z", "")
+    return F.when((F.size(words) == 2) & bare(0).isin(*map(str.lower, CHAPTER_WORDS)), roman(bare(1)))

@@ -44,12 +44,42 @@ def content_hash(header: Column, text: Column) -> Column:
     return F.sha2(F.concat(header, F.lit("\n"), text), 256)
 
 
+PLACE = ("book", "cs", "vs", "ce", "ve")
+
+
 def corrected(rows: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Rows with the last correction of their hash applied: discarded ones go, confirmed ones lose their flag."""
+    """Rows with the last correction of their hash applied, and action: what it was.
+
+    Discarded rows go, confirmed and reassigned ones lose their flag, and reassigned ones take the correction's place,
+    as far as it has the columns of one.
+    """
     last = Window.partitionBy("hash").orderBy(F.desc("position"))
-    latest = corrections.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("hash", "action")
+    moved = [c for c in PLACE if c in corrections.columns and c in rows.columns]
+    latest = corrections.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("hash", "action", *(F.col(c).alias(f"_{c}") for c in moved))
     rows = rows.join(latest, "hash", "left").where("action is null or action <> 'discard'")
-    return rows.withColumn("flagged", F.col("flagged") & ~F.coalesce(F.col("action") == "confirm", F.lit(False))).drop("action")
+    is_moved = F.coalesce(F.col("action") == "reassign", F.lit(False))
+    for c in moved:
+        rows = rows.withColumn(c, F.when(is_moved, F.coalesce(f"_{c}", c)).otherwise(F.col(c)))
+    settled = F.coalesce(F.col("action").isin("confirm", "reassign"), F.lit(False))
+    return rows.drop(*(f"_{c}" for c in moved)).withColumn("flagged", F.col("flagged") & ~settled)
+
+
+def orphans(rows: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Corrections whose text is no longer there."""
+    return corrections.join(rows.select("hash"), "hash", "left_anti")
+
+
+def finalised(rows: DataFrame, corrections: DataFrame, verses: DataFrame, source: str, order: str) -> DataFrame:
+    """An index's rows (hash, book, cs, vs, ce, ve, words, ...) as they are kept: corrected, validated, settled ones unflagged.
+
+    A reassigned row is validated where it now is. What a user has confirmed or moved stays unflagged whatever the
+    validation says; its reasons stay.
+    """
+    fixed = corrected(rows.withColumn("flagged", F.lit(False)), corrections).drop("flagged")
+    fixed = fixed.withColumn("chapter", F.col("cs")).withColumn("verse", F.col("vs"))
+    checked = validated(fixed, verses, source, order)
+    settled = F.coalesce(F.col("action").isin("confirm", "reassign"), F.lit(False))
+    return checked.withColumn("flagged", F.col("flagged") & ~settled).drop("action", "chapter", "verse")
 
 
 def runs(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:

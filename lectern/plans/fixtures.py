@@ -70,28 +70,28 @@ excerpts AS (SELECT o_orderkey AS excerpt_id, (o_custkey % 66)::INT AS book, (o_
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1")
+    rows = table(spark, d, "lineitem")
     return rows.select(
-        F.col("l_orderkey").alias("point_id"), (F.col("l_partkey") % 66).cast("int").alias("book"),
+        F.expr("l_orderkey * 10 + l_linenumber").alias("point_id"), (F.col("l_partkey") % 66).cast("int").alias("book"),
         (F.col("l_orderkey") % 42 + 1).cast("int").alias("chapter"), (F.col("l_suppkey") % 31 + 1).cast("int").alias("verse"),
     )
 
 
 POINTS = """
-points AS (SELECT l_orderkey AS point_id, (l_partkey % 66)::INT AS book, (l_orderkey % 42 + 1)::INT AS chapter,
-           (l_suppkey % 31 + 1)::INT AS verse FROM lineitem WHERE l_linenumber = 1)"""
+points AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, (l_partkey % 66)::INT AS book, (l_orderkey % 42 + 1)::INT AS chapter,
+           (l_suppkey % 31 + 1)::INT AS verse FROM lineitem)"""
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns with links to nations, spelled in several ways, and to names that aren't there."""
     n = table(spark, d, "nation").selectExpr("n_nationkey AS k", "n_name AS name")
     turns = table(spark, d, "conversations").selectExpr("concat(conv_id, '-', turn) AS note", "conv_id % 25 AS k", "conv_id + turn AS v", "text")
-    text = "concat(substr(text, 1, 40), ' [[', CASE v % 3 WHEN 0 THEN name WHEN 1 THEN lower(name) ELSE concat('No ', name) END, CASE v % 2 WHEN 0 THEN '#s|alias]]' ELSE ']]' END)"
+    text = "concat(text, ' [[', CASE v % 3 WHEN 0 THEN name WHEN 1 THEN lower(name) ELSE concat('No ', name) END, CASE v % 2 WHEN 0 THEN '#s|alias]]' ELSE ']]' END)"
     return turns.join(F.broadcast(n), "k").selectExpr("note", f"{text} AS text")
 
 
 NOTES = """
-notes AS (SELECT conv_id || '-' || turn AS note, substr(text, 1, 40) || ' [[' || CASE (conv_id + turn) % 3 WHEN 0 THEN n_name
+notes AS (SELECT conv_id || '-' || turn AS note, text || ' [[' || CASE (conv_id + turn) % 3 WHEN 0 THEN n_name
           WHEN 1 THEN lower(n_name) ELSE 'No ' || n_name END || CASE (conv_id + turn) % 2 WHEN 0 THEN '#s|alias]]' ELSE ']]' END AS text
           FROM conversations JOIN nation ON conv_id % 25 = n_nationkey),
 links AS (SELECT note, trim(regexp_extract(unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1)), '^([^#|]*)', 1)) AS target FROM notes)"""

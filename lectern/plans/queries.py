@@ -57,10 +57,10 @@ def fts_search_shelf(spark: SparkSession, d: str) -> DataFrame:
     return _found(found.orderBy("rank", "key").limit(search.LIMIT))
 
 
-@query("fts_search_items", _bm25("(kind = 'page' AND book_id IN ('src1', 'src2')) OR (kind = 'note' AND key IN ('c1-0', 'c2-1'))"))
+@query("fts_search_items", _bm25("(kind = 'page' AND book_id IN ('src0', 'src1', 'src3', 'src5', 'src8')) OR (kind = 'note' AND key IN ('c1-0', 'c2-1', 'c4-0'))"))
 def fts_search_items(spark: SparkSession, d: str) -> DataFrame:
     """FTS9, SET5: any of some books and notes."""
-    scope = search.item_scope(["src1", "src2"], ["c1-0", "c2-1"])
+    scope = search.item_scope(["src0", "src1", "src3", "src5", "src8"], ["c1-0", "c2-1", "c4-0"])
     return _found(search.search(search.build_index(fx.search_docs(spark, d)), " ".join(PREFIXES), scope))
 
 
@@ -228,25 +228,39 @@ def val1_validation(spark: SparkSession, d: str) -> DataFrame:
     return found.select("excerpt_id", "out_of_sequence", "out_of_bounds", "odd_size", "flagged", "confidence")
 
 
-@query("agg13_coverage", f"""WITH {fx.EXCERPTS},
-b AS (SELECT book, count(*) AS total, count(*) FILTER (flagged) AS flagged, least(min(cs), min(ce)) AS lo, greatest(max(cs), max(ce)) AS hi FROM excerpts WHERE excerpt_id % 5 = 0 GROUP BY book),
+@query("agg13_coverage", f"""WITH {fx.EXCERPTS}, e AS (SELECT book, cs * 3 AS cs, ce * 3 AS ce, flagged FROM excerpts),
+b AS (SELECT book, count(*) AS total, count(*) FILTER (flagged) AS flagged, least(min(cs), min(ce)) AS lo, greatest(max(cs), max(ce)) AS hi FROM e GROUP BY book),
 s AS (SELECT book, unnest(range(lo, hi + 1)) AS c FROM b),
-x AS (SELECT s.book, count(*) AS missing FROM s ANTI JOIN (SELECT book, cs AS c FROM excerpts WHERE excerpt_id % 5 = 0 UNION SELECT book, ce FROM excerpts WHERE excerpt_id % 5 = 0) t ON s.book = t.book AND s.c = t.c GROUP BY 1)
+x AS (SELECT s.book, count(*) AS missing FROM s ANTI JOIN (SELECT book, cs AS c FROM e UNION SELECT book, ce FROM e) t ON s.book = t.book AND s.c = t.c GROUP BY 1)
 SELECT book, total, flagged, coalesce(missing, 0) AS missing FROM b LEFT JOIN x USING (book)""")
 def agg13_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """AGG13: chapters that nothing touches. Every fifth excerpt is the input here, so that some chapters are missing."""
-    found = validation.coverage(fx.excerpts(spark, d).where("excerpt_id % 5 = 0"))
+    """AGG13: chapters that nothing touches. Chapters are every third one here, so that some are missing."""
+    found = validation.coverage(fx.excerpts(spark, d).selectExpr("book", "cs * 3 AS cs", "ce * 3 AS ce", "flagged"))
     return found.select("book", "total", "flagged", F.size("missing").cast("long").alias("missing"))
 
 
-@query("jn10_corrections", """WITH r AS (SELECT doc_id, sha256(source || chr(10) || text) AS hash, doc_id % 2 = 0 AS flagged FROM documents),
-c AS (SELECT hash, arg_max(CASE doc_id % 3 WHEN 0 THEN 'confirm' ELSE 'discard' END, doc_id) AS action FROM r WHERE doc_id % 5 = 0 GROUP BY hash)
-SELECT doc_id, flagged AND coalesce(action, '') <> 'confirm' AS flagged FROM r LEFT JOIN c USING (hash) WHERE coalesce(action, '') <> 'discard'""")
+_CORRECTIONS = "CASE doc_id % 3 WHEN 0 THEN 'confirm' WHEN 1 THEN 'reassign' ELSE 'discard' END"
+
+
+@query("jn10_corrections", f"""WITH r AS (SELECT doc_id, sha256(source || chr(10) || text) AS hash, doc_id % 2 = 0 AS flagged, (doc_id % 7)::INT AS book, 1 AS cs FROM documents),
+c AS (SELECT hash, arg_max({_CORRECTIONS}, doc_id) AS action, max(doc_id) AS k FROM r WHERE doc_id % 5 = 0 GROUP BY hash)
+SELECT doc_id, flagged AND coalesce(action, '') NOT IN ('confirm', 'reassign') AS flagged, CASE WHEN action = 'reassign' THEN 99 ELSE book END AS book,
+ CASE WHEN action = 'reassign' THEN coalesce(CASE WHEN k % 2 = 0 THEN 5 END, cs) ELSE cs END AS cs FROM r LEFT JOIN c USING (hash) WHERE coalesce(action, '') <> 'discard'""")
 def jn10_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """JN10, STR15, VAL2: the last correction of a text's hash wins."""
-    rows = fx.table(spark, d, "documents").select("doc_id", validation.content_hash(F.col("source"), F.col("text")).alias("hash"), (F.col("doc_id") % 2 == 0).alias("flagged"))
-    corrections = rows.where("doc_id % 5 = 0").selectExpr("hash", "CASE doc_id % 3 WHEN 0 THEN 'confirm' ELSE 'discard' END AS action", "doc_id AS position")
-    return validation.corrected(rows, corrections).select("doc_id", "flagged")
+    """JN10, STR15, VAL2: the last correction of a text's hash wins; a moved excerpt stands where it was moved to."""
+    rows = fx.table(spark, d, "documents").select("doc_id", validation.content_hash(F.col("source"), F.col("text")).alias("hash"), (F.col("doc_id") % 2 == 0).alias("flagged"), (F.col("doc_id") % 7).cast("int").alias("book"), F.lit(1).alias("cs"))
+    corrections = rows.where("doc_id % 5 = 0").selectExpr("hash", f"{_CORRECTIONS} AS action", "doc_id AS position", "99 AS book", "CASE WHEN doc_id % 2 = 0 THEN 5 END AS cs")
+    return validation.corrected(rows, corrections).select("doc_id", "flagged", "book", "cs")
+
+
+@query("val2_orphans", """WITH r AS (SELECT sha256(source || chr(10) || text) AS hash FROM documents)
+SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(source || chr(10) || 'gone ' || doc_id) ELSE sha256(source || chr(10) || text) END AS hash FROM documents) WHERE hash NOT IN (SELECT hash FROM r WHERE hash IS NOT NULL) OR hash IS NULL""")
+def val2_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """VAL2: corrections whose text is no longer there."""
+    docs = fx.table(spark, d, "documents")
+    rows = docs.select(validation.content_hash(F.col("source"), F.col("text")).alias("hash"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("gone "), F.col("doc_id").cast("string"))).otherwise(F.col("text"))
+    return validation.orphans(rows, docs.select("doc_id", validation.content_hash(F.col("source"), text).alias("hash"))).select("doc_id")
 
 
 @query("win5_runs", """WITH a AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
@@ -277,12 +291,12 @@ def jn14_broken_links(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.broken_links(reconcile.note_links(fx.notes(spark, d)), titles)
 
 
-@query("set2_new_files", f"""WITH {fx.FILES}, k AS (SELECT * FROM files WHERE event_id % 40 = 0)
-SELECT event_id FROM files WHERE event_id % 40 <> 0 AND name NOT IN (SELECT name FROM k) AND size NOT IN (SELECT size FROM k)""")
+@query("set2_new_files", f"""WITH {fx.FILES}, k AS (SELECT * FROM files WHERE size < 40 AND event_id % 7 < 2 AND name < 'f3')
+SELECT event_id FROM files WHERE NOT (size < 40 AND event_id % 7 < 2 AND name < 'f3') AND name NOT IN (SELECT name FROM k) AND size NOT IN (SELECT size FROM k)""")
 def set2_new_files(spark: SparkSession, d: str) -> DataFrame:
-    """SET2, SYN1: files that match neither by name nor by size. Every fortieth is in the catalogue."""
-    f = fx.files(spark, d)
-    return reconcile.new_files(f.where("event_id % 40 <> 0"), f.where("event_id % 40 = 0")).select("event_id")
+    """SET2, SYN1: files that match neither by name nor by size. Some of the small ones are in the catalogue."""
+    f, known = fx.files(spark, d), "size < 40 AND event_id % 7 < 2 AND name < 'f3'"
+    return reconcile.new_files(f.where(f"NOT ({known})"), f.where(known)).select("event_id")
 
 
 @query("syn6_reindex", f"""WITH {fx.FILES}, h AS (SELECT path, max(mtime) AS mtime FROM files GROUP BY path),
@@ -414,12 +428,12 @@ def agg23_filled(spark: SparkSession, d: str) -> DataFrame:
     return catalog.filled(fx.books(spark, d), "series", "publisher", F.col("book_id")).select("book_id", "publisher")
 
 
-@query("win8_nearby_edges", """WITH e AS (SELECT event_id AS page, user_id % 5 AS book, regexp_replace(event_type || user_id % 3 * 7, '[0-9]+', '#', 'g') AS edge FROM events WHERE event_id % 4 = 0)
-SELECT book, page FROM (SELECT book, page, count(*) OVER (PARTITION BY book, edge ORDER BY page RANGE BETWEEN 80 PRECEDING AND 80 FOLLOWING) - 1 AS n FROM e) WHERE n >= 3""")
+@query("win8_nearby_edges", """WITH e AS (SELECT event_id AS page, user_id % 5 AS book, regexp_replace(event_type || user_id % 3 * 7, '[0-9]+', '#', 'g') AS edge FROM events)
+SELECT book, page FROM (SELECT book, page, count(*) OVER (PARTITION BY book, edge ORDER BY page RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - 1 AS n FROM e) WHERE n >= 3""")
 def win8_nearby_edges(spark: SparkSession, d: str) -> DataFrame:
-    """WIN8, STR25: edges that come again on the pages around; here within 80, as these pages lie far apart."""
-    rows = fx.table(spark, d, "events").where("event_id % 4 = 0").selectExpr("event_id AS page", "user_id % 5 AS book", "concat(event_type, user_id % 3 * 7) AS edge")
-    return validation.nearby_edges(rows, around=80)
+    """WIN8, STR25: edges that come again on the pages around; here within 20, as these pages lie far apart."""
+    rows = fx.table(spark, d, "events").selectExpr("event_id AS page", "user_id % 5 AS book", "concat(event_type, user_id % 3 * 7) AS edge")
+    return validation.nearby_edges(rows, around=20)
 
 
 @query("win13_sampled", """WITH a AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),

@@ -203,10 +203,10 @@ def qte5_tags_set(spark: SparkSession, d: str) -> DataFrame:
     return quotes.tags_set(old, edits)
 
 
-@query("snk11_quote_counts", "SELECT p_partkey AS book_id, count(l_orderkey) AS quote_count FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber > 4) ON p_partkey = l_partkey GROUP BY 1")
+@query("snk11_quote_counts", "SELECT p_partkey AS book_id, count(l_orderkey) AS quote_count FROM part LEFT JOIN lineitem ON p_partkey = l_partkey * 2 GROUP BY 1")
 def snk11_quote_counts(spark: SparkSession, d: str) -> DataFrame:
     """SNK11, FLT10: how many quotes each book has, counted anew."""
-    q = fx.table(spark, d, "lineitem").where("l_linenumber > 4").selectExpr("l_partkey AS book_id")
+    q = fx.table(spark, d, "lineitem").selectExpr("l_partkey * 2 AS book_id")
     return quotes.quote_counts(fx.table(spark, d, "part").selectExpr("p_partkey AS book_id", "-1 AS quote_count"), q)
 
 
@@ -466,28 +466,28 @@ def syn1_synchronised(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.synchronised(books, vault, local, primary).select("book_id")
 
 
-@query("syn8_book_views", """SELECT p_partkey, coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag)), ','), '') AS shelves, coalesce(array_to_string(list_sort(list(DISTINCT l_linestatus)), ','), '') AS tags FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_linenumber > 5 GROUP BY 1""")
+@query("syn8_book_views", """SELECT p_partkey, coalesce(array_to_string(list_sort(list(DISTINCT l_returnflag)), ','), '') AS shelves, coalesce(array_to_string(list_sort(list(DISTINCT l_linestatus)), ','), '') AS tags FROM part LEFT JOIN lineitem ON p_partkey = l_partkey * 2 GROUP BY 1""")
 def syn8_book_views(spark: SparkSession, d: str) -> DataFrame:
     """SYN8, JN16: each book with its shelves and tags, also none; one pass over each relation."""
     part = fx.table(spark, d, "part").select("p_partkey")
-    rows = fx.table(spark, d, "lineitem").where("l_linenumber > 5").withColumnRenamed("l_partkey", "p_partkey")
+    rows = fx.table(spark, d, "lineitem").withColumn("p_partkey", F.col("l_partkey") * 2)
     held = rows.groupBy("p_partkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("shelves"), F.array_sort(F.collect_set("l_linestatus")).alias("tags"))
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return part.join(held, "p_partkey", "left").select("p_partkey", listed("shelves"), listed("tags"))
 
 
-@query("flt_membership", """SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7) AND contains(lower(p_name), '1')""")
+@query("flt_membership", """SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7 AND l_suppkey % 10 = 3) AND contains(lower(p_name), 'ring')""")
 def flt_membership(spark: SparkSession, d: str) -> DataFrame:
     """FLT2, FLT3, FLT5: books on a shelf, not on another, whose name has a text."""
-    rows = fx.table(spark, d, "lineitem").selectExpr("l_partkey AS p_partkey", "l_returnflag", "l_linenumber")
-    part = fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("1")))
-    return part.join(rows.where("l_returnflag = 'R'"), "p_partkey", "left_semi").join(rows.where("l_linenumber = 7"), "p_partkey", "left_anti").select("p_partkey")
+    rows = fx.table(spark, d, "lineitem").selectExpr("l_partkey AS p_partkey", "l_returnflag", "l_linenumber", "l_suppkey")
+    part = fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")))
+    return part.join(rows.where("l_returnflag = 'R'"), "p_partkey", "left_semi").join(rows.where("l_linenumber = 7 AND l_suppkey % 10 = 3"), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("flt12_completions", "SELECT p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY lower(p_name), p_name, p_partkey LIMIT 8")
+@query("flt12_completions", "SELECT p_name FROM part WHERE contains(lower(p_name), 'ri') ORDER BY lower(p_name), p_name, p_partkey LIMIT 8")
 def flt12_completions(spark: SparkSession, d: str) -> DataFrame:
     """FLT12, SRT9: the first eight titles that hold what was typed."""
-    return fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("1"))).orderBy(F.lower("p_name"), "p_name", "p_partkey").limit(8).select("p_name")
+    return fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ri"))).orderBy(F.lower("p_name"), "p_name", "p_partkey").limit(8).select("p_name")
 
 
 @query("flt11_verses", f"WITH {fx.POINTS} SELECT point_id FROM points WHERE book = 3 AND chapter BETWEEN 1 AND 30 AND verse BETWEEN 5 AND 20")

@@ -79,11 +79,11 @@ def agg21_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "lineitem").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("flt4_picked", "SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7) AS inside FROM part WHERE contains(lower(p_name), '1')")
+@query("flt4_picked", "SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7 AND l_suppkey % 10 = 3) AS inside FROM part WHERE contains(lower(p_name), 'ring')")
 def flt4_picked(spark: SparkSession, d: str) -> DataFrame:
     """FLT4: what a picker shows: sources of a project and what could become one."""
-    part, members = fx.table(spark, d, "part"), fx.table(spark, d, "lineitem").where("l_linenumber = 7").selectExpr("l_partkey AS p_partkey")
-    side = lambda x: upkeep.picked(part, members, "p_partkey", F.col("p_name"), " 1", x).select("p_partkey", F.lit(x).alias("inside"))
+    part, members = fx.table(spark, d, "part"), fx.table(spark, d, "lineitem").where("l_linenumber = 7 AND l_suppkey % 10 = 3").selectExpr("l_partkey AS p_partkey")
+    side = lambda x: upkeep.picked(part, members, "p_partkey", F.col("p_name"), " Ring", x).select("p_partkey", F.lit(x).alias("inside"))
     return side(True).unionByName(side(False))
 
 
