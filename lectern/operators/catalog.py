@@ -95,3 +95,24 @@ def by_document(quotes: DataFrame, sources: DataFrame, others: DataFrame) -> Dat
     rows = quotes.where(F.instr("ref", ":") > 1).withColumn("document", F.substring_index("ref", ":", 1))
     counts = rows.groupBy("source", "document").agg(F.count("*").alias("n"))
     return counts.join(named, "source", "left").withColumn("name", F.coalesce("name", F.lit("Unknown source")))
+
+
+def author_names(books: DataFrame) -> DataFrame:
+    """(author): every author of books(author) once, whatever stands between several of one book."""
+    each = books.select(F.explode(F.split("author", "\\s*[&;]\\s*|\\s+and\\s+")).alias("author"))
+    return each.select(F.trim("author").alias("author")).where("author <> ''").distinct()
+
+
+def series_names(books: DataFrame) -> DataFrame:
+    """(series): every series of books(series) once."""
+    return books.select(F.trim("series").alias("series")).where("series <> ''").distinct()
+
+
+def on_shelf(books: DataFrame, members: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Books whose key is among members, or isn't."""
+    return books.join(members.select(key), key, "left_semi" if inside else "left_anti")
+
+
+def completions(rows: DataFrame, column: str, typed: str, *ties: str, limit: int = 8) -> DataFrame:
+    """The first values, in any case, of those that hold what was typed."""
+    return rows.where(F.contains(F.lower(column), F.lit(typed.lower()))).orderBy(F.lower(column), column, *ties).limit(limit)

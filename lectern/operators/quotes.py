@@ -49,6 +49,23 @@ def viewed(quotes: DataFrame, quote_tags: DataFrame, cited: list[DataFrame]) ->
     return out.withColumn("annotations", annotations(F.col("annotations"))).drop(*(f"_cited{i}" for i in range(len(cited))))
 
 
+def document_text(text: Column, remarks: Column, tags: Column) -> Column:
+    """What is searched of a quote: its text, its remarks and its tags with a # each, a line for each that isn't blank."""
+    marked = F.array_join(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("#"), t)), " ")
+    lines = F.concat(F.array(text), F.coalesce(remarks, F.array().cast("array<string>")), F.array(marked))
+    return F.array_join(F.filter(lines, lambda x: F.coalesce(F.trim(x) != "", F.lit(False))), "\n")
+
+
+def by_chapter(quotes: DataFrame) -> DataFrame:
+    """quotes(ref, position, ...) of passages with chapter and first: where in the listing the chapter is first seen.
+
+    In order of first and position they are the chapters' buckets; none is gathered. Refs without a chapter go.
+    """
+    rows = quotes.withColumn("chapter", F.nullif(F.regexp_extract("ref", "^\\S+ ([0-9]+)", 1), F.lit("")).cast("int")).where("chapter is not null")
+    first = rows.groupBy("chapter").agg(F.min("position").alias("first"))
+    return rows.join(first, "chapter")
+
+
 def kept_override(override: Column, generated: Column) -> Column:
     """A user's citation, unless it is blank or what would be generated anyway."""
     return F.nullif(F.nullif(F.trim(override), F.lit("")), generated)

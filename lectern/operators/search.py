@@ -47,13 +47,10 @@ def ranked(index: Index, query: str) -> DataFrame:
     words = query_tokens(query)
     if not words:
         return index.docs.select("key", F.lit(0.0).alias("rank")).where(F.lit(False))
-    hits = reduce(
-        DataFrame.unionByName,
-        (
-            index.postings.where(F.col("term").startswith(w)).groupBy("key").agg(F.sum("tf").cast("double").alias("f")).withColumn("token", F.lit(i))
-            for i, w in enumerate(words)
-        ),
-    )
+    begins = [F.col("term").startswith(w) for w in words]
+    which = F.filter(F.array(*(F.when(b, F.lit(i)) for i, b in enumerate(begins))), lambda x: x.isNotNull())
+    rows = index.postings.where(reduce(Column.__or__, begins)).select("key", "tf", F.explode(which).alias("token"))
+    hits = rows.groupBy("key", "token").agg(F.sum("tf").cast("double").alias("f"))
     seen = hits.groupBy("token").agg(F.count("*").cast("double").alias("n"))  # a row for each token of the query
     corpus = index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))  # one row
     idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -65,10 +62,18 @@ def ranked(index: Index, query: str) -> DataFrame:
     return scored.groupBy("key").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
 
 
-def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT) -> DataFrame:
-    """The best documents of a scope, by rank and then key. A scope that is never true gives no rows."""
-    found = index.docs if scope is None else index.docs.where(scope)
-    return found.join(ranked(index, query), "key").orderBy("rank", "key").limit(limit)
+def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT, books: DataFrame | None = None) -> DataFrame:
+    """The best documents of a scope, by rank and then key. A scope that is never true gives no rows.
+
+    books(book_id): only documents of these. Keys are ranked and cut before any content is read; what is broadcast then
+    has limit rows.
+    """
+    found = index.docs.drop("content")
+    found = found if scope is None else found.where(scope)
+    if books is not None:
+        found = found.join(books.select("book_id"), "book_id", "left_semi")
+    best = found.select("key").join(ranked(index, query), "key").orderBy("rank", "key").limit(limit)
+    return index.docs.join(F.broadcast(best) if limit <= LIMIT else best, "key").orderBy("rank", "key")
 
 
 def by_page(hits: DataFrame) -> DataFrame:
@@ -115,10 +120,10 @@ def snippet(content: Column, words: list[str], size: int = SNIPPET) -> Column:
 
 
 def passage_rows(verses: DataFrame, edition: str, open_edition: str = "BSB") -> DataFrame:
-    """Rows to index of verses(book, chapter, verse, text, title): none of an edition that may not be kept."""
+    """Rows to index of verses(book, chapter, verse, text, title), each with its verse as page: none of an edition that may not be kept."""
     rows = verses.where(F.lit(edition == open_edition) & (F.trim("text") != ""))
     ref = F.concat_ws(":", "book", F.col("chapter").cast("string"))
-    return rows.select(F.concat_ws(":", ref, F.col("verse").cast("string")).alias("key"), F.lit("scripture").alias("kind"), F.lit(None).cast("string").alias("book_id"), F.col("text").alias("content"), ref.alias("ref"))
+    return rows.select(F.concat_ws(":", ref, F.col("verse").cast("string")).alias("key"), F.lit("scripture").alias("kind"), F.lit(None).cast("string").alias("book_id"), F.col("text").alias("content"), ref.alias("ref"), F.col("verse").alias("page"))
 
 
 def section_rows(sections: DataFrame) -> DataFrame:
@@ -128,6 +133,18 @@ def section_rows(sections: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("/", "source", ref).alias("key"), F.lit("confession").alias("kind"), F.col("source").alias("book_id"), F.col("text").alias("content"), ref.alias("ref"))
 
 
+def unindexed(books: DataFrame) -> DataFrame:
+    """Books with a file whose pages aren't in the index yet, of books(indexed, pdf_path, ...)."""
+    return books.where((F.coalesce(F.col("indexed").cast("int"), F.lit(0)) == 0) & F.col("pdf_path").isNotNull())
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Rows to index of pages(book_id, page, title, text): blank ones aren't."""
+    rows = pages.where(F.trim("text") != "")
+    key = F.concat_ws("/", "book_id", F.col("page").cast("string"))
+    return rows.select(key.alias("key"), F.lit("page").alias("kind"), "book_id", F.col("text").alias("content"), F.lit(None).cast("string").alias("ref"), "page", "title")
+
+
 def without_book(docs: DataFrame, book_id: str) -> DataFrame:
     """Indexed rows without the pages and quotes of a book; whatever else bears its id stays."""
     gone = F.col("kind").isin("page", "quote") & (F.col("book_id") == book_id)

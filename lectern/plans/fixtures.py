@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import search
+from lectern.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +21,18 @@ def search_docs(spark: SparkSession, d: str) -> DataFrame:
     return pages.unionByName(notes).unionByName(quotes).withColumn("ref", F.lit(None).cast("string"))
 
 
+_written: dict[tuple[str, str], search.Index] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> search.Index:
+    """The index of search_docs: written once for an application, and read by all its searches; derived if nothing is shared."""
+    key, folder = (spark.sparkContext.applicationId, d), shared_folder(spark)
+    if key not in _written:
+        index = search.build_index(search_docs(spark, d))
+        _written[key] = search.write_index(index, f"{folder}/lectern-{key[0]}/search-{len(_written)}") if folder else index
+    return _written[key]
+
+
 SEARCH_DOCS = """
 s AS (SELECT 'd' || doc_id AS key, 'page' AS kind, source AS book_id, text AS content FROM documents
       UNION ALL SELECT 'c' || conv_id || '-' || turn, 'note', role, text FROM conversations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import citation, headers, names, notes, references
 from lectern.functions.references import Book
-from lectern.operators import normalise, quotes, reconcile, search, validation
+from lectern.operators import catalog, normalise, quotes, reconcile, search, validation
 from lectern.plans import fixtures as fx
 from lectern.plans.registry import query
 from lectern.sources import epub, layout, markdown, passages
@@ -429,15 +429,16 @@ def cit2_other_citations(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "customer").select("c_custkey", citation.commentary_citation(author, F.lit("C"), place).alias("commentary"), section.alias("section"))
 
 
-@query("snk3_without_book", f"WITH {fx.SEARCH_DOCS} SELECT key, kind FROM s WHERE NOT (kind IN ('page', 'quote') AND book_id = 'src1') AND kind <> 'note' UNION ALL SELECT 'n/AC:' || n_nationkey, 'confession' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'JHN:3:' || n_nationkey, 'scripture' FROM nation")
+@query("snk3_without_book", f"WITH {fx.SEARCH_DOCS} SELECT key, kind, NULL::INT AS page FROM s WHERE NOT (kind IN ('page', 'quote') AND book_id IS NOT DISTINCT FROM 'src0') UNION ALL SELECT 'n/AC:' || n_nationkey, 'confession', NULL FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'JHN:3:' || n_nationkey, 'scripture', n_nationkey FROM nation")
 def snk3_without_book(spark: SparkSession, d: str) -> DataFrame:
     """SNK3-SNK6: a book's rows leave the index, a source's are replaced, and passages of editions that may be kept come in."""
-    docs = search.without_book(fx.search_docs(spark, d).where("kind <> 'note'"), "src1")
+    docs = search.without_book(fx.search_docs(spark, d), "src0")
     n = fx.table(spark, d, "nation")
     sections = search.section_rows(n.selectExpr("'n' AS source", "'AC' AS document", "n_nationkey AS ordinal", "CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE ' ' END AS text"))
     docs = search.replaced_source(docs.unionByName(sections.withColumn("key", F.lit("old"))), sections, "confession", "book_id")
     verses = n.selectExpr("'JHN' AS book", "3 AS chapter", "n_nationkey AS verse", "n_name AS text")
-    return docs.unionByName(search.passage_rows(verses, "BSB")).unionByName(search.passage_rows(verses, "ESV")).select("key", "kind")
+    passages_in = search.passage_rows(verses, "BSB").unionByName(search.passage_rows(verses, "ESV"))
+    return docs.unionByName(passages_in, allowMissingColumns=True).select("key", "kind", "page")
 
 
 @query("srt1_title_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY lower(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END), p_partkey) AS n FROM part")
@@ -481,13 +482,14 @@ def flt_membership(spark: SparkSession, d: str) -> DataFrame:
     """FLT2, FLT3, FLT5: books on a shelf, not on another, whose name has a text."""
     rows = fx.table(spark, d, "lineitem").selectExpr("l_partkey AS p_partkey", "l_returnflag", "l_linenumber", "l_suppkey")
     part = fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")))
-    return part.join(rows.where("l_returnflag = 'R'"), "p_partkey", "left_semi").join(rows.where("l_linenumber = 7 AND l_suppkey % 10 = 3"), "p_partkey", "left_anti").select("p_partkey")
+    there = catalog.on_shelf(part, rows.where("l_returnflag = 'R'"), "p_partkey")
+    return catalog.on_shelf(there, rows.where("l_linenumber = 7 AND l_suppkey % 10 = 3"), "p_partkey", inside=False).select("p_partkey")
 
 
 @query("flt12_completions", "SELECT p_name FROM part WHERE contains(lower(p_name), 'ri') ORDER BY lower(p_name), p_name, p_partkey LIMIT 8")
 def flt12_completions(spark: SparkSession, d: str) -> DataFrame:
     """FLT12, SRT9: the first eight titles that hold what was typed."""
-    return fx.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ri"))).orderBy(F.lower("p_name"), "p_name", "p_partkey").limit(8).select("p_name")
+    return catalog.completions(fx.table(spark, d, "part"), "p_name", "Ri", "p_partkey").select("p_name")
 
 
 @query("flt11_verses", f"WITH {fx.POINTS} SELECT point_id FROM points WHERE book = 3 AND chapter BETWEEN 1 AND 30 AND verse BETWEEN 5 AND 20")
@@ -519,8 +521,6 @@ def str29_blockquotes(spark: SparkSession, d: str) -> DataFrame:
 @query("sys6_registered", "SELECT n_name AS path, n_nationkey AS sort_order FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_name, (19 + row_number() OVER (ORDER BY n_name))::INT FROM nation WHERE n_nationkey >= 20")
 def sys6_registered(spark: SparkSession, d: str) -> DataFrame:
     """SYS6, SNK20: sources are registered once by path, behind those that are there."""
-    from lectern.operators import catalog
-
     n = fx.table(spark, d, "nation").selectExpr("n_name AS name", "n_nationkey AS sort_order")
     old = n.where("sort_order < 20")
     return catalog.appended(old, n.select("name").join(old, "name", "left_anti")).withColumnRenamed("name", "path")

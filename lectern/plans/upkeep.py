@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import notes
-from lectern.operators import catalog, normalise, search, upkeep
+from lectern.functions import notes, values
+from lectern.operators import catalog, normalise, quotes, search, upkeep
 from lectern.plans import fixtures as fx
+from lectern.plans.bm25 import bm25 as _bm25
 from lectern.plans.registry import query
 
 
@@ -164,12 +165,14 @@ def sys10_chapters(spark: SparkSession, d: str) -> DataFrame:
     return keyed.join(made.distinct(), ["edition", "book", "chapter"]).select("c_custkey", "edition", "reference")
 
 
-@query("fts12_in_book", None)
+@query("fts12_in_book", f"""WITH h AS ({_bm25("kind = 'page' AND book_id = 'src0'", ("er",))}), p AS (SELECT key, substr(key, 2)::BIGINT AS page, rank FROM h),
+n AS (SELECT *, row_number() OVER (ORDER BY page, key)::INT AS n FROM p)
+SELECT key, page, rank, n, coalesce(lead(key) OVER (ORDER BY n), first_value(key) OVER (ORDER BY n)) AS following FROM n""")
 def fts12_in_book(spark: SparkSession, d: str) -> DataFrame:
     """FTS12, FTS13: hits in one book by page, cut by rank first, each with the hit after it, the first after the last."""
-    index = search.build_index(fx.search_docs(spark, d))
-    hits = search.search(index, "er", (F.col("kind") == "page") & (F.col("book_id") == "src1"))
-    return search.by_page(hits.withColumn("page", F.substring("key", 2, 20).cast("long")))
+    hits = search.search(fx.search_index(spark, d), "er", (F.col("kind") == "page") & (F.col("book_id") == "src0"))
+    found = search.by_page(hits.withColumn("page", F.substring("key", 2, 20).cast("long")))
+    return found.withColumn("rank", F.round("rank", 9))
 
 
 @query("str30_styled", "SELECT c_custkey, 'text:a ,bold:' || c_name || ',text: and ,italic:' || c_mktsegment || ',struck:gone,text: **' AS parts FROM customer")
@@ -205,3 +208,63 @@ def win12_speculative(spark: SparkSession, d: str) -> DataFrame:
     number = "cast(CASE WHEN event_id % 7 = 2 THEN event_id % 9 + 1 WHEN event_id % 14 = 3 THEN event_id % 6 + 1 END AS int) AS number"
     rows = fx.table(spark, d, "events").selectExpr("event_id", "user_id", what, number, "6 AS last")
     return normalise.speculative_chapters(rows, ["user_id"], "event_id").select("event_id", "chapter", "advanced")
+
+
+@query("fts15_quote_texts", """SELECT l_orderkey, l_linenumber, concat_ws(chr(10), CASE WHEN l_linenumber % 4 <> 0 THEN 'text ' || l_partkey END, CASE WHEN l_linenumber % 3 = 0 THEN 'remark' END,
+ '#' || l_returnflag || ' #' || l_linestatus) AS content FROM lineitem""")
+def fts15_quote_texts(spark: SparkSession, d: str) -> DataFrame:
+    """FTS15: what of a quote is indexed; blank parts aren't."""
+    text = F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("text "), F.col("l_partkey").cast("string"))).otherwise("  ")
+    remarks = F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit(""), F.lit("remark")))
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quotes.document_text(text, remarks, F.array("l_returnflag", "l_linestatus")).alias("content"))
+
+
+@query("fts16_unindexed", "SELECT p_partkey FROM part WHERE p_size % 3 = 0 AND p_partkey % 5 <> 0")
+def fts16_unindexed(spark: SparkSession, d: str) -> DataFrame:
+    """FTS16: books with a file that aren't indexed yet."""
+    books = fx.table(spark, d, "part").selectExpr("p_partkey", "CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS indexed", "CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS pdf_path")
+    return search.unindexed(books).select("p_partkey")
+
+
+@query("snk1_pages_replaced", """SELECT p_partkey || '/' || page AS key, CASE WHEN p_partkey % 2 = 0 THEN 'new ' ELSE 'old ' END || page AS content FROM part, (VALUES (1), (2), (3)) v(page) WHERE NOT (p_partkey % 2 = 0 AND page = 3)""")
+def snk1_pages_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1: all rows of a book's pages give way to its new ones, and blank pages have none."""
+    pages = fx.table(spark, d, "part").selectExpr("p_partkey AS k", "cast(p_partkey AS string) AS book_id", "p_name AS title", "explode(array(1, 2, 3)) AS page")
+    old = search.page_rows(pages.withColumn("text", F.concat(F.lit("old "), F.col("page").cast("string"))))
+    new = search.page_rows(pages.where("k % 2 = 0").withColumn("text", F.when(F.col("page") < 3, F.concat(F.lit("new "), F.col("page").cast("string"))).otherwise(" ")))
+    return search.replaced_source(old, new, "page", "book_id").select("key", "content")
+
+
+@query("agg11_names", "SELECT DISTINCT trim(unnest(string_split_regex(s_name || ' & ' || n_name || ' and B', '\\s*[&;]\\s*|\\s+and\\s+'))) AS author FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def agg11_names(spark: SparkSession, d: str) -> DataFrame:
+    """AGG11: all authors, those of one book apart."""
+    rows = fx.table(spark, d, "supplier").join(fx.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return catalog.author_names(rows.select(F.concat("s_name", F.lit(" & "), "n_name", F.lit(" and B")).alias("author")))
+
+
+@query("agg11_series", "SELECT DISTINCT p_brand AS series FROM part WHERE p_size % 4 <> 0")
+def agg11_series(spark: SparkSession, d: str) -> DataFrame:
+    """AGG11: all series."""
+    return catalog.series_names(fx.table(spark, d, "part").select(F.when(F.col("p_size") % 4 != 0, F.concat(F.lit(" "), "p_brand")).otherwise(" ").alias("series")))
+
+
+@query("agg24_chapters_seen", """WITH q AS (SELECT l_orderkey * 10 + l_linenumber AS position, l_partkey % 40 AS chapter FROM lineitem WHERE l_linenumber <> 2)
+SELECT position, chapter::INT AS chapter, min(position) OVER (PARTITION BY chapter) AS first FROM q""")
+def agg24_chapters_seen(spark: SparkSession, d: str) -> DataFrame:
+    """AGG24: a book's quotes with their chapters in the order in which a listing first has them."""
+    ref = "CASE WHEN l_linenumber = 2 THEN 'AC:4' ELSE concat('JHN ', l_partkey % 40, ':3') END"
+    rows = fx.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS position", f"{ref} AS ref")
+    return quotes.by_chapter(rows).select("position", "chapter", "first")
+
+
+@query("mth2_values", """SELECT p_partkey, greatest(10, least(40, p_size))::INT AS clamped, greatest(1, floor(p_retailprice / 400 - 2 + 0.5))::BIGINT AS whole FROM part""")
+def mth2_values(spark: SparkSession, d: str) -> DataFrame:
+    """MTH2: bounds, and whole numbers of one at least."""
+    clamped = values.clamped(F.col("p_size"), F.lit(10), F.lit(40))
+    return fx.table(spark, d, "part").select("p_partkey", clamped.alias("clamped"), values.whole_part(F.col("p_retailprice") / 400 - 2).alias("whole"))
+
+
+@query("dat1_times", """SELECT event_id, floor(event_id * 777 / 1000.0)::BIGINT AS seconds, strftime(ts, '%B %-d, %Y') AS day FROM events""")
+def dat1_times(spark: SparkSession, d: str) -> DataFrame:
+    """DAT1: whole seconds, and days in words."""
+    return fx.table(spark, d, "events").select("event_id", values.seconds(F.col("event_id") * 777).alias("seconds"), values.long_date(F.col("ts")).alias("day"))

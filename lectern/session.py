@@ -24,3 +24,12 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(home.parent))
     context.addPyFile(archive)
     _sent.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """A folder that driver and executors share: spark.checkpoint.dir, or a local session's own; None if there is none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder or not spark.sparkContext.master.startswith("local"):
+        return folder and folder.rstrip("/")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")

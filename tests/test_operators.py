@@ -110,3 +110,36 @@ def test_stream_replaces_partitions(spark, tmp_path):
         index_stream(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "check")).awaitTermination()
         assert i or spark.read.parquet(out).count() == 3
     assert {r["term"] for r in spark.read.parquet(out).collect()} == {"three", "two"}
+
+
+def test_written_index_is_pruned_by_prefix(spark, tmp_path):
+    """The prefix of each token reaches the scan of the sorted postings, and content is read for the best keys only."""
+    docs = spark.createDataFrame([(str(i), "page", "b", f"word{i} common text", None) for i in range(300)], "key string, kind string, book_id string, content string, ref string")
+    index = search.write_index(search.build_index(docs), str(tmp_path))
+    plan = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "StringStartsWith(term,word1)" in plan(search.ranked(index, "word1"))
+    found = search.search(index, "word1 comm", limit=5)
+    assert [r["key"] for r in found.collect()] == [r["key"] for r in search.search(search.build_index(docs), "word1 comm", limit=5).collect()]
+    assert found.count() == 5 and "TakeOrderedAndProject" in plan(found)
+
+
+def test_corrections_move_confirm_and_discard(spark):
+    from lectern.operators import validation
+
+    rows = spark.createDataFrame([("a", "ROM", 1, 30, 1, 30, 50, 1), ("b", "ROM", 1, 40, 1, 40, 50, 2), ("c", "ROM", 1, 50, 1, 50, 50, 3), ("d", "ROM", 2, 1, 2, 1, 50, 4)], "hash string, book string, cs int, vs int, ce int, ve int, words int, nth int").withColumn("source", F.lit("s"))
+    made = [("a", "discard", None, None, None, None, None, 1), ("b", "reassign", "ROM", 1, 3, 1, 5, 1), ("c", "confirm", None, None, None, None, None, 1), ("gone", "confirm", None, None, None, None, None, 1)]
+    corrections = spark.createDataFrame(made, "hash string, action string, book string, cs int, vs int, ce int, ve int, position int")
+    verses = spark.createDataFrame([("ROM", 1, 32), ("ROM", 2, 29)], "book string, chapter int, last int")
+    out = {r["hash"]: r for r in validation.finalised(rows, corrections, verses, "source", "nth").collect()}
+    assert set(out) == {"b", "c", "d"} and (out["b"]["vs"], out["b"]["ve"], out["b"]["flagged"]) == (3, 5, False)
+    assert not out["c"]["flagged"] and out["c"]["out_of_bounds"] and not out["d"]["flagged"]
+    assert [r["hash"] for r in validation.orphans(rows, corrections).collect()] == ["gone"]
+
+
+def test_very_long_ranges(spark):
+    points = spark.createDataFrame([(1, "A", 5, 3), (2, "A", 10**6, 3), (3, "B", 1, 1)], "id int, book string, chapter int, verse int")
+    excerpts = spark.createDataFrame([("x", "A", 5, 4, 2 * 10**9, 1, False), ("y", "A", 4, 1, 6, 1, False)], "e string, book string, cs int, vs int, ce int, ve int, flagged boolean")
+    assert sorted((r["id"], r["e"]) for r in ranges.covering(points, excerpts).collect()) == [(1, "y"), (2, "x")]
+    sections = spark.createDataFrame([("x", "D", 2, 2 * 10**9), ("y", "D", 1, 2), ("z", "D", 3, 1)], "e string, document string, first int, last int")
+    at = spark.createDataFrame([("D", 2), ("D", 5000)], "document string, ordinal int")
+    assert sorted((r["ordinal"], r["e"]) for r in ranges.covering_sections(at, sections).collect()) == [(2, "x"), (2, "y"), (5000, "x")]
