@@ -224,3 +224,16 @@ def test_note_and_file_listings(spark, tmp_path):
         (tmp_path / name).write_bytes(b"12345")
     found = markdown.list_pdfs(spark, str(tmp_path), ["cache"]).collect()
     assert sorted(r["path"].removeprefix(str(tmp_path)) for r in found) == ["/a.pdf", "/b/C.PDF"] and {r["size"] for r in found} == {5}
+
+
+def test_contents_say_where_books_begin(spark, tmp_path):
+    import zipfile
+
+    from lectern.sources import epub
+
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        z.writestr("OEBPS/toc.ncx", '<navMap><navPoint><navLabel><text>Preface</text></navLabel><content src="p.html"/><navPoint><navLabel><text> John </text></navLabel><content src="t/jn%201.html#x"/></navPoint></navPoint></navMap>')
+        z.writestr("OEBPS/nav.xhtml", '<nav epub:type="toc"><a href="t/jn%201.html">John 1</a><a href="ph.html"><b>Philemon</b></a></nav><nav><a href="no.html">John</a></nav>')
+    (tmp_path / "broken.epub").write_bytes(b"PK no archive")
+    got = {(r["name"], r["book"]) for r in epub.starts(spark, str(tmp_path), CANON).collect()}
+    assert got == {("OEBPS/t/jn 1.html", "JHN"), ("OEBPS/ph.html", "PHM")}
