@@ -60,6 +60,19 @@ def book_citation(style: str, title: Column, authors: Column, year: Column, publ
     raise ValueError(f"no such style: {style}")
 
 
+def video_citation(style: str, title: Column, authors: Column, year: Column, channel: Column, url: Column) -> Column:
+    """A video's citation: whose it is, its title in quotes, channel, year and, if there is one, its address."""
+    when = _or_placeholder(year.cast("string"), "year")
+    if style == "author-date":
+        return F.concat(F.lit("("), _listed(authors, _last), F.lit(" "), when, F.lit(")"))
+    if style not in ("footnote", "short", "bibliography"):
+        raise ValueError(f"no such style: {style}")
+    who = _bibliography_authors(authors) if style == "bibliography" else _listed(authors, lambda a: a)
+    address = F.nullif(url, F.lit(""))
+    said = F.concat_ws(", ", F.lit("video"), _or_placeholder(channel, "channel"), when, address)
+    return F.concat(who, F.lit(', "'), _or_placeholder(strip(title), "title"), F.lit('," '), said, F.lit("."))
+
+
 def passage_citation(book: Column, chapter: Column, first: Column, last: Column, edition: Column) -> Column:
     """'John 3:16–18 (BSB)'."""
     verses = F.when(last.isNull() | (last == first), first.cast("string")).otherwise(F.concat_ws("–", first, last))

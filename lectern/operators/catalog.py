@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions.text import leading_number
 
@@ -70,15 +71,26 @@ def cascade(children: DataFrame, gone: DataFrame, key: str, keep: bool = False)
 def reordered(rows: DataFrame, ids: list, key: str) -> DataFrame:
     """Rows with sort_order from a list of ids, which begins at 1; rows that aren't in it keep theirs."""
     place = rows.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(ids)], f"{key} {rows.schema[key].dataType.simpleString()}, _place int")
-    out = rows.join(F.broadcast(place), key, "left")
+    out = rows.join(place, key, "left")
     return out.withColumn("sort_order", F.coalesce("_place", "sort_order")).drop("_place").select(*rows.columns)
 
 
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows with _n, their number from 1 in an order over all of them.
+
+    They are sorted over range partitions, and the counts of these give where each begins: a window without a key would
+    put all rows in one task. Numbers of partitions have no DataFrame counterpart that is stable, so this is an RDD's.
+    """
+    schema = StructType([*rows.schema.fields, StructField("_n", LongType(), False)])
+    made = rows.orderBy(*order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
+    return rows.sparkSession.createDataFrame(made, schema, verifySchema=False)
+
+
 def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Rows and new ones behind them, in order of name: sort_order goes on from the largest."""
     last = rows.agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_last"))  # one row
-    number = F.row_number().over(Window.orderBy("name"))  # a user's few new shelves or tags
-    more = new.crossJoin(F.broadcast(last)).withColumn("sort_order", (F.col("_last") + number).cast(rows.schema["sort_order"].dataType)).drop("_last")
+    order = (F.col("_last") + F.col("_n")).cast(rows.schema["sort_order"].dataType)
+    more = numbered(new, "name").crossJoin(F.broadcast(last)).withColumn("sort_order", order).drop("_last", "_n")
     return rows.unionByName(more)
 
 

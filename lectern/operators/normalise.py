@@ -19,10 +19,10 @@ def within_chapters(excerpts: DataFrame, verses: DataFrame) -> DataFrame:
     in the chapter before are exactly those that have the same place now, so the first of them takes it: no pass over
     the rows one by one is needed.
     """
-    last = F.broadcast(verses)
+    last = verses
     here = last.select("book", F.col("chapter").alias("cs"), F.col("last").alias("_here"))
     before = last.select("book", (F.col("chapter") + 1).alias("cs"), F.col("last").alias("_before"))
-    known = F.broadcast(verses.select("book").distinct().withColumn("_known", F.lit(True)))
+    known = verses.select("book").distinct().withColumn("_known", F.lit(True))
     place = ["book", "cs", "vs", "ve"]
     taken = excerpts.select("book", (F.col("cs") + 1).alias("cs"), "vs", "ve").distinct().withColumn("_taken", F.lit(True))
     rows = excerpts.join(known, "book", "left").join(here, ["book", "cs"], "left").join(before, ["book", "cs"], "left")

@@ -24,11 +24,12 @@ class Index:
     postings: DataFrame
 
 
-def build_index(docs: DataFrame) -> Index:
-    """An index of rows with key and content; other columns stay. Blank documents count, without terms."""
+def build_index(docs: DataFrame, *keys: str) -> Index:
+    """An index of rows with key (or keys) and content; other columns stay. Blank documents count, without terms."""
+    keys = keys or ("key",)
     docs = docs.withColumn("length", F.size(tokens(F.col("content"))).cast("long"))
-    terms = docs.select("key", F.explode(tokens(F.col("content"))).alias("term"))
-    return Index(docs, terms.groupBy("term", "key").agg(F.count("*").alias("tf")))
+    terms = docs.select(*keys, F.explode(tokens(F.col("content"))).alias("term"))
+    return Index(docs, terms.groupBy("term", *keys).agg(F.count("*").alias("tf")))
 
 
 def write_index(index: Index, path: str) -> Index:

@@ -144,6 +144,33 @@ def yields(excerpts: DataFrame) -> DataFrame:
     return made.select("source", "excerpts", "books", (F.col("chars") / F.col("excerpts")).alias("mean_length"), F.coalesce(odd, F.lit(False)).alias("contaminated"))
 
 
+def chapter_yields(excerpts: DataFrame) -> DataFrame:
+    """(source, book, excerpts, chapters) of excerpts(source, book, cs): how many of a book there are, and in which chapters."""
+    return excerpts.groupBy("source", "book").agg(F.count("*").alias("excerpts"), F.array_sort(F.collect_set("cs")).alias("chapters"))
+
+
+def doubtful_yields(excerpts: DataFrame, pages: DataFrame, per_page: float = 0.15, length: int = 40) -> DataFrame:
+    """(source, pages, excerpts, yield, few, brief) for each of pages(source, pages), excerpts(source, text).
+
+    few: less than per_page excerpts a page, also none; brief: excerpts are shorter than length on average.
+    """
+    made = excerpts.groupBy("source").agg(F.count("*").alias("excerpts"), F.avg(F.length("text")).alias("_mean"))
+    rows = pages.join(made, "source", "left").withColumn("excerpts", F.coalesce("excerpts", F.lit(0)))
+    rows = rows.withColumn("yield", F.col("excerpts") / F.greatest("pages", F.lit(1)))
+    return rows.select("source", "pages", "excerpts", "yield", (F.col("yield") < per_page).alias("few"), F.coalesce(F.col("_mean") < length, F.lit(False)).alias("brief"))
+
+
+def outcomes(rows: DataFrame, first: int = 50) -> DataFrame:
+    """(outcome, n, titles) of rows(outcome, title): how many there are, and the first titles in order.
+
+    Titles are ranked and cut in each task before they meet, so an outcome of most rows sends only a few.
+    """
+    best = Window.partitionBy("outcome").orderBy("title")
+    few = rows.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= first)
+    titles = few.groupBy("outcome").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n")).join(titles, "outcome")
+
+
 def repaired(excerpts: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
     """excerpts(keys, order, book, cs, vs, ce, ve, glitched) with verses that couldn't be read, from those before them.
 

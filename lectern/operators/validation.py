@@ -22,7 +22,7 @@ def validated(rows: DataFrame, verses: DataFrame, source: str, order: str) -> Da
     verses(book, chapter, last) are the known chapters; unknown ones aren't flagged. An odd size (under SHORT words or
     over LONG times the source's median) lowers confidence and never flags.
     """
-    rows = sequence_reasons(rows, source, order).join(F.broadcast(verses), ["book", "chapter"], "left")
+    rows = sequence_reasons(rows, source, order).join(verses, ["book", "chapter"], "left")
     beyond = F.coalesce((F.col("verse") > F.col("last")) | (F.col("verse") < 1), F.lit(False))
     middle = rows.groupBy(source).agg(F.median("words").alias("middle"))
     rows = rows.withColumn("out_of_bounds", beyond).join(middle, source)

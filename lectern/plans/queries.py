@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.citation import book_citation
+from lectern.functions.citation import book_citation, video_citation
 from lectern.functions.text import html_text, safe_name, split_authors, tag_name, tokens, word_count
 from lectern.operators import catalog, ranges, reconcile, search, validation
 from lectern.plans import fixtures as fx
@@ -98,10 +98,10 @@ def agg14_by_source(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("point_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("ref3_labels", f"WITH {fx.EXCERPTS} SELECT excerpt_id, 'B' || book || ' ' || cs || ':' || vs || CASE WHEN ve = vs THEN '' ELSE '-' || ve END AS label, ve AS verse_end FROM excerpts WHERE ve >= vs")
+@query("ref3_labels", f"WITH {fx.EXCERPTS} SELECT excerpt_id, 'B' || book || ' ' || cs || ':' || vs || CASE WHEN ve = vs THEN '' ELSE '-' || ve END AS label, ve AS verse_end FROM excerpts")
 def ref3_labels(spark: SparkSession, d: str) -> DataFrame:
     """REF3, REF6: references written, and read again."""
-    e = fx.excerpts(spark, d).where("ve >= vs")
+    e = fx.excerpts(spark, d)
     label = ranges.reference(F.concat(F.lit("B"), "book"), F.col("cs"), F.col("vs"), F.col("ve"))
     return e.select("excerpt_id", label.alias("label")).select("*", ranges.parse_reference(F.col("label"))["verse_end"].alias("verse_end"))
 
@@ -157,6 +157,16 @@ def cit1_footnotes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("quote_id", book_citation("footnote", F.col("title"), split_authors(F.col("author")), F.col("year"), F.col("publisher"), none, F.col("page")).alias("footnote"))
 
 
+@query("cit1_videos", f"""WITH {fx.BOOKS}, v AS (SELECT *, ', "' || trim(title) || '," video, ' || coalesce(publisher, '[channel]') || ', ' || year || CASE WHEN book_id % 2 = 0 THEN ', v/' || book_id ELSE '' END || '.' AS said,
+ regexp_replace(author, '^(.*)\\s+(\\S+)$', '\\2, \\1') AS inverted, regexp_extract(author, '\\S+$') AS family FROM books)
+SELECT book_id, author || said AS footnote, inverted || said AS bibliography, '(' || family || ' ' || year || ')' AS author_date FROM v""")
+def cit1_videos(spark: SparkSession, d: str) -> DataFrame:
+    """CIT1: books cited as videos, some without a channel or an address."""
+    url = F.expr("CASE WHEN book_id % 2 = 0 THEN concat('v/', book_id) END")
+    cited = lambda s: video_citation(s, F.col("title"), split_authors(F.col("author")), F.col("year"), F.col("publisher"), url)
+    return fx.books(spark, d).select("book_id", cited("footnote").alias("footnote"), cited("bibliography").alias("bibliography"), cited("author-date").alias("author_date"))
+
+
 @query("agg3_by_source", f"WITH {fx.QUOTES} SELECT s_suppkey, s_name, count(*) AS n FROM quotes JOIN supplier ON source_id = s_suppkey GROUP BY ALL")
 def agg3_by_source(spark: SparkSession, d: str) -> DataFrame:
     """AGG3, JN8: quotes by source."""

@@ -331,13 +331,14 @@ def ing4_lines(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines(pieces, ["user_id"]).select("user_id", "line", "x", "text")
 
 
-@query("snk16_written", f"""WITH {fx.EXCERPTS}, e AS (SELECT source, book, string_agg('## ' || cs || ':' || vs || CASE WHEN ve <> vs THEN '-' || ve ELSE '' END || chr(10) || 't' || excerpt_id, chr(10) || chr(10) ORDER BY cs, vs, ve DESC, excerpt_id) AS said FROM excerpts WHERE book < 5 GROUP BY ALL)
-SELECT source, string_agg('# Book ' || book || chr(10) || chr(10) || said, chr(10) || chr(10) ORDER BY book) || chr(10) AS text FROM e GROUP BY source""")
+@query("snk16_written", f"""WITH {fx.EXCERPTS} SELECT source, book AS place, cs, vs, ve, excerpt_id AS position,
+ CASE WHEN row_number() OVER (PARTITION BY source, book ORDER BY cs, vs, ve DESC, excerpt_id) = 1 THEN '# Book ' || book || chr(10) || chr(10) ELSE '' END
+ || '## ' || cs || ':' || vs || CASE WHEN ve <> vs THEN '-' || ve ELSE '' END || chr(10) || 't' || excerpt_id || chr(10) AS text FROM excerpts""")
 def snk16_written(spark: SparkSession, d: str) -> DataFrame:
-    """SNK16: each source's excerpts as Markdown. The books are five; excerpts of others are in no book."""
+    """SNK16: excerpts of all 66 books as parts of their sources' Markdown."""
     rows = fx.excerpts(spark, d).selectExpr("source", "book", "cs", "vs", "ve", "excerpt_id AS position", "concat('t', excerpt_id) AS text")
-    books = spark.range(5).selectExpr("cast(id AS int) AS code", "concat('Book ', id) AS name", "cast(id AS int) AS position")
-    return markdown.written(rows, books)
+    books = spark.range(66).selectExpr("cast(id AS int) AS code", "concat('Book ', id) AS name", "cast(id AS int) AS position")
+    return markdown.written_parts(rows, books)
 
 
 @query("ref8_headers", """SELECT c_custkey, shape, CASE WHEN shape = 'book-chapter-verse' THEN 'MAC' ELSE 'FUR' END AS book, CASE shape WHEN 'book-chapter-verse' THEN 1 + c_custkey % 9 WHEN 'chapter-verse' THEN 1 + c_custkey % 9 WHEN 'chapter-verse-roman' THEN 14 ELSE 7 END::INT AS cs,

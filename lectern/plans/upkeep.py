@@ -73,6 +73,31 @@ def agg19_yields(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.yields(fx.table(spark, d, "orders").selectExpr("o_custkey % 20 AS source", book, "o_orderpriority AS text"))
 
 
+@query("agg19_chapters", f"WITH {fx.EXCERPTS} SELECT source, book, count(*) AS excerpts, list_sort(list(DISTINCT cs))::VARCHAR AS chapters FROM excerpts GROUP BY ALL")
+def agg19_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """AGG19: excerpts and chapters of each book that a conversion found."""
+    rows = upkeep.chapter_yields(fx.excerpts(spark, d))
+    return rows.withColumn("chapters", F.concat(F.lit("["), F.concat_ws(", ", F.col("chapters").cast("array<string>")), F.lit("]")))
+
+
+@query("agg19_doubtful", """WITH o AS (SELECT o_custkey AS source, count(*) AS n, avg(length(o_comment)) AS mean FROM (SELECT o_custkey, o_orderpriority AS o_comment FROM orders) GROUP BY 1)
+SELECT c_custkey AS source, (1 + c_custkey % 200)::INT AS pages, coalesce(n, 0) AS excerpts, coalesce(n, 0) / (1 + c_custkey % 200) AS yield, coalesce(n, 0) / (1 + c_custkey % 200) < 0.15 AS few, coalesce(mean < 10, false) AS brief
+FROM customer LEFT JOIN o ON c_custkey = source""")
+def agg19_doubtful(spark: SparkSession, d: str) -> DataFrame:
+    """AGG19: sources with few excerpts for their pages, none, or short ones."""
+    pages = fx.table(spark, d, "customer").selectExpr("c_custkey AS source", "cast(1 + c_custkey % 200 AS int) AS pages")
+    return upkeep.doubtful_yields(fx.table(spark, d, "orders").selectExpr("o_custkey AS source", "o_orderpriority AS text"), pages, length=10)
+
+
+@query("agg21_first_titles", """WITH r AS (SELECT o_orderstatus AS outcome, o_orderpriority || o_orderkey AS title FROM orders),
+k AS (SELECT outcome, title FROM r QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY title) <= 50)
+SELECT outcome, (SELECT count(*) FROM r WHERE r.outcome = k.outcome) AS n, string_agg(title, '|' ORDER BY title) AS titles FROM k GROUP BY outcome""")
+def agg21_first_titles(spark: SparkSession, d: str) -> DataFrame:
+    """AGG21, SRT9: how many books an import left in each state, and their first 50 titles."""
+    rows = fx.table(spark, d, "orders").selectExpr("o_orderstatus AS outcome", "concat(o_orderpriority, o_orderkey) AS title")
+    return upkeep.outcomes(rows).withColumn("titles", F.array_join("titles", "|"))
+
+
 @query("agg21_outcomes", "SELECT l_shipmode AS outcome, count(*) AS n FROM (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'alreadyLocal' WHEN 1 THEN 'connected' ELSE 'missing' END AS l_shipmode FROM lineitem) GROUP BY 1")
 def agg21_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """AGG21: how many books an import left in each state."""

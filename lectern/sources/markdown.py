@@ -27,7 +27,7 @@ def excerpts(files: DataFrame, books: DataFrame) -> DataFrame:
     place = "([0-9]+):([0-9]+)(?:[-–—](?:([0-9]+):)?([0-9]+))?"
     bare = lambda i: F.nullif(F.regexp_extract("header", f"^{place}(?:\\s.*)?$", i), F.lit(""))
     full = lambda i: F.nullif(F.regexp_extract("header", "^(.+?)\\.?\\s+([0-9]+)(?::([0-9]+)(?:[-–]([0-9]+))?)?(?:\\s.*)?$", i), F.lit(""))
-    names = F.broadcast(books.select(F.lower("name").alias("_name"), "code"))
+    names = books.select(F.lower("name").alias("_name"), "code")
     lines = lines.withColumn("_name", F.lower(F.coalesce(full(1), F.col("header"))))
     lines = lines.join(names, "_name", "left").withColumn("is_full", F.col("code").isNotNull() & full(1).isNotNull())
     upto = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +60,7 @@ def sections(files: DataFrame, documents: DataFrame) -> DataFrame:
     lines = files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("position", "line"))
     part = lambda i: F.regexp_extract("line", "^(#{1,6})\\s+(?=\\S)(.*)$", i)
     lines = lines.withColumn("level", F.length(part(1))).withColumn("header", F.when(F.col("level") > 0, part(2)))
-    names = F.broadcast(documents.select(F.lower("name").alias("_name"), "code").dropDuplicates(["_name"]))
+    names = documents.select(F.lower("name").alias("_name"), "code").dropDuplicates(["_name"])
     lines = lines.withColumn("_name", F.when(F.col("level") == 1, F.lower(strip(F.col("header"))))).join(names, "_name", "left")
     upto = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("document", F.last(F.when(F.col("level") == 1, F.struct("code")), ignorenulls=True).over(upto)["code"])
@@ -89,20 +89,36 @@ def section_notes(found: DataFrame) -> DataFrame:
     return indexed_sections(found).withColumn("first", F.col("ordinal")).withColumn("last", F.col("ordinal"))
 
 
+def written_parts(excerpts: DataFrame, books: DataFrame) -> DataFrame:
+    """(source, place, cs, vs, ve, position, text): a row for each of excerpts(source, book, cs, vs, ve, position, text).
+
+    books(code, name, position) gives names and, as place, order; excerpts of other books go. The text is Markdown that
+    excerpts() reads, and the first of a book begins with its heading. position tells excerpts of one source apart.
+    """
+    start = F.concat_ws(":", F.col("cs").cast("string"), F.col("vs").cast("string"))
+    heading = F.concat(F.lit("## "), F.when(F.col("ve") != F.col("vs"), F.concat(start, F.lit("-"), F.col("ve").cast("string"))).otherwise(start))
+    rows = excerpts.join(books.select(F.col("code").alias("book"), "name", F.col("position").alias("place")), "book")
+    rank = F.struct("cs", "vs", (-F.col("ve")).alias("wide"), "position")
+    first = rows.groupBy("source", "book").agg(F.min(rank).alias("_first"))
+    title = F.when(rank == F.col("_first"), F.concat(F.lit("# "), F.col("name"), F.lit("\n\n"))).otherwise("")
+    said = F.concat(title, heading, F.lit("\n"), strip(F.col("text")), F.lit("\n"))
+    return rows.join(first, ["source", "book"]).select("source", "place", "cs", "vs", "ve", "position", said.alias("text"))
+
+
+def write_markdown(parts: DataFrame, path: str) -> None:
+    """Write written_parts(): a folder source=<source> for each source, whose files in order of name are its Markdown."""
+    order = ["source", "place", "cs", "vs", F.desc("ve"), "position"]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "text").write.partitionBy("source").text(path)
+
+
 def written(excerpts: DataFrame, books: DataFrame) -> DataFrame:
-    """(source, text): each source's excerpts(source, book, cs, vs, ve, position, text) as Markdown that excerpts() reads.
+    """(source, text): written_parts() of each source in one row, so for sources that fit in one.
 
-    books(code, name, position) gives headings and order. An excerpt's start comes first, the wider range first among
-    equals. A source is one file, so it fits in one row.
+    An excerpt's start comes first, the wider range first among equals.
     """
-    place = F.concat_ws(":", F.col("cs").cast("string"), F.col("vs").cast("string"))
-    heading = F.concat(F.lit("## "), F.when(F.col("ve") != F.col("vs"), F.concat(place, F.lit("-"), F.col("ve").cast("string"))).otherwise(place))
-    entry = F.struct("cs", "vs", (-F.col("ve")).alias("wide"), "position", F.concat(heading, F.lit("\n"), strip(F.col("text"))).alias("said"))
-    by_book = excerpts.groupBy("source", "book").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    named = by_book.join(F.broadcast(books.select(F.col("code").alias("book"), "name", F.col("position").alias("_order"))), "book")
-    said = F.concat(F.lit("# "), F.col("name"), F.lit("\n\n"), F.array_join(F.transform("entries", lambda e: e["said"]), "\n\n"))
-    made = named.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_order", said.alias("said")))).alias("parts"))
-    return made.select("source", F.concat(F.array_join(F.transform("parts", lambda p: p["said"]), "\n\n"), F.lit("\n")).alias("text"))
+    entry = F.struct("place", "cs", "vs", (-F.col("ve")).alias("wide"), "position", "text")
+    made = written_parts(excerpts, books).groupBy("source").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return made.select("source", F.array_join(F.transform("entries", lambda e: e["text"]), "\n").alias("text"))
 
 
 def standalone_notes(files: DataFrame, folder: str) -> DataFrame:

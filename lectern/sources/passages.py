@@ -78,7 +78,7 @@ def resolved_editions(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     wanted is a short list of the user's; names is an array, of which any may match.
     """
-    pairs = catalogue.join(F.broadcast(wanted), F.expr("exists(names, n -> n rlike pattern)"))
+    pairs = catalogue.join(wanted, F.expr("exists(names, n -> n rlike pattern)"))
     return pairs.groupBy("id").agg(F.min_by("provider_id", "position").alias("provider_id"))
 
 

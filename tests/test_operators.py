@@ -112,6 +112,37 @@ def test_stream_replaces_partitions(spark, tmp_path):
     assert {r["term"] for r in spark.read.parquet(out).collect()} == {"three", "two"}
 
 
+def test_stream_of_versions_keeps_books_that_come_in_parts(spark, tmp_path):
+    from lectern.streaming.indexing import index_runs, read_runs
+
+    schema = "key string, kind string, book_id string, content string, version long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    runs = [
+        [("a1", "page", "a", "one two", 1), ("n", "note", None, "first", 1), ("x", "page", None, "lone", 1)],
+        [("a2", "page", "a", "two", 1), ("a2", "page", "a", "two", 1)],
+        [("a1", "page", "a", "three", 2), ("n", "note", None, "second", 2)],
+        [("a3", "page", "a", "three four", 2), ("old", "page", "a", "late", 1)],
+    ]
+    keys = []
+    for rows in runs:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        index_runs(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "check")).awaitTermination()
+        keys.append({r["key"] for r in read_runs(spark, out).docs.collect()})
+    assert keys == [{"a1", "n", "x"}, {"a1", "a2", "n", "x"}, {"a1", "n", "x"}, {"a1", "a3", "n", "x"}]
+    index = read_runs(spark, out)
+    found = lambda q: [r["key"] for r in search.search(index, q).collect()]
+    assert found("three") == ["a1", "a3"] and found("two") == found("first") == found("late") == [] and found("sec") == ["n"]
+
+
+def test_numbered_over_many_partitions(spark):
+    from lectern.operators import catalog
+
+    rows = spark.createDataFrame([(f"n{i * 7919 % 1000:03d}",) for i in range(1000)], "name string").repartition(13)
+    got = catalog.numbered(rows, "name").collect()
+    assert {(r["name"], r["_n"]) for r in got} == {(f"n{i:03d}", i + 1) for i in range(1000)}
+    assert catalog.numbered(rows.limit(0), "name").count() == 0
+
+
 def test_written_index_is_pruned_by_prefix(spark, tmp_path):
     """The prefix of each token reaches the scan of the sorted postings, and content is read for the best keys only."""
     docs = spark.createDataFrame([(str(i), "page", "b", f"word{i} common text", None) for i in range(300)], "key string, kind string, book_id string, content string, ref string")

@@ -128,6 +128,18 @@ def test_markdown_round_trip(spark):
     assert [tuple(r) for r in got] == [("JHN", 1, 2, 2, "first"), ("JHN", 3, 16, 18, "wide"), ("JHN", 3, 16, 16, "one\n\ntwo"), ("PHM", 1, 7, 7, "p")]
 
 
+def test_markdown_files_in_parts(spark, tmp_path):
+    """Files of a source in order of name are its Markdown, however many tasks wrote them."""
+    rows = [(s, b, c, v, v, c * 9 + v, f"t{c}.{v}") for s in "ab" for b in ("JHN", "PHM") for c in range(1, 4) for v in range(1, 9)]
+    frame = spark.createDataFrame(rows, "source string, book string, cs int, vs int, ve int, position int, text string").repartition(5)
+    books = spark.createDataFrame([("JHN", "John", 1), ("PHM", "Philemon", 2)], "code string, name string, position int")
+    whole = {r["source"]: r["text"] for r in markdown.written(frame, books).collect()}
+    markdown.write_markdown(markdown.written_parts(frame, books), str(tmp_path / "out"))
+    for s in "ab":
+        files = sorted((tmp_path / "out" / f"source={s}").glob("part-*"))
+        assert "".join(f.read_text() for f in files).strip() == whole[s].strip()
+
+
 @pytest.mark.parametrize("name, want", [
     ("Only a title", ("Only a title", None, None, None)), ("A - B - C and D", ("A - B", "C & D", None, None)), ("T (S 1.5) - A; B", ("T", "A & B", "S", "1.5")),
     ("T (Note) - A", ("T (Note)", "A", None, None)), ("Quenstedt - Topic", ("Quenstedt - Topic", None, None, None)), ("a_b__c", ("a b c", None, None, None)), ("", ("", None, None, None)),

@@ -112,3 +112,13 @@ def test_renamed_shelves(spark):
     shelves = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (4, "D")], "id int, name string")
     asked = spark.createDataFrame([(1, "B"), (2, " "), (3, "E"), (4, "E"), (9, "Z")], "id int, name string")
     assert {tuple(r) for r in upkeep.renamed(shelves, asked).collect()} == {(1, "A"), (2, "B"), (3, "E"), (4, "D")}
+
+
+def test_video_citations(spark):
+    from lectern.functions.citation import video_citation
+
+    rows = spark.createDataFrame([(["Ann B. Lee", "C D"], 2001, "Ch", "u"), ([], None, "", None)], "a array<string>, y int, c string, u string")
+    cited = lambda s: [r[0] for r in rows.select(video_citation(s, F.lit(" T "), F.col("a"), F.col("y"), F.col("c"), F.col("u"))).collect()]
+    assert cited("footnote") == ['Ann B. Lee and C D, "T," video, Ch, 2001, u.', '[author], "T," video, [channel], [year].']
+    assert cited("bibliography")[0] == 'Lee, Ann B. and C D, "T," video, Ch, 2001, u.'
+    assert cited("author-date") == ["(Lee and D 2001)", "([author] [year])"]
