@@ -104,20 +104,32 @@ def grouped_hits(hits: DataFrame) -> DataFrame:
 def snippet(content: Column, words: list[str], size: int = SNIPPET) -> Column:
     """At most size words around the first matches, matched ones between ⟦ and ⟧, … where text is cut off.
 
-    The window is the one with the most matched words, the earliest of equal ones. Words are split at blanks.
+    The window is the one with most of the words, then with most matches, the earliest of equals. Words are split at blanks.
     """
+    known = F.array(*map(F.lit, words))
+    begun = lambda p: F.flatten(F.transform(tokens(p), lambda t: F.filter(known, lambda w: t.startswith(w))))
     parts = F.split(F.regexp_replace(content, "\\s+", " "), " ")
-    hit = F.transform(parts, lambda p: F.exists(tokens(p), lambda t: reduce(lambda a, b: a | b, (t.startswith(w) for w in words))))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - size, F.lit(0)))
-    score = lambda s: F.size(F.filter(F.slice(hit, s + 1, F.lit(size)), lambda x: x))
-    best = F.array_max(F.transform(starts, lambda s: F.struct(score(s).alias("n"), (-s).alias("at"))))
-    at = -best["at"]
-    marked = F.zip_with(parts, hit, lambda p, h: F.when(h, F.concat(F.lit("⟦"), p, F.lit("⟧"))).otherwise(p))
-    return F.concat(
-        F.when(at > 0, "…").otherwise(""),
-        F.array_join(F.slice(marked, at + 1, F.lit(size)), " "),
-        F.when(at + size < F.size(parts), "…").otherwise(""),
-    )
+    cells = F.transform(parts, lambda p: F.struct(p.alias("text"), F.array_distinct(begun(p)).alias("words")))
+    # The lambda's variable holds the words once; as an expression they would be made again for each window.
+    return F.get(F.transform(F.array(cells), lambda c: _window(c, size)), F.lit(0))
+
+
+def _window(cells: Column, size: int) -> Column:
+    """The text of the best window of array<struct(text, words)>."""
+    is_hit = lambda x: F.size(x["words"]) > 0
+    starts = F.sequence(F.lit(0), F.greatest(F.size(cells) - size, F.lit(0)))
+
+    def scored(start: Column) -> Column:
+        seen = F.filter(F.slice(cells, start + 1, F.lit(size)), is_hit)
+        found = F.array_distinct(F.flatten(F.transform(seen, lambda x: x["words"])))
+        return F.struct(F.size(found).alias("words"), F.size(seen).alias("n"), (-start).alias("at"))
+
+    def written(best: Column) -> Column:
+        at = -best["at"]
+        shown = F.transform(F.slice(cells, at + 1, F.lit(size)), lambda x: F.when(is_hit(x), F.concat(F.lit("⟦"), x["text"], F.lit("⟧"))).otherwise(x["text"]))
+        return F.concat(F.when(at > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(at + size < F.size(cells), "…").otherwise(""))
+
+    return F.get(F.transform(F.array(F.array_max(F.transform(starts, scored))), written), F.lit(0))
 
 
 def passage_rows(verses: DataFrame, edition: str, open_edition: str = "BSB") -> DataFrame:

@@ -9,7 +9,7 @@ from lectern.functions.citation import book_citation, video_citation
 from lectern.functions.text import html_text, safe_name, split_authors, tag_name, tokens, word_count
 from lectern.operators import catalog, ranges, reconcile, search, validation
 from lectern.plans import fixtures as fx
-from lectern.plans import texts, upkeep  # noqa: F401  (their queries are put down as well)
+from lectern.plans import parts, texts, upkeep  # noqa: F401  (their queries are put down as well)
 from lectern.plans.bm25 import PREFIXES
 from lectern.plans.bm25 import bm25 as _bm25
 from lectern.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -65,13 +65,6 @@ def fts_index_terms(spark: SparkSession, d: str) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("total"))
 
 
-@query("fts_snippets", None)
-def fts_snippets(spark: SparkSession, d: str) -> DataFrame:
-    """FTS5: at most 14 words around the matches."""
-    hits = search.search(fx.search_index(spark, d), " ".join(PREFIXES))
-    return hits.select("key", search.snippet(F.col("content"), list(PREFIXES)).alias("snippet"))
-
-
 @query("jn6_covering", f"""WITH {fx.EXCERPTS}, {fx.POINTS}
 SELECT point_id, excerpt_id, source FROM points p JOIN excerpts e ON p.book = e.book AND NOT e.flagged
 AND (e.cs, e.vs) <= (p.chapter, p.verse) AND (p.chapter, p.verse) <= (e.ce, e.ve)""")
