@@ -12,7 +12,7 @@ from lectern.plans import fixtures as fx
 from lectern.plans.bm25 import PREFIXES
 from lectern.plans.bm25 import bm25 as _bm25
 from lectern.plans.registry import query
-from lectern.sources import layout, markdown
+from lectern.sources import confessions, layout, markdown
 
 
 def _begins(prefix: str) -> str:
@@ -183,3 +183,29 @@ def ing3_section_notes(spark: SparkSession, d: str) -> DataFrame:
     """ING3: commented sections as ranges of one; headings alone aren't."""
     rows = fx.table(spark, d, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 40 AS int) AS ordinal", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS text")
     return markdown.section_notes(rows).select("o_orderkey", "first", "last")
+
+
+@query("ing6_confessions", """WITH e AS (SELECT user_id AS book, event_id AS position, event_id % 17 AS k,
+ CASE event_id % 17 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'AC' ELSE 'SA' END WHEN 2 THEN '' END AS told FROM events),
+o AS (SELECT *, k = 0 AND lag(told IGNORE NULLS) OVER (PARTITION BY book ORDER BY position) IS DISTINCT FROM told AS opens FROM e),
+d AS (SELECT *, nullif(last_value(told IGNORE NULLS) OVER w, '') AS document, sum(opens::INT) OVER w AS opening, sum((opens OR k = 2)::INT) OVER w AS stretch
+      FROM o WINDOW w AS (PARTITION BY book ORDER BY position)),
+b AS (SELECT *, min(CASE WHEN k = 1 OR (k > 3 AND document IS NOT NULL) THEN position END) OVER (PARTITION BY book, stretch ORDER BY position) AS begun FROM d),
+n AS (SELECT *, k = 1 OR coalesce(begun = position, false) AS section, sum((k = 1 OR coalesce(begun = position, false))::INT) OVER (PARTITION BY book, opening ORDER BY position) AS ordinal FROM b),
+f AS (SELECT book, position, document, opening FROM n WHERE section AND ordinal = 1),
+w AS (SELECT n.book, n.position, min(f.position) AS head FROM n JOIN f ON f.book = n.book AND f.position > n.position WHERE n.k = 3 AND n.begun IS NULL GROUP BY ALL),
+r AS (SELECT book, document, opening, ordinal, CASE WHEN k = 1 THEN 'IV.' WHEN document = 'AC' THEN 'Augsburg Confession' ELSE 'Smalcald Articles' END AS label, 0 AS body, 0 AS note FROM n WHERE section
+      UNION ALL SELECT book, document, opening, ordinal, NULL, 1, 0 FROM n WHERE k > 3 AND begun IS NOT NULL
+      UNION ALL SELECT book, document, opening, ordinal, NULL, 0, 1 FROM n WHERE k = 3 AND begun IS NOT NULL
+      UNION ALL SELECT f.book, f.document, f.opening, 1, NULL, 0, 1 FROM w JOIN f ON f.book = w.book AND f.position = w.head),
+s AS (SELECT book, document, opening, ordinal, max(label) AS label, sum(body) AS paragraphs, sum(note) AS notes FROM r WHERE document IS NOT NULL GROUP BY ALL)
+SELECT book, document, opening::BIGINT AS opening, ordinal::BIGINT AS ordinal, label, paragraphs::BIGINT AS paragraphs, notes::BIGINT AS notes,
+ CASE WHEN paragraphs > 0 THEN last_value(CASE WHEN paragraphs = 0 THEN label END IGNORE NULLS) OVER (PARTITION BY book, document ORDER BY opening, ordinal) END AS part FROM s""")
+def ing6_confessions(spark: SparkSession, d: str) -> DataFrame:
+    """ING6: documents and sections of collections of confessions, told apart by the classes of paragraphs."""
+    kind = "CASE event_id % 17 WHEN 0 THEN 'pt' WHEN 1 THEN 'ch_h1b' WHEN 2 THEN 'toc_head1' WHEN 3 THEN 'ch_note' ELSE 'p' END AS class"
+    title = "if(event_id % 2 = 0, 'Augsburg Confession', 'Smalcald Articles')"
+    text = f"CASE event_id % 17 WHEN 0 THEN {title} WHEN 1 THEN 'IV.' ELSE concat('line ', event_id) END AS text"
+    rows = fx.table(spark, d, "events").selectExpr("user_id AS book", "event_id AS position", kind, text)
+    lines = confessions.lines(rows, {"AC": ["Augsburg Confession"], "SA": ["Smalcald Articles"]}, ["position"])
+    return confessions.sections(lines).select("book", "document", "opening", "ordinal", "label", "paragraphs", "notes", "part")
