@@ -12,7 +12,7 @@ from lectern.plans import fixtures as fx
 from lectern.plans.bm25 import PREFIXES
 from lectern.plans.bm25 import bm25 as _bm25
 from lectern.plans.registry import query
-from lectern.sources import confessions, layout, markdown
+from lectern.sources import confessions, epub, layout, markdown
 
 
 def _begins(prefix: str) -> str:
@@ -209,3 +209,20 @@ def ing6_confessions(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "events").selectExpr("user_id AS book", "event_id AS position", kind, text)
     lines = confessions.lines(rows, {"AC": ["Augsburg Confession"], "SA": ["Smalcald Articles"]}, ["position"])
     return confessions.sections(lines).select("book", "document", "opening", "ordinal", "label", "paragraphs", "notes", "part")
+
+
+@query("ing5_passages", """WITH e AS (SELECT user_id, event_id, event_id % 10 AS k, event_id // 10 % 5 + 1 AS c, event_id // 10 % 20 + 1 AS v FROM events),
+b AS (SELECT *, last_value(CASE k WHEN 0 THEN 'JAS' WHEN 5 THEN 'JUD' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS book FROM e),
+t AS (SELECT user_id FROM e WHERE k IN (0, 5) GROUP BY 1 HAVING count(*) >= 3)
+SELECT user_id, event_id, book, CASE WHEN k IN (3, 5, 8) THEN 1 ELSE c END::INT AS chapter, v::INT AS verse, CASE WHEN k % 5 = 0 THEN v + 2 ELSE v END::INT AS verse_end,
+ 'on ' || event_id || chr(10) || chr(10) || 'A & B' AS text FROM b JOIN t USING (user_id) WHERE book IS NOT NULL AND (k % 5 < 2 OR (k % 5 = 3 AND book = 'JUD'))""")
+def ing5_passages(spark: SparkSession, d: str) -> DataFrame:
+    """ING5, REF9: comments on passages and on the verses in them, of the books that have them in two levels."""
+    c, v = "cast(event_id div 10 % 5 + 1 AS int)", "cast(event_id div 10 % 20 + 1 AS int)"
+    heading = f"""CASE event_id % 10 WHEN 0 THEN concat('<h1 class="a">Of gifts<br/>JAMES ', {c}, ':', {v}, '-', {v} + 2, '</h1>') WHEN 5 THEN concat('<h1>JUDE ', {v}, '-', {v} + 2, '</h1>')
+ ELSE CASE event_id % 5 WHEN 1 THEN concat('<h2>', {c}, ':', {v}, ' <i>Gifts</i></h2>') WHEN 2 THEN '<h2>Contents</h2>' WHEN 3 THEN concat('<h2>', {v}, '</h2>') ELSE concat('<h2>', {c}, ':', {v}, '</h2>') END END"""
+    text = "CASE event_id % 5 WHEN 4 THEN '<p> </p>' ELSE concat('<p>on <b>', event_id, '</b></p><p>A &amp;<br>B</p>') END"
+    pages = fx.table(spark, d, "events").selectExpr("user_id AS path", "event_id AS position", f"concat('<body>', {heading}, {text}, '</body>') AS html")
+    canon = [references.Book("JAS", "James", 5), references.Book("JUD", "Jude", 1)]
+    made = epub.passages(pages.join(epub.in_two_levels(pages, canon), "path"), canon, ["JUD"])
+    return made.select(F.col("path").alias("user_id"), F.col("at.page").alias("event_id"), "book", "chapter", "verse", "verse_end", "text")
