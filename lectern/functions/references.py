@@ -85,6 +85,12 @@ def book_code(name: Column, canon: list[Book]) -> Column:
     return F.try_element_at(_known(canon), F.lower(strip(name)))["code"]
 
 
+def label_book(label: Column, canon: list[Book]) -> Column:
+    """The code of the book that a label of a table of contents is, stops at its end apart; null if it says anything else."""
+    clean = F.regexp_replace(strip(F.regexp_replace(label, f"{WS}+", " ")), "[.,;:]+\\z", "")
+    return F.try_element_at(_known(canon), F.lower(clean))["code"]
+
+
 def trailing_book(text: Column, canon: list[Book]) -> Column:
     """The code of the book whose full name a text ends with, as a running header does; null if none."""
     names = _either([s for b in canon for s in (b.name, *b.long_names)])

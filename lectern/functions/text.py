@@ -101,13 +101,31 @@ def leading_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, f"^{WS}*([-+]?[0-9]*\\.?[0-9]+)", 1), F.lit("")).cast("double")
 
 
-def roman(text: Column) -> Column:
-    """The value of a roman numeral by subtraction; null for any other text."""
+def _subtracted(numeral: Column) -> Column:
+    """The sum of a numeral's digits in capitals, with each before a larger one taken off."""
     value = F.create_map(*(x for k, v in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in (F.lit(k), F.lit(v))))
-    digits = F.transform(F.split(F.upper(text), ""), lambda c: F.try_element_at(value, c))
+    digits = F.transform(F.split(numeral, ""), lambda c: F.try_element_at(value, c))
     signed = F.transform(digits, lambda d, i: F.when(d < F.coalesce(F.get(digits, i + 1), F.lit(0)), -d).otherwise(d))
-    total = F.aggregate(signed, F.lit(0), lambda a, b: a + b)
-    return F.when(F.upper(text).rlike("^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})\\z"), total)
+    return F.aggregate(signed, F.lit(0), lambda a, b: a + b)
+
+
+def roman(text: Column) -> Column:
+    """The value of a roman numeral by subtraction; null for any other text."""
+    return F.when(F.upper(text).rlike("^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})\\z"), _subtracted(F.upper(text)))
+
+
+def scanned_roman(text: Column, last: Column) -> Column:
+    """A chapter's roman numeral as a scan gives it: one beyond the last chapter is read again with each l as an I.
+
+    Numerals that no one writes are read as well ('VL' is 45), but none with V, L or D twice in a row.
+    """
+
+    def read(numeral: Column) -> Column:
+        clean = F.upper(strip(numeral))
+        return F.when(clean.rlike("^[IVXLCDM]+\\z") & ~clean.rlike("VV|LL|DD"), _subtracted(clean))
+
+    first, again = read(text), read(F.translate(text, "lL", "ii"))
+    return F.when((first > last) & text.rlike("[lL]") & (again <= last), again).otherwise(F.when(first > 0, first))
 
 
 def html_text(html: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import citation, names, notes, references
-from lectern.functions.text import split_authors
+from lectern.functions.text import scanned_roman, split_authors
 from lectern.operators import quotes, reconcile, search, validation
 from lectern.plans import fixtures as fx
 from lectern.plans.bm25 import PREFIXES
@@ -226,3 +226,21 @@ def ing5_passages(spark: SparkSession, d: str) -> DataFrame:
     canon = [references.Book("JAS", "James", 5), references.Book("JUD", "Jude", 1)]
     made = epub.passages(pages.join(epub.in_two_levels(pages, canon), "path"), canon, ["JUD"])
     return made.select(F.col("path").alias("user_id"), F.col("at.page").alias("event_id"), "book", "chapter", "verse", "verse_end", "text")
+
+
+@query("str21_numerals", """WITH p AS (SELECT p_partkey, CASE WHEN p_size < 25 THEN 16 ELSE 150 END AS last, p_partkey % 7 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 6 WHEN 1 THEN CASE last WHEN 16 THEN 6 ELSE 45 END WHEN 2 THEN CASE last WHEN 16 THEN 11 ELSE 40 END
+ WHEN 3 THEN CASE last WHEN 16 THEN 9 ELSE 60 END WHEN 4 THEN 90 END::INT AS chapter FROM p""")
+def str21_numerals(spark: SparkSession, d: str) -> DataFrame:
+    """STR21, WIN12: roman numerals with what a scan made of them, within a book's chapters."""
+    raw = F.element_at(F.array(*map(F.lit, ("VI", "Vl", "xl", "LX", "XC", "VV", "chap"))), (F.col("p_partkey") % 7 + 1).cast("int"))
+    chapter = scanned_roman(raw, F.expr("if(p_size < 25, 16, 150)"))
+    return fx.table(spark, d, "part").select("p_partkey", chapter.cast("int").alias("chapter"))
+
+
+@query("sys14_labels", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'JAS' WHEN 1 THEN 'JAS' WHEN 2 THEN '2JN' END AS book FROM part")
+def sys14_labels(spark: SparkSession, d: str) -> DataFrame:
+    """SYS14: labels of a table of contents that are a book's name, and others."""
+    canon = [references.Book("JAS", "James", 5, ("Jas",)), references.Book("2JN", "2 John", 1)]
+    label = F.element_at(F.array(*map(F.lit, ("JAMES", " jas.; ", "2  John:", "James (ch. 1)", "Introduction"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return fx.table(spark, d, "part").select("p_partkey", references.label_book(label, canon).alias("book"))
