@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import langid, lattice, linededup, packing, pii, quality_rules, secrets, simhash, spm, weak_labels
+from lectern.llm import (
+    divergence, langid, lattice, linededup, merkle, packing, pii, quality_rules, secrets, simhash, spm, url_filters, weak_labels,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +57,31 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_secret_scan, op3_simhash_near_dedup, op4_pii, op5_line_dedup, op6_sentencepiece,
         op7_quality_rules, op8_quality_classifier, op9_language_id, op10_embedding_near_dedup,
+        op11_source_divergence, op12_url_filters, op13_merkle_manifest,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_url_filters": url_filters.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
