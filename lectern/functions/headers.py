@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.names import numeral
 from lectern.functions.references import Book, find_references
-from lectern.functions.text import WS, roman, strip
+from lectern.functions.text import WS, roman, scanned_readings, strip
 
 #: What a scan makes of the digit 1, the marks between two ends, and the words before a chapter and a verse.
 STROKES = "lLI|]"
@@ -88,11 +88,26 @@ def _made(raw: Column, book: Column, cs: Column, vs: Column, ce: Column, ve: Col
     return F.struct(*(x.alias(n) for x, n in zip((raw, book, cs, vs, ce, ve, F.lit(contextual), glitched), names)))
 
 
+def _chapter_words(line: Column) -> tuple[Column, Column]:
+    """Whether a line is two words of which the first means a chapter, and the second."""
+    words = F.split(strip(line), f"{WS}+")
+    first = F.lower(F.regexp_replace(F.get(words, F.lit(0)), "\\.\\z", ""))
+    return (F.size(words) == 2) & first.isin(*map(str.lower, CHAPTER_WORDS)), F.get(words, F.lit(1))
+
+
 def chapter_header(line: Column) -> Column:
-    """The number of a heading that is only a chapter's: 'Chapter III', 'Cap. iv.'; null for any other.
+    """The number of a heading that is only a chapter's: 'Chapter III', 'Cap. iv.'; null for any other."""
+    named, number = _chapter_words(line)
+    return F.when(named, roman(F.lower(F.regexp_replace(number, "\\.\\z", ""))))
 
-    Such a line is two words, of which the first means a chapter.
-    """
-    words = F.split(F.lower(strip(line)), f"{WS}+")
-    bare = lambda k: F.regexp_replace(F.get(words, F.lit(k)), "\\.\\z", "")
-    return F.when((F.size(words) == 2) & bare(0).isin(*map(str.lower, CHAPTER_WORDS)), roman(bare(1)))
+
+def scanned_chapter_header(line: Column) -> tuple[Column, Column]:
+    """The number of such a heading in a scan, and its other reading; see text.scanned_readings."""
+    named, number = _chapter_words(line)
+    first, again = scanned_readings(F.regexp_replace(number, "\\.\\z", ""))
+    return F.when(named, first), F.when(named, again)
+
+
+def may_be_chapter_title(line: Column) -> Column:
+    """Whether a line is 'Chapter' and a word, whatever a scan made of that."""
+    return F.coalesce(_chapter_words(line)[0], F.lit(False))

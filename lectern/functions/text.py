@@ -114,18 +114,30 @@ def roman(text: Column) -> Column:
     return F.when(F.upper(text).rlike("^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})\\z"), _subtracted(F.upper(text)))
 
 
-def scanned_roman(text: Column, last: Column) -> Column:
-    """A chapter's roman numeral as a scan gives it: one beyond the last chapter is read again with each l as an I.
+def scanned_readings(text: Column) -> tuple[Column, Column]:
+    """What a numeral of a scan says, and what it says with each l as an I; null for what is none.
 
     Numerals that no one writes are read as well ('VL' is 45), but none with V, L or D twice in a row.
     """
 
     def read(numeral: Column) -> Column:
         clean = F.upper(strip(numeral))
-        return F.when(clean.rlike("^[IVXLCDM]+\\z") & ~clean.rlike("VV|LL|DD"), _subtracted(clean))
+        value = _subtracted(clean)
+        return F.when(clean.rlike("^[IVXLCDM]+\\z") & ~clean.rlike("VV|LL|DD") & (value > 0), value)
+
+    return read(text), F.when(text.rlike("[lL]"), read(F.translate(text, "lL", "ii")))
+
+
+def scanned_roman(text: Column, last: Column) -> Column:
+    """A chapter's roman numeral as a scan gives it: one beyond the last chapter is read again with each l as an I."""
+    first, again = scanned_readings(text)
+    return F.when((first > last) & (again <= last), again).otherwise(first)
+
 
-    first, again = read(text), read(F.translate(text, "lL", "ii"))
-    return F.when((first > last) & text.rlike("[lL]") & (again <= last), again).otherwise(F.when(first > 0, first))
+def capitalised(text: Column) -> Column:
+    """Each run of A-Z in either case with a capital and the rest in lower case."""
+    parts = F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike("^[A-Za-z]"), F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 30)))).otherwise(w)), "")
 
 
 def html_text(html: Column) -> Column:

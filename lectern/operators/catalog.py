@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.functions.text import leading_number
+from lectern.operators.scans import scanned
 
 
 def member_counts(dim: DataFrame, members: DataFrame, key: str) -> DataFrame:
@@ -47,9 +47,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows, and new rows of keys that aren't there."""
-    return old.unionByName(new.join(old, keys, "left_anti").dropDuplicates(keys), allowMissingColumns=True)
+def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Old rows, and new rows of keys that aren't there; of several the first in an order, or any."""
+    fresh = new.join(old, keys, "left_anti")
+    fresh = fresh.dropDuplicates(keys) if order is None else best_per_key(fresh, keys, order, F.min_by)
+    return old.unionByName(fresh, allowMissingColumns=True)
+
+
+def best_per_key(rows: DataFrame, keys: list[str], order: Column, pick=F.max_by) -> DataFrame:
+    """The row of each key that is last in an order (or first: F.min_by), found without a sort or a window."""
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(pick(whole, order).alias("_row")).select("_row.*")
+
+
+def replaced(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Old rows and new ones, of which the last in an order takes the place of all others of its key."""
+    return upsert(old, best_per_key(new, keys, order), keys)
 
 
 def patched(rows: DataFrame, patch: DataFrame, key: str) -> DataFrame:
@@ -75,15 +88,12 @@ def reordered(rows: DataFrame, ids: list, key: str) -> DataFrame:
     return out.withColumn("sort_order", F.coalesce("_place", "sort_order")).drop("_place").select(*rows.columns)
 
 
-def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """Rows with _n, their number from 1 in an order over all of them.
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with _n, their number from 1 in an order over all of them, which has no ties.
 
-    They are sorted over range partitions, and the counts of these give where each begins: a window without a key would
-    put all rows in one task. Numbers of partitions have no DataFrame counterpart that is stable, so this is an RDD's.
+    They are sorted in range partitions and scanned: a window without a key would put all rows in one task.
     """
-    schema = StructType([*rows.schema.fields, StructField("_n", LongType(), False)])
-    made = rows.orderBy(*order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1] + 1))
-    return rows.sparkSession.createDataFrame(made, schema, verifySchema=False)
+    return scanned(rows.withColumn("_all", F.lit(0)), ["_all"], list(order), total={"_n": F.lit(1)}).drop("_all")
 
 
 def appended(rows: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+from lectern.operators.reader import heading_columns, headings_read
+from lectern.operators.scans import scanned
 
 
 def within_chapters(excerpts: DataFrame, verses: DataFrame) -> DataFrame:
@@ -53,28 +52,15 @@ def reading_order() -> list:
     return [F.col("cs").asc(), F.col("vs").asc(), F.col("ve").desc(), F.col("position").asc()]
 
 
-def section_headings(headings: DataFrame, keys: list[str], order: str = "position", chapter: str = "chapter") -> DataFrame:
+def section_headings(headings: DataFrame, keys: list[str], order: str = "position", chapter: str = "chapter", parts: int | None = None) -> DataFrame:
     """Add opens: whether a heading is a section's, or a citation of a chapter that is neither the last one nor the next.
 
-    The last chapter moves only with headings that open a section. Rows come in order to Python batch by batch, and only
-    the last chapter is held, whatever a key's size; headings are short, so their texts should be joined on later. A
-    null chapter opens nothing.
+    The last chapter moves only with headings that open a section; reader.headings_read carries it through the parts of
+    a key. Headings are short, so their texts should be joined on later. A null chapter opens nothing.
     """
-    schema = headings.withColumn("opens", F.lit(False)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for batch in batches:
-            opens = []
-            for *now, number in batch[[*keys, chapter]].itertuples(index=False):
-                if now != key:
-                    key, last = now, None
-                good = not pd.isna(number) and (last is None or last <= number <= last + 1)
-                last = number if good else last
-                opens.append(bool(good))
-            yield batch.assign(opens=opens)
-
-    return headings.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    rows = headings.withColumns(heading_columns(what=F.lit("section"), number=F.col(chapter)))
+    found = headings_read(rows, keys, [order], parts=parts)
+    return found.select(*headings.columns, (F.col("read") == "section").alias("opens"))
 
 
 def folded(headings: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
@@ -82,9 +68,7 @@ def folded(headings: DataFrame, keys: list[str], order: str = "position") -> Dat
 
     headings: keys, order, ref, chapter, text; the result's text joins 'ref text' of what was folded in by blanks.
     """
-    rows = section_headings(headings, keys, order)
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_of", F.last(F.when(F.col("opens"), F.col(order)), ignorenulls=True).over(upto)).where("_of is not null")
+    rows = scanned(section_headings(headings, keys, order), keys, [order], last={"_of": F.when(F.col("opens"), F.col(order))}).where("_of is not null")
     said = F.when(F.col("opens"), F.col("text")).otherwise(F.concat_ws(" ", "ref", "text"))
     made = rows.groupBy(*keys, F.col("_of").alias(order)).agg(
         F.max(F.when(F.col("opens"), F.col("ref"))).alias("ref"),
@@ -94,37 +78,15 @@ def folded(headings: DataFrame, keys: list[str], order: str = "position") -> Dat
     return made.select(*keys, order, "ref", "chapter", F.array_join(F.transform("parts", lambda p: p["said"]), " ").alias("text"))
 
 
-def speculative_chapters(lines: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
+def speculative_chapters(lines: DataFrame, keys: list[str], order: str = "position", parts: int | None = None) -> DataFrame:
     """Add chapter and advanced to lines(keys, order, what, number, last): the chapter after each line of a scanned book.
 
     what: 'book' begins a book at chapter 1; 'chapter' names a chapter (number); 'verse' is a heading, of its own chapter
     where it has a number; 'title' may be a chapter's, and advances the chapter if a verse was seen since it last changed;
     other lines change nothing. A chapter beyond the book's last one (null: not known) is taken for that. Like
-    section_headings, Python holds two values whatever a key's size.
+    section_headings, no task sees more than a part of a key.
     """
-    schema = StructType([*lines.schema.fields, StructField("chapter", IntegerType()), StructField("advanced", BooleanType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, chapter, seen = None, None, False
-        for batch in batches:
-            chapters, advanced = [], []
-            for *now, what, number, last in batch[[*keys, "what", "number", "last"]].itertuples(index=False):
-                if now != key:
-                    key, chapter, seen = now, None, False
-                most = float("inf") if pd.isna(last) else int(last)
-                moves = False
-                if what == "book":
-                    chapter, seen = 1, False
-                elif what == "chapter" and not pd.isna(number):
-                    named = min(int(number), most)
-                    chapter, seen = named, seen and named == chapter
-                elif what == "title" and chapter is not None and seen:
-                    chapter, seen, moves = min(chapter + 1, most), False, True
-                elif what == "verse":
-                    chapter = chapter if pd.isna(number) else int(number)
-                    seen = seen or chapter is not None
-                chapters.append(chapter)
-                advanced.append(moves)
-            yield batch.assign(chapter=pd.array(chapters, "Int32"), advanced=advanced)
-
-    return lines.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    kind = F.when(F.col("what") == "book", "begin").when(F.col("what").isin("chapter", "verse"), F.col("what")).otherwise("line")
+    rows = lines.withColumns(heading_columns(what=kind, number=F.col("number"), title=F.col("what") == "title", last=F.col("last")))
+    found = headings_read(rows, keys, [order], parts=parts)
+    return found.select(*lines.columns, F.col("at_chapter").alias("chapter"), (F.col("read") == "title").alias("advanced"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.names import parse_file_name, title_of_path
 from lectern.functions.text import wiki_targets
 from lectern.operators.catalog import patched
+from lectern.operators.prefixes import nested
 
 
 def new_files(local: DataFrame, known: DataFrame) -> DataFrame:
@@ -57,20 +58,22 @@ def broken_links(links: DataFrame, titles: DataFrame) -> DataFrame:
     return left.groupBy("note", "key").agg(F.min("target").alias("target")).select("note", "target")
 
 
-def matched_names(names: DataFrame, primary: DataFrame, least: int = 24) -> DataFrame:
+def matched_names(names: DataFrame, primary: DataFrame, least: int = 24, parts: int | None = None) -> DataFrame:
     """(id, file): for each of names(id, key) the file of primary(file, key, position) of the same key, else of the longest
     key that begins the other or that it begins, both of at least so many characters; the first of equal ones.
 
-    What matches exactly goes by an equi join; the rest is joined on its first `least` characters.
+    What matches exactly goes by an equi join; the rest is found along the order of all keys, so that any number of them
+    may begin alike. positions of primary are distinct.
     """
     first = F.min_by("file", "position").alias("file")
     same = names.join(primary, "key").groupBy("id").agg(first)
-    head = lambda df: df.where(F.length("key") >= least).withColumn("head", F.substring("key", 1, least))
-    left = head(names.join(same, "id", "left_anti"))
-    other = head(primary).select("head", F.col("key").alias("other"), "file", "position")
-    near = left.join(other, "head").where(F.col("key").startswith(F.col("other")) | F.col("other").startswith(F.col("key")))
-    rank = F.struct((-F.least(F.length("key"), F.length("other"))).alias("n"), "position")
-    return same.unionByName(near.groupBy("id").agg(F.min_by("file", rank).alias("file")))
+    left = names.join(same, "id", "left_anti").where(F.length("key") >= least)
+    ranks = primary.where(F.length("key") >= least).groupBy("key").agg(F.min("position").alias("own"))
+    wanted = left.select("key").distinct().withColumn("wanted", F.lit(True))
+    keys = ranks.join(wanted, "key", "full").select("key", "own", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    near = nested(keys, parts).select("key", F.coalesce("best", "above").alias("position")).where("position IS NOT NULL")
+    found = left.join(near, "key").select("id", "position").join(primary.select("position", "file"), "position")
+    return same.unionByName(found.select("id", "file"))
 
 
 def adopted_by_size(missing: DataFrame, files: DataFrame) -> DataFrame:

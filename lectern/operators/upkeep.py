@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import safe_name
+from lectern.operators.scans import in_ranges, scanned
 
 #: The letters that names are compared without the case of.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -171,19 +172,20 @@ def outcomes(rows: DataFrame, first: int = 50) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count("*").alias("n")).join(titles, "outcome")
 
 
-def repaired(excerpts: DataFrame, keys: list[str], order: str = "position") -> DataFrame:
+def repaired(excerpts: DataFrame, keys: list[str], order: str = "position", parts: int | None = None) -> DataFrame:
     """excerpts(keys, order, book, cs, vs, ce, ve, glitched) with verses that couldn't be read, from those before them.
 
     A verse that couldn't be read follows the end of the excerpt before it, if that ends in its chapter; a range that
     began and ended there ends there still. What follows a readable end is that end and the number of rows since.
     """
-    along = Window.partitionBy(*keys).orderBy(order)
-    before = lambda c: F.lag(c).over(along)
-    follows = F.col("glitched") & F.coalesce((before("book") == F.col("book")) & (before("ce") == F.col("cs")), F.lit(False))
-    rows = excerpts.withColumn("_follows", follows).withColumn("_chained", F.col("_follows") & (F.col("ve") == F.col("vs")))
-    upto = along.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_chained"), 0).otherwise(1)).over(upto))
-    within = Window.partitionBy(*keys, "_run").orderBy(order)
-    rows = rows.withColumn("_end", (F.first("ve").over(within) + F.row_number().over(within) - 1).cast(excerpts.schema["ve"].dataType))
-    start = F.when(F.col("_follows"), F.lag("_end").over(along) + 1).otherwise(F.col("vs")).cast(excerpts.schema["vs"].dataType)
+    before = {"_book": F.col("book"), "_chapter": F.col("ce")}
+    rows = scanned(in_ranges(excerpts, keys, [order], parts), keys, [order], previous=before)
+    follows = F.col("glitched") & F.coalesce((F.col("_book") == F.col("book")) & (F.col("_chapter") == F.col("cs")), F.lit(False))
+    rows = rows.withColumn("_follows", follows).withColumn("_chained", F.col("_follows") & (F.col("ve") == F.col("vs")))
+    read = F.when(~F.col("_chained"), F.struct("ve"))
+    rows = scanned(rows, keys, [order], last={"_end": read}, total={"_n": F.lit(1)})
+    rows = scanned(rows, keys, [order], last={"_at": F.when(~F.col("_chained"), F.col("_n"))})
+    rows = rows.withColumn("_end", (F.col("_end.ve") + F.col("_n") - F.col("_at")).cast(excerpts.schema["ve"].dataType))
+    rows = scanned(rows, keys, [order], previous={"_ended": F.col("_end")})
+    start = F.when(F.col("_follows"), F.col("_ended") + 1).otherwise(F.col("vs")).cast(excerpts.schema["vs"].dataType)
     return rows.withColumns({"vs": start, "ve": F.when(F.col("_chained"), F.col("_end")).otherwise(F.col("ve"))}).select(*excerpts.columns)

@@ -5,38 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.scans import in_ranges, joined_by, medians, scanned
+
 SHORT, LONG, DOUBT = 20, 10, 0.6
 
 
-def sequence_reasons(rows: DataFrame, source: str, order: str) -> DataFrame:
+def sequence_reasons(rows: DataFrame, source: str, order: str, parts: int | None = None) -> DataFrame:
     """Add out_of_sequence: the place is before that of the row before it in the source, if both are of one book."""
-    before = Window.partitionBy(source).orderBy(order)
     key = F.col("chapter") * 1000 + F.col("verse")
-    late = (F.lag("book").over(before) == F.col("book")) & (key < F.lag(key).over(before))
-    return rows.withColumn("out_of_sequence", F.coalesce(late, F.lit(False)))
+    rows = scanned(rows, [source], [order], previous={"_book": F.col("book"), "_key": key}, parts=parts)
+    late = (F.col("_book") == F.col("book")) & (key < F.col("_key"))
+    return rows.withColumn("out_of_sequence", F.coalesce(late, F.lit(False))).drop("_book", "_key")
 
 
-def validated(rows: DataFrame, verses: DataFrame, source: str, order: str) -> DataFrame:
+def validated(rows: DataFrame, verses: DataFrame, source: str, order: str, parts: int | None = None) -> DataFrame:
     """Add out_of_sequence, out_of_bounds, odd_size, flagged and confidence to rows with book, chapter, verse, words.
 
     verses(book, chapter, last) are the known chapters; unknown ones aren't flagged. An odd size (under SHORT words or
-    over LONG times the source's median) lowers confidence and never flags.
+    over LONG times the source's median) lowers confidence and never flags. A source of any size is scanned in parts,
+    and its median is counted, not gathered.
     """
-    rows = sequence_reasons(rows, source, order).join(verses, ["book", "chapter"], "left")
+    middle = medians(rows, [source], F.col("words"), "middle")
+    rows = sequence_reasons(rows, source, order, parts).join(verses, ["book", "chapter"], "left")
     beyond = F.coalesce((F.col("verse") > F.col("last")) | (F.col("verse") < 1), F.lit(False))
-    middle = rows.groupBy(source).agg(F.median("words").alias("middle"))
-    rows = rows.withColumn("out_of_bounds", beyond).join(middle, source)
-    odd = (F.col("words") < SHORT) | (F.col("words") > LONG * F.col("middle"))
+    rows = joined_by(rows.withColumn("out_of_bounds", beyond), middle, [source])
+    odd = F.coalesce((F.col("words") < SHORT) | (F.col("words") > LONG * F.col("middle")), F.lit(False))
     rows = rows.withColumn("odd_size", odd).withColumn("flagged", F.col("out_of_sequence") | F.col("out_of_bounds"))
     return rows.withColumn("confidence", F.when(F.col("odd_size"), F.lit(DOUBT)).otherwise(F.lit(1.0))).drop("middle", "last")
 
 
+def gaps(rows: DataFrame) -> DataFrame:
+    """(book, low, high): stretches of chapters between a book's first and last that no excerpt starts or ends in.
+
+    A stretch is a row however long it is, so a faulty chapter number makes one wide row.
+    """
+    touched = rows.select("book", F.explode(F.array("cs", "ce")).alias("c")).where("c IS NOT NULL").distinct()
+    next_ = F.lead("c").over(Window.partitionBy("book").orderBy("c"))
+    return touched.withColumn("next", next_).where("next > c + 1").selectExpr("book", "c + 1 AS low", "next - 1 AS high")
+
+
 def coverage(rows: DataFrame) -> DataFrame:
-    """(book, total, flagged, missing): chapters between the first and last that no excerpt starts or ends in."""
-    seen = F.array_union(F.collect_set("cs"), F.collect_set("ce"))
-    span = F.sequence(F.least(F.min("cs"), F.min("ce")), F.greatest(F.max("cs"), F.max("ce")))
+    """(book, total, flagged, missing, gaps): how many chapters no excerpt starts or ends in, and in which stretches."""
     flags = F.sum(F.col("flagged").cast("long"))
-    return rows.groupBy("book").agg(F.count("*").alias("total"), flags.alias("flagged"), F.array_sort(F.array_except(span, seen)).alias("missing"))
+    held = rows.groupBy("book").agg(F.count("*").alias("total"), flags.alias("flagged"))
+    listed = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("gaps")  # fewer than a book has chapters
+    lost = gaps(rows).groupBy("book").agg(F.sum(F.col("high").cast("long") - F.col("low") + 1).alias("missing"), listed)
+    return joined_by(held, lost, ["book"]).withColumn("missing", F.coalesce("missing", F.lit(0)))
 
 
 def content_hash(header: Column, text: Column) -> Column:
@@ -82,18 +96,18 @@ def finalised(rows: DataFrame, corrections: DataFrame, verses: DataFrame, source
     return checked.withColumn("flagged", F.col("flagged") & ~settled).drop("action", "chapter", "verse")
 
 
-def runs(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
+def runs(rows: DataFrame, partition: str, order: str, value: str, parts: int | None = None) -> DataFrame:
     """Add run: the number of the stretch of equal values that a row is in."""
-    w = Window.partitionBy(partition).orderBy(order)
-    new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    total = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(total)).drop("_new")
+    ranged = in_ranges(rows, [partition], [order], parts)
+    before = scanned(ranged, [partition], [order], previous={"_before": F.struct(value)})
+    new = F.when(F.col("_before").isNotNull() & F.col(value).eqNullSafe(F.col("_before")[value]), 0).otherwise(1)
+    return scanned(before, [partition], [order], total={"run": new}).drop("_before", "_part")
 
 
-def carried(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
+def carried(rows: DataFrame, partition: str, order: str, value: str, parts: int | None = None) -> DataFrame:
     """Replace a null value by the last one before it."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    found = scanned(rows, [partition], [order], last={"_carried": F.col(value)}, parts=parts)
+    return found.withColumn(value, F.col("_carried")).drop("_carried")
 
 
 def running_edges(pages: DataFrame) -> DataFrame:
@@ -104,19 +118,27 @@ def running_edges(pages: DataFrame) -> DataFrame:
     return seen.join(total, "book").where("2 * n >= pages").select("book", "edge", "n")
 
 
-def nearby_edges(pages: DataFrame, around: int = 8, least: int = 3) -> DataFrame:
-    """(book, page): pages whose digit-free edge line is that of at least `least` of the pages around, itself apart."""
-    edges = pages.withColumn("edge", F.regexp_replace("edge", "[0-9]+", "#"))
-    near = Window.partitionBy("book", "edge").orderBy("page").rangeBetween(-around, around)
-    return edges.withColumn("_n", F.count("*").over(near) - 1).where(F.col("_n") >= least).select("book", "page")
+def nearby_edges(pages: DataFrame, around: int = 8, least: int = 3, bucket: int = 512) -> DataFrame:
+    """(book, page): pages whose digit-free edge line is that of at least `least` of the pages around, itself apart.
+
+    Pages are looked at in buckets with those around them, so that a line on every page of a long book isn't in one task.
+    """
+    edges = pages.withColumn("edge", F.regexp_replace("edge", "[0-9]+", "#")).withColumn("_own", F.expr(f"floor(page / {bucket})"))
+    some = f"sequence(CAST(floor((page - {around}) / {bucket}) AS bigint), CAST(floor((page + {around}) / {bucket}) AS bigint))"
+    edges = edges.withColumn("_bucket", F.explode(F.expr(some)))
+    near = Window.partitionBy("book", "edge", "_bucket").orderBy("page").rangeBetween(-around, around)
+    found = edges.withColumn("_n", F.count("*").over(near) - 1)
+    return found.where((F.col("_n") >= least) & (F.col("_bucket") == F.col("_own"))).select("book", "page")
 
 
-def evenly_sampled(rows: DataFrame, partition: str, order: str, most: int = 40) -> DataFrame:
-    """At most so many rows of each part, evenly spaced behind its first tenth."""
-    w = Window.partitionBy(partition)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    rows = rows.withColumn("_at", at - F.floor(n * 0.1)).withColumn("_step", F.greatest(F.lit(1), F.floor((n - F.floor(n * 0.1)) / most)))
-    return rows.where((F.col("_at") >= 0) & (F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < most)).drop("_at", "_step")
+def evenly_sampled(rows: DataFrame, partition: str, order: str, most: int = 40, parts: int | None = None) -> DataFrame:
+    """All rows of a part of at most `most`, else so many of it, evenly spaced behind its first tenth."""
+    found = scanned(rows, [partition], [order], total={"_nth": F.lit(1)}, parts=parts)
+    found = joined_by(found, rows.groupBy(partition).agg(F.count("*").alias("_many")), [partition])
+    found = found.withColumn("_skip", F.when(F.col("_many") <= most, 0).otherwise(F.floor(F.col("_many") * 0.1)))
+    found = found.withColumn("_at", F.col("_nth") - 1 - F.col("_skip")).withColumn("_step", F.greatest(F.lit(1), F.expr(f"(_many - _skip) div {most}")))
+    found = found.where((F.col("_at") >= 0) & (F.col("_at") % F.col("_step") == 0) & (F.expr("_at div _step") < most))
+    return found.select(*rows.columns)
 
 
 def reviewed(excerpts: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,6 +163,6 @@ def index_status(sources: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_there"), "indexed").otherwise("unindexed")).drop("_there")
 
 
-def numbered(rows: DataFrame, partition: str, order: str) -> DataFrame:
+def numbered(rows: DataFrame, partition: str, order: str, parts: int | None = None) -> DataFrame:
     """Add ordinal: a section's place in its document, from 1."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(partition).orderBy(order)))
+    return scanned(rows, [partition], [order], total={"ordinal": F.lit(1)}, parts=parts).withColumn("ordinal", F.col("ordinal").cast("int"))

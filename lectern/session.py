@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -33,3 +34,14 @@ def shared_folder(spark: SparkSession) -> str | None:
         return folder and folder.rstrip("/")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there, and what tasks numbered stays so."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder}/lectern-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -41,9 +41,10 @@ def gutter(left: np.ndarray, right: np.ndarray) -> float | None:
 
 
 def page_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """The lines of one page, (column, y, x, text, size): in each column from the top, and in each line from the left.
+    """The lines of one page, (column, y, x, text, size, multi_font): in each column from the top, in each line from the left.
 
-    A piece joins the first line that is near enough, so the order of the pieces counts.
+    A piece joins the first line that is near enough, so the order of the pieces counts. Lines are looked up by their
+    height: those of a column are further apart than TOLERANCE, so few share a cell.
     """
     page = page.sort_values("position")
     page = page[page["text"].fillna("") != ""]
@@ -52,25 +53,30 @@ def page_lines(page: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for column in (0, 1):
         lines: list[tuple[float, list]] = []
+        at_height: dict[int, list[int]] = {}
         for piece in page.itertuples():
             if (split is not None and piece.x >= split) != (column == 1):
                 continue
-            line = next((found for y, found in lines if abs(y - piece.y) <= TOLERANCE), None)
-            if line is None:
-                lines.append((piece.y, line := []))
-            line.append(piece)
+            cell = int(piece.y // TOLERANCE)
+            near = [n for c in (cell - 1, cell, cell + 1) for n in at_height.get(c, ()) if abs(lines[n][0] - piece.y) <= TOLERANCE]
+            if not near:
+                near = [len(lines)]
+                at_height.setdefault(cell, []).append(len(lines))
+                lines.append((piece.y, []))
+            lines[min(near)][1].append(piece)
         for y, found in sorted(lines, key=lambda v: -v[0]):
             found.sort(key=lambda p: p.x)
             text = "".join(p.text for p in found)
             if text.strip():
-                rows.append((column, y, found[0].x, text, found[0].size))
-    return pd.DataFrame(rows, columns=["column", "y", "x", "text", "size"])
+                rows.append((column, y, found[0].x, text, found[0].size, len({p.font for p in found}) > 1))
+    return pd.DataFrame(rows, columns=["column", "y", "x", "text", "size", "multi_font"])
 
 
 def lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, column, y, x, text, size) of pieces(keys, position, x, y, width, size, text).
+    """(keys, line, column, y, x, text, size, multi_font) of pieces(keys, position, x, y, width, size, text[, font]).
 
-    keys name a page, whose pieces are few, so a group is small whatever the input's size.
+    keys name a page, whose pieces are few, so a group is small whatever the input's size. multi_font: a line's pieces
+    are in more than one font; without a font they are in one.
     """
     ship(pieces.sparkSession)
     kinds = ", ".join(f"`{k}` {pieces.schema[k].dataType.simpleString()}" for k in keys)
@@ -82,7 +88,9 @@ def lines(pieces: DataFrame, keys: list[str]) -> DataFrame:
         out.insert(len(keys), "line", range(len(out)))
         return out
 
-    return pieces.groupBy(*keys).applyInPandas(run, f"{kinds}, line int, column int, y double, x double, text string, size double")
+    pieces = pieces if "font" in pieces.columns else pieces.withColumn("font", F.lit(""))
+    made = "line int, column int, y double, x double, text string, size double, multi_font boolean"
+    return pieces.groupBy(*keys).applyInPandas(run, f"{kinds}, {made}")
 
 
 def page_text(pieces: DataFrame, keys: list[str]) -> DataFrame:
