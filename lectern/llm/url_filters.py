@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import ahocorasick
@@ -162,7 +164,10 @@ class Vocabulary:
             start, end = last + 1 - length, last + 1
             if text[start - 1] == text[end] == " ":
                 (hits if weight else safe).append((start, end, weight, term))
-        return {term: w for a, b, w, term in hits if not any(x <= a and b <= y for x, y, _, _ in safe)}
+        safe.sort()
+        starts, ends = [a for a, *_ in safe], list(accumulate((b for _, b, *_ in safe), max))
+        held = lambda a, b: (k := bisect_right(starts, a)) and ends[k - 1] >= b
+        return {term: w for a, b, w, term in hits if not held(a, b)}
 
 
 class Rules:
