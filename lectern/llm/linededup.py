@@ -33,17 +33,17 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(F.col("sites") > high).select("line").unionByName(exact.select("line"))
 
 
-def one_site_each(lines: DataFrame) -> DataFrame:
-    """(line, source) of rows (line, key, source): each text counts for one of its sources, so copies of it add none.
+def one_site_each(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, source) of lines(key, line, ...): each of texts(key, text, source) counts for one of its sources, so copies add none.
 
-    Which source that is goes by a hash, so that texts of many sources don't all count for the same one.
+    Which source that is goes by a digest of both, so that texts of many sources don't all count for the same one.
     """
-    placed = F.struct(F.xxhash64("key", "source").alias("h"), "source")
-    one = lines.where(F.col("source").isNotNull()).groupBy("line", "key").agg(F.min(placed).alias("one"))
-    return materialize(one.select("line", "one.source"))
+    placed = F.struct(F.md5(F.concat(F.md5("text"), F.lit("/"), "source")).alias("digest"), "source")
+    sites = texts.where(F.col("source").isNotNull()).groupBy("key").agg(F.min(placed).alias("one"))
+    return materialize(lines.select("line", "key").distinct().join(sites.select("key", "one.source"), "key").select("line", "source"))
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = True) -> DataFrame:
     """(row, text, n_lines, n_removed): each document as a struct, and its text without lines found on many sources.
 
     A line is compared without blanks at its ends; blank lines stay. A null text stays null, with no lines; an empty
@@ -58,7 +58,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, by_text: bool = Fal
     stripped = F.btrim("text", F.lit(STRIPPED))
     lines = lines.where(stripped != "").select("key", "source", "pos", F.xxhash64(stripped).alias("line"))
     lines = materialize(lines)
-    placed = one_site_each(lines) if by_text else lines.select("line", "source")
+    texts = keyed.select("key", F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    placed = one_site_each(texts, lines) if by_text else lines.select("line", "source")
     gone = lines.join(boilerplate(placed, sites), "line", "left_semi")
     gone = materialize(gone.groupBy("key").agg(F.collect_set("pos").alias("gone")))  # apart, so the join can split a hot key
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # hashed, so linear in the lines
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     A null text stays null, a text that loses every line becomes empty, and equal rows stay separate rows. A null
     source is no site. An empty table stays empty.
     """
-    out = without_boilerplate(docs, sites, by_text=True)
+    out = without_boilerplate(docs, sites)
     return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
@@ -86,7 +87,8 @@ ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
-b AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= {SITES}),
+p AS (SELECT text, arg_min(source, md5(md5(text) || '/' || source)) AS site FROM documents WHERE source IS NOT NULL GROUP BY text),
+b AS (SELECT k FROM k JOIN d USING (r) JOIN p USING (text) WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= {SITES}),
 m AS (SELECT k.*, b.k IS NOT NULL AS gone FROM k LEFT JOIN b USING (k)),
 o AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
       count(*) FILTER (gone) AS n_removed FROM m GROUP BY r)
