@@ -65,11 +65,11 @@ def _profiled(sample: DataFrame, canon: list[Book], source: str) -> tuple[DataFr
     sided = joined_by(rows, elected.select(source, "nth"), [source])
     sided = sided.withColumn("is_header", F.coalesce(F.array_contains("shapes", F.col("nth")), F.lit(False)))
     fonts = sided.groupBy(source).agg(*(F.avg(F.when(F.col("is_header") == b, F.col("multi_font").cast("double"))).alias(f"{n}_fonts") for n, b in (("header", True), ("body", False))))
-    out = joined_by(elected, fonts, [source])
-    for name in ("size", "x"):
-        middle = medians(sided, [source, "is_header"], F.col(name))
-        sides = middle.groupBy(source).agg(*(F.max(F.when(F.col("is_header") == b, F.col("median"))).alias(f"{n}_{name}") for n, b in (("header", True), ("body", False))))
-        out = joined_by(out, sides, [source])
+    values = F.inline(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("value")) for c in ("size", "x"))))
+    middle = medians(sided.select(source, "is_header", values), [source, "is_header", "axis"], F.col("value"))
+    side = lambda b, c: F.max(F.when((F.col("is_header") == b) & (F.col("axis") == c), F.col("median")))
+    sides = middle.groupBy(source).agg(*(side(b, c).alias(f"{n}_{c}") for n, b in (("header", True), ("body", False)) for c in ("size", "x")))
+    out = joined_by(joined_by(elected, fonts, [source]), sides, [source])
     shape = F.get(F.array(*map(F.lit, ALL_SHAPES)), F.coalesce("nth", F.lit(0)))
     numbers = ("header_size", "body_size", "header_x", "body_x", "header_fonts", "body_fonts")
     none = lambda c, kind="double": F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
@@ -198,7 +198,7 @@ def excerpts(lines: DataFrame, found: DataFrame, canon: list[Book], books: DataF
     needed = [source, "page", "line", "text", "_header", *(c for c in rows.columns if c.startswith("_h_"))]
     pages = _edge_headings(edges, canon, source)
     empty = {"text": F.lit(None).cast("string"), "_header": F.lit(None).cast(rows.schema["_header"].dataType)}
-    rows = rows.select(*needed).unionByName(pages.withColumns(empty).select(*needed))
+    rows = materialize(rows.select(*needed)).unionByName(pages.withColumns(empty).select(*needed))
     begun = F.lit(None).cast("string")
     rows = joined_by(rows, books.select(source, "first_book"), [source]) if books is not None else rows.withColumn("first_book", begun)
     rows = in_ranges(rows, [source], ["page", "line"], parts)
