@@ -80,13 +80,14 @@ def _paths(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([[[*p, *up] for p in climb(_cut(d), height(k))[1]] for d, k, up in rows], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("proof", T.StringType()), T.StructField("folded", T.StringType())])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("leaf", "proof", "folded")])))
 def _proofs(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for digests, seen, n, above in batches:
         found = []
         for d, now, k, up in zip(digests, seen, n, above, strict=True):
             paths = [[*p, *up] for p in climb(_cut(d), height(k))[1]]
-            found.append([{"proof": digest("".join(p)), "folded": fold(x, p)} for x, p in zip(_cut(now), paths, strict=True)])
+            rows = zip(_cut(d), _cut(now), paths, strict=True)
+            found.append([{"leaf": x, "proof": digest("".join(p)), "folded": fold(y, p)} for x, y, p in rows])
         yield pd.Series(found, dtype=object)
 
 
@@ -178,11 +179,11 @@ def manifest(docs: DataFrame) -> DataFrame:
     trees = trees.select("grp", "block", F.concat("path", "rest").alias("path"), F.col("top").alias("subroot"), "root")
 
     rows = blocks.join(trees, ["grp", "block"])
-    rows = rows.select("ids", "digests", "subroot", "root", _proofs("digests", "seen", "n", "path").alias("proofs"))
-    rows = rows.select("digests", "subroot", "root", "ids", F.posexplode("proofs").alias("k", "p"))
+    made = F.arrays_zip("ids", _proofs("digests", "seen", "n", "path").alias("p")).alias("rows")
+    rows = rows.select("subroot", "root", made).select("subroot", "root", F.inline("rows"))
     return rows.select(
-        F.get("ids", F.col("k")).alias("doc_id"),
-        F.substring("digests", F.col("k") * HEX + 1, F.lit(HEX)).alias("leaf"),
+        F.col("ids").alias("doc_id"),
+        F.col("p.leaf").alias("leaf"),
         "subroot",
         "root",
         F.col("p.proof").alias("proof_sha256"),
