@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from lectern.llm.shared import bounded_batches, tokenizer_file
-from lectern.llm.spans import Span, beside, digest, listed
+from lectern.llm.spans import Span, cut, digest, listed
 
 ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 #: A string that takes a token for less than so many of its characters is taken for random: random letters and digits
@@ -21,8 +21,12 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 MOST_CHARS_PER_TOKEN = 2.1
 #: A run of so many letters is a word if it takes a token for at least so many of them; what is half words is an identifier.
 WORD_LETTERS, WORD_CHARS_PER_TOKEN = 4, 2.5
-#: Characters of a string that is put to the test, at least.
-LEAST = 20
+#: Characters of a string that is put to the test, at least; and of shorter ones, of letters and digits alone, that change
+#: between small letters, capitals and digits at least so often and take a token for less than so many characters.
+LEAST, SHORT, CHANGES, MOST_SHORT_CHARS_PER_TOKEN = 20, 12, 3, 1.75
+#: Fixed sequences; a string that mostly runs along these is no secret.
+SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789", "qwertyuiopasdfghjklzxcvbnm")
+RUNS = frozenset(a + b for q in SEQUENCES for a, b in zip(q, q[1:]))
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -31,6 +35,10 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short fails as a whole, so the length can be part of it
 HEX = re.compile(r"[0-9a-f]{24,}")
 STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+SHORT_STRING = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{{{SHORT},{LEAST - 1}}}(?![A-Za-z0-9+/_=-])")
+#: Words, numbers and short codes, three or more, between separators: how hosts, constants, versions and dates are named.
+SEGMENTS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z0-9]{1,5})(?:[-_/.](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z0-9]{1,5})){2,}\Z")
+CLASSES = re.compile(r"[a-z]+|[A-Z]+|[0-9]+")
 #: Digests (MD5 to SHA-512, in one case throughout) and UUIDs.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
@@ -70,27 +78,40 @@ def named(s: str, path: str | None = None) -> bool:
     return 2 * sum(len(w) for w in runs if len(w) >= WORD_CHARS_PER_TOKEN * tokens_of(w.lower(), path)) >= len(s)
 
 
+def sequence(s: str) -> bool:
+    """Whether most neighbours in a string are neighbours in a fixed sequence."""
+    low = s.lower()
+    return sum(low[i : i + 2] in RUNS for i in range(len(low) - 1)) >= 0.7 * (len(low) - 1)
+
+
 def random_spans(text: str, path: str | None = None, most: float = MOST_CHARS_PER_TOKEN) -> list[Span]:
     """Strings with a letter that are no known digest or identifier and spell badly: few characters a token.
 
     Measured on random strings (tests repeat it): found at 20, 32 and 64 characters are at least 0.99 of letters and
     digits, of base32, of capitals, and of letters of both cases, and 0.97 of small letters. Digits alone are numbers,
-    not secrets.
+    not secrets. Shorter strings are too short for the ratio alone, so they need a digit and changes of class too; found
+    at 16 characters are at least 0.8 of letters and digits, at 12 at least 0.7.
     """
     found = []
     for m in STRING.finditer(text):
         s = m[0]
-        if not any(map(str.isalpha, s)) or KNOWN.match(s):
+        if not any(map(str.isalpha, s)) or KNOWN.match(s) or SEGMENTS.match(s) or sequence(s):
             continue
         if len(s) < most * tokens_of(s, path) and not named(s, path):
             found.append((*m.span(), "random"))
-    return found
+    for m in SHORT_STRING.finditer(text):
+        s = m[0]
+        if not any(map(str.isdigit, s)) or not any(map(str.isalpha, s)) or len(CLASSES.findall(s)) <= CHANGES:
+            continue
+        if len(s) < MOST_SHORT_CHARS_PER_TOKEN * tokens_of(s, path) and not named(s, path) and not sequence(s):
+            found.append((*m.span(), "random"))
+    return sorted(found)
 
 
 def spans_of(text: str, path: str | None = None) -> tuple[list[Span], list[Span]]:
-    """The base spans, and those that the token test adds beside them."""
+    """The base spans, and what the token test adds: random strings, without the parts that base spans have already."""
     base = base_spans(text)
-    return base, beside(random_spans(text, path), base)
+    return base, cut(random_spans(text, path), base)
 
 
 def find_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -25,3 +25,20 @@ def beside(spans: list[Span], others: Iterable[Span]) -> list[Span]:
     starts = [a for a, _, _ in ordered]
     furthest = [0, *accumulate((b for _, b, _ in ordered), max)]  # where the first k of the others end
     return [s for s in spans if furthest[bisect_left(starts, s[1])] <= s[0]]
+
+
+def cut(spans: list[Span], others: Iterable[Span]) -> list[Span]:
+    """What of the spans is in none of the others, piece by piece; both may be many, and spans overlap each other nowhere."""
+    pieces, gone, k = [], sorted((a, b) for a, b, _ in others), 0
+    furthest = [0, *accumulate((b for _, b in gone), max)]  # where the first k of the others end
+    for a, b, kind in sorted(spans):
+        while k < len(gone) and furthest[k + 1] <= a:
+            k += 1
+        at, i = a, k
+        while i < len(gone) and gone[i][0] < b:
+            if gone[i][0] > at:
+                pieces.append((at, gone[i][0], kind))
+            at, i = max(at, gone[i][1]), i + 1
+        if at < b:
+            pieces.append((at, b, kind))
+    return pieces
