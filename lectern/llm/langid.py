@@ -159,8 +159,8 @@ def lead(best: float, second: float) -> float:
     return 1.0 if second <= 0 else min(1.0, max(0.0, 1 - best / second))
 
 
-def predict_by_join(rows: DataFrame, profiles: DataFrame, ranks: int) -> DataFrame:
-    """As predict(), of rows (doc_id, held_out, text), by joining documents' n-grams with a table of any number of profiles."""
+def document_grams(rows: DataFrame, ranks: int) -> DataFrame:
+    """(at, grams) of rows(at, text): the most frequent n-grams of each text, null without a letter; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +168,13 @@ def predict_by_join(rows: DataFrame, profiles: DataFrame, ranks: int) -> DataFra
             grams = [None if g is None else [spelled(x) for x in g.tolist()] for g in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.string()))], ["at", "grams"])
 
+    return materialize(rows.select("at", "text").mapInArrow(run, "at long, grams array<string>"))
+
+
+def predict_by_join(rows: DataFrame, profiles: DataFrame, ranks: int) -> DataFrame:
+    """As predict(), of rows (doc_id, held_out, text), by joining documents' n-grams with a table of any number of profiles."""
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "*"))
-    grams = materialize(rows.select("at", "text").mapInArrow(run, "at long, grams array<string>"))
+    grams = document_grams(rows, ranks)
     each = grams.select("at", F.size("grams").alias("n"), F.posexplode("grams").alias("place", "gram"))
     near = F.lit(ranks) - F.abs(F.col("rank") - 1 - F.col("place"))
     close = each.join(profiles, "gram").groupBy("at", "lang").agg(F.sum(near).alias("near"), F.first("n").alias("n"))
@@ -240,8 +245,8 @@ def keep_identified(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
     bounded_batches(docs.sparkSession)
     known = table.select("gram").distinct()
     few = [r["gram"] for r in known.limit(ranks * MOST_LANGUAGES + 1).collect()]
-    if len(few) > ranks * MOST_LANGUAGES:  # so many that hardly a letter is unknown: told apart by single letters
-        few = [r["gram"] for r in known.where(F.length("gram") == 1).collect()]  # as many as there are letters
+    if len(few) > ranks * MOST_LANGUAGES:
+        return keep_by_join(docs, known, ranks)
     codes = np.array(sorted(map(coded, few)), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,3 +256,12 @@ def keep_identified(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def keep_by_join(docs: DataFrame, known: DataFrame, ranks: int = RANKS) -> DataFrame:
+    """As keep_identified(), by joining documents' n-grams with a table (gram) of any size, in place of a list in tasks."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = materialize(docs.select(row).select(F.monotonically_increasing_id().alias("at"), F.col("row.text").alias("text"), "row"))
+    grams = document_grams(rows, ranks)
+    like = grams.select("at", F.explode("grams").alias("gram")).join(known, "gram", "left_semi").select("at").distinct()
+    return rows.join(like, "at", "left_semi").select("row.*")
