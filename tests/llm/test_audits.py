@@ -246,3 +246,41 @@ def test_climbing_is_a_tree_of_any_height():
         want, siblings = tree(leaves)
         assert root == want and paths == [["".join(x) for pair in p for x in pair] for p in siblings]
         assert all(merkle.fold(x, p) == root for x, p in zip(leaves, paths))
+
+
+# Spans of secrets
+
+
+def test_spans_are_cut_as_by_single_characters():
+    from lectern.llm import spans
+
+    rng = random.Random(6)
+    for _ in range(400):
+        others = [(a, a + rng.randint(1, 9), "o") for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        edges = sorted(rng.sample(range(70), 2 * rng.randint(0, 6)))
+        own = [(a, b, "s") for a, b in zip(edges[::2], edges[1::2])]
+        held = {i for a, b, _ in others for i in range(a, b)}
+        want = [(i, "s") for a, b, _ in own for i in range(a, b) if i not in held]
+        got = spans.cut(own, others)
+        assert [(i, k) for a, b, k in got for i in range(a, b)] == want and all(a < b for a, b, _ in got)
+
+
+def test_short_secrets_identifiers_and_what_stays_of_a_string():
+    import string
+
+    from lectern.llm import secrets
+
+    rng = random.Random(7)
+    for n, least in ((12, 0.7), (16, 0.8)):
+        made = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for _ in range(400)]
+        assert sum(bool(secrets.random_spans(f"so {s} it")) for s in made) >= least * len(made)
+    for s in (
+        "s3-us-west-2-prod-db-replica-03 ISO_8859_1_DECODER_TABLE_XX 2024-05-12T10-33-20-backup-01a abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ "
+        "abcdefghijklmnopqrstuvwxyz0123456789 qwertyuiopasdfghjklzxcvbnm utf8mb4_unicode_ci x86_64-linux-gnu IMG_20240512_103320 HTTP_404_NOT_FOUND ProductID12345 "
+        "ISBN9780306406157 libstdc++6-dbg GL_TEXTURE_2D_ARRAY_EXT CVE-2021-44228 kubernetes1234 December2024 iPhone15ProMax abc123def456 20240512T103320Z"
+    ).split():
+        assert secrets.random_spans(f"a {s} b") == [], s
+    key = "ZkQ" + "0123456789abcdef0123456789" + "XqW7rT2pLmVb8sYdNcHf4GjK"
+    base, more = secrets.spans_of(f"it {key} is")
+    assert [k for _, _, k in base] == ["hex"] and [(a - 3, b - 3) for a, b, _ in more] == [(0, 3), (29, len(key))]
+    assert secrets.replaced(f"it {key} is", [*base, *more]) == "it [random][hex][random] is"
