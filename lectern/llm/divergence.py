@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +17,8 @@ from lectern.llm.shared import bounded_batches, materialize
 LEAST_DOCS, RANKS, UNIT = 3, 200, 1_000_000_000
 #: Terms in a shard of postings and sources in a block of them, at most: what one row of pairs works on.
 SHARD, SIDE = 4096, 128
+#: Terms that a task holds before it gives their counts out.
+HELD = 1 << 20
 #: What separates terms: ASCII without its letters.
 _SPLIT = bytes.maketrans(
     bytes(range(0x80)), bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A else 0x20 for c in range(0x80))
@@ -29,18 +31,35 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(_SPLIT).split()
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of each batch; a row with a null term says that its group is there."""
+def _counts_of(groups: list[tuple[str, str]], found: list[list[bytes]]) -> pa.RecordBatch:
+    """(lang, source, term, n, docs) of documents' terms; a row with a null term says that a group is there."""
+    names = sorted(set(groups))
+    at = {g: i for i, g in enumerate(names)}
+    coded = pa.array([t for terms in found for t in terms], pa.binary()).dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    doc = np.repeat(np.arange(len(found), dtype=np.int64), [len(terms) for terms in found])
+    in_doc, n = np.unique(doc * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    group = np.array([at[g] for g in groups], np.int64)[in_doc // size] if len(in_doc) else in_doc
+    in_group, where = np.unique(group * size + in_doc % size, return_inverse=True)
+    of = np.concatenate((in_group // size, np.arange(len(names))))
+    columns = [pa.array([g[k] for g in names], pa.string()).take(pa.array(of)) for k in (0, 1)]
+    terms = coded.dictionary.cast(pa.string()).take(pa.array(np.concatenate((in_group % size, np.zeros(len(names), np.int64))), mask=np.arange(len(of)) >= len(in_group)))
+    sums = [np.concatenate((np.bincount(where, w, len(in_group)).astype(np.int64), np.zeros(len(names), np.int64))) for w in (n, None)]
+    return pa.RecordBatch.from_arrays([*columns, terms, *map(pa.array, sums)], ["lang", "source", "term", "n", "docs"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of texts, given out whenever HELD terms are held."""
+    groups, found, held = [], [], 0
     for batch in batches:
-        seen: dict[tuple[str, str], list[Counter]] = defaultdict(lambda: [Counter(), Counter()])
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
-            n, docs = seen[lang, source]
-            found = Counter(terms_of(text))
-            n.update(found)
-            docs.update(found.keys())
-        rows = [(*g, t.decode(), c, docs[t]) for g, (n, docs) in seen.items() for t, c in n.items()]
-        rows += [(*g, None, 0, 0) for g in seen]
-        yield pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            groups.append((lang, source))
+            found.append(terms_of(text))
+            held += len(found[-1])
+            if held >= HELD:
+                yield _counts_of(groups, found)
+                groups, found, held = [], [], 0
+    yield _counts_of(groups, found)
 
 
 def _share(count: str, size: str) -> Column:
@@ -62,7 +81,7 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     bounded_batches(docs.sparkSession)
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    found = named.mapInPandas(_counted, COUNTED).groupBy("lang", "source", "term")
+    found = named.mapInArrow(_counted, COUNTED).groupBy("lang", "source", "term")
     found = materialize(found.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     terms = found.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
     terms = materialize(terms.where(F.col("docs") >= LEAST_DOCS).drop("docs"))
