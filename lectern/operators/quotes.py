@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import tag_name
 from lectern.operators import catalog
 from lectern.operators.ranges import parse_reference, reference
+from lectern.operators.scans import scanned
 
 ANNOTATIONS = "array<struct<id:string,text:string,createdAt:long>>"
 
@@ -143,3 +144,65 @@ def marked_verses(quotes: DataFrame) -> DataFrame:
     rows = quotes.select(parse_reference(F.col("ref")).alias("p"), "color", "created").where("p.verse <= p.verse_end")
     rows = rows.select("p.book", "p.chapter", F.explode(F.sequence("p.verse", "p.verse_end")).alias("verse"), "color", "created")
     return rows.groupBy("book", "chapter", "verse").agg(F.max(F.struct("created", "color"))["color"].alias("color"))
+
+
+#: The color of a quote that says none, and what a quote can be of.
+AMBER = "amber"
+KINDS = ("book", "scripture", "commentary", "confession", "confession commentary")
+
+
+def made(new: DataFrame) -> DataFrame:
+    """Rows of new quotes(quote_id, kind, text, color, created, book_id, page, source_id, translation, book, chapter, verse,
+    verse_end, document, ordinal, section_number, section_label, paragraph), each with what its kind has, and its ref.
+
+    A passage's end is left out where it is the start or 0. Only quotes of books have a page, only those of scripture a
+    translation, and only those of confessions a section. Unknown kinds make nothing.
+    """
+    is_of = lambda *kinds: F.col("kind").isin(*kinds)
+    only = lambda c, *kinds: F.when(is_of(*kinds), F.col(c)).alias(c)
+    confession = KINDS[3:]
+    passage = reference(F.col("book"), F.col("chapter"), F.col("verse"), F.nullif(F.col("verse_end"), F.lit(0)))
+    section = F.concat_ws(":", "document", F.col("ordinal").cast("string"))
+    ref = F.when(is_of("scripture", "commentary"), passage).when(is_of(*confession), section)
+    return new.where(is_of(*KINDS)).select(
+        "quote_id", "kind", "text", F.coalesce("color", F.lit(AMBER)).alias("color"), "created", only("book_id", "book"), only("page", "book"),
+        only("source_id", "commentary", *confession), only("translation", "scripture"), ref.alias("ref"),
+        only("section_number", *confession), only("section_label", *confession), only("paragraph", *confession),
+    )
+
+
+def listed(rows: DataFrame, keys: list[str], *order: Column, parts: int | None = None) -> DataFrame:
+    """rows with n, their place from 1 among those of equal keys in an order without ties, however many a key has."""
+    by = {f"_o{i}": c for i, c in enumerate(order)}
+    found = scanned(rows.withColumns(by), keys, list(by), total={"n": F.lit(1)}, parts=parts)
+    return found.withColumn("n", F.col("n").cast("int")).drop(*by)
+
+
+def place_in_ref() -> list[Column]:
+    """Chapter and verse of a ref, 0 where it has none."""
+    number = lambda i: F.coalesce(F.nullif(F.regexp_extract("ref", "\\s([0-9]+):([0-9]+)", i), F.lit("")).cast("int"), F.lit(0))
+    return [number(1), number(2)]
+
+
+def highlights(quotes: DataFrame, book: str, chapter: int) -> DataFrame:
+    """(quote_id, verse, verse_end, color): what a chapter's quotes mark; refs that end otherwise mark nothing."""
+    part = lambda i: F.nullif(F.regexp_extract("ref", ":([0-9]+)(?:-([0-9]+))?\\z", i), F.lit("")).cast("int")
+    rows = of_chapter(quotes, book, chapter).select("quote_id", part(1).alias("verse"), F.coalesce(part(2), part(1)).alias("verse_end"), "color")
+    return rows.where("verse IS NOT NULL")
+
+
+def edited(quotes: DataFrame, edits: DataFrame) -> DataFrame:
+    """quotes(quote_id, text, annotations, citation_override, ...) after edits(quote_id, position, what, value).
+
+    what: 'text', 'annotations', 'citation' (a blank one goes back to what is generated) or 'delete', of which the last
+    of each counts, before a quote's first deletion. Quotes that aren't there stay so.
+    """
+    first = edits.where("what = 'delete'").groupBy("quote_id").agg(F.min("position").alias("_gone"))
+    rows = edits.join(first, "quote_id", "left").where(F.col("_gone").isNull() | (F.col("position") <= F.col("_gone")))
+    named = {"text": "text", "annotations": "annotations", "citation": "citation_override"}
+    last = [F.max_by(F.struct("value"), F.when(F.col("what") == w, F.col("position"))).alias(f"_{c}") for w, c in named.items()]
+    last.append(F.max(F.col("what") == "delete").alias("_deleted"))
+    out = quotes.join(rows.groupBy("quote_id").agg(*last), "quote_id", "left").where(~F.coalesce("_deleted", F.lit(False)))
+    value = {"citation_override": F.nullif(F.trim(F.col("_citation_override.value")), F.lit(""))}
+    new = {c: F.when(F.col(f"_{c}").isNotNull(), value.get(c, F.col(f"_{c}.value"))).otherwise(F.col(c)) for c in named.values()}
+    return out.withColumns(new).select(*quotes.columns)

@@ -199,35 +199,35 @@ def headings_read(
                         out.append([*now, book, stretch.packed()])
                     now, stretch, book = key, Stretch(known, lasts), None if pd.isna(begins) else begins
                 stretch.add(h)
-            yield pd.DataFrame(out, columns=[*by, "book", "stretch"])
+            yield pd.DataFrame(out, columns=[*by, "_book", "_stretch"])
         if stretch is not None:
-            yield pd.DataFrame([[*now, book, stretch.packed()]], columns=[*by, "book", "stretch"])
+            yield pd.DataFrame([[*now, book, stretch.packed()]], columns=[*by, "_book", "_stretch"])
 
     def begun(stretches: pd.DataFrame) -> pd.DataFrame:
         stretches = stretches.sort_values("_part")
-        book = stretches["book"].iloc[0]
+        book = stretches["_book"].iloc[0]
         place, starts = Place(None if pd.isna(book) else book, None, False), []
-        for stretch in stretches["stretch"]:
+        for stretch in stretches["_stretch"]:
             starts.append(json.dumps(place))
             place = after(stretch, place)
-        return stretches[by].assign(start=starts)
+        return stretches[by].assign(_start=starts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, place = None, None
         for batch in batches:
             out = []
-            for *key, start, h in zip(*(batch[k] for k in by), batch["start"], _headings(batch), strict=True):
+            for *key, start, h in zip(*(batch[k] for k in by), batch["_start"], _headings(batch), strict=True):
                 if now is None or not _same(key, now):
                     now, place = key, Place(*json.loads(start))
                 [(_, _, place, was)] = read(place, h, 0, 0, lasts)
                 out.append((was, place.book, place.chapter))
             said = pd.DataFrame(out, columns=["read", "at_book", "at_chapter"], index=batch.index)
-            yield batch.drop(columns=["start"]).assign(read=said["read"], at_book=said["at_book"], at_chapter=said["at_chapter"].astype("Int32"))
+            yield batch.drop(columns=["_start"]).assign(read=said["read"], at_book=said["at_book"], at_chapter=said["at_chapter"].astype("Int32"))
 
     apart = lambda rows: rows.repartition(*by).sortWithinPartitions(*by, *order)
     needed = [*by, *(c for c in order if c not in by), *(MARK + c for c in COLUMNS), *(["first_book"] if first else [])]
-    functions = apart(ranged.select(*dict.fromkeys(needed))).mapInPandas(stretches, f"{kinds}, book string, stretch string")
-    starts = functions.groupBy(*keys).applyInPandas(begun, f"{kinds}, start string")
+    functions = apart(ranged.select(*dict.fromkeys(needed))).mapInPandas(stretches, f"{kinds}, _book string, _stretch string")
+    starts = functions.groupBy(*keys).applyInPandas(begun, f"{kinds}, _start string")
     rows = joined_by(ranged, starts, by)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
     return apart(rows).mapInPandas(run, f"{shape}, {READ}").drop("_part", *(MARK + c for c in COLUMNS))

@@ -5,25 +5,38 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import query_tokens, tokens
+from lectern.session import materialize
 
 K1, B = 1.2, 0.75
 LIMIT, SNIPPET = 200, 14
+#: Numbers of documents in a block of postings, at most, and in one filter that a scan of Parquet looks up exactly.
+BLOCK, LOOKED_UP = 1024, 10
 #: Digits of a rank; the order in which parts are added up changes those beyond.
 DIGITS = 12
 
 
 @dataclass
 class Index:
-    """docs: key, kind, book_id, ref, page, title, content and length; postings: key, term, tf; sorted by term if written."""
+    """docs: key, kind, book_id, ref, page, title, content and length; postings: key, term, tf."""
 
     docs: DataFrame
     postings: DataFrame
 
 
+@dataclass
+class WrittenIndex(Index):
+    """docs also have doc, a number in order of key, and are sorted by it. blocks: term, block, entries(doc, tf, length) of
+    documents with near numbers, with the most of tf and the least length among them, sorted by term. whole: one row,
+    the number of documents and their mean length."""
+
+    blocks: DataFrame
+    whole: DataFrame
+
+
 def build_index(docs: DataFrame, *keys: str) -> Index:
     """An index of rows with key (or keys) and content; other columns stay. Blank documents count, without terms."""
     keys = keys or ("key",)
@@ -32,12 +45,49 @@ def build_index(docs: DataFrame, *keys: str) -> Index:
     return Index(docs, terms.groupBy("term", *keys).agg(F.count("*").alias("tf")))
 
 
-def write_index(index: Index, path: str) -> Index:
-    """Write an index so that a prefix reads few files: postings are range partitioned and sorted by term."""
+def write_index(index: Index, path: str) -> WrittenIndex:
+    """Write an index so that a search reads little of it; keys are distinct.
+
+    A prefix reads the few files of its terms. Blocks say what their documents can score at most, so most of them are
+    passed over. Contents are found by number, and only a search's hits are read.
+    """
     spark = index.docs.sparkSession
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{path}/postings")
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    docs = index.docs.repartitionByRange("key").sortWithinPartitions("key").withColumn("doc", F.monotonically_increasing_id())
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    docs = spark.read.parquet(f"{path}/docs")
+    entry = F.struct("doc", F.col("tf").cast("long").alias("tf"), "length")
+    block = F.expr(f"doc div {BLOCK}").alias("block")  # numbers of a part begin at a multiple of it
+    postings = index.postings.join(docs.select("key", "doc", "length"), "key")
+    sums = (F.sort_array(F.collect_list(entry)).alias("entries"), F.max("tf").alias("most"), F.min("length").alias("least"))
+    blocks = postings.groupBy("term", block).agg(*sums)
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/whole")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> WrittenIndex:
+    """The index that write_index wrote."""
+    docs, blocks, whole = (spark.read.parquet(f"{path}/{name}") for name in ("docs", "blocks", "whole"))
+    each = blocks.select("term", F.explode("entries").alias("e")).select("term", "e.doc", "e.tf")
+    return WrittenIndex(docs, each.join(docs.select("doc", "key"), "doc").select("key", "term", "tf"), blocks, whole)
+
+
+def _of_tokens(words: list[str]) -> tuple[Column, Column]:
+    """Whether a term begins with one of the words, and the numbers of those that it begins with."""
+    begins = [F.col("term").startswith(w) for w in words]
+    return reduce(Column.__or__, begins), F.filter(F.array(*(F.when(b, F.lit(i)) for i, b in enumerate(begins))), lambda x: x.isNotNull())
+
+
+def _weights(seen: DataFrame, whole: DataFrame) -> DataFrame:
+    """(token, idf, mean): a row for each token of the query, of seen(token, n) and the one row of whole."""
+    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return seen.crossJoin(whole).select("token", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"), "mean")
+
+
+def _score(f: str, length: str) -> Column:
+    """What a token that a document of that length has f times adds to its score."""
+    norm = K1 * (1 - B + B * F.col(length) / F.col("mean"))
+    return F.col("idf") * F.col(f) * (K1 + 1) / (F.col(f) + norm)
 
 
 def ranked(index: Index, query: str) -> DataFrame:
@@ -48,33 +98,83 @@ def ranked(index: Index, query: str) -> DataFrame:
     words = query_tokens(query)
     if not words:
         return index.docs.select("key", F.lit(0.0).alias("rank")).where(F.lit(False))
-    begins = [F.col("term").startswith(w) for w in words]
-    which = F.filter(F.array(*(F.when(b, F.lit(i)) for i, b in enumerate(begins))), lambda x: x.isNotNull())
-    rows = index.postings.where(reduce(Column.__or__, begins)).select("key", "tf", F.explode(which).alias("token"))
+    begun, which = _of_tokens(words)
+    rows = index.postings.where(begun).select("key", "tf", F.explode(which).alias("token"))
     hits = rows.groupBy("key", "token").agg(F.sum("tf").cast("double").alias("f"))
     seen = hits.groupBy("token").agg(F.count("*").cast("double").alias("n"))  # a row for each token of the query
-    corpus = index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))  # one row
-    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    weigh = F.broadcast(seen.crossJoin(corpus).select("token", idf.alias("idf"), "mean"))
-    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
-    scored = hits.join(weigh, "token").join(index.docs.select("key", "length"), "key")
-    scored = scored.withColumn("score", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm))
+    if isinstance(index, WrittenIndex):
+        whole = index.whole
+    else:
+        whole = index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))  # one row
+    scored = hits.join(F.broadcast(_weights(seen, whole)), "token").join(index.docs.select("key", "length"), "key")
+    scored = scored.withColumn("score", _score("f", "length"))
     return scored.groupBy("key").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
 
 
+def scored_blocks(index: WrittenIndex, words: list[str], docs: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(best, blocks): (doc, rank) of the best documents for all words, those in docs(doc) if given; and the blocks it took.
+
+    Blocks bound what their documents can score. Those with the largest bounds that may hold `limit` documents are scored
+    first; of the others only those that can still reach the last of the best are. Entries of one block are never more
+    than BLOCK for a term.
+    """
+    begun, which = _of_tokens(words)
+    rows = index.blocks.where(begun).select("*", F.explode(which).alias("token"))
+    once = F.size(F.array_distinct(F.flatten(F.collect_list("entries.doc"))))
+    seen = rows.groupBy("token", "block").agg(F.sum("most").cast("double").alias("f"), F.min("least").alias("length"), once.alias("n"))
+    seen = materialize(seen)
+    weights = materialize(_weights(seen.groupBy("token").agg(F.sum("n").cast("double").alias("n")), index.whole))
+    bound = F.sum(_score("f", "length") * (1 + 1e-9)).alias("bound")
+    blocks = seen.join(weights, "token").groupBy("block").agg(bound, F.min("n").alias("n"), F.count("*").alias("found"))
+    order = Window.orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.where(F.col("found") == len(words)).orderBy(F.desc("bound"), "block").limit(limit)  # each has one hit or more
+    first = first.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < limit).select("block", "bound")
+    numbers = sorted(r["block"] for r in first.select("block").collect())  # at most limit
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        each = rows.select("token", F.explode("entries").alias("e"))
+        hits = each.groupBy("e.doc", "token").agg(F.sum("e.tf").cast("double").alias("f"), F.min("e.length").alias("length"))
+        scored = hits.join(F.broadcast(weights), "token").withColumn("score", _score("f", "length"))
+        found = scored.groupBy("doc").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found"))
+        found = found.where(F.col("found") == len(words)).drop("found")
+        return found if docs is None else found.join(docs, "doc", "left_semi")
+
+    top = lambda rows: rows.orderBy("rank", "doc").limit(limit)  # noqa: E731  (numbers are in order of key)
+    best = materialize(top(best_of(rows.where(_among("block", numbers)))))
+    held, last = best.agg(F.count("*"), F.max("rank")).first()
+    rest = blocks.where((F.col("found") == len(words)) & ~_among("block", numbers))
+    rest = materialize((rest if held < limit else rest.where(F.col("bound") + 10.0**-DIGITS >= -last)).select("block"))
+    if not rest.isEmpty():
+        best = materialize(top(best.unionByName(best_of(rows.join(rest, "block", "left_semi")))))
+    return best, rest.unionByName(first.select("block"))
+
+
+def _among(column: str, numbers: list[int]) -> Column:
+    """Whether a column is one of the numbers, in filters so small that a scan looks each number up."""
+    groups = [numbers[i : i + LOOKED_UP] for i in range(0, len(numbers), LOOKED_UP)]
+    return reduce(Column.__or__, (F.col(column).isin(g) for g in groups), F.lit(False))
+
+
 def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT, books: DataFrame | None = None) -> DataFrame:
     """The best documents of a scope, by rank and then key. A scope that is never true gives no rows.
 
-    books(book_id): only documents of these. Keys are ranked and cut before any content is read; what is broadcast then
-    has limit rows.
+    books(book_id): only documents of these. Keys are ranked and cut before any content is read. Of a written index only
+    the blocks are scored that can matter, and the contents of the hits are looked up by number, of which the driver
+    learns as many as limit.
     """
     found = index.docs.drop("content")
     found = found if scope is None else found.where(scope)
     if books is not None:
         found = found.join(books.select("book_id"), "book_id", "left_semi")
+    words = query_tokens(query)
+    if isinstance(index, WrittenIndex) and words and limit <= LIMIT:
+        every = scope is None and books is None
+        best, _ = scored_blocks(index, words, None if every else found.select("doc"), limit)
+        hits = index.docs.where(_among("doc", sorted(r["doc"] for r in best.select("doc").collect())))
+        return hits.join(F.broadcast(best), "doc").drop("doc").orderBy("rank", "key").limit(limit)
     best = found.select("key").join(ranked(index, query), "key").orderBy("rank", "key").limit(limit)
-    return index.docs.join(F.broadcast(best) if limit <= LIMIT else best, "key").orderBy("rank", "key")
+    hits = index.docs.join(F.broadcast(best) if limit <= LIMIT else best, "key").orderBy("rank", "key")
+    return hits.drop("doc")
 
 
 def by_page(hits: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.references import Book
-from lectern.operators import catalog, validation
+from lectern.operators import catalog, quotes, validation
 from lectern.plans import fixtures as fx
 from lectern.plans.registry import query
-from lectern.sources import scanned
+from lectern.session import shared_folder
+from lectern.sources import epub, providers, scanned
+from lectern.streaming import runs
 
 CANON = [Book("JAS", "James", 5, ("Jas",)), Book("ROM", "Romans", 16, ("Rom",))]
 #: A header in each shape, by a line's number n; a source is set in the shape of its own number.
@@ -172,3 +176,153 @@ def snk7_replaced(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "orders").selectExpr("o_custkey AS id", "o_orderkey AS at", "o_orderpriority AS value")
     old = rows.where("at % 3 = 0").groupBy("id").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
     return catalog.replaced(old, rows, ["id"], F.col("at")).select("id", "value")
+
+
+_KIND = "CASE l_linenumber WHEN 1 THEN 'book' WHEN 2 THEN 'scripture' WHEN 3 THEN 'commentary' WHEN 4 THEN 'confession' WHEN 5 THEN 'confession commentary' ELSE 'other' END"
+_NEW = {
+    "quote_id": "concat(l_orderkey, '-', l_linenumber)", "kind": _KIND, "text": "concat('text ', l_partkey)", "color": "CASE WHEN l_quantity > 25 THEN l_returnflag END", "created": "l_shipdate", "book_id": "l_partkey",
+    "page": "l_suppkey", "source_id": "l_partkey % 9", "translation": "'BSB'", "book": "CASE WHEN l_suppkey % 2 = 0 THEN 'JHN' ELSE 'ROM' END", "chapter": "CAST(l_partkey % 21 + 1 AS int)", "verse": "CAST(l_orderkey % 30 + 1 AS int)",
+    "verse_end": "CAST(CASE l_orderkey % 4 WHEN 0 THEN l_orderkey % 30 + 1 WHEN 1 THEN l_orderkey % 30 + 4 WHEN 2 THEN 0 END AS int)", "document": "CASE WHEN l_suppkey % 2 = 0 THEN 'AC' ELSE 'SC' END", "ordinal": "CAST(l_partkey % 28 + 1 AS int)",
+    "section_number": "'IV'", "section_label": "'Of Faith'", "paragraph": "CAST(CASE WHEN l_orderkey % 3 > 0 THEN l_orderkey % 7 END AS int)",
+}
+NEW_QUOTES = f"""
+new AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _NEW.items())} FROM lineitem),
+made AS (SELECT quote_id, kind, text, coalesce(color, 'amber') AS color, created, CASE kind WHEN 'book' THEN book_id END AS book_id, CASE kind WHEN 'book' THEN page END AS page,
+ CASE WHEN kind NOT IN ('book', 'scripture') THEN source_id END AS source_id, CASE kind WHEN 'scripture' THEN translation END AS translation,
+ CASE WHEN kind IN ('scripture', 'commentary') THEN book || ' ' || chapter || ':' || verse || CASE WHEN verse_end > 0 AND verse_end <> verse THEN '-' || verse_end ELSE '' END
+  WHEN kind LIKE 'confession%' THEN document || ':' || ordinal END AS ref,
+ CASE WHEN kind LIKE 'confession%' THEN section_number END AS section_number, CASE WHEN kind LIKE 'confession%' THEN section_label END AS section_label, CASE WHEN kind LIKE 'confession%' THEN paragraph END AS paragraph
+ FROM new WHERE kind <> 'other')"""
+
+
+def new_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of every kind out of lineitem, made."""
+    return quotes.made(fx.table(spark, d, "lineitem").select(*(F.expr(e).alias(c) for c, e in _NEW.items())))
+
+
+@query("qte2_made", f"WITH {NEW_QUOTES} SELECT * FROM made")
+def qte2_made(spark: SparkSession, d: str) -> DataFrame:
+    """QTE2: new quotes of books, scripture, commentaries, confessions and commentaries on these."""
+    return new_quotes(spark, d)
+
+
+@query("qte3_of_source", f"""WITH {NEW_QUOTES} SELECT quote_id, row_number() OVER (PARTITION BY source_id ORDER BY regexp_extract(ref, '\\s(\\d+):', 1)::INT, regexp_extract(ref, ':(\\d+)', 1)::INT, created, quote_id)::INT AS n
+FROM made WHERE kind = 'commentary'""")
+def qte3_of_source(spark: SparkSession, d: str) -> DataFrame:
+    """QTE3, SRT4: a commentary's quotes in order of place and time."""
+    rows = new_quotes(spark, d).where("kind = 'commentary'")
+    return quotes.listed(rows, ["source_id"], *quotes.place_in_ref(), F.col("created"), F.col("quote_id")).select("quote_id", "n")
+
+
+@query("qte3_of_document", f"""WITH {NEW_QUOTES} SELECT quote_id, row_number() OVER (PARTITION BY source_id ORDER BY split_part(ref, ':', 2)::INT, coalesce(paragraph, 0), created, quote_id)::INT AS n
+FROM made WHERE kind = 'confession' AND ref LIKE 'AC:%'""")
+def qte3_of_document(spark: SparkSession, d: str) -> DataFrame:
+    """QTE3, SRT5: a confession's quotes by section, paragraph and time."""
+    rows = quotes.of_document(new_quotes(spark, d).where("kind = 'confession'"), "AC")
+    order = (F.substring_index("ref", ":", -1).cast("int"), F.coalesce("paragraph", F.lit(0)), F.col("created"), F.col("quote_id"))
+    return quotes.listed(rows, ["source_id"], *order).select("quote_id", "n")
+
+
+@query("qte3_highlights", f"""WITH {NEW_QUOTES} SELECT quote_id, regexp_extract(ref, ':(\\d+)', 1)::INT AS verse, coalesce(nullif(regexp_extract(ref, '-(\\d+)$', 1), ''), regexp_extract(ref, ':(\\d+)', 1))::INT AS verse_end, color
+FROM made WHERE kind = 'scripture' AND ref LIKE 'JHN 3:%'""")
+def qte3_highlights(spark: SparkSession, d: str) -> DataFrame:
+    """QTE3: what a chapter's quotes mark."""
+    return quotes.highlights(new_quotes(spark, d).where("kind = 'scripture'"), "JHN", 3)
+
+
+@query("qte3_all", f"WITH {NEW_QUOTES} SELECT quote_id, row_number() OVER (ORDER BY created, quote_id)::INT AS n FROM made")
+def qte3_all(spark: SparkSession, d: str) -> DataFrame:
+    """QTE3: all quotes in order of time."""
+    return quotes.listed(new_quotes(spark, d), [], F.col("created"), F.col("quote_id")).select("quote_id", "n")
+
+
+_EDITS = {
+    "quote_id": "concat(l_orderkey, '-', 1 + l_partkey % 5)", "position": "(l_orderkey * 10 + l_linenumber) * 10000000 + CAST(round(l_extendedprice) AS bigint)",
+    "what": "CASE WHEN l_linenumber = 7 THEN 'delete' WHEN l_linenumber % 3 = 0 THEN 'text' WHEN l_linenumber % 3 = 1 THEN 'annotations' ELSE 'citation' END",
+    "value": "CASE WHEN l_suppkey % 3 = 0 THEN ' ' WHEN l_suppkey % 7 = 0 THEN NULL ELSE concat(' v', l_suppkey, ' ') END",
+}
+
+
+@query("qte5_edited", f"""WITH {NEW_QUOTES}, q AS (SELECT quote_id, text, 'old' AS annotations, 'own' AS citation_override FROM made),
+e AS (SELECT {", ".join(f"{e} AS {c}" for c, e in _EDITS.items())} FROM lineitem),
+g AS (SELECT quote_id, min(position) AS gone FROM e WHERE what = 'delete' GROUP BY 1),
+u AS (SELECT e.* FROM e LEFT JOIN g USING (quote_id) WHERE gone IS NULL OR position <= gone),
+r AS (SELECT *, row_number() OVER (PARTITION BY quote_id, what ORDER BY position DESC) AS k FROM u),
+l AS (SELECT quote_id, max(CASE what WHEN 'text' THEN 1 END) AS t, max(CASE what WHEN 'annotations' THEN 1 END) AS a, max(CASE what WHEN 'citation' THEN 1 END) AS c, max(CASE what WHEN 'delete' THEN 1 END) AS gone,
+ max(CASE what WHEN 'text' THEN value END) AS tv, max(CASE what WHEN 'annotations' THEN value END) AS av, max(CASE what WHEN 'citation' THEN value END) AS cv FROM r WHERE k = 1 GROUP BY 1)
+SELECT quote_id, CASE WHEN t = 1 THEN tv ELSE text END AS text, CASE WHEN a = 1 THEN av ELSE annotations END AS annotations, CASE WHEN c = 1 THEN nullif(trim(cv), '') ELSE citation_override END AS citation_override
+FROM q LEFT JOIN l USING (quote_id) WHERE gone IS NULL""")
+def qte5_edited(spark: SparkSession, d: str) -> DataFrame:
+    """QTE5: texts, remarks and citations of quotes as they were edited last, without deleted ones."""
+    rows = new_quotes(spark, d).select("quote_id", "text", F.lit("old").alias("annotations"), F.lit("own").alias("citation_override"))
+    return quotes.edited(rows, fx.table(spark, d, "lineitem").select(*(F.expr(e).alias(c) for c, e in _EDITS.items())))
+
+
+_REGISTRY = [
+    {"edition": "BSB", "provider": "free-use", "provider_id": "0"}, {"edition": "NASB", "provider": "api-bible", "provider_id": "1"}, {"edition": "ESV", "provider": "esv", "provider_id": "2"},
+    {"edition": "OLD", "provider": "gone", "provider_id": "0"},
+]
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    folder = shared_folder(spark)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_chapters(spark: SparkSession, d: str) -> str:
+    """Where documents are stored as chapters that three providers answered."""
+    answer = """CASE doc_id % 3 WHEN 0 THEN to_json(struct(struct(array(named_struct('type', 'heading', 'number', 9, 'content', array('no')), named_struct('type', 'verse', 'number', 1, 'content', array(source)),
+      named_struct('type', 'verse', 'number', 2, 'content', array(lang, CAST(n_chars AS string)))) AS content) AS chapter))
+      WHEN 1 THEN to_json(struct(struct(concat('before [1] ', source, ' [2]  ', lang, '\\n', n_chars) AS content) AS data)) WHEN 2 THEN to_json(struct(array(concat('[1] ', source), concat('[2] ', lang, ' ', n_chars, ' [3] ')) AS passages)) END"""
+    books = "CASE doc_id % 5 WHEN 0 THEN 'GEN' WHEN 1 THEN 'JHN' ELSE 'ROM' END"
+    path = _folder(spark, "answers")
+    providers.write_answers(fx.table(spark, d, "documents").selectExpr("CAST(doc_id % 3 AS string) AS provider_id", f"{books} AS book", "CAST(doc_id AS int) AS chapter", f"{answer} AS answer"), path)
+    return path
+
+
+@query("src8_chapters", """WITH v AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'BSB' WHEN 1 THEN 'NASB' ELSE 'ESV' END AS edition, CASE doc_id % 5 WHEN 0 THEN 'GEN' WHEN 1 THEN 'JHN' ELSE 'ROM' END AS book, doc_id::INT AS chapter,
+ unnest([1, 2]) AS verse, unnest([source, lang || ' ' || n_chars]) AS text FROM documents)
+SELECT * FROM v WHERE edition IN ('BSB', 'ESV') AND book = 'ROM' OR edition = 'NASB' AND book = 'JHN'""")
+def src8_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """SRC8, SRC11: verses of stored answers of three providers; only the books that are asked for are read."""
+    path = stored_chapters(spark, d)
+    some = providers.read_chapters(spark, path, _REGISTRY, editions=["BSB", "ESV"], books=["ROM"])
+    other = providers.read_chapters(spark, path, _REGISTRY, editions=["NASB", "OLD"], books=["JHN"])
+    return providers.chapter_verses(some).unionByName(providers.chapter_verses(other))
+
+
+@query("src14_epub_chapters", """SELECT CASE WHEN page_id % 7 = 0 THEN 'large' ELSE 'b' || page_id % 7 END AS book, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id)::INT - 1 AS position, 'p' || page_id || '.xhtml' AS name, html FROM pages""")
+def src14_epub_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """SRC14: chapters of EPUBs, written from pages, by a data source; runs of a large archive's members are read apart."""
+    path = _folder(spark, "epubs")
+    pages = fx.table(spark, d, "pages").selectExpr("CASE WHEN page_id % 7 = 0 THEN 'large' ELSE concat('b', page_id % 7) END AS book", "page_id", "concat('p', page_id, '.xhtml') AS name", "html")
+    epub.write_epubs(pages, path, "page_id")
+    providers.register(spark)
+    rows = spark.read.format("epub_chapters").option("path", path).option("together", 1 << 16).option("run", 16).load()
+    return rows.select(F.regexp_extract("path", "([^/]*)\\.epub\\z", 1).alias("book"), "position", "name", "html")
+
+
+@query("snk1_merged", """WITH v AS (SELECT doc_id, source, lang, n_chars, text, doc_id % 3 AS last, source IN ('src1', 'src4') AS lost FROM documents)
+SELECT 'd' || doc_id AS key, coalesce(list_aggregate([1 FOR x IN regexp_extract_all(strip_accents(lower(CASE last WHEN 1 THEN lang || ' again ' || n_chars ELSE source || ' ' || lang END)), '[\\p{L}\\p{N}]+')], 'sum'), 0)::BIGINT AS terms
+FROM v WHERE last <> 2 AND (NOT lost OR last = 1)""")
+def snk1_merged(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1-SNK3: an index in runs: rows, then newer rows and removals by key and by book, merged and read again."""
+    docs, path = fx.table(spark, d, "documents"), _folder(spark, "runs")
+    row = lambda content, version, removed: F.struct(
+        F.concat(F.lit("d"), "doc_id").alias("key"), F.lit("page").alias("kind"), F.col("source").alias("book_id"), content.alias("content"),
+        F.lit(version).alias("version"), F.lit(removed).alias("removed"), F.lit(None).cast("string").alias("ref"),
+    )
+    first = docs.select(row(F.concat_ws(" ", "source", "lang"), 1, False).alias("r")).select("r.*")
+    newer = docs.where("doc_id % 3 = 1").select(row(F.concat_ws(" ", "lang", F.lit("again"), F.col("n_chars").cast("string")), 3, False).alias("r")).select("r.*")
+    gone = docs.where("doc_id % 3 = 2").select(row(F.lit(None).cast("string"), 2, True).alias("r")).select("r.*")
+    books = docs.where("source IN ('src1', 'src4')").select(row(F.lit(None).cast("string"), 2, True).alias("r")).select("r.*").withColumn("key", F.lit(None).cast("string")).distinct()
+    late = first.where("book_id = 'src4'")  # an old version that comes again stays out
+    for n, changes in enumerate((newer, first, gone.unionByName(books), late)):
+        runs.put_changes(changes, path, f"r{n}")
+    runs.merged(spark, path)
+    index = runs.read_changes(spark, path)
+    counts = index.postings.groupBy("key").agg(F.sum("tf").alias("terms"))
+    return index.docs.select("key").join(counts, "key", "left").select("key", F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))

@@ -170,7 +170,7 @@ def qte1_viewed(spark: SparkSession, d: str) -> DataFrame:
 def qte3_by_place(spark: SparkSession, d: str) -> DataFrame:
     """QTE3, FLT6, SRT4: a book's quotes in order of place and time."""
     rows = quotes.of_book(_quotes(spark, d), "jhn")
-    return rows.select("quote_id", F.row_number().over(Window.partitionBy(F.left("ref", F.lit(3))).orderBy(*quotes.by_place())).alias("n"))
+    return quotes.listed(rows, [], *quotes.place_in_ref(), F.col("created"), F.col("quote_id")).select("quote_id", "n")
 
 
 @query("qte3_by_section", """SELECT o_orderkey AS quote_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 20, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 5 END, o_orderdate, o_orderkey)::INT AS n

@@ -14,6 +14,7 @@ SILENT = [
     "tab_num", "tab_txt", "toc1", "toc2", "title_rev", "image1",
 ]
 BODY_PHRASES = ["to the christian reader"]
+EDITORS = ["editor", "editors", "editor's", "editorial"]
 TWO_PART_TITLE = "formula of concord"
 PARTS = {"first part": "FC-EP", "second part": "FC-SD"}
 
@@ -37,6 +38,17 @@ def _code(titles: dict[str, list[str]], key: Column) -> Column:
     return F.try_element_at(F.filter(F.array(*pairs), lambda p: p["k"] == key), F.lit(-1))["v"]
 
 
+def _is_roman(word: Column) -> Column:
+    """Whether a word is made of letters of roman numerals, in either case."""
+    return (word != "") & (F.translate(F.upper(word), "IVXLCDM", "") == "")
+
+
+def _is_number(word: Column) -> Column:
+    """Whether a word is a number in roman letters or in digits, with a full stop or none."""
+    bare = F.when(F.endswith(word, F.lit(".")), F.left(word, F.length(word) - 1)).otherwise(word)
+    return _is_roman(bare) | (bare != "") & (F.translate(bare, "0123456789", "") == "")
+
+
 def lines(paragraphs: DataFrame, titles: dict[str, list[str]], order: list[str], key: str = "book") -> DataFrame:
     """(key, order, document, opening, ordinal, number, label, kind, text) of paragraphs(key, order, class, text).
 
@@ -66,12 +78,14 @@ def lines(paragraphs: DataFrame, titles: dict[str, list[str]], order: list[str],
     rows = rows.withColumn("_article", last(F.when(cls == "article", F.struct("_at", "text")), before))
     rows = rows.withColumn("_h1a", last(F.when(cls == "ch_h1a", F.col("_at")), before))
     waiting = (cls == "ch_h1a") & F.col("_article").isNotNull() & (F.col("_article._at") > F.coalesce("_h1a", F.lit(0)))
-    own = f"(?i)^(article{WS}+[IVXLCDM]+[a-z]?){WS}+(.+)\\z"
-    bare = (cls == "ch_h1b") & text.rlike("(?i)^(?:[IVXLCDM]+|[0-9]+)\\.?\\z")
-    joined = (cls == "ch_h1b") & text.rlike(own)
+    words = F.split("text", " ")  # texts have single blanks
+    bare = (cls == "ch_h1b") & (F.size(words) == 1) & _is_number(text)
+    nth = F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    numbered = _is_roman(nth) | _is_roman(F.left(nth, F.length(nth) - 1)) & F.right(nth, F.lit(1)).rlike("[A-Za-z]")
+    joined = (cls == "ch_h1b") & (F.size(words) > 2) & (F.lower(F.get(words, F.lit(0))) == "article") & numbered
     rows = rows.withColumn("_numbered", yes(waiting | bare | joined))
-    number = F.when(waiting, without_article(F.col("_article.text"))).when(joined & ~bare, without_article(F.upper(F.regexp_extract("text", own, 1))))
-    named = F.when(joined & ~bare & ~waiting, F.regexp_extract("text", own, 2)).otherwise(text)
+    number = F.when(waiting, without_article(F.col("_article.text"))).when(joined & ~bare, F.upper(nth))
+    named = F.when(joined & ~bare & ~waiting, F.array_join(F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), " ")).otherwise(text)
     rows = rows.withColumns({"_number": number, "_named": named})
     # Titles of documents.
     heading = (cls.isin("toc_head", "pt", "heading") | cls.rlike("^ch_h|^heading[0-9]")) & ~F.col("_numbered")
@@ -89,7 +103,9 @@ def lines(paragraphs: DataFrame, titles: dict[str, list[str]], order: list[str],
     rows = rows.withColumn("_fresh", yes(last(F.when(cls != "toc_head1", F.col("_open")), before)))
     # Introductions: the last paragraph that says so.
     free = F.col("_key").isNotNull() & F.col("_code").isNull() & (cls != "pt")
-    intro = free & heading_key(text).rlike(f"(?i)^editor(?:'?s|ial)?{WS}+introduction\\b")
+    said = F.split(F.lower(heading_key(text)), " ")
+    second = F.substring_index(F.translate(F.get(said, F.lit(1)), ".,;-", "    "), " ", 1)
+    intro = free & F.get(said, F.lit(0)).isin(*EDITORS) & (second == "introduction")
     plain = free & ~intro & ~F.col("_fresh")
     starts = plain & (((cls == "ch_h") & all_caps(text)) | F.col("_key").isin(*BODY_PHRASES))
     turned = F.when(F.col("_code").isNotNull() | (cls == "toc_head1"), False).when(cls == "tab_ti", True).when(intro, True).when(starts, False)
