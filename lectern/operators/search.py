@@ -57,9 +57,9 @@ def write_index(index: Index, path: str) -> WrittenIndex:
     docs = spark.read.parquet(f"{path}/docs")
     entry = F.struct("doc", F.col("tf").cast("long").alias("tf"), "length")
     block = F.expr(f"doc div {BLOCK}").alias("block")  # numbers of a part begin at a multiple of it
-    postings = index.postings.join(docs.select("key", "doc", "length"), "key")
+    postings = materialize(index.postings).join(docs.select("key", "doc", "length"), "key")
     sums = (F.sort_array(F.collect_list(entry)).alias("entries"), F.max("tf").alias("most"), F.min("length").alias("least"))
-    blocks = postings.groupBy("term", block).agg(*sums)
+    blocks = materialize(postings.groupBy("term", block).agg(*sums))  # what is ranged is made twice, once for a sample
     blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/whole")
     return read_index(spark, path)
