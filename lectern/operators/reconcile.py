@@ -65,8 +65,8 @@ def matched_names(names: DataFrame, primary: DataFrame, least: int = 24, parts:
     What matches exactly goes by an equi join; the rest is found along the order of all keys, so that any number of them
     may begin alike. positions of primary are distinct.
     """
-    first = F.min_by("file", "position").alias("file")
-    same = names.join(primary, "key").groupBy("id").agg(first)
+    firsts = primary.groupBy("key").agg(F.min_by("file", "position").alias("file"), F.min("position").alias("position"))  # however many have a key
+    same = names.join(firsts, "key").groupBy("id").agg(F.min_by("file", "position").alias("file"))
     left = names.join(same, "id", "left_anti").where(F.length("key") >= least)
     ranks = primary.where(F.length("key") >= least).groupBy("key").agg(F.min("position").alias("own"))
     wanted = left.select("key").distinct().withColumn("wanted", F.lit(True))
