@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.names import numeral
 from lectern.functions.references import Book, find_references
 from lectern.functions.text import WS, roman, scanned_readings, strip
+from lectern.functions.values import once
 
 #: What a scan makes of the digit 1, the marks between two ends, and the words before a chapter and a verse.
 STROKES = "lLI|]"
@@ -65,22 +66,34 @@ def parse_header(line: Column, shape: str, book: Column, chapter: Column, canon:
     book and chapter are those that are current: 'book-chapter-verse' needs neither, the two with a chapter need the
     book, and bare verses need both. glitched: the verse was no number in digits, and is taken for 1.
     """
-    text = strip(line)
     if shape == "book-chapter-verse":
-        ref = F.get(find_references(text, canon), F.lit(0))
-        made = _made(ref["raw"], ref["book"], ref["chapter"], F.coalesce(ref["verse"], F.lit(1)), ref["chapter"], F.coalesce(ref["verse_end"], F.lit(1)), False, F.lit(False))
-        return F.when(ref["at"] == 0, made)
+
+        def found(ref: Column) -> Column:
+            made = _made(ref["raw"], ref["book"], ref["chapter"], F.coalesce(ref["verse"], F.lit(1)), ref["chapter"], F.coalesce(ref["verse_end"], F.lit(1)), False, F.lit(False))
+            return F.when(ref["at"] == 0, made)
+
+        return once(once(strip(line), lambda text: F.get(find_references(text, canon), F.lit(0))), found)
     is_of = SHAPES[shape]
-    group = lambda i: F.regexp_extract(text, is_of.pattern(), i)
-    ends = F.split(group(2), _DASH)
-    sides = [F.split(F.get(ends, F.lit(k)), f"{WS}*:{WS}*") for k in (0, 1)]
+    group = lambda text, i: F.regexp_extract(text, is_of.pattern(), i)
     digits = lambda x: F.when(x.rlike("^[0-9]+\\z"), x.cast("int"))
-    verses = [F.element_at(side, -1) for side in sides]
-    named = [F.when(F.size(side) > 1, digits(F.get(side, F.lit(0)))) for side in sides]
-    start = roman(F.nullif(group(1), F.lit(""))) if is_of.roman else named[0] if is_of.colon else chapter
-    first = numeral(verses[0])
-    made = _made(group(0), book, start, first, F.coalesce(named[1], start), F.coalesce(digits(verses[1]), first), not (is_of.colon or is_of.roman), digits(verses[0]).isNull())
-    return F.when((group(2) != "") & book.isNotNull() & start.isNotNull(), made)
+
+    def taken(text: Column, span: Column) -> Column:
+        return F.when((span != "") & book.isNotNull(), once(F.split(span, _DASH), lambda ends: spanned(text, ends)))
+
+    def spanned(text: Column, ends: Column) -> Column:
+        sides = F.transform(F.array(F.get(ends, F.lit(0)), F.get(ends, F.lit(1))), lambda e: F.split(e, f"{WS}*:{WS}*"))
+        return once(sides, lambda s: header(text, [F.get(s, F.lit(k)) for k in (0, 1)]))
+
+    def header(text: Column, sides: list[Column]) -> Column:
+        verses = [F.element_at(side, -1) for side in sides]
+        named = [F.when(F.size(side) > 1, digits(F.get(side, F.lit(0)))) for side in sides]
+        start = once(F.nullif(group(text, 1), F.lit("")), roman) if is_of.roman else named[0] if is_of.colon else chapter
+        own = F.struct(start.alias("start"), numeral(verses[0]).alias("first"), digits(verses[0]).isNull().alias("glitched"))
+        contextual = not (is_of.colon or is_of.roman)
+        made = lambda o: _made(group(text, 0), book, o["start"], o["first"], F.coalesce(named[1], o["start"]), F.coalesce(digits(verses[1]), o["first"]), contextual, o["glitched"])
+        return once(own, lambda o: F.when(o["start"].isNotNull(), made(o)))
+
+    return once(strip(line), lambda text: once(group(text, 2), lambda span: taken(text, span)))
 
 
 def _made(raw: Column, book: Column, cs: Column, vs: Column, ce: Column, ve: Column, contextual: bool, glitched: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as a browser's string functions see it.
 WS = "[\\s\\x0B\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: The characters that WS is for.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @cache
@@ -59,7 +61,7 @@ def query_tokens(query: str) -> list[str]:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def word_count(text: Column) -> Column:

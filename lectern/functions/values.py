@@ -1,7 +1,9 @@
-"""Numbers and dates as listings show them."""
+"""Numbers and dates as listings show them, and values that are worked out once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,8 @@ def seconds(millis: Column) -> Column:
 def long_date(at: Column) -> Column:
     """A date like 'March 5, 2024'."""
     return F.date_format(at, "MMMM d, yyyy")
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once for a row however often `then` names it; an expression would be each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

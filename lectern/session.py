@@ -36,6 +36,11 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, for much work on each row of a small file, which few tasks would read."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there, and what tasks numbered stays so."""
     spark = df.sparkSession
