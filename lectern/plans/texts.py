@@ -10,6 +10,7 @@ from lectern.functions.references import Book
 from lectern.operators import catalog, normalise, quotes, reconcile, search, validation
 from lectern.plans import fixtures as fx
 from lectern.plans.registry import query
+from lectern.session import spread
 from lectern.sources import epub, layout, markdown, passages
 
 CANON = [
@@ -255,7 +256,7 @@ def snk17_print_text(spark: SparkSession, d: str) -> DataFrame:
 def str4_file_names(spark: SparkSession, d: str) -> DataFrame:
     """STR2-STR4: title, authors and series of a file's name, and the name that they give."""
     base = F.expr("concat('T-', p_name, CASE WHEN p_size % 2 = 0 THEN concat('__(', p_brand, ' ', p_size, ')') ELSE '' END, ' -  A B and C D')")
-    rows = fx.table(spark, d, "part").select("p_partkey", names.parse_file_name(base).alias("m")).select("p_partkey", "m.*")
+    rows = spread(fx.table(spark, d, "part")).select("p_partkey", names.parse_file_name(base).alias("m")).select("p_partkey", "m.*")
     return rows.withColumn("base", names.file_base(F.col("title"), F.col("author"), F.col("series"), F.col("series_number")))
 
 
@@ -352,7 +353,7 @@ def ref8_headers(spark: SparkSession, d: str) -> DataFrame:
         "chapter-verse-roman": f"concat('Cap. XIV. v. ', {v}, '-', {w})", "bracket-number": f"concat('[', {v}, '-', {w}, '] x')", "paren-number": f"concat({v}, ' - 8) x')",
         "word-label": f"concat('Vv. ', {v}, '—', {w}, '.')", "phrase-label": f"concat('The end: verses ', {v}, '-', {w})", "bare-range": "'l-I. x'",
     }
-    rows = fx.table(spark, d, "customer")
+    rows = spread(fx.table(spark, d, "customer"))
     made = [
         rows.select("c_custkey", F.lit(shape).alias("shape"), headers.parse_header(F.expr(line), shape, F.lit("FUR"), F.lit(7), CANON).alias("h"))
         for shape, line in lines.items()

@@ -249,3 +249,27 @@ def test_contents_say_where_books_begin(spark, tmp_path):
     (tmp_path / "broken.epub").write_bytes(b"PK no archive")
     got = {(r["name"], r["book"]) for r in epub.starts(spark, str(tmp_path), CANON).collect()}
     assert got == {("OEBPS/t/jn 1.html", "JHN"), ("OEBPS/ph.html", "PHM")}
+
+
+def _written(spark, column):
+    """What Spark makes of an expression over s, as text."""
+    return spark.range(1).selectExpr("cast(id AS string) AS s").select(column.alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_and_headers_are_matched_once(spark):
+    from lectern.functions import headers
+
+    assert _written(spark, names.parse_file_name(F.col("s"))).count("regexp_extract(") == 2  # one for each side of the dash
+    for shape in headers.SHAPES:
+        assert _written(spark, headers.parse_header(F.col("s"), shape, F.lit("PHM"), F.lit(9), CANON)).count("regexp_extract(") <= 4
+
+
+def test_many_files_of_one_name(spark):
+    import time
+
+    from lectern.operators.reconcile import matched_names
+
+    names_, files = spark.range(100_000).selectExpr("id", "'same' AS key"), spark.range(100_000).selectExpr("id + 5 AS position", "concat('f', id) AS file", "'same' AS key")
+    began = time.monotonic()
+    assert matched_names(names_, files).where("file = 'f0'").count() == 100_000
+    assert time.monotonic() - began < 100  # no pairs of them are made
