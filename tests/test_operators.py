@@ -174,3 +174,15 @@ def test_very_long_ranges(spark):
     sections = spark.createDataFrame([("x", "D", 2, 2 * 10**9), ("y", "D", 1, 2), ("z", "D", 3, 1)], "e string, document string, first int, last int")
     at = spark.createDataFrame([("D", 2), ("D", 5000)], "document string, ordinal int")
     assert sorted((r["ordinal"], r["e"]) for r in ranges.covering_sections(at, sections).collect()) == [(2, "x"), (2, "y"), (5000, "x")]
+
+
+def test_counts_of_covering_excerpts_pair_distinct_ranges_and_places(spark, monkeypatch):
+    met = []
+    plain = ranges.covering
+    monkeypatch.setattr(ranges, "covering", lambda p, e: met.append((p.count(), e.count())) or plain(p, e))
+    p = spark.range(300).selectExpr("id AS point", "1 AS book", "cast(id % 3 + 1 AS int) AS chapter", "5 AS verse")
+    e = spark.range(200).selectExpr("id AS e", "1 AS book", "1 AS cs", "1 AS vs", "cast(id % 2 + 1 AS int) AS ce", "9 AS ve", "id % 4 = 3 AS flagged", "'s' AS source")
+    got = {(r["point"], r["source"], r["n"]) for r in ranges.covering_counts(p, e, "source").collect()}
+    # Half of the ranges end in chapter 1, and half of the others, which end in chapter 2, are flagged.
+    assert got == {(k, "s", 150 if k % 3 == 0 else 50) for k in range(300) if k % 3 < 2}
+    assert met == [(3, 2)]
