@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lectern.llm.shared import bounded_batches, materialize
 
@@ -20,6 +21,8 @@ MOST_LANGUAGES = 1000
 #: Distinct words that a task counts before it passes their n-grams on.
 WORDS = 200_000
 UNKNOWN = "und"
+#: How far on from the largest distance of its training documents to the largest possible one a language still holds.
+BEYOND = 0.5
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -236,32 +239,51 @@ def identify(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """docs without those whose language can't be told: null text, no letters, or nothing learned that is like them.
+    """docs without those whose language can't be told: null text, no letters, or too far from the profile next to them.
 
-    Where nothing could be learned, as no document has a language, all texts with letters stay. Equal rows stay or go
-    together; an empty table stays empty; all columns are as given.
+    How far is too far is learned from the training documents whose language is told right: for each language and power
+    of two of a text's length it is BEYOND of the way from the largest distance of these to 1. Where there are none of
+    that length, a text stays if it is like any profile at all. Where nothing could be learned, as no document has a
+    language, all texts with letters stay. Equal rows stay or go together; an empty table stays empty; all columns are
+    as given.
     """
-    table = materialize(profile_table(docs.where(in_training("doc_id")), ranks))
     bounded_batches(docs.sparkSession)
-    known = table.select("gram").distinct()
-    few = [r["gram"] for r in known.limit(ranks * MOST_LANGUAGES + 1).collect()]
-    if len(few) > ranks * MOST_LANGUAGES:
-        return keep_by_join(docs, known, ranks)
-    codes = np.array(sorted(map(coded, few)), np.int64)
+    profiles = learn(docs.where(in_training("doc_id")), ranks)
+    few = not isinstance(profiles, DataFrame)
+    rows = materialize(told_in_tasks(docs, profiles, ranks) if few else told_by_join(docs, profiles, ranks))
+    rows = rows.where("_lang is not null").withColumn("_size", F.floor(F.log2(F.length("text"))))
+    right = rows.where(in_training("doc_id") & (F.col("lang") == F.col("_lang")))
+    limits = right.groupBy("_lang", "_size").agg(F.max("_distance").alias("_most"))  # rows by languages and sizes
+    limit = F.col("_most") + BEYOND * (1 - F.col("_most"))
+    near = (F.col("_distance") < 1) & F.coalesce(F.col("_distance") <= limit + 1e-9, F.lit(True))
+    kept = rows.join(F.broadcast(limits) if few else limits, ["_lang", "_size"], "left").where(near)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def told_in_tasks(docs: DataFrame, profiles: Profiles, ranks: int = RANKS) -> DataFrame:
+    """docs with _lang, the language of the smallest distance (null without a letter), and _distance; '' and 0 without profiles."""
+    langs, codes, rank = tables(profiles, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [top_grams(text, ranks) if text else None for text in batch.column("text").to_pylist()]
-            keep = [g is not None and (not len(codes) or bool(np.isin(g, codes).any())) for g in found]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def keep_by_join(docs: DataFrame, known: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """As keep_identified(), by joining documents' n-grams with a table (gram) of any size, in place of a list in tasks."""
+            lang, far = [], []
+            for text in batch.column("text").to_pylist():
+                if not langs:
+                    lang.append("" if text and top_grams(text, ranks) is not None else None)
+                    far.append(0.0)
+                    continue
+                d = distances(text, codes, rank, len(langs), ranks) if text else None
+                lang.append(None if d is None else langs[int(d.argmin())])
+                far.append(1.0 if d is None else float(d.min()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(far, pa.float64())], [*batch.schema.names, "_lang", "_distance"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_distance", DoubleType())]))
+
+
+def told_by_join(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFrame:
+    """As told_in_tasks(), by joining documents' n-grams with a table of any number of profiles."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = materialize(docs.select(row).select(F.monotonically_increasing_id().alias("at"), F.col("row.text").alias("text"), "row"))
-    grams = document_grams(rows, ranks)
-    like = grams.select("at", F.explode("grams").alias("gram")).join(known, "gram", "left_semi").select("at").distinct()
-    return rows.join(like, "at", "left_semi").select("row.*")
+    rows = materialize(docs.select(row).select(F.monotonically_increasing_id().alias("_at"), "row"))
+    found = predict(rows.select(F.col("_at").alias("doc_id"), F.col("row.text").alias("text")), profiles, ranks)
+    found = found.select(F.col("doc_id").alias("_at"), F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred")).alias("_lang"), F.col("distance").alias("_distance"))
+    return rows.join(found, "_at").select("row.*", "_lang", "_distance")

@@ -503,6 +503,19 @@ def test_any_number_of_languages(spark, docs, monkeypatch):
     assert kept == sorted(r["doc_id"] for r in langid.keep_identified(rows).collect())
 
 
+def test_texts_far_from_all_profiles_go(spark, docs, monkeypatch):
+    """A text that shares some letters with known languages, but not their n-grams, is of none; no taught one goes."""
+    alien = " ".join("kzqxwj"[i % 6] + "jqxzkw"[i // 6 % 6] + "xqjkze"[i // 36 % 6] for i in range(200))
+    odd = spark.createDataFrame([(10**6, alien[:n], None) for n in (100, 300, 700)], "doc_id long, text string, lang string")
+    known = docs.where("doc_id < 400 and text is not null").select("doc_id", "text", "lang")
+    rows = materialize(known.unionByName(odd))
+    kept = sorted(langid.keep_identified(rows).collect())
+    ids = {r["doc_id"] for r in kept}
+    assert 10**6 not in ids and len(ids) > 0.98 * known.count()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    assert kept == sorted(langid.keep_identified(rows).collect())
+
+
 def test_nothing_learned_keeps_texts_with_letters(spark):
     rows = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in langid.keep_identified(rows).collect()] == [1]
