@@ -45,29 +45,45 @@ def build_index(docs: DataFrame, *keys: str) -> Index:
     return Index(docs, terms.groupBy("term", *keys).agg(F.count("*").alias("tf")))
 
 
+def _counts(words: Column) -> Column:
+    """array<struct(term, tf)> of a document's words: sorted, each run of equal ones is a term."""
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).alias("tf")))
+        return F.get(F.transform(F.array(begins), run), F.lit(0))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    # As in snippet, the lambda's variable holds the sorted words once.
+    return F.when(F.size(words) == 0, none).otherwise(F.get(F.transform(F.array(F.sort_array(words)), counted), F.lit(0)))
+
+
 def write_index(index: Index, path: str) -> WrittenIndex:
     """Write an index so that a search reads little of it; keys are distinct.
 
     A prefix reads the few files of its terms. Blocks say what their documents can score at most, so most of them are
-    passed over. Contents are found by number, and only a search's hits are read.
+    passed over. Contents are found by number, and only a search's hits are read. Contents are split once, after they
+    are ranged, and a document's terms are written beside it; so postings move once, to the range of their term.
     """
     spark = index.docs.sparkSession
-    docs = index.docs.repartitionByRange("key").sortWithinPartitions("key").withColumn("doc", F.monotonically_increasing_id())
+    docs = index.docs.drop("length").repartitionByRange("key").sortWithinPartitions("key").withColumn("doc", F.monotonically_increasing_id())
+    docs = docs.withColumn("_words", tokens(F.col("content")))
+    docs = docs.withColumns({"length": F.size("_words").cast("long"), "_terms": _counts(F.col("_words"))}).drop("_words")
     docs.write.mode("overwrite").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
-    entry = F.struct("doc", F.col("tf").cast("long").alias("tf"), "length")
     block = F.expr(f"doc div {BLOCK}").alias("block")  # numbers of a part begin at a multiple of it
-    postings = materialize(index.postings).join(docs.select("key", "doc", "length"), "key")
-    sums = (F.sort_array(F.collect_list(entry)).alias("entries"), F.max("tf").alias("most"), F.min("length").alias("least"))
-    blocks = materialize(postings.groupBy("term", block).agg(*sums))  # what is ranged is made twice, once for a sample
-    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-    index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/whole")
+    postings = docs.select(block, "doc", "length", F.inline("_terms")).repartitionByRange("term", "block")
+    entry = F.struct("doc", F.col("tf").cast("long").alias("tf"), "length")
+    sums = (F.sort_array(F.collect_list(entry)).alias("entries"), F.max("tf").cast("long").alias("most"), F.min("length").alias("least"))
+    postings.groupBy("term", "block").agg(*sums).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/whole")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> WrittenIndex:
     """The index that write_index wrote."""
     docs, blocks, whole = (spark.read.parquet(f"{path}/{name}") for name in ("docs", "blocks", "whole"))
+    docs = docs.drop("_terms")
     each = blocks.select("term", F.explode("entries").alias("e")).select("term", "e.doc", "e.tf")
     return WrittenIndex(docs, each.join(docs.select("doc", "key"), "doc").select("key", "term", "tf"), blocks, whole)
 
@@ -132,12 +148,12 @@ def scored_blocks(index: WrittenIndex, words: list[str], docs: DataFrame | None,
     numbers = sorted(r["block"] for r in first.select("block").collect())  # at most limit
 
     def best_of(rows: DataFrame) -> DataFrame:
-        each = rows.select("token", F.explode("entries").alias("e"))
-        hits = each.groupBy("e.doc", "token").agg(F.sum("e.tf").cast("double").alias("f"), F.min("e.length").alias("length"))
+        each = rows.select("token", F.explode("entries").alias("e")).select("token", "e.*")
+        each = each if docs is None else each.join(docs, "doc", "left_semi")
+        hits = each.groupBy("doc", "token").agg(F.sum("tf").cast("double").alias("f"), F.min("length").alias("length"))
         scored = hits.join(F.broadcast(weights), "token").withColumn("score", _score("f", "length"))
         found = scored.groupBy("doc").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found"))
-        found = found.where(F.col("found") == len(words)).drop("found")
-        return found if docs is None else found.join(docs, "doc", "left_semi")
+        return found.where(F.col("found") == len(words)).drop("found")
 
     top = lambda rows: rows.orderBy("rank", "doc").limit(limit)  # noqa: E731  (numbers are in order of key)
     best = materialize(top(best_of(rows.where(_among("block", numbers)))))
