@@ -106,7 +106,13 @@ def _score(f: str, length: str) -> Column:
     return F.col("idf") * F.col(f) * (K1 + 1) / (F.col(f) + norm)
 
 
-def ranked(index: Index, query: str) -> DataFrame:
+def _rank(digits: int) -> Column:
+    """The rank of a document's scores, cut to so many digits."""
+    rank = F.round(-F.sum("score"), DIGITS)
+    return (rank if digits == DIGITS else F.round(rank, digits)).alias("rank")
+
+
+def ranked(index: Index, query: str, digits: int = DIGITS) -> DataFrame:
     """(key, rank) of every document in which each token begins some term; a lower rank is better.
 
     Counts of documents and lengths are those of the whole index, whatever scope is applied to the result.
@@ -124,10 +130,10 @@ def ranked(index: Index, query: str) -> DataFrame:
         whole = index.docs.agg(F.count("*").cast("double").alias("total"), F.avg("length").alias("mean"))  # one row
     scored = hits.join(F.broadcast(_weights(seen, whole)), "token").join(index.docs.select("key", "length"), "key")
     scored = scored.withColumn("score", _score("f", "length"))
-    return scored.groupBy("key").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
+    return scored.groupBy("key").agg(_rank(digits), F.count("*").alias("found")).where(F.col("found") == len(words)).drop("found")
 
 
-def scored_blocks(index: WrittenIndex, words: list[str], docs: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame]:
+def scored_blocks(index: WrittenIndex, words: list[str], docs: DataFrame | None, limit: int, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
     """(best, blocks): (doc, rank) of the best documents for all words, those in docs(doc) if given; and the blocks it took.
 
     Blocks bound what their documents can score. Those with the largest bounds that may hold `limit` documents are scored
@@ -152,14 +158,14 @@ def scored_blocks(index: WrittenIndex, words: list[str], docs: DataFrame | None,
         each = each if docs is None else each.join(docs, "doc", "left_semi")
         hits = each.groupBy("doc", "token").agg(F.sum("tf").cast("double").alias("f"), F.min("length").alias("length"))
         scored = hits.join(F.broadcast(weights), "token").withColumn("score", _score("f", "length"))
-        found = scored.groupBy("doc").agg(F.round(-F.sum("score"), DIGITS).alias("rank"), F.count("*").alias("found"))
+        found = scored.groupBy("doc").agg(_rank(digits), F.count("*").alias("found"))
         return found.where(F.col("found") == len(words)).drop("found")
 
     top = lambda rows: rows.orderBy("rank", "doc").limit(limit)  # noqa: E731  (numbers are in order of key)
     best = materialize(top(best_of(rows.where(_among("block", numbers)))))
     held, last = best.agg(F.count("*"), F.max("rank")).first()
     rest = blocks.where((F.col("found") == len(words)) & ~_among("block", numbers))
-    rest = materialize((rest if held < limit else rest.where(F.col("bound") + 10.0**-DIGITS >= -last)).select("block"))
+    rest = materialize((rest if held < limit else rest.where(F.col("bound") + 10.0**-digits >= -last)).select("block"))
     if not rest.isEmpty():
         best = materialize(top(best.unionByName(best_of(rows.join(rest, "block", "left_semi")))))
     return best, rest.unionByName(first.select("block"))
@@ -171,10 +177,10 @@ def _among(column: str, numbers: list[int]) -> Column:
     return reduce(Column.__or__, (F.col(column).isin(g) for g in groups), F.lit(False))
 
 
-def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT, books: DataFrame | None = None) -> DataFrame:
+def search(index: Index, query: str, scope: Column | None = None, limit: int = LIMIT, books: DataFrame | None = None, digits: int = DIGITS) -> DataFrame:
     """The best documents of a scope, by rank and then key. A scope that is never true gives no rows.
 
-    books(book_id): only documents of these. Keys are ranked and cut before any content is read. Of a written index only
+    books(book_id): only documents of these. digits: of a rank, DIGITS at most; ranks that are equal in these go by key. Keys are ranked and cut before any content is read. Of a written index only
     the blocks are scored that can matter, and the contents of the hits are looked up by number, of which the driver
     learns as many as limit.
     """
@@ -185,10 +191,10 @@ def search(index: Index, query: str, scope: Column | None = None, limit: int = L
     words = query_tokens(query)
     if isinstance(index, WrittenIndex) and words and limit <= LIMIT:
         every = scope is None and books is None
-        best, _ = scored_blocks(index, words, None if every else found.select("doc"), limit)
+        best, _ = scored_blocks(index, words, None if every else found.select("doc"), limit, digits)
         hits = index.docs.where(_among("doc", sorted(r["doc"] for r in best.select("doc").collect())))
         return hits.join(F.broadcast(best), "doc").drop("doc").orderBy("rank", "key").limit(limit)
-    best = found.select("key").join(ranked(index, query), "key").orderBy("rank", "key").limit(limit)
+    best = found.select("key").join(ranked(index, query, digits), "key").orderBy("rank", "key").limit(limit)
     hits = index.docs.join(F.broadcast(best) if limit <= LIMIT else best, "key").orderBy("rank", "key")
     return hits.drop("doc")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from lectern.plans import fixtures as fx
 
 PREFIXES = ("stlich", "er")
+#: Digits of the ranks that the SQL shows and orders by (its ORDER BY names the column that it shows), before keys.
+SHOWN = 9
 
 
 def bm25(scope: str = "true", prefixes: tuple[str, ...] = PREFIXES, order: str = "rank, key", limit: int | None = 200) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import notes, values
 from lectern.operators import catalog, normalise, quotes, search, upkeep
 from lectern.plans import fixtures as fx
+from lectern.plans.bm25 import SHOWN
 from lectern.plans.bm25 import bm25 as _bm25
 from lectern.plans.registry import query
 
@@ -195,7 +196,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY page, key)::INT AS n FROM p)
 SELECT key, page, rank, n, coalesce(lead(key) OVER (ORDER BY n), first_value(key) OVER (ORDER BY n)) AS following FROM n""")
 def fts12_in_book(spark: SparkSession, d: str) -> DataFrame:
     """FTS12, FTS13: hits in one book by page, cut by rank first, each with the hit after it, the first after the last."""
-    hits = search.search(fx.search_index(spark, d), "er", (F.col("kind") == "page") & (F.col("book_id") == "src0"))
+    hits = search.search(fx.search_index(spark, d), "er", (F.col("kind") == "page") & (F.col("book_id") == "src0"), digits=SHOWN)
     found = search.by_page(hits.withColumn("page", F.substring("key", 2, 20).cast("long")))
     return found.withColumn("rank", F.round("rank", 9))
 
