@@ -1,7 +1,8 @@
 """A reader of headings: the book and chapter that it is in, carried through any number of tasks.
 
 What a stretch of headings does to a reader is a function of where it was before. Each task works out that function for
-its stretch, a small table applies one after the other, and each task then reads its stretch again from where it begins.
+its stretch of a key that others have stretches of too, a small table applies one after the other, and each task then reads
+its stretch from where it begins.
 """
 
 from __future__ import annotations
@@ -166,10 +167,12 @@ def heading_columns(**said: Column) -> dict[str, Column]:
 
 
 def _headings(batch: pd.DataFrame) -> Iterator[Heading]:
-    plain = lambda v, whole: None if pd.isna(v) else int(v) if whole else v
-    for row in batch[[MARK + c for c in COLUMNS]].itertuples(index=False):
-        values = {c: plain(v, kind == "int") for (c, kind), v in zip(COLUMNS.items(), row, strict=True)}
-        yield Heading(**{**values, "title": bool(values["title"])})
+    values = []
+    for c, kind in COLUMNS.items():
+        column = batch[MARK + c]
+        kept = column.astype(object).where(column.notna(), None)
+        values.append([None if v is None else int(v) for v in kept] if kind == "int" else [bool(v) for v in kept] if kind == "boolean" else list(kept))
+    return map(Heading, *values)
 
 
 def headings_read(
@@ -180,7 +183,8 @@ def headings_read(
     A reader begins in the book that `first_book` says, if there is such a column, and in no chapter. books: all that
     headings may name. lasts: their chapters; without it headings say them. Each task holds a function of its stretch:
     a few pieces for each book, until a heading names a place whatever was before. What is carried between tasks is
-    one such function for each of a key's parts. Headings that in_ranges has written are read as they are.
+    one such function for each part of a key that has several, of which there are fewer than parts; keys of one part
+    are read at once. Headings that in_ranges has written are read as they are.
     """
     ship(headings.sparkSession)
     ranged = headings if "_part" in headings.columns else in_ranges(headings, keys, order, parts)
@@ -216,9 +220,9 @@ def headings_read(
         now, place = None, None
         for batch in batches:
             out = []
-            for *key, start, h in zip(*(batch[k] for k in by), batch["_start"], _headings(batch), strict=True):
+            for *key, start, begins, h in zip(*(batch[k] for k in by), batch["_start"], batch["first_book"] if first else [None] * len(batch), _headings(batch), strict=True):
                 if now is None or not _same(key, now):
-                    now, place = key, Place(*json.loads(start))
+                    now, place = key, Place(None if pd.isna(begins) else begins, None, False) if pd.isna(start) else Place(*json.loads(start))
                 [(_, _, place, was)] = read(place, h, 0, 0, lasts)
                 out.append((was, place.book, place.chapter))
             said = pd.DataFrame(out, columns=["read", "at_book", "at_chapter"], index=batch.index)
@@ -226,9 +230,11 @@ def headings_read(
 
     apart = lambda rows: rows.repartition(*by).sortWithinPartitions(*by, *order)
     needed = [*by, *(c for c in order if c not in by), *(MARK + c for c in COLUMNS), *(["first_book"] if first else [])]
-    functions = apart(ranged.select(*dict.fromkeys(needed))).mapInPandas(stretches, f"{kinds}, _book string, _stretch string")
+    several = ranged.groupBy(*keys).agg((F.min("_part") < F.max("_part")).alias("_several")).where("_several")  # fewer than parts
+    cut = joined_by(ranged.select(*dict.fromkeys(needed)), F.broadcast(several), keys).where("_several").drop("_several")
+    functions = apart(cut).mapInPandas(stretches, f"{kinds}, _book string, _stretch string")
     starts = functions.groupBy(*keys).applyInPandas(begun, f"{kinds}, _start string")
-    rows = joined_by(ranged, starts, by)
+    rows = joined_by(ranged, F.broadcast(starts), by)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
     return apart(rows).mapInPandas(run, f"{shape}, {READ}").drop("_part", *(MARK + c for c in COLUMNS))
 
