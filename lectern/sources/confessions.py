@@ -17,6 +17,8 @@ BODY_PHRASES = ["to the christian reader"]
 EDITORS = ["editor", "editors", "editor's", "editorial"]
 TWO_PART_TITLE = "formula of concord"
 PARTS = {"first part": "FC-EP", "second part": "FC-SD"}
+#: Paragraphs in a task, about: all windows over a book keep its rows at once, some 3 KB for each.
+ROWS = 1 << 17
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
@@ -64,7 +66,8 @@ def lines(paragraphs: DataFrame, titles: dict[str, list[str]], order: list[str],
       under the document's title; that of an introduction is notes, and they go with the first section that opens next.
 
     What a paragraph does hangs on the last event of each kind before it, never on a state that has to be run through,
-    so all is windows over a book in its order. Text outside all documents goes. opening counts the openings.
+    so all is windows over a book in its order. Text outside all documents goes. opening counts the openings. Books are
+    dealt to as many tasks as their paragraphs need (ROWS), which are counted before; a book is in one task.
     """
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +76,8 @@ def lines(paragraphs: DataFrame, titles: dict[str, list[str]], order: list[str],
     yes = lambda c: F.coalesce(c, F.lit(False))
     cls, text = F.col("class"), F.col("text")
 
-    rows = paragraphs.where(~cls.isin(*SILENT)).withColumn("_at", F.row_number().over(step))
+    rows = paragraphs.where(~cls.isin(*SILENT))
+    rows = rows.repartition(1 + rows.count() // ROWS, key).withColumn("_at", F.row_number().over(step))
     # Headings with a number of their own.
     rows = rows.withColumn("_article", last(F.when(cls == "article", F.struct("_at", "text")), before))
     rows = rows.withColumn("_h1a", last(F.when(cls == "ch_h1a", F.col("_at")), before))
