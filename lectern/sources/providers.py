@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO, NamedTuple
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from lectern.sources.passages import CHAPTER, flat_verse, marked_parts, one_line
 PROVIDERS = ("free-use", "api-bible", "esv")
 #: Archives that are read whole by one task, up to so many bytes together; members of a larger one in a task.
 TOGETHER, RUN = 32 << 20, 64
+#: Tasks that runs of members are dealt to at most; beyond, a task reads several runs, one after the other.
+TASKS = 1024
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -101,10 +105,38 @@ class ChapterReader(DataSourceReader):
                         yield partition.edition, partition.provider, partition.book, row["chapter"], row.get("answer")
 
 
+class Member(NamedTuple):
+    """A member of an archive, and where its directory says that it is."""
+
+    name: str
+    at: int
+    size: int
+    method: int
+    crc: int
+    locked: bool
+
+
+def member_bytes(file: BinaryIO, member: Member) -> bytes:
+    """A member's content, read where it is: the archive's directory, which is as long as the archive has members, isn't."""
+    if member.locked or member.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        with zipfile.ZipFile(file) as archive:
+            return archive.read(member.name)
+    file.seek(member.at)
+    head = file.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"{member.name} isn't where its directory says")
+    file.seek(member.at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+    data = file.read(member.size)
+    data = zlib.decompress(data, -zlib.MAX_WBITS) if member.method == zipfile.ZIP_DEFLATED else data
+    if zlib.crc32(data) != member.crc:
+        raise zipfile.BadZipFile(f"{member.name} is damaged")
+    return data
+
+
 class Members(InputPartition):
-    """Archives that are read whole, or a run of one's chapters: (path, first position, names or None)."""
+    """Archives that are read whole, or a run of one's chapters: (path, first position, members or None)."""
 
-    def __init__(self, runs: list[tuple[str, int, list[str] | None]]):
+    def __init__(self, runs: list[tuple[str, int, list[Member] | None]]):
         self.runs = runs
 
 
@@ -112,7 +144,7 @@ class EpubChapters(DataSource):
     """The chapters of every EPUB under the folder of option path: what epub.read_epub gives, without whole archives as rows.
 
     Small archives are read several to a task. Of a large one only the directory at its end and its package file are
-    read to plan, and then each run of chapters by a task of its own. Broken and locked archives have no chapters.
+    read to plan, and then each run of chapters where it is, by a task of its own (TASKS at most). Broken and locked archives have no chapters.
     """
 
     @classmethod
@@ -132,36 +164,43 @@ class EpubReader(DataSourceReader):
 
     def partitions(self) -> list[Members]:
         where, root = opened(self.path)
-        found, small, size = [], [], 0
+        found, runs, small, size = [], [], [], 0
         for info in files_below(where, root):
             if not info.path.lower().endswith(".epub"):
                 continue
             if info.size > self.together:
-                names = self.chapters(where, info.path)
-                found += [Members([(info.path, i, names[i : i + self.run])]) for i in range(0, len(names), self.run)]
+                members = self.chapters(where, info.path)
+                runs += [(info.path, i, members[i : i + self.run]) for i in range(0, len(members), self.run)]
                 continue
             if size + info.size > self.together and small:
                 found, small, size = [*found, Members(small)], [], 0
             small.append((info.path, 0, None))
             size += info.size
+        each = -(-len(runs) // TASKS)
+        found += [Members(runs[i : i + each]) for i in range(0, len(runs), each or 1)]
         return found + ([Members(small)] if small else [])
 
     @staticmethod
-    def chapters(where: fs.FileSystem, path: str) -> list[str]:
+    def chapters(where: fs.FileSystem, path: str) -> list[Member]:
         try:
             with where.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-                return spine(archive)
+                found = map(archive.getinfo, spine(archive))
+                return [Member(i.filename, i.header_offset, i.compress_size, i.compress_type, i.CRC, bool(i.flag_bits & 1)) for i in found]
         except UNREADABLE:
             return []
 
     def read(self, partition: Members | None) -> Iterator[tuple]:
         where, _ = opened(self.path)
-        for path, first, names in partition.runs if partition else ():
+        for path, first, members in partition.runs if partition else ():
             shown = "file:" + path if isinstance(where, fs.LocalFileSystem) else f"{self.path.partition('://')[0]}://{path}"
             try:
-                with where.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-                    some = spine(archive) if names is None else names
-                    rows = [(shown, first + i, name, archive.read(name).decode("utf-8", "replace")) for i, name in enumerate(some)]
+                with where.open_input_file(path) as file:
+                    if members is None:
+                        with zipfile.ZipFile(file) as archive:
+                            read = [(name, archive.read(name)) for name in spine(archive)]
+                    else:
+                        read = [(m.name, member_bytes(file, m)) for m in members]
+                    rows = [(shown, first + i, name, html.decode("utf-8", "replace")) for i, (name, html) in enumerate(read)]
             except UNREADABLE:
                 continue
             yield from rows
