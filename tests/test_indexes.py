@@ -165,6 +165,56 @@ def test_ranges_of_any_length_equal_a_loop(spark):
     assert ranges.covering(p, e.limit(0)).count() == 0 and ranges.covering(p.limit(0), e).count() == 0
 
 
+def shuffled(df) -> int:
+    """Rows that all exchanges of an executed plan have written."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan()
+    found, open_ = 0, [text]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name == "Exchange":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif "QueryStage" in name:
+            open_.append(node.plan())
+        else:
+            open_.extend(node.children().apply(i) for i in range(node.children().size()))
+    return found
+
+
+def test_points_of_ranges_move_once(spark, monkeypatch):
+    """Points were sent once for each level of the ranges' nodes."""
+    monkeypatch.setattr(ranges, "HELD", 100, raising=False)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    p = spark.range(4000).selectExpr("id AS p", "cast(id % 3 AS int) AS book", "cast(id % 42 + 1 AS int) AS chapter", "cast(id % 31 + 1 AS int) AS verse")
+    e = spark.range(200).selectExpr("id AS e", "cast(id % 3 AS int) AS book", "cast(id % 40 + 1 AS int) AS cs", "cast(id % 30 + 1 AS int) AS vs", "cast(id % 40 + 1 + id % 3 AS int) AS ce", "cast(id * 7 % 30 + 1 AS int) AS ve", "false AS flagged")
+    found = ranges.covering(p, e)
+    try:
+        assert 4000 <= shuffled(found) < 4000 + 2 * 4 * 200
+        sections = ranges.covering_sections(p.selectExpr("p", "book AS document", "chapter AS ordinal"), e.selectExpr("e", "book AS document", "cs AS first", "ce AS last"))
+        assert 4000 <= shuffled(sections) < 4000 + 2 * 4 * 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_heavy_cells_are_parted(spark, monkeypatch):
+    """Nearly all points and ranges in one chapter: slices of both meet each other, and no pair is lost or made twice."""
+    monkeypatch.setattr(ranges, "HELD", 20)
+    points = [(i, "A", 3 if i % 10 else 40, i % 31 + 1) for i in range(600)]
+    some = [(i, "A", 3, i % 20 + 1, 3 + i % 2 * 30, i % 7 + 15, False) for i in range(500)]
+    want = {(p, e) for p, _, c, v in points for e, _, cs, vs, ce, ve, _ in some if (cs, vs) <= (c, v) <= (ce, ve)}
+    p = spark.createDataFrame(points, "p int, book string, chapter int, verse int")
+    e = spark.createDataFrame(some, "e int, book string, cs int, vs int, ce int, ve int, flagged boolean")
+    got = [(r["p"], r["e"]) for r in ranges.covering(p, e).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    sections = ranges.covering_sections(p.selectExpr("p", "book AS document", "chapter AS ordinal"), e.selectExpr("e", "book AS document", "cs AS first", "ce AS last"))
+    got = [(r["p"], r["e"]) for r in sections.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, e) for p, _, c, _ in points for e, _, cs, _, ce, _, _ in some if cs <= c <= ce}
+
+
 def naive_match(key, primary, least):
     same = [(pos, f) for f, k, pos in primary if k == key]
     if same:
