@@ -165,7 +165,7 @@ def excerpts(lines: DataFrame, found: DataFrame, canon: list[Book], books: DataF
     may have most of the lines. Null texts are left out; an empty table gives no rows.
     """
     lines = lines.where(F.col("text").isNotNull() & (strip(F.col("text")) != ""))
-    edges = page_edges(lines, source)
+    edges = materialize(page_edges(lines, source))  # a row a page, read by several steps
     running = running_lines(edges, source)
     cut = []
     for edge, text, at in (("top", "top", "first"), ("bottom", "bottom", "last")):
@@ -210,6 +210,7 @@ def excerpts(lines: DataFrame, found: DataFrame, canon: list[Book], books: DataF
     plain = rows.where(~heading).select(*shown, F.lit("").alias("read"), F.lit(None).cast("string").alias("at_book"), F.lit(None).cast("int").alias("at_chapter"))
     told = read.unionByName(plain).where(F.col("read").isin("", "header"))
     told = scanned(told, [source], ["page", "line"], total={"position": F.when(F.col("read") == "header", 1).otherwise(0)}, parts=parts).where("position > 0")
+    told = materialize(told.select(*shown, "read", "at_book", "at_chapter", "position"))
 
     bare = F.col("_header.contextual")
     heads = told.where("read = 'header'").select(

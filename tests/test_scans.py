@@ -343,6 +343,23 @@ def test_scanned_books_equal_a_loop(spark, shelf):
     assert len(got["bracket-number"]) > 300 and not got["none"]
 
 
+def test_scanned_lines_are_read_twice(spark, shelf):
+    """Once for their pages' edges and once for themselves; edges were made anew by each step that reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = shelf["word-label"] + shelf["paren-number"]
+    lines = spark.createDataFrame(rows, SCHEMA)
+    found = spark.createDataFrame(scanned.profiles(lines, CANON).collect())
+    books = spark.createDataFrame([("word-label", "JAS"), ("paren-number", "JAS")], "source string, first_book string")
+    told = lines.withColumn("text", F.udf(counted, "string").asNondeterministic()("text"))
+    assert scanned.excerpts(told, found, CANON, books).count() > 0
+    assert 0 < seen.value <= 2 * len(rows)
+
+
 def test_profile_samples_and_empty_tables(spark, shelf):
     lines = spark.createDataFrame(shelf["word-label"] + shelf["none"], SCHEMA)
     found = scanned.profiles(lines, CANON)
