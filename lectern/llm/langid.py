@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lectern.llm.shared import bounded_batches, materialize
+from lectern.llm.shared import bounded_batches, materialize, returning_memory
 
 #: N-grams in a profile.
 RANKS = 300
@@ -94,7 +94,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         yield passed_on()
 
     known = docs.where("lang is not null and text is not null").select("lang", "text")
-    return known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(returning_memory(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def profile_table(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
@@ -277,7 +277,7 @@ def told_in_tasks(docs: DataFrame, profiles: Profiles, ranks: int = RANKS) -> Da
                 far.append(1.0 if d is None else float(d.min()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(far, pa.float64())], [*batch.schema.names, "_lang", "_distance"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_distance", DoubleType())]))
+    return docs.mapInArrow(returning_memory(run), StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_distance", DoubleType())]))
 
 
 def told_by_join(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bitplanes import close_pairs, majority, spanning_star
 from lectern.llm.components import connected_components
-from lectern.llm.shared import bounded_batches, discard, materialize
+from lectern.llm.shared import bounded_batches, discard, materialize, returning_memory
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 WIDTH, SIMILAR = 5, 0.8
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["at", "key", "fp", "n", "bands"])
 
     rows = docs.select("at", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "at long, key binary, fp long, n long, bands array<long>")
+    return rows.mapInArrow(returning_memory(run), "at long, key binary, fp long, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(x or b"").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    return docs.select("at", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes binary")
+    return docs.select("at", F.col("text").cast("binary").alias("text")).mapInArrow(returning_memory(run), "node long, hashes binary")
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("at")), docs)
     first = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    found = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+    found = materialize(both.select("u", "v", "a", "b").mapInArrow(returning_memory(run), "u long, v long"))
     discard(sets)
     return found
 
@@ -183,10 +183,10 @@ def copies_apart(rows: DataFrame, docs: DataFrame) -> DataFrame:
         for t in runs(batches, 3):
             yield from with_partners(t).to_batches()
 
-    near_ones = materialize(together(cut).mapInArrow(near, cut.schema))
+    near_ones = materialize(together(cut).mapInArrow(returning_memory(near), cut.schema))
     sets = sets_of(near_ones.select(F.col("node").alias("at")), docs)
     full = together(near_ones.join(sets, "node").select(*near_ones.columns, "hashes"))
-    found = materialize(full.mapInArrow(lambda batches: map(stars_of_copies, runs(batches, 3)), "u long, v long").distinct())
+    found = materialize(full.mapInArrow(returning_memory(lambda batches: map(stars_of_copies, runs(batches, 3))), "u long, v long").distinct())
     discard(near_ones, sets)
     return found
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm.shared import bounded_batches, materialize, tokenizer_file
+from lectern.llm.shared import bounded_batches, materialize, returning_memory, tokenizer_file
 
 #: Tokens in a sequence.
 CAPACITY = 2048
@@ -39,13 +40,26 @@ LONG_RUN = re.compile(r"\S{2000}")
 
 
 @cache
-def tokenizers(ranks_path: str | None, model_path: str | None) -> tuple[tiktoken.Encoding, Tokenizer, tuple[str, ...]]:
-    """The same vocabulary twice: as ranks, which is the faster, and as a model, with the strings of its added tokens."""
-    with open(tokenizer_file("byte_bpe_50k.tiktoken", ranks_path), "rb") as lines:
+def by_ranks(path: str | None) -> tiktoken.Encoding:
+    """The vocabulary as ranks, which is the faster way."""
+    with open(tokenizer_file("byte_bpe_50k.tiktoken", path), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    model = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json", model_path))
-    return fast, model, tuple(t.content for t in model.get_added_tokens_decoder().values())
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
+def by_model(path: str | None) -> Tokenizer:
+    """The same vocabulary as a model; it takes 33 MB of a worker, and is there only where a text needs it."""
+    return Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json", path))
+
+
+@cache
+def added_tokens(path: str | None) -> tuple[str, ...]:
+    """The strings of the model's added tokens, from its file, in which they stand before the vocabulary."""
+    with open(tokenizer_file("byte_bpe_50k.json", path), encoding="utf-8") as file:
+        text = file.read()
+    found, _ = json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))
+    return tuple(t["content"] for t in found)
 
 
 def ids(text: str, ranks_path: str | None = None, model_path: str | None = None) -> bytes:
@@ -54,10 +68,9 @@ def ids(text: str, ranks_path: str | None = None, model_path: str | None = None)
     Text that holds an added token or a very long run goes to the model, all other to the ranks; what they give is
     the same (tests compare whole tables).
     """
-    fast, model, added = tokenizers(ranks_path, model_path)
-    if any(map(text.__contains__, added)) or LONG_RUN.search(text):
-        return array("I", model.encode(text, add_special_tokens=False).ids).tobytes()
-    return array("I", fast.encode_ordinary(text)).tobytes()
+    if any(map(text.__contains__, added_tokens(model_path))) or LONG_RUN.search(text):
+        return array("I", by_model(model_path).encode(text, add_special_tokens=False).ids).tobytes()
+    return array("I", by_ranks(ranks_path).encode_ordinary(text)).tobytes()
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, str | None] = (None, None), with_ids: bool = False) -> DataFrame:
@@ -81,12 +94,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, s
             for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 rows.append(row), at.append(k), start.append(a), length.append(b - a)
                 crc.append(zlib.crc32(data[4 * a : 4 * b]))
-                if with_ids:
-                    kept.append(np.frombuffer(data[4 * a : 4 * b], "<u4").astype(np.int32))
+            if with_ids:
+                kept.append(data)
         out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         if with_ids:
-            out.append(pa.array(kept, pa.list_(pa.int32())))
+            ends = np.cumsum([0, *length]).astype(np.int32)  # pieces follow each other as in their documents
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(kept), "<i4"))))
             names.append("ids")
         return pa.RecordBatch.from_arrays(out, names)
 
@@ -97,30 +111,38 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, s
 
         def placed(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made, held
-            t = pa.Table.from_batches(held).combine_chunks()
-            length = t.column("length").to_numpy()
+            length = np.concatenate([b.column("length").to_numpy() for b in held])
             sequence, offset = assigned(length, capacity)
             full = np.bincount(sequence, length)[sequence] >= capacity * (1 - SLACK)
             _, sequence[full] = np.unique(sequence[full], return_inverse=True)
             sequence += (task << 40) + made
             made += len(np.unique(sequence[full]))
-            rest = t.filter(pa.array(~full))
-            none = np.zeros(len(length), np.int64)
-            yield from with_place(t, full, sequence, offset, none)
-            held = rest.to_batches()
-            if last or 2 * rest.num_rows > BUFFER:
-                rank = np.empty(rest.num_rows, np.int64)
-                for k, n in enumerate(rest.column("length").to_pylist()):
-                    rank[k] = seen[n]
-                    seen[n] += 1
-                yield from with_place(rest, np.ones(rest.num_rows, bool), None, None, rank)
-                held = []
-
-        def with_place(t, rows, sequence, offset, rank) -> Iterator[pa.RecordBatch]:
-            numbers = lambda x: pa.nulls(t.num_rows, pa.int64()) if x is None else pa.array(x, pa.int64())
-            for name, x in (("sequence_id", sequence), ("offset", offset), ("task", np.full(t.num_rows, task)), ("rank", rank)):
+            planned, held, at = held[::-1], [], 0
+            while planned:  # batch by batch, so that ids are there once
+                b = planned.pop()
+                here, at = full[at : at + b.num_rows], at + b.num_rows
+                if not here.all():
+                    held.append(b.filter(pa.array(~here)))
+                b, rows = b.filter(pa.array(here)), at - len(here) + np.flatnonzero(here)
+                yield from with_place(b, sequence[rows], offset[rows], np.zeros(len(rows), np.int64))
+            if last or 2 * sum(b.num_rows for b in held) > BUFFER:
+                planned, held = held[::-1], []
+                while planned:
+                    b = planned.pop()
+                    rank = np.empty(b.num_rows, np.int64)
+                    for k, n in enumerate(b.column("length").to_pylist()):
+                        rank[k] = seen[n]
+                        seen[n] += 1
+                    yield from with_place(b, None, None, rank)
+            elif held:
+                held = pa.Table.from_batches(held).combine_chunks().to_batches()
+
+        def with_place(b, sequence, offset, rank) -> Iterator[pa.RecordBatch]:
+            numbers = lambda x: pa.nulls(b.num_rows, pa.int64()) if x is None else pa.array(x, pa.int64())
+            t = pa.Table.from_batches([b])
+            for name, x in (("sequence_id", sequence), ("offset", offset), ("task", np.full(b.num_rows, task)), ("rank", rank)):
                 t = t.append_column(name, numbers(x))
-            yield from t.filter(pa.array(rows)).combine_chunks().to_batches(max_chunksize=1024)
+            yield from t.to_batches(max_chunksize=1024)
 
         for batch in batches:
             held.append(cut(batch))
@@ -130,7 +152,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str | None, s
             yield from placed(True)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, f"{schema}, sequence_id long, offset long, task long, rank long")
+    return docs.select("doc_id", "text").mapInArrow(returning_memory(run), f"{schema}, sequence_id long, offset long, task long, rank long")
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -304,8 +326,9 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rest = made.where("sequence_id is null").drop("sequence_id", "offset")
     counts = materialize(rest.groupBy("length", "task").agg(F.count("*").alias("n")))
     of = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    schema = "length long, lo long, hi long, sequence long, copies long, first long"
-    where = F.broadcast(made.sparkSession.createDataFrame(plan(of, capacity), schema).withColumnRenamed("length", "of"))
+    rows = np.array(plan(of, capacity), np.int64).reshape(-1, 6)
+    table = pa.table(dict(zip(("of", "lo", "hi", "sequence", "copies", "first"), map(pa.array, rows.T), strict=True)))
+    where = F.broadcast(made.sparkSession.createDataFrame(table))  # of Arrow: rows of tuples would start more workers
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = rest.join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base"))

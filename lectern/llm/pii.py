@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.secrets import replaced
-from lectern.llm.shared import bounded_batches
+from lectern.llm.shared import bounded_batches, returning_memory
 from lectern.llm.spans import Span, beside, digest, listed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -333,4 +333,4 @@ def redact_personal_data(docs: DataFrame, field: Field | None = None) -> DataFra
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning_memory(run), docs.schema)

@@ -379,3 +379,34 @@ def test_distant_repeats_hear_of_a_label():
     field = pii.fit_field(n(((plain, card), 10), ((plain, 0), 100), ((pii.feature_bits("12"), 0), 500)), n(((0, 0), 100)), n(((card, card), 400), ((0, 0), 400)))
     _, more = pii.spans_of("pay 4111-1111-1111-1111 now." + " Later on 4111.1111.1111.1111 again" * 40, field)
     assert [k for _, _, k in more] == ["linked_card"] * 40
+
+
+def test_packing_holds_ids_once(docs, monkeypatch):
+    """A task's Arrow memory stays near that of its ids, and no model is loaded for texts that need none."""
+    import pyarrow as pa
+
+    class Given:
+        """A table that only keeps the function that it is given."""
+
+        sparkSession, schema = docs.sparkSession, docs.schema
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    run = packing.pieces(Given(), with_ids=True)
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": lambda: type("Task", (), {"partitionId": lambda self: 0})()}))
+    texts = ["word " * (1000 + k % 900) for k in range(4000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array(texts[k : k + 500])], ["doc_id", "text"]) for k in range(0, 4000, 500)]
+    plain = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(plain)
+    pa.set_memory_pool(pool)
+    try:
+        pieces, held = 0, 0
+        for out in run(iter(batches)):
+            pieces, held = pieces + out.num_rows, held + 4 * sum(out.column("length").to_pylist())
+            del out
+    finally:
+        pa.set_memory_pool(plain)
+    assert pieces == len(texts) and pool.max_memory() < 2 * held, (pool.max_memory(), held)
+    packing.by_model.cache_clear()
+    packing.ids("plain text")
+    assert packing.by_model.cache_info().currsize == 0 and packing.added_tokens(None) == ("<|endoftext|>",)
